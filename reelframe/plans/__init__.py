@@ -3,5 +3,7 @@
 from reelframe.plans import (  # noqa: F401
     sampling,
     scans,
+    scoring,
+    telemetry,
 )
 from reelframe.plans.registry import QUERIES, SQL  # noqa: F401
