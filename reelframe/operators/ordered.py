@@ -156,45 +156,50 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     return df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= k).drop("__k")
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float],
-                     bins: int = 4096) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per group.
+def exact_percentiles(df: DataFrame, keys: Sequence[str], cols: dict[str, Column], qs: dict[str, float],
+                      bins: int = 4096) -> DataFrame:
+    """Exact percentiles with linear interpolation of several columns: one row per group, columns
+    `<col>_<q>`. Nulls are left out.
 
-    Equal values are counted before the shuffle, a histogram of `bins` value ranges finds the range
-    holding each wanted rank, and only that range is sorted.
+    All columns go through one pass. Equal values are counted before the shuffle, a histogram of `bins`
+    value ranges finds the range holding each wanted rank, and only that range is sorted.
     """
     keys = list(keys)
-    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")) \
-        .agg(F.count(F.lit(1)).alias("__c"))
-    span = c.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"))
-    if keys:
-        d = c.join(span, keys)
-    else:
-        d = c.withColumn("__one", F.lit(1)).join(span.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    d = d.withColumn(_B, F.when(F.col("__hi") > F.col("__lo"),
-                                F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins),
-                                        F.lit(bins - 1))).otherwise(0).cast("long"))
-    prev = _carry_window(keys).rowsBetween(Window.unboundedPreceding, -1)
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("c"), x.cast("double").alias("v")) for n, x in cols.items()]))
+    c = df.select(*keys, rows.alias("__r")).filter(F.col("__r.v").isNotNull()) \
+        .groupBy(*keys, F.col("__r.c").alias("__col"), F.col("__r.v").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    g = [*keys, "__col"]
+    span = c.groupBy(*g).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"))
+    bin_of = F.when(F.col("__hi") > F.col("__lo"), F.least(
+        F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    d = c.join(span, g).withColumn(_B, bin_of.cast("long"))
+    prev = _carry_window(g).rowsBetween(Window.unboundedPreceding, -1)
     hist = (
-        d.groupBy(*keys, _B).agg(F.sum("__c").alias("__bn"), F.first("__n").alias("__n"))
+        d.groupBy(*g, _B).agg(F.sum("__c").alias("__bn"), F.first("__n").alias("__n"))
         .withColumn("__off", F.coalesce(F.sum("__bn").over(prev), F.lit(0)))
     )
-    wants = F.array(*[F.struct(F.lit(name).alias("q"), (F.lit(float(q)) * (F.col("__n") - 1)).alias("p"))
-                      for name, q in qs.items()])
-    hist = hist.withColumn("__w", F.explode(wants)).filter(
-        (F.floor("__w.p") < F.col("__off") + F.col("__bn")) & (F.ceil("__w.p") >= F.col("__off")))
-    bins_needed = hist.select(*keys, _B, "__off").distinct()
-    w = Window.partitionBy(*keys, _B).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    sel = _join_carry(d, bins_needed, keys).withColumn("__end", F.col("__off") + F.sum("__c").over(w))
-    ranks = []
-    for name, q in qs.items():
+    hit = None
+    for q in qs.values():
         p = F.lit(float(q)) * (F.col("__n") - 1)
-        hit = lambda r: (F.col("__end") > r) & (F.col("__end") - F.col("__c") <= r)
-        lo = F.max(F.when(hit(F.floor(p)), F.col("__v")))
-        hi = F.max(F.when(hit(F.ceil(p)), F.col("__v")))
-        frac = F.max(p - F.floor(p))
-        ranks.append((lo + (hi - lo) * frac).alias(name))
-    return sel.groupBy(*keys).agg(*ranks)
+        one = (F.floor(p) < F.col("__off") + F.col("__bn")) & (F.ceil(p) >= F.col("__off"))
+        hit = one if hit is None else hit | one
+    need = hist.filter(hit).select(*g, _B, "__off")
+    w = Window.partitionBy(*g, _B).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    sel = d.join(need, [*g, _B]).withColumn("__end", F.col("__off") + F.sum("__c").over(w))
+    outs = []
+    for n in cols:
+        for name, q in qs.items():
+            p = F.lit(float(q)) * (F.col("__n") - 1)
+            at = lambda r: F.max(F.when((F.col("__col") == n) & (F.col("__end") > r) & (F.col("__end") - F.col("__c") <= r), F.col("__v")))
+            frac = F.max(F.when(F.col("__col") == n, p - F.floor(p)))
+            outs.append((at(F.floor(p)) + (at(F.ceil(p)) - at(F.floor(p))) * frac).alias(f"{n}_{name}"))
+    return sel.groupBy(*keys).agg(*outs)
+
+
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], bins: int = 4096) -> DataFrame:
+    """`exact_percentiles` of one column, named after the quantiles."""
+    d = exact_percentiles(df, keys, {"__p": F.col(value)}, qs, bins)
+    return d.select(*keys, *[F.col(f"__p_{n}").alias(n) for n in qs])
 
 
 def speculative_fold(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], fold, state: str,

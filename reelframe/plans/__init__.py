@@ -1,6 +1,7 @@
 """Registered queries, grouped like the operator modules."""
 
 from reelframe.plans import (  # noqa: F401
+    depth,
     geometry,
     sampling,
     scans,

@@ -9,7 +9,7 @@ from reelframe.sources.shards import drop_private
 
 
 def _px(df):
-    return df.select("frame", "u", "v", F.round("depth", 6).alias("depth"))
+    return df.select("frame", "u", "v", F.round("depth", 9).alias("depth"))
 
 
 @query("frame_stride", "SELECT * FROM frame_scores WHERE frame_idx >= 1 AND frame_idx < 7 AND (frame_idx - 1) % 2 = 0")
@@ -68,7 +68,7 @@ def sample_calibration_frames(v):
     return S.calibration_frames(d, 0.25, 12.0, idx="pos")
 
 
-@query("keep_every_nth", "SELECT frame, u, v, round(depth, 6) AS depth FROM depth_px WHERE u % 8 = 3 AND v % 8 = 3")
+@query("keep_every_nth", "SELECT frame, u, v, round(depth, 9) AS depth FROM depth_px WHERE u % 8 = 3 AND v % 8 = 3")
 def keep_every_nth(v):
     return _px(S.every_nth(S.every_nth(v.depth_px, 8, 3, "u"), 8, 3, "v"))
 
@@ -120,7 +120,7 @@ def in_frame_filter(v):
     return S.in_frame(projected(v), 512, 384).select("pid", F.round("u", 9).alias("u"), F.round("v", 9).alias("v"))
 
 
-@query("depth_range_filter", "SELECT frame, u, v, round(depth, 6) AS depth FROM depth_px WHERE depth > 1e-4 AND depth > 1.5 AND depth < 3.5")
+@query("depth_range_filter", "SELECT frame, u, v, round(depth, 9) AS depth FROM depth_px WHERE depth > 1e-4 AND depth > 1.5 AND depth < 3.5")
 def depth_range_filter(v):
     return _px(S.depth_range(v.depth_px, 1.5, 3.5))
 
@@ -131,7 +131,7 @@ def sample_n_valid(v):
 
 
 @query("drop_square_hole", """
-    SELECT frame, u, v, round(depth, 6) AS depth FROM depth_px
+    SELECT frame, u, v, round(depth, 9) AS depth FROM depth_px
     WHERE NOT (u >= frame * 7 % 40 AND u < frame * 7 % 40 + 16 AND v >= frame * 5 % 30 AND v < frame * 5 % 30 + 16)""")
 def drop_square_hole(v):
     f = F.col("frame")
@@ -139,7 +139,7 @@ def drop_square_hole(v):
 
 
 @query("grid_downscale_select", """
-    SELECT frame, u, v, round(depth, 6) AS depth FROM depth_px
+    SELECT frame, u, v, round(depth, 9) AS depth FROM depth_px
     WHERE u IN (SELECT CAST(floor(k * 64.0 / 20) AS BIGINT) FROM range(20) t(k))
       AND v IN (SELECT CAST(floor(k * 48.0 / 10) AS BIGINT) FROM range(10) t(k)) AND depth > 1e-4""")
 def grid_downscale_select(v):
@@ -152,7 +152,7 @@ def grid_downscale_select(v):
     d AS (SELECT x, y, sqrt(1 - x * x - y * y) AS z FROM c),
     e AS (SELECT DISTINCT CAST(round_even((48 * x + 32 * z) / (z + 1e-8), 0) AS BIGINT) AS u,
                  CAST(round_even((48 * y + 24 * z) / (z + 1e-8), 0) AS BIGINT) AS v FROM d)
-    SELECT frame, p.u, p.v, round(depth, 6) AS depth FROM depth_px p JOIN e ON p.u = e.u AND p.v = e.v WHERE depth > 1e-4""")
+    SELECT frame, p.u, p.v, round(depth, 9) AS depth FROM depth_px p JOIN e ON p.u = e.u AND p.v = e.v WHERE depth > 1e-4""")
 def scanline_sample(v):
     return _px(S.scanline_sample(v.depth_px, 8, 48, 64))
 
