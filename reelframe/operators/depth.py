@@ -145,16 +145,17 @@ def motion_score(df: DataFrame, frame: list[str], view: str, du: str, dv: str, m
     return per.groupBy(*frame).agg(F.min("s").alias("motion"))
 
 
-def expected_point(df: DataFrame, keys: list[str], value: str, softmax: bool = True) -> DataFrame:
-    """Weighted mean position of a map along each axis. The softmax runs over the marginal sums of an axis."""
+def expected_point(df: DataFrame, keys: list[str], value: str, h: int, w: int, softmax: bool = True) -> DataFrame:
+    """Weighted mean position of a map along each axis, in 0..1. The softmax runs over the marginal sums."""
     out = None
-    for axis in ("u", "v"):
+    for axis, size in (("u", w), ("v", h)):
         m = df.groupBy(*keys, axis).agg(F.sum(value).alias("s"))
         if softmax:
             # weights relative to the largest marginal keep exp in range
             top = m.groupBy(*keys).agg(F.max("s").alias("__top"))
             m = m.join(top, keys).withColumn("s", F.exp(F.col("s") - F.col("__top")))
-        e = m.groupBy(*keys).agg(F.try_divide(F.sum(F.col(axis) * F.col("s")), F.sum("s")).alias("e" + axis))
+        total = F.sum("s") if softmax else F.sum("s") + 1e-6
+        e = m.groupBy(*keys).agg((F.sum(F.col(axis) * F.col("s")) / total / (size - 1)).alias("e" + axis))
         out = e if out is None else out.join(e, keys)
     return out
 
@@ -206,14 +207,16 @@ def surface_normals(df: DataFrame, keys: list[str], smooth: bool = False) -> Dat
         .filter(F.col("slot").isin("c", "l", "t") | ((F.col("slot") == "r") & (F.col("u") == 0))
                 | ((F.col("slot") == "b") & (F.col("v") == 0)))
     g = d.groupBy(*keys, "u", "v").agg(*[F.max(F.when(F.col("slot") == s, F.col("p"))).alias(s) for s in "clrtb"])
-    g = g.filter(F.col("c").isNotNull())
+    left_ok = F.col("l").isNotNull() | ((F.col("u") == 0) & F.col("r").isNotNull())
+    up_ok = F.col("t").isNotNull() | ((F.col("v") == 0) & F.col("b").isNotNull())
+    g = g.filter(F.col("c").isNotNull() & left_ok & up_ok)
     diff = lambda a, b: [F.col(f"{a}.{k}") - F.col(f"{b}.{k}") for k in "xyz"]
     dx = [F.when(F.col("u") == 0, e1).otherwise(e2) for e1, e2 in zip(diff("r", "c"), diff("c", "l"))]
     dy = [F.when(F.col("v") == 0, e1).otherwise(e2) for e1, e2 in zip(diff("b", "c"), diff("c", "t"))]
     g = g.select(*keys, "u", "v", "c", *[e.alias(f"a{i}") for i, e in enumerate(dx)], *[e.alias(f"b{i}") for i, e in enumerate(dy)])
     a, b = [F.col(f"a{i}") for i in range(3)], [F.col(f"b{i}") for i in range(3)]
     n = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-    g = g.select(*keys, "u", "v", "c", *[e.alias(f"n{i}") for i, e in enumerate(n)]).filter(F.col("n0").isNotNull())
+    g = g.select(*keys, "u", "v", "c", *[e.alias(f"n{i}") for i, e in enumerate(n)])
     ln = F.sqrt(F.col("n0") * F.col("n0") + F.col("n1") * F.col("n1") + F.col("n2") * F.col("n2")) + 1e-6
     lv = F.sqrt(F.col("c.x") * F.col("c.x") + F.col("c.y") * F.col("c.y") + F.col("c.z") * F.col("c.z")) + 1e-6
     cos = -(F.col("n0") * F.col("c.x") + F.col("n1") * F.col("c.y") + F.col("n2") * F.col("c.z")) / (ln * lv)

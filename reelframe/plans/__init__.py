@@ -7,5 +7,6 @@ from reelframe.plans import (  # noqa: F401
     scans,
     scoring,
     telemetry,
+    warping,
 )
 from reelframe.plans.registry import QUERIES, SQL  # noqa: F401

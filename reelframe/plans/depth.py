@@ -118,11 +118,11 @@ def motion_score(v):
 
 @query("expected_point", """
     WITH a AS (SELECT frame, u, sum(depth / 50) AS s FROM depth_px GROUP BY frame, u), b AS (SELECT frame, v, sum(depth / 50) AS s FROM depth_px GROUP BY frame, v)
-    SELECT frame, round(eu, 6) AS eu, round(ev, 6) AS ev FROM (SELECT frame, sum(u * exp(s)) / sum(exp(s)) AS eu FROM a GROUP BY frame)
+    SELECT frame, round(eu / 63, 6) AS eu, round(ev / 47, 6) AS ev FROM (SELECT frame, sum(u * exp(s)) / sum(exp(s)) AS eu FROM a GROUP BY frame)
     JOIN (SELECT frame, sum(v * exp(s)) / sum(exp(s)) AS ev FROM b GROUP BY frame) USING (frame)""")
 def expected_point(v):
     d = v.depth_px.withColumn("depth", F.col("depth") / 50)
-    return D.expected_point(d, K, "depth").select("frame", R("eu"), R("ev"))
+    return D.expected_point(d, K, "depth", 48, 64).select("frame", R("eu"), R("ev"))
 
 
 @query("uncertainty_map", """
