@@ -87,3 +87,9 @@ def classify_pattern(text: Column) -> Column:
         if pat.count("(") == 2:
             b = F.when(hit, F.regexp_extract(text, pat, 2).cast("int")).otherwise(b)
     return F.struct(kind.alias("kind"), a.alias("a"), b.alias("b"))
+
+
+def map_merge(a: Column, b: Column) -> Column:
+    """Union of two maps; the second wins on equal keys."""
+    keep = F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k))
+    return F.map_concat(keep, b)

@@ -199,27 +199,26 @@ def surface_normals(df: DataFrame, keys: list[str], smooth: bool = False) -> Dat
     Each pixel hands its point to the neighbours that need it, one shuffle in all: the left and upper
     neighbour give the differences, and in the first column and row the right and lower ones.
     """
-    p = F.struct("x", "y", "z")
     here = lambda du, dv, slot: F.struct((F.col("u") + du).alias("u"), (F.col("v") + dv).alias("v"),
-                                         F.lit(slot).alias("slot"), p.alias("p"))
+                                         F.lit(slot).alias("slot"))
     sends = F.array(here(0, 0, "c"), here(1, 0, "l"), here(-1, 0, "r"), here(0, 1, "t"), here(0, -1, "b"))
-    d = df.select(*keys, F.explode(sends).alias("s")).select(*keys, "s.*") \
+    d = df.select(*keys, "x", "y", "z", F.explode(sends).alias("s")).select(*keys, "x", "y", "z", "s.*") \
         .filter(F.col("slot").isin("c", "l", "t") | ((F.col("slot") == "r") & (F.col("u") == 0))
                 | ((F.col("slot") == "b") & (F.col("v") == 0)))
-    g = d.groupBy(*keys, "u", "v").agg(*[F.max(F.when(F.col("slot") == s, F.col("p"))).alias(s) for s in "clrtb"])
-    left_ok = F.col("l").isNotNull() | ((F.col("u") == 0) & F.col("r").isNotNull())
-    up_ok = F.col("t").isNotNull() | ((F.col("v") == 0) & F.col("b").isNotNull())
-    g = g.filter(F.col("c").isNotNull() & left_ok & up_ok)
-    diff = lambda a, b: [F.col(f"{a}.{k}") - F.col(f"{b}.{k}") for k in "xyz"]
+    g = d.groupBy(*keys, "u", "v").agg(*[F.max(F.when(F.col("slot") == s, F.col(k))).alias(s + k) for s in "clrtb" for k in "xyz"])
+    left_ok = F.col("lz").isNotNull() | ((F.col("u") == 0) & F.col("rz").isNotNull())
+    up_ok = F.col("tz").isNotNull() | ((F.col("v") == 0) & F.col("bz").isNotNull())
+    g = g.filter(F.col("cz").isNotNull() & left_ok & up_ok)
+    diff = lambda a, b: [F.col(a + k) - F.col(b + k) for k in "xyz"]
     dx = [F.when(F.col("u") == 0, e1).otherwise(e2) for e1, e2 in zip(diff("r", "c"), diff("c", "l"))]
     dy = [F.when(F.col("v") == 0, e1).otherwise(e2) for e1, e2 in zip(diff("b", "c"), diff("c", "t"))]
-    g = g.select(*keys, "u", "v", "c", *[e.alias(f"a{i}") for i, e in enumerate(dx)], *[e.alias(f"b{i}") for i, e in enumerate(dy)])
+    g = g.select(*keys, "u", "v", "cx", "cy", "cz", *[e.alias(f"a{i}") for i, e in enumerate(dx)], *[e.alias(f"b{i}") for i, e in enumerate(dy)])
     a, b = [F.col(f"a{i}") for i in range(3)], [F.col(f"b{i}") for i in range(3)]
     n = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-    g = g.select(*keys, "u", "v", "c", *[e.alias(f"n{i}") for i, e in enumerate(n)])
+    g = g.select(*keys, "u", "v", "cx", "cy", "cz", *[e.alias(f"n{i}") for i, e in enumerate(n)])
     ln = F.sqrt(F.col("n0") * F.col("n0") + F.col("n1") * F.col("n1") + F.col("n2") * F.col("n2")) + 1e-6
-    lv = F.sqrt(F.col("c.x") * F.col("c.x") + F.col("c.y") * F.col("c.y") + F.col("c.z") * F.col("c.z")) + 1e-6
-    cos = -(F.col("n0") * F.col("c.x") + F.col("n1") * F.col("c.y") + F.col("n2") * F.col("c.z")) / (ln * lv)
+    lv = F.sqrt(F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy") + F.col("cz") * F.col("cz")) + 1e-6
+    cos = -(F.col("n0") * F.col("cx") + F.col("n1") * F.col("cy") + F.col("n2") * F.col("cz")) / (ln * lv)
     g = g.withColumn("__cos", cos)
     sign = F.when(F.col("__cos") < 0, -1.0).otherwise(1.0)
     out = g.select(*keys, "u", "v", *[(F.col(f"n{i}") / ln * sign).alias("n" + c) for i, c in enumerate("xyz")],

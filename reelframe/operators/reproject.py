@@ -145,8 +145,9 @@ def reproject_frame(px: DataFrame, pairs: DataFrame, poses: DataFrame, k: list[C
     d = d.withColumn("__ok", ok).withColumn("__log", sat)
     # the largest log depth of the warped frame scales the weights
     top = d.groupBy("i", "j").agg(F.max("__log").alias("__top"))
-    d = d.filter("__ok").join(top, ["i", "j"])
-    wgt = F.exp(-F.col("__log") / (F.col("__top") + 1e-7) * 50.0)
+    d = d.join(top, ["i", "j"])
+    # a weight of 0 instead of a filter: pushed down, the condition would repeat the whole expression chain
+    wgt = F.when(F.col("__ok"), F.exp(-F.col("__log") / (F.col("__top") + 1e-7) * 50.0)).otherwise(0.0)
     uv = [k[0] * p[0] / (p[2] + 1e-6) + k[2], k[1] * p[1] / (p[2] + 1e-6) + k[3]]
     d = d.select("i", "j", *values, uv[0].alias("u"), uv[1].alias("v"), wgt.alias("__w"))
-    return bilinear_splat(d, ["i", "j"], h, w, values, weight=F.col("__w"))
+    return bilinear_splat(d, ["i", "j"], h, w, values, weight=F.col("__w")).filter("weight > 0")
