@@ -110,7 +110,7 @@ def mergeable_aggregate(df: DataFrame, keys: list[str], schema: str, to_accum: C
 
     part = df.mapInPandas(partial, f"{kddl}, {schema}")
     # two levels: at most 64 rows per key reach the last merge
-    lvl = part.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(64))).groupBy(*keys, "__salt") \
+    lvl = part.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy(*keys, "__salt") \
         .applyInPandas(fold, f"{kddl}, {schema}")
     merged = lvl.groupBy(*keys).applyInPandas(fold, f"{kddl}, {schema}")
     return merged.groupBy(*keys).applyInPandas(last, f"{kddl}, {out}")

@@ -73,3 +73,12 @@ def normal_equations(jac: DataFrame, res: DataFrame, kernel=huber, fixed: DataFr
     lhs = transposed_product(j, w.select("i", "j", (F.col("a") * F.col("w")).alias("a")), upper=True)
     rhs = w.groupBy("j").agg(F.sum(-F.col("a") * F.col("w") * F.col("r")).alias("x"))
     return lhs, rhs, energy
+
+
+def sum_terms(terms: list, fixed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Normal equations of several residual terms, each (jacobian, residuals, kernel)."""
+    parts = [normal_equations(j, r, k, fixed) for j, r, k in terms]
+    lhs, rhs, energy = parts[0]
+    for a, b, e in parts[1:]:
+        lhs, rhs, energy = lhs.unionByName(a), rhs.unionByName(b), energy.unionByName(e)
+    return coalesce_entries(lhs), rhs.groupBy("j").agg(F.sum("x").alias("x")), energy.agg(F.sum("energy").alias("energy"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 65536
 _B = "__block"
@@ -149,7 +150,8 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     """First k rows of each group. For k up to 1000 the planner limits every map task to k rows per group
     before the shuffle; beyond that a salted pass does the same."""
     if k > 1000:
-        d = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(64)))
+        plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+        d = df.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(64)))
         w = Window.partitionBy(*keys, "__salt").orderBy(*order)
         df = d.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= k).drop("__k", "__salt")
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -35,7 +35,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, coords: list[str], q
         return _knn_empty(q, keys, qid)
     lows, highs = list(ext[:d]), list(ext[d:2 * d])
     span = max(max(h - lo for h, lo in zip(highs, lows)), 1e-12) * (1 + 1e-9)
-    depth = math.ceil(math.log2(ext[2] + 1) / min(d, 2)) + 2
+    depth = math.ceil(math.log2(ext[2 * d] + 1) / min(d, 2)) + 2
     c = [f"__c{i}" for i in range(d)]
     # finer cells while one of the finest still holds too many points
     while depth < 48:

@@ -111,14 +111,14 @@ def track_displacement(v):
 
 
 @query("track_flow_grid", f"""
-    WITH {_CORR}, f AS (SELECT view_id, a, b, ua / 8 AS u, va / 8 AS v, (ub - ua) / 8 AS du, (vb - va) / 8 AS dv FROM c),
+    WITH {_CORR}, f AS (SELECT view_id, a, b, ua / 7 AS u, va / 7 AS v, (ub - ua) / 7 AS du, (vb - va) / 7 AS dv FROM c),
     p AS (SELECT *, floor(u + 0.5)::BIGINT AS x0, floor(v + 0.5)::BIGINT AS y0 FROM f), i AS (SELECT * FROM p WHERE x0 >= 0 AND x0 + 1 < 64 AND y0 >= 0 AND y0 + 1 < 48),
     s AS (SELECT view_id, a, b, x0 + dx AS x, y0 + dy AS y, du, dv, (CASE WHEN dx = 0 THEN 1 - (u - x0) ELSE u - x0 END) * (CASE WHEN dy = 0 THEN 1 - (v - y0) ELSE v - y0 END) AS w FROM i, range(2) m(dx), range(2) n(dy)),
     g AS (SELECT view_id, a, b, x, y, sum(w) AS w, sum(w * du) AS wu FROM s GROUP BY 1, 2, 3, 4, 5)
-    SELECT view_id, a, b, x, y, round(CASE WHEN w < 0.1 OR w = 0 THEN 0 ELSE wu / w END + x, 9) AS tu, round(CASE WHEN w < 0.1 THEN 0 ELSE w END, 9) AS weight FROM g WHERE abs(w - 0.1) > 1e-9""")
+    SELECT view_id, a, b, x, y, round(CASE WHEN w < 0.1 OR w = 0 THEN 0 ELSE wu / w END + x, 8) AS tu, round(CASE WHEN w < 0.1 THEN 0 ELSE w END, 8) AS weight FROM g WHERE abs(w - 0.1) > 1e-9""")
 def track_flow_grid(v):
-    d = T.track_grid(v.observations, _pairs(v), 48, 64, 1 / 8, 1 / 8)
-    return d.select("view_id", "a", "b", "x", "y", R("tu", d=9), R("weight", d=9))
+    d = T.track_grid(v.observations, _pairs(v), 48, 64, 1 / 7, 1 / 7)
+    return d.select("view_id", "a", "b", "x", "y", R("tu", d=8), R("weight", d=8))
 
 
 @query("track_persistence", """
@@ -198,3 +198,15 @@ def normal_equations(v):
     return lhs.select(F.lit("lhs").alias("part"), "i", "j", R("a", d=3)) \
         .unionByName(rhs.select(F.lit("rhs").alias("part"), F.col("j").alias("i"), n.alias("j"), R("x", "a", 3))) \
         .unionByName(energy.select(F.lit("energy").alias("part"), n.alias("i"), n.alias("j"), R("energy", "a", 3)))
+
+
+@query("term", f"""
+    WITH r AS (SELECT i, r, w * CASE WHEN r * r <= 1 THEN 1 ELSE 1 / abs(r) END AS w FROM ({_RES})), j AS (SELECT i, j, sum(a) AS a FROM coo GROUP BY 1, 2),
+    p AS (SELECT DISTINCT j FROM coo)
+    SELECT j.j, round(sum(-j.a * r.w * r.r) + 2.0::DOUBLE * j.j, 4) AS x FROM j JOIN r ON r.i = j.i JOIN p ON p.j = j.j GROUP BY j.j""")
+def term(v):
+    # a data term with a robust kernel and a prior term -2j per unknown without one
+    prior = v.coo.select("j").distinct().select(F.col("j").alias("i"), "j", F.lit(1.0).alias("a"))
+    pull = prior.select("i", (F.col("j") * -2.0).alias("r"), F.lit(1.0).alias("w"))
+    lhs, rhs, energy = BL.sum_terms([(v.coo, _res(v), BL.huber), (prior, pull, None)])
+    return rhs.select("j", R("x", d=4))

@@ -21,7 +21,7 @@ def query(key: str, sql: str | None = None):
             raise ValueError(f"duplicate key {key}")
         QUERIES[key] = lambda spark, path: fn(Views(spark, path))
         if sql is not None:
-            SQL[key] = _with_views(sql)
+            SQL[key] = sql if sql in SQL.values() else _with_views(sql)
         return fn
 
     return wrap

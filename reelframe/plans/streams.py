@@ -8,7 +8,7 @@ from reelframe.operators.ordered import rank0
 from reelframe.operators.sampling import route_redetect
 from reelframe.plans.depth import R
 from reelframe.plans.graph import _RES, _res
-from reelframe.plans.geometry import crop_boxes  # noqa: F401
+from reelframe.plans import geometry  # noqa: F401  (its SQL texts must be registered first)
 from reelframe.plans.registry import SQL, query
 from reelframe.plans.scans import _score_payloads
 from reelframe.plans.scoring import frame_pairs
@@ -39,13 +39,13 @@ def stream_load_peak(v):
 @query("stream_utilisation", """
     WITH s AS (SELECT sample_id, wall_s, ts, make_timestamp(CAST(epoch_us(ts) + round(wall_s * 1e6) AS BIGINT)) AS e FROM sample_timing),
     t AS (SELECT ts AS tick, l1 AS util FROM load_trace)
-    SELECT sample_id, wall_s, round(avg(util), 6) AS util_mean, count(util) AS ticks, round(wall_s * avg(util) / 100.0, 6) AS busy_s
+    SELECT sample_id, wall_s, round(avg(util), 6) AS util_mean, count(util) AS ticks, round(wall_s * avg(util) / 100.0, 9) AS busy_s
     FROM s LEFT JOIN t ON tick >= s.ts AND tick <= e GROUP BY sample_id, wall_s""")
 def stream_utilisation(v):
     ticks = C.table_stream(v.spark, v.path, "events").select("ts", F.col("value").alias("util"))
     m = MO.run(MO.utilisation_matches(_events(v), ticks))
     d = MO.utilisation(v.sample_timing, m)
-    return d.select("sample_id", "wall_s", R("util_mean"), F.coalesce("ticks", F.lit(0)).alias("ticks"), R("busy_s"))
+    return d.select("sample_id", "wall_s", R("util_mean"), F.coalesce("ticks", F.lit(0)).alias("ticks"), R("busy_s", d=9))
 
 
 @query("stream_new_shards", """
@@ -66,7 +66,7 @@ def stream_new_shards(v):
     SELECT name, frame_idx, metric, value AS raw_value, value + (name % 5) * 1e-4 AS gen_value FROM frame_scores WHERE frame_idx < 4""")
 def stream_pair_frames(v):
     path = scratch(v.spark, "frames")
-    d = v.frame_scores.drop("rank").withColumn("arrived", F.timestamp_seconds(F.col("name") % 3600))
+    d = v.frame_scores.drop("rank").withColumn("arrived", F.timestamp_seconds(86400 + F.col("name") % 3600))
     d.write.parquet(path + "/raw")
     d.filter("frame_idx < 4").withColumn("value", F.col("value") + (F.col("name") % 5) * 1e-4).write.parquet(path + "/gen")
     raw, gen = [C.folder_stream(d, f"{path}/{s}") for s in ("raw", "gen")]

@@ -213,3 +213,10 @@ def epoch_to_ts(v):
     return v.sample_timing.select(
         "sample_id", F.unix_micros(TX.epoch_to_ts((us / F.lit(1000000)).cast("decimal(20,6)"))).alias("back_us"),
         TX.format_eta(F.col("wall_s") * 100).alias("eta"))
+
+
+@query("format_eta", """
+    SELECT sample_id, CAST(s // 3600 AS VARCHAR) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS eta
+    FROM (SELECT sample_id, CAST(floor(cpu_s) AS BIGINT) AS s FROM sample_timing)""")
+def format_eta(v):
+    return v.sample_timing.select("sample_id", TX.format_eta(F.col("cpu_s")).alias("eta"))

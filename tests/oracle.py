@@ -59,7 +59,7 @@ def compare(df, con, sql: str) -> str:
         if want and want != other:
             return f"type of {f.name}: {kind} vs {other}"
     if len(got) != len(exp):
-        return f"rows {len(got)} != {len(exp)}"
+        return f"ROWS {len(got)} != {len(exp)}"
     exact = True
     for g, e in zip(got, exp):
         for a, b in zip(g, e):
