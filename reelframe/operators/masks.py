@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.operators.ordered import rank0, running, shifted
+from reelframe.operators.ordered import rank0, running
 
 
 def rle_encode(mask_px: DataFrame, keys: list[str], h: int, w: int) -> DataFrame:
     """Column-major run lengths of the set pixels (keys, u, v): rows (keys, run, length). Even runs are
     background, and run 0 has length 0 when the first pixel is set."""
     d = mask_px.select(*keys, (F.col("u").cast("long") * h + F.col("v")).alias("pos"))
-    d = shifted(d, keys, "pos", {"__prev": F.col("pos")})
-    d = d.withColumn("__start", F.when(F.col("__prev") == F.col("pos") - 1, 0).otherwise(1))
-    d = running(d, keys, "pos", {"__run": ("sum", F.col("__start"))})
-    runs = d.groupBy(*keys, "__run").agg(F.min("pos").alias("lo"), F.count("*").alias("n"))
-    runs = shifted(runs, keys, "__run", {"__end": F.col("lo") + F.col("n")})
-    runs = shifted(runs, keys, "__run", {"__nxt": F.col("lo")}, ahead=True)
-    r = (F.col("__run") - 1) * 2
+    # set pixels in a row have one difference of position and rank
+    runs = rank0(d, keys, "pos", "__r").groupBy(*keys, (F.col("pos") - F.col("__r")).alias("__isle")).agg(
+        F.min("pos").alias("lo"), F.count("*").alias("n"))
+    end = runs.groupBy(*keys).agg(F.max("lo").alias("__last"))
+    runs = running(runs, keys, "lo", {"__k": ("count", F.lit(1)), "__end": ("last", F.col("lo") + F.col("n"))}, include_current=False)
+    runs = runs.join(end, keys)
+    r = F.coalesce("__k", F.lit(0)) * 2
     gap = F.col("lo") - F.coalesce("__end", F.lit(0))
-    tail = F.lit(h * w) - F.col("lo") - F.col("n")
+    tail = F.when(F.col("lo") == F.col("__last"), F.lit(h * w) - F.col("lo") - F.col("n"))
     parts = F.array(F.struct(r.alias("run"), gap.alias("length")), F.struct((r + 1).alias("run"), F.col("n").alias("length")),
-                    F.struct((r + 2).alias("run"), F.when(F.col("__nxt").isNull() & (tail > 0), tail).alias("length")))
+                    F.struct((r + 2).alias("run"), F.when(tail > 0, tail).alias("length")))
     return runs.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.run", "p.length").filter("length IS NOT NULL")
 
 

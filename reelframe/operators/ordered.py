@@ -2,7 +2,7 @@
 
 A group (clip, worker, view) may hold a large share of all rows, so every operator here splits the
 group into blocks of the order column, works inside the blocks, and carries one summary row per block
-across them. The carry is joined back on (keys, block); whether it is broadcast is left to the
+across them. The carry is joined back on (group, block); whether it is broadcast is left to the
 adaptive planner, which knows its size.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 BLOCK = 65536
 _B = "__block"
+_G = "__group"
 
 
 def block_of(order: str, width: int = BLOCK) -> Column:
@@ -27,34 +28,30 @@ def _order(order: str | Sequence[str]) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
 
 
-def _carry_window(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(_B)
+def _blocked(df: DataFrame, keys: Sequence[str], order: list[str], width: int, block: Column | None) -> DataFrame:
+    """Add the group (one struct column, so that null keys form a group) and the block number. Windows,
+    carries and the join between them all use (group, block), so rows are shuffled once."""
+    g = F.struct(*keys) if keys else F.lit(0)
+    return df.withColumn(_G, g).withColumn(_B, block if block is not None else block_of(order[0], width))
 
 
-def _join_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [*keys, _B]
-    right = carry.select(*[F.col(c).alias("__r_" + c) for c in on],
-                         *[c for c in carry.columns if c not in on])
-    cond = None
-    for c in on:
-        e = F.col(c).eqNullSafe(F.col("__r_" + c))
-        cond = e if cond is None else cond & e
-    return local.join(right, cond, "inner").drop(*["__r_" + c for c in on])
+def _carry_window():
+    return Window.partitionBy(_G).orderBy(_B)
 
 
 def rank0(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], out: str,
           width: int = BLOCK, block: Column | None = None) -> DataFrame:
     """Dense 0-based position inside each group."""
     order = _order(order)
-    d = df.withColumn(_B, block if block is not None else block_of(order[0], width))
-    prev = _carry_window(keys).rowsBetween(Window.unboundedPreceding, -1)
+    d = _blocked(df, keys, order, width, block)
+    prev = _carry_window().rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        d.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("__n"))
+        d.groupBy(_G, _B).agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__off", F.coalesce(F.sum("__n").over(prev), F.lit(0))).drop("__n")
     )
-    local = d.withColumn("__i", F.row_number().over(Window.partitionBy(*keys, _B).orderBy(*order)))
+    local = d.withColumn("__i", F.row_number().over(Window.partitionBy(_G, _B).orderBy(*order)))
     return (
-        _join_carry(local, offsets, keys)
+        local.join(offsets, [_G, _B])
         .withColumn(out, (F.col("__i") - 1 + F.col("__off")).cast("long"))
         .select(*[c for c in df.columns if c != out], out)
     )
@@ -78,16 +75,16 @@ def running(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
     last non-null value seen so far. The order must be unique inside a group.
     """
     order = _order(order)
-    d = df.withColumn(_B, block if block is not None else block_of(order[0], width))
+    d = _blocked(df, keys, order, width, block)
     if reverse:
         d = d.withColumn(_B, -F.col(_B))
     sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     d = d.select("*", *[c.alias("__x_" + o) for o, (_, c) in aggs.items()])
     key = F.struct(*[F.col(c) for c in order])
     part, total = [], []
-    prev = _carry_window(keys).rowsBetween(Window.unboundedPreceding, -1)
+    prev = _carry_window().rowsBetween(Window.unboundedPreceding, -1)
     stop = 0 if include_current else -1
-    w = Window.partitionBy(*keys, _B).orderBy(*sort).rowsBetween(Window.unboundedPreceding, stop)
+    w = Window.partitionBy(_G, _B).orderBy(*sort).rowsBetween(Window.unboundedPreceding, stop)
     local = []
     for o, (kind, _) in aggs.items():
         x = F.col("__x_" + o)
@@ -102,8 +99,8 @@ def running(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
             part.append(fn(x).alias("__p_" + o))
             total.append(merge("__p_" + o).over(prev).alias("__c_" + o))
             local.append(fn(x).over(w).alias("__l_" + o))
-    carry = d.groupBy(*keys, _B).agg(*part).select(*keys, _B, *total)
-    j = _join_carry(d.select("*", *local), carry, keys)
+    carry = d.groupBy(_G, _B).agg(*part).select(_G, _B, *total)
+    j = d.select("*", *local).join(carry, [_G, _B])
     outs = [_COMBINE[kind](F.col("__c_" + o), F.col("__l_" + o)).alias(o) for o, (kind, _) in aggs.items()]
     return j.select(*[c for c in df.columns if c not in aggs], *outs)
 
@@ -112,17 +109,17 @@ def shifted(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], cols
             ahead: bool = False, width: int = BLOCK, block: Column | None = None) -> DataFrame:
     """Values of the previous row of each group (the next one when `ahead`); null at the edge."""
     order = _order(order)
-    d = df.withColumn(_B, block if block is not None else block_of(order[0], width))
+    d = _blocked(df, keys, order, width, block)
     d = d.withColumn("__v", F.struct(*[c.alias(o) for o, c in cols.items()]))
     key = F.struct(*[F.col(c) for c in order])
     edge = F.min_by("__v", key) if ahead else F.max_by("__v", key)
     step = F.lead if ahead else F.lag
     carry = (
-        d.groupBy(*keys, _B).agg(edge.alias("__e"))
-        .withColumn("__e", step("__e").over(_carry_window(keys)))
+        d.groupBy(_G, _B).agg(edge.alias("__e"))
+        .withColumn("__e", step("__e").over(_carry_window()))
     )
-    w = Window.partitionBy(*keys, _B).orderBy(*order)
-    j = _join_carry(d.withColumn("__s", step("__v").over(w)), carry, keys)
+    w = Window.partitionBy(_G, _B).orderBy(*order)
+    j = d.withColumn("__s", step("__v").over(w)).join(carry, [_G, _B])
     pick = F.coalesce(F.col("__s"), F.col("__e"))
     return j.select(*[c for c in df.columns if c not in cols], *[pick[o].alias(o) for o in cols])
 
@@ -175,7 +172,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], cols: dict[str, Column
     bin_of = F.when(F.col("__hi") > F.col("__lo"), F.least(
         F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))).otherwise(0)
     d = c.join(span, g).withColumn(_B, bin_of.cast("long"))
-    prev = _carry_window(g).rowsBetween(Window.unboundedPreceding, -1)
+    prev = Window.partitionBy(*g).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     hist = (
         d.groupBy(*g, _B).agg(F.sum("__c").alias("__bn"), F.first("__n").alias("__n"))
         .withColumn("__off", F.coalesce(F.sum("__bn").over(prev), F.lit(0)))

@@ -179,8 +179,8 @@ def budget_split(budget: Column, workers: Column) -> Column:
 
 def smoothed(df: DataFrame, keys: list[str], order: str, value: str, window: int = 20) -> DataFrame:
     """Lower median, mean, max and latest of the last `window` values, and the running global mean."""
-    d = rank0(df, keys, order, "pos")
-    run = running(d, keys, "pos", {"__s": ("sum", F.col(value)), "__n": ("count", F.col(value))})
+    run = running(df, keys, order, {"pos": ("count", F.lit(1)), "__s": ("sum", F.col(value)), "__n": ("count", F.col(value))}) \
+        .withColumn("pos", F.col("pos") - 1)
     out = sliding(run, keys, "pos", window - 1, 0, {
         "__list": lambda w: F.collect_list(value).over(w),
         "mean": lambda w: F.avg(value).over(w),
@@ -192,11 +192,10 @@ def smoothed(df: DataFrame, keys: list[str], order: str, value: str, window: int
 
 def eta(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Remaining time: running mean of the iteration time times the iterations left."""
-    d = rank0(df, keys, order, "pos")
-    d = running(d, keys, "pos", {"__s": ("sum", F.col(value)), "__n": ("count", F.col(value))})
+    d = running(df, keys, order, {"pos": ("count", F.lit(1)), "__s": ("sum", F.col(value)), "__n": ("count", F.col(value))})
     n = df.groupBy(*keys).agg(F.count("*").alias("total"))
-    return d.join(n, keys).withColumn("eta_s", F.col("__s") / F.col("__n") * (F.col("total") - F.col("pos") - 1)) \
-        .drop("__s", "__n")
+    return d.join(n, keys).withColumn("eta_s", F.col("__s") / F.col("__n") * (F.col("total") - F.col("pos"))) \
+        .drop("__s", "__n", "pos")
 
 
 def _ema_weights(decay: float, warmup: bool):

@@ -165,11 +165,13 @@ def smoothed_value(v):
 
 
 @query("eta", """
-    SELECT rank, sample_id, round(avg(wall_s) OVER p * (count(*) OVER (PARTITION BY rank) - row_number() OVER p), 6) AS eta_s
-    FROM sample_timing WINDOW p AS (PARTITION BY rank ORDER BY sample_id)""")
+    WITH d AS (SELECT rank, sample_id, CAST(round(wall_s * 100) AS DOUBLE) AS cs FROM sample_timing)
+    SELECT rank, sample_id, sum(cs) OVER p / count(*) OVER p * (count(*) OVER (PARTITION BY rank) - row_number() OVER p) AS eta_cs
+    FROM d WINDOW p AS (PARTITION BY rank ORDER BY sample_id)""")
 def eta(v):
-    d = T.eta(v.sample_timing.select("rank", "sample_id", "wall_s"), ["rank"], "sample_id", "wall_s")
-    return d.select("rank", "sample_id", F.round("eta_s", 6).alias("eta_s"))
+    # whole hundredths of a second add up exactly in any order
+    d = v.sample_timing.select("rank", "sample_id", F.round(F.col("wall_s") * 100).alias("cs"))
+    return T.eta(d, ["rank"], "sample_id", "cs").select("rank", "sample_id", F.col("eta_s").alias("eta_cs"))
 
 
 _FOLD = """
