@@ -145,6 +145,35 @@ def se3_exp(t: list[Column]) -> list[Column]:
     return tr + times(k, phi) + [F.cos(th / 2.0)]
 
 
+def with_log(df: DataFrame, p: list[Column], names: list[str]) -> DataFrame:
+    """Add the tangent of a pose in steps, so that no step repeats the expressions of the one before."""
+    d = df.withColumns({f"__q{i}": c for i, c in enumerate(p)})
+    q = [F.col(f"__q{i}") for i in range(7)]
+    d = d.withColumns(dict(zip(names[3:], so3_log(q[3:]))))
+    phi = [F.col(n) for n in names[3:]]
+    d = d.withColumn("__th2", dot(phi, phi)).withColumns({f"__c{i}": c for i, c in enumerate(cross(phi, q[:3]))})
+    th2, th = F.col("__th2"), F.sqrt("__th2")
+    k = F.when(th < _EPS, F.lit(1.0 / 12.0)).otherwise(1.0 / th2 - (1.0 + F.cos(th)) / (2.0 * th * F.sin(th)))
+    pt = [F.col(f"__c{i}") for i in range(3)]
+    tau = add(add(q[:3], times(F.lit(-0.5), pt)), times(k, cross(phi, pt)))
+    return d.select(*df.columns, *[c.alias(n) for c, n in zip(tau, names[:3])], *names[3:])
+
+
+def with_exp(df: DataFrame, t: list[Column], names: list[str]) -> DataFrame:
+    """Add the pose of a tangent, in steps like `with_log`."""
+    d = df.withColumns({f"__t{i}": c for i, c in enumerate(t)})
+    tau, phi = [F.col(f"__t{i}") for i in range(3)], [F.col(f"__t{i}") for i in range(3, 6)]
+    d = d.withColumn("__th2", dot(phi, phi)).withColumns({f"__c{i}": c for i, c in enumerate(cross(phi, tau))})
+    th2, th = F.col("__th2"), F.sqrt("__th2")
+    small = th < _EPS
+    d = d.withColumn("__a", F.when(small, 0.5 - th2 / 24.0).otherwise((1.0 - F.cos(th)) / th2)) \
+        .withColumn("__b", F.when(small, F.lit(1.0 / 6.0)).otherwise((th - F.sin(th)) / (th2 * th))) \
+        .withColumn("__k", F.when(small, 0.5 - th2 / 48.0).otherwise(F.sin(th / 2.0) / th))
+    pt = [F.col(f"__c{i}") for i in range(3)]
+    tr = add(add(tau, times(F.col("__a"), pt)), times(F.col("__b"), cross(phi, pt)))
+    return d.select(*df.columns, *[c.alias(n) for c, n in zip(tr + times(F.col("__k"), phi) + [F.cos(th / 2.0)], names)])
+
+
 # --- similarity -----------------------------------------------------------------------------------
 
 def sim3_point(p: list[Column], s: Column, v: Vec) -> Vec:

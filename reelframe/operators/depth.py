@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelframe.operators.ordered import exact_percentile, exact_percentiles
 from reelframe.operators.points import knn_join
+from reelframe.session import cut
 
 
 def masked_mean(df: DataFrame, keys: list[str], x: Column, m: Column) -> DataFrame:
@@ -45,7 +46,8 @@ def _solve2(g: DataFrame, keys: list[str], ridge: float = 0.0) -> DataFrame:
 
 def _trim(df: DataFrame, keys: list[str], cols: dict[str, Column], lo: float, hi: float) -> DataFrame:
     """Join the open quantile range of each (valid) column; adds the flag `__in`."""
-    b = exact_percentiles(df, keys, {n: F.when(ok, F.col(n)) for n, ok in cols.items()}, {"__lo": lo, "__hi": hi})
+    # one row per group; written once, because the fits below read it again
+    b = cut(exact_percentiles(df, keys, {n: F.when(ok, F.col(n)) for n, ok in cols.items()}, {"__lo": lo, "__hi": hi}))
     d, inside = df.join(b, keys, "left"), None
     for n in cols:
         one = (F.col(n) > F.col(f"{n}___lo")) & (F.col(n) < F.col(f"{n}___hi"))

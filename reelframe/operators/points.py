@@ -27,7 +27,8 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, coords: list[str], q
     `strict`: a query group with fewer than k points is an error.
     """
     keys, d = list(keys), len(coords)
-    pts = top_k(points.select(*keys, F.col(pid).alias("__pid"), *coords), [*keys, *coords], [F.col("__pid")], k)
+    # ids and coordinates only; written once for the four passes below
+    pts = cut(top_k(points.select(*keys, F.col(pid).alias("__pid"), *coords), [*keys, *coords], [F.col("__pid")], k))
     q = queries.select(*keys, qid, *coords)
     ext = pts.select(*coords).unionByName(q.select(*coords)).agg(
         *[F.min(c) for c in coords], *[F.max(c) for c in coords], F.count("*")).first()

@@ -73,8 +73,8 @@ def keyframe_velocity(kfs: DataFrame, keys: list[str], t: str) -> DataFrame:
     dt = F.coalesce(F.col(f"__n.{t}"), F.col(t)) - F.col(t) + 1e-3
     d = d.select(*keys, t, *se3.POSE, *[c.alias(f"__d{i}") for i, c in enumerate(se3.compose(p1, se3.inverse(p0)))],
                  dt.alias("__dt"))
-    v = se3.se3_log([F.col(f"__d{i}") for i in range(7)])
-    return d.select(*keys, t, *se3.POSE, *[(c / F.col("__dt")).alias(f"v{i}") for i, c in enumerate(v)])
+    d = se3.with_log(d, [F.col(f"__d{i}") for i in range(7)], [f"__l{i}" for i in range(6)])
+    return d.select(*keys, t, *se3.POSE, *[(F.col(f"__l{i}") / F.col("__dt")).alias(f"v{i}") for i in range(6)])
 
 
 def pose_interpolate(frames: DataFrame, kfs: DataFrame, keys: list[str], t: str) -> DataFrame:
@@ -83,8 +83,7 @@ def pose_interpolate(frames: DataFrame, kfs: DataFrame, keys: list[str], t: str)
     cols = ["t0", *se3.POSE, *[f"v{i}" for i in range(6)]]
     d = asof(frames.select(*keys, t), vel, keys, t, cols, "k").filter(F.col("k").isNotNull())
     dt = F.col(t) - F.col("k.t0")
-    step = se3.se3_exp([F.col(f"k.v{i}") * dt for i in range(6)])
-    d = d.select(*keys, t, "k", *[c.alias(f"__s{i}") for i, c in enumerate(step)])
+    d = se3.with_exp(d, [F.col(f"k.v{i}") * dt for i in range(6)], [f"__s{i}" for i in range(7)])
     return d.select(*keys, t, *se3.named(se3.compose([F.col(f"__s{i}") for i in range(7)], se3.pose("k."))))
 
 

@@ -64,9 +64,10 @@ def quat_matrix(v):
       round(qz * CASE WHEN qw < 0 THEN -1 ELSE 1 END, 6) AS qz, round(abs(qw), 6) AS qw,
       round(2 * atan(sqrt(qx*qx + qy*qy + qz*qz) / abs(qw)), 6) AS angle FROM poses""")
 def se3_exp_log(v):
-    d = v.poses.select("clip", "frame_idx", *[c.alias(f"l{i}") for i, c in enumerate(se3.se3_log(se3.pose()))])
-    t = [F.col(f"l{i}") for i in range(6)]
-    back = d.select("clip", "frame_idx", *se3.named(se3.se3_exp(t)), se3.length(t[3:]).alias("angle"))
+    names = [f"l{i}" for i in range(6)]
+    d = se3.with_log(v.poses, se3.pose(), names).select("clip", "frame_idx", *names)
+    t = [F.col(n) for n in names]
+    back = se3.with_exp(d, t, se3.POSE).withColumn("angle", se3.length(t[3:]))
     sign = F.when(F.col("qw") < 0, -1.0).otherwise(1.0)
     return back.select("clip", "frame_idx", *_r(se3.pose()[:3], se3.POSE[:3]),
                        *[R6(F.col(c) * sign, c) for c in se3.POSE[3:]], R6(F.col("angle"), "angle"))

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # without it every column expression built in Python records its call site
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -153,7 +153,9 @@ def test_log_exp_small_and_large_angles(spark):
     d = spark.createDataFrame(rows, "i int, " + ", ".join(c + " double" for c in se3.POSE))
     lg = d.select("i", *[c.alias(f"l{n}") for n, c in enumerate(se3.se3_log(se3.pose()))])
     back = lg.select("i", *se3.named(se3.se3_exp([F.col(f"l{n}") for n in range(6)])))
-    for r in back.collect():
+    steps = se3.with_exp(se3.with_log(d, se3.pose(), [f"l{n}" for n in range(6)]).select("i", *[f"l{n}" for n in range(6)]),
+                         [F.col(f"l{n}") for n in range(6)], se3.POSE)
+    for r in [*back.collect(), *steps.collect()]:
         assert np.allclose([r[c] for c in se3.POSE], rows[r["i"]][1:], atol=1e-6)
 
 
