@@ -23,10 +23,10 @@ def correspondences(obs: DataFrame, pairs: DataFrame) -> DataFrame:
     return s.join(pairs, ["view_id", "a"]).join(t, ["view_id", "b", "kp"])
 
 
-def common_keypoints(obs: DataFrame, a: int, b: int) -> DataFrame:
-    """Keypoint ids in both of two frames."""
-    return obs.filter(F.col("frame") == a).select("view_id", "kp").intersect(
-        obs.filter(F.col("frame") == b).select("view_id", "kp"))
+def common_keypoints(obs: DataFrame, step: int = 1) -> DataFrame:
+    """Keypoints of each frame that are also in the frame `step` later."""
+    later = obs.select("view_id", (F.col("frame") - step).alias("frame"), "kp")
+    return obs.select("view_id", "frame", "kp").intersect(later)
 
 
 def displacement(obs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -143,11 +143,11 @@ def rle_decode(v):
 
 
 @query("mask_area_box", """
-    WITH m AS (SELECT frame, obj_id FROM objects WHERE obj_id <= 9), g AS (SELECT frame, label, count(*) AS area, min(u) AS x0, min(v) AS y0, max(u) AS x1, max(v) AS y1 FROM depth_px GROUP BY 1, 2)
+    WITH m AS (SELECT frame, obj_id FROM objects), g AS (SELECT frame, label, count(*) AS area, min(u) AS x0, min(v) AS y0, max(u) AS x1, max(v) AS y1 FROM depth_px GROUP BY 1, 2)
     SELECT m.frame, m.obj_id AS label, coalesce(area, 0) AS area, coalesce(x0, 0) AS x0, coalesce(y0, 0) AS y0, coalesce(x1, 0) AS x1, coalesce(y1, 0) AS y1
     FROM m LEFT JOIN g ON m.frame = g.frame AND m.obj_id = g.label""")
 def mask_area_box(v):
-    m = v.objects.filter("obj_id <= 9").select("frame", F.col("obj_id").alias("label"))
+    m = v.objects.select("frame", F.col("obj_id").alias("label"))
     return M.mask_area_box(v.depth_px, ["frame", "label"], m)
 
 

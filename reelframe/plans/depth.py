@@ -126,10 +126,10 @@ def expected_point(v):
 
 
 @query("uncertainty_map", """
-    WITH d AS (SELECT frame, u, v, CASE WHEN target - 1 > 0 THEN abs(depth - (target - 1)) / (target - 1) ELSE 0 END AS x FROM depth_px WHERE abs(target - 1) > 0.01)
+    WITH d AS (SELECT frame, u, v, CASE WHEN label <> 1 THEN abs(depth - target) / target ELSE 0 END AS x FROM depth_px)
     SELECT frame, u, v, round((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w), 6) AS uncertainty FROM d WINDOW w AS (PARTITION BY frame)""")
 def uncertainty_map(v):
-    d = v.depth_px.filter("abs(target - 1) > 0.01").withColumn("glob", F.col("target") - 1)
+    d = v.depth_px.withColumn("glob", F.when(F.col("label") == 1, 0.0).otherwise(F.col("target")))
     return D.uncertainty_map(d, K, "depth", "glob").select("frame", "u", "v", R("uncertainty"))
 
 
@@ -191,13 +191,13 @@ def knn_join(v):
 
 
 @query("fill_nearest", """
-    WITH k AS (SELECT frame, u, v, target FROM depth_px WHERE label = 3), m AS (SELECT frame, u, v FROM depth_px WHERE label > 5),
+    WITH k AS (SELECT frame, u, v, target FROM depth_px WHERE label = 3), m AS (SELECT frame, u, v FROM depth_px WHERE label <> 3),
     d AS (SELECT m.frame, m.u, m.v, k.target, row_number() OVER (PARTITION BY m.frame, m.u, m.v ORDER BY (m.u - k.u) ** 2 + (m.v - k.v) ** 2, k.v * 1000003 + k.u) AS r
           FROM m JOIN k ON m.frame = k.frame)
     SELECT frame, u, v, round(avg(target), 9) AS target FROM d WHERE r <= 5 GROUP BY 1, 2, 3""")
 def fill_nearest(v):
     p = v.depth_px
-    d = P.fill_nearest(p.filter("label > 5").select("frame", "u", "v"), p.filter("label = 3").select("frame", "u", "v", "target"), 5, "target")
+    d = P.fill_nearest(p.filter("label <> 3").select("frame", "u", "v"), p.filter("label = 3").select("frame", "u", "v", "target"), 5, "target")
     return d.select("frame", "u", "v", R("target", d=9))
 
 

@@ -111,9 +111,9 @@ def rig_trajectory(v):
 
 
 @query("lookup_frame_strict", """
-    SELECT p.clip, p.frame_idx, tx FROM poses p WHERE frame_idx % 4 = 0""")
+    SELECT p.clip, p.frame_idx, tx FROM poses p""")
 def lookup_frame_strict(v):
-    want = v.poses.filter("frame_idx % 4 = 0").select("clip", "frame_idx")
+    want = v.poses.select("clip", "frame_idx")
     return TR.lookup_strict(want, v.poses.select("clip", "frame_idx", "tx"), ["clip", "frame_idx"], "tx")
 
 
@@ -281,15 +281,16 @@ def spherical_convert(v):
 
 
 @query("depth_disparity", """
-    SELECT frame, u, v, round(CASE WHEN depth - 2 > 0 THEN 1 / (depth - 2) ELSE 0 END, 4) AS disp,
-           round(CASE WHEN depth - 2 > 0 THEN 1 / (depth - 2) ELSE depth - 2 END, 4) AS disp_keep, round(1 / greatest(depth, 1e-3), 6) AS inv
-    FROM depth_px WHERE abs(depth - 2) > 1e-3""")
+    SELECT frame, u, v, round(CASE WHEN label <> 1 THEN 1 / depth ELSE 0 END, 9) AS disp,
+           round(CASE WHEN label <> 1 THEN 1 / depth ELSE -depth END, 9) AS disp_keep, round(1 / greatest(depth, 1e-3), 9) AS inv
+    FROM depth_px""")
 def depth_disparity(v):
-    d = v.depth_px.filter("abs(depth - 2) > 1e-3")
-    x = F.col("depth") - 2
-    return d.select("frame", "u", "v", F.round(C.depth_to_disparity(x), 4).alias("disp"),
-                    F.round(C.depth_to_disparity(x, keep=True), 4).alias("disp_keep"),
-                    R6(C.depth_to_disparity(F.col("depth"), floor=1e-3), "inv"))
+    # label 1 stands for unusable depth
+    x = F.when(F.col("label") == 1, -F.col("depth")).otherwise(F.col("depth"))
+    return v.depth_px.select(
+        "frame", "u", "v", F.round(C.depth_to_disparity(x), 9).alias("disp"),
+        F.round(C.depth_to_disparity(x, keep=True), 9).alias("disp_keep"),
+        F.round(C.depth_to_disparity(F.col("depth"), floor=1e-3), 9).alias("inv"))
 
 
 @query("latitude_horizon", """

@@ -115,7 +115,7 @@ def track_displacement(v):
     p AS (SELECT *, floor(u + 0.5)::BIGINT AS x0, floor(v + 0.5)::BIGINT AS y0 FROM f), i AS (SELECT * FROM p WHERE x0 >= 0 AND x0 + 1 < 64 AND y0 >= 0 AND y0 + 1 < 48),
     s AS (SELECT view_id, a, b, x0 + dx AS x, y0 + dy AS y, du, dv, (CASE WHEN dx = 0 THEN 1 - (u - x0) ELSE u - x0 END) * (CASE WHEN dy = 0 THEN 1 - (v - y0) ELSE v - y0 END) AS w FROM i, range(2) m(dx), range(2) n(dy)),
     g AS (SELECT view_id, a, b, x, y, sum(w) AS w, sum(w * du) AS wu FROM s GROUP BY 1, 2, 3, 4, 5)
-    SELECT view_id, a, b, x, y, round(CASE WHEN w < 0.1 OR w = 0 THEN 0 ELSE wu / w END + x, 8) AS tu, round(CASE WHEN w < 0.1 THEN 0 ELSE w END, 8) AS weight FROM g WHERE abs(w - 0.1) > 1e-9""")
+    SELECT view_id, a, b, x, y, round(CASE WHEN w < 0.1 OR w = 0 THEN 0 ELSE wu / w END + x, 8) AS tu, round(CASE WHEN w < 0.1 THEN 0 ELSE w END, 8) AS weight FROM g""")
 def track_flow_grid(v):
     d = T.track_grid(v.observations, _pairs(v), 48, 64, 1 / 7, 1 / 7)
     return d.select("view_id", "a", "b", "x", "y", R("tu", d=8), R("weight", d=8))
@@ -136,19 +136,20 @@ def track_loss_flag(v):
     return T.track_loss(v.observations, _pairs(v), 0.05)
 
 
-@query("common_keypoints", "SELECT view_id, kp FROM observations WHERE frame = 3 INTERSECT SELECT view_id, kp FROM observations WHERE frame = 5")
+@query("common_keypoints", "SELECT view_id, frame, kp FROM observations INTERSECT SELECT view_id, frame - 2, kp FROM observations")
 def common_keypoints(v):
-    return T.common_keypoints(v.observations, 3, 5)
+    return T.common_keypoints(v.observations, 2)
 
 
 # --- blocks ----------------------------------------------------------------------------------------
 
 @query("scatter_reduce", """
-    WITH d AS (SELECT i + 2 AS i, 1 + a / 1000 AS a, row_number() OVER () AS r FROM coo WHERE i % 3 <> 1)
+    WITH d AS (SELECT i * 2 + 1 AS i, 1 + a / 1000 AS a FROM coo)
     SELECT s.k AS i, round(coalesce(sum(a), 0), 6) AS sum, round(coalesce(avg(a), 0), 6) AS mean, coalesce(min(a), 0) AS min, coalesce(max(a), 0) AS max,
            round(coalesce(sum(ln(a)), 0), 6) AS log_mul, count(a) AS n FROM range((SELECT max(i) + 1 FROM d)) s(k) LEFT JOIN d ON d.i = s.k GROUP BY 1""")
 def scatter_reduce(v):
-    d = v.coo.filter("i % 3 <> 1").select((F.col("i") + 2).alias("i"), (1 + F.col("a") / 1000).alias("a"))
+    # even slots stay empty
+    d = v.coo.select((F.col("i") * 2 + 1).alias("i"), (1 + F.col("a") / 1000).alias("a"))
     s = BL.scatter_reduce(d, "i", "a")
     return s.select("i", R("sum"), R("mean"), "min", "max", R(F.log("mul") + 0.0, "log_mul"), "n")
 

@@ -63,12 +63,12 @@ def stream_new_shards(v):
 
 
 @query("stream_pair_frames", """
-    SELECT name, frame_idx, metric, value AS raw_value, value + (name % 5) * 1e-4 AS gen_value FROM frame_scores WHERE frame_idx < 4""")
+    SELECT name, frame_idx, metric, value AS raw_value, value + (name % 5) * 1e-4 AS gen_value FROM frame_scores WHERE frame_idx <= name % 7""")
 def stream_pair_frames(v):
     path = scratch(v.spark, "frames")
     d = v.frame_scores.drop("rank").withColumn("arrived", F.timestamp_seconds(86400 + F.col("name") % 3600))
     d.write.parquet(path + "/raw")
-    d.filter("frame_idx < 4").withColumn("value", F.col("value") + (F.col("name") % 5) * 1e-4).write.parquet(path + "/gen")
+    d.filter("frame_idx <= name % 7").withColumn("value", F.col("value") + (F.col("name") % 5) * 1e-4).write.parquet(path + "/gen")
     raw, gen = [C.folder_stream(d, f"{path}/{s}") for s in ("raw", "gen")]
     return MO.run(MO.pair_frames(raw, gen, ["name", "frame_idx", "metric"]))
 

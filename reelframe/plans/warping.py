@@ -35,11 +35,11 @@ def poses(v):
 def edges(v):
     """Edges of the graph view between existing frames, both ends folded into 20 frames."""
     e = v.edges.select((F.col("i") % 20).alias("i"), (F.col("j") % 20).alias("j"))
-    return e.filter("i < j AND j - i <= 3").distinct()
+    return e.filter("i < j").distinct()
 
 
 # relative pose of frame j to frame i: a turn by (j - i) * 0.01 about y after moving the centre
-_SQL = """e AS (SELECT DISTINCT i % 20 AS i, j % 20 AS j FROM edges WHERE i % 20 < j % 20 AND j % 20 - i % 20 <= 3),
+_SQL = """e AS (SELECT DISTINCT i % 20 AS i, j % 20 AS j FROM edges WHERE i % 20 < j % 20),
     g AS (SELECT i, j, cos((j - i) * 0.01::DOUBLE) AS c, sin((j - i) * 0.01::DOUBLE) AS s FROM e),
     t AS (SELECT i, j, c, s, j * 0.02::DOUBLE - (c * (i * 0.02::DOUBLE) + s * (i * -0.01::DOUBLE)) AS tx,
                  j * -0.01::DOUBLE - (-s * (i * 0.02::DOUBLE) + c * (i * -0.01::DOUBLE)) AS tz FROM g),
