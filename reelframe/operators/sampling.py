@@ -98,11 +98,11 @@ def select_metrics(df: DataFrame, names: str, col: str = "metric") -> DataFrame:
     return df.filter(F.col(col).isin([n.strip() for n in names.split(",") if n.strip()]))
 
 
-def strength_schedule(df: DataFrame, lo: float, hi: float, key: str = "name") -> DataFrame:
-    """Linear strength over the sorted clips, 4 decimals."""
+def strength_schedule(df: DataFrame, lo: float, hi: float, key: str = "name", digits: int = 4) -> DataFrame:
+    """Linear strength over the sorted clips, rounded."""
     n = df.select(F.greatest(F.count("*") - 1, F.lit(1))).scalar()
     return rank0(df, [], key, "__p").withColumn(
-        "strength", F.round(F.lit(lo) + F.lit(hi - lo) * F.col("__p") / n, 4)).drop("__p")
+        "strength", F.round(F.lit(lo) + F.lit(hi - lo) * F.col("__p") / n, digits)).drop("__p")
 
 
 # --- detections and pixels ------------------------------------------------------------------------

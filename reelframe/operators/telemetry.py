@@ -109,64 +109,64 @@ def _at_smallest(cells: DataFrame, cols: list[str]) -> DataFrame:
         .select("arm", "g0", *[F.col("b." + c).alias("base_" + c) for c in cols])
 
 
-def scaling_table(runs: DataFrame) -> DataFrame:
+def scaling_table(runs: DataFrame, digits: int = 4) -> DataFrame:
     """Speed-up and efficiency against the smallest G of each arm; failed runs (null wall) are left out."""
     c = cell_means(runs.filter(F.col("wall_s").isNotNull()))
     d = c.join(_at_smallest(c, ["wall"]), "arm")
     speedup = guarded_ratio(F.col("base_wall"), F.col("wall"))
-    return d.select("arm", "g", F.round("wall", 3).alias("wall_s"), F.round(speedup, 4).alias("speedup"),
-                    F.round(speedup / F.col("g"), 4).alias("efficiency"),
-                    guarded_ratio(F.col("n"), F.col("wall"), 4).alias("throughput"))
+    return d.select("arm", "g", F.round("wall", digits).alias("wall_s"), F.round(speedup, digits).alias("speedup"),
+                    F.round(speedup / F.col("g"), digits).alias("efficiency"),
+                    guarded_ratio(F.col("n"), F.col("wall"), digits).alias("throughput"))
 
 
-def saturation_point(runs: DataFrame, quota: float) -> DataFrame:
+def saturation_point(runs: DataFrame, quota: float, digits: int = 4) -> DataFrame:
     """G* = C * W_gpu / W_cpu from the G=1 row, and the predicted throughput min(G / W_gpu, C / W_cpu)."""
     one = cell_means(runs.filter("g = 1")).select("arm", "w_cpu", "w_gpu")
     star = guarded_ratio(F.lit(quota) * F.col("w_gpu"), F.col("w_cpu"))
     return runs.select("arm", "g").distinct().join(one, "arm").select(
-        "arm", "g", F.round(star, 4).alias("g_star"),
-        F.round(F.least(guarded_ratio(F.col("g"), F.col("w_gpu")), guarded_ratio(F.lit(quota), F.col("w_cpu"))), 6)
+        "arm", "g", F.round(star, digits).alias("g_star"),
+        F.round(F.least(guarded_ratio(F.col("g"), F.col("w_gpu")), guarded_ratio(F.lit(quota), F.col("w_cpu"))), digits)
         .alias("predicted"))
 
 
-def serial_fraction_fit(runs: DataFrame) -> DataFrame:
+def serial_fraction_fit(runs: DataFrame, digits: int = 4) -> DataFrame:
     """wall(G) = S + compute(1) / G: fixed cost S, prediction, error and speed-up ceiling."""
     c = cell_means(runs)
     fit = c.groupBy("arm").agg(F.avg(F.col("wall") - F.col("straggler")).alias("s"))
     base = _at_smallest(c, ["wall", "straggler"])
     d = c.join(fit, "arm").join(base, "arm")
     pred = F.col("s") + F.col("base_straggler") / F.col("g")
-    return d.select("arm", "g", F.round("s", 4).alias("serial_s"), F.round(pred, 4).alias("predicted_s"),
-                    F.round(guarded_ratio((pred - F.col("wall")) * 100, F.col("wall")), 3).alias("error_pct"),
-                    guarded_ratio(F.col("base_wall"), F.col("s"), 4).alias("ceiling"))
+    return d.select("arm", "g", F.round("s", digits).alias("serial_s"), F.round(pred, digits).alias("predicted_s"),
+                    F.round(guarded_ratio((pred - F.col("wall")) * 100, F.col("wall")), digits).alias("error_pct"),
+                    guarded_ratio(F.col("base_wall"), F.col("s"), digits).alias("ceiling"))
 
 
-def fleet_projection(runs: DataFrame, total: int) -> DataFrame:
+def fleet_projection(runs: DataFrame, total: int, digits: int = 4) -> DataFrame:
     """Throughput of total/G containers of G devices, and its ratio to one container of all devices."""
     c = cell_means(runs).withColumn("containers", F.floor(F.lit(total) / F.col("g")))
     d = c.withColumn("fleet", guarded_ratio(F.col("containers") * F.col("n"), F.col("wall")))
     one = d.filter(F.col("g") == total).select("arm", F.col("fleet").alias("one"))
     return d.join(one, "arm", "left").select(
-        "arm", "g", "containers", F.round("fleet", 4).alias("fleet_v_per_s"),
-        guarded_ratio(F.col("fleet"), F.col("one"), 4).alias("vs_single"))
+        "arm", "g", "containers", F.round("fleet", digits).alias("fleet_v_per_s"),
+        guarded_ratio(F.col("fleet"), F.col("one"), digits).alias("vs_single"))
 
 
-def repeat_stats(runs: DataFrame, a: int, b: int) -> DataFrame:
+def repeat_stats(runs: DataFrame, a: int, b: int, digits: int = 4) -> DataFrame:
     """Mean and spread of two cells per arm, and their gap in units of the spread of the difference."""
     d = runs.groupBy("arm").agg(*[
         fn(F.when(F.col("g") == g, F.col("wall_s"))).alias(f"{name}_{side}")
         for side, g in (("a", a), ("b", b)) for name, fn in (("mean", F.avg), ("sd", F.stddev_samp))])
     spread = F.sqrt(F.col("sd_a") * F.col("sd_a") + F.col("sd_b") * F.col("sd_b"))
     gap = F.col("mean_b") - F.col("mean_a")
-    return d.select("arm", *[F.round(c, 4).alias(c) for c in ("mean_a", "sd_a", "mean_b", "sd_b")],
-                    F.round(spread, 4).alias("spread"), guarded_ratio(gap, spread, 4).alias("gap_in_spread"),
-                    guarded_ratio(F.col("mean_b"), F.col("mean_a"), 4).alias("ratio"))
+    return d.select("arm", *[F.round(c, digits).alias(c) for c in ("mean_a", "sd_a", "mean_b", "sd_b")],
+                    F.round(spread, digits).alias("spread"), guarded_ratio(gap, spread, digits).alias("gap_in_spread"),
+                    guarded_ratio(F.col("mean_b"), F.col("mean_a"), digits).alias("ratio"))
 
 
-def best_config(runs: DataFrame) -> DataFrame:
+def best_config(runs: DataFrame, digits: int = 4) -> DataFrame:
     """G with the smallest mean wall per arm, and whether it is the largest one tried."""
     return cell_means(runs).groupBy("arm").agg(
-        F.min_by("g", F.struct("wall", "g")).alias("best_g"), F.round(F.min("wall"), 4).alias("best_wall_s"),
+        F.min_by("g", F.struct("wall", "g")).alias("best_g"), F.round(F.min("wall"), digits).alias("best_wall_s"),
         F.max("g").alias("largest_g")).withColumn("largest_is_best", F.col("best_g") == F.col("largest_g"))
 
 

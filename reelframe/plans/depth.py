@@ -57,9 +57,9 @@ def align_inv_depth(v):
 @query("align_depth_median", f"""
     WITH d AS (SELECT frame, u, v, depth AS s, target AS t, valid FROM depth_px), {_TRIM},
     f AS (SELECT frame, quantile_cont(t / s, 0.5) AS a FROM m GROUP BY frame)
-    SELECT frame, u, v, round(a, 6) AS scale, round(greatest(s * a, 1e-4), 6) AS aligned FROM d JOIN f USING (frame)""")
+    SELECT frame, u, v, round(a, 9) AS scale, round(greatest(s * a, 1e-4), 9) AS aligned FROM d JOIN f USING (frame)""")
 def align_depth_median(v):
-    return D.align_depth_median(v.depth_px, K, "depth", "target", F.col("valid")).select("frame", "u", "v", R("scale"), R("aligned"))
+    return D.align_depth_median(v.depth_px, K, "depth", "target", F.col("valid")).select("frame", "u", "v", R("scale", d=9), R("aligned", d=9))
 
 
 @query("align_depth_affine", f"""

@@ -145,13 +145,13 @@ def common_keypoints(v):
 
 @query("scatter_reduce", """
     WITH d AS (SELECT i * 2 + 1 AS i, 1 + a / 1000 AS a FROM coo)
-    SELECT s.k AS i, round(coalesce(sum(a), 0), 6) AS sum, round(coalesce(avg(a), 0), 6) AS mean, coalesce(min(a), 0) AS min, coalesce(max(a), 0) AS max,
+    SELECT s.k AS i, round(coalesce(sum(a), 0), 9) AS sum, round(coalesce(avg(a), 0), 12) AS mean, coalesce(min(a), 0) AS min, coalesce(max(a), 0) AS max,
            round(coalesce(sum(ln(a)), 0), 6) AS log_mul, count(a) AS n FROM range((SELECT max(i) + 1 FROM d)) s(k) LEFT JOIN d ON d.i = s.k GROUP BY 1""")
 def scatter_reduce(v):
     # even slots stay empty
     d = v.coo.select((F.col("i") * 2 + 1).alias("i"), (1 + F.col("a") / 1000).alias("a"))
     s = BL.scatter_reduce(d, "i", "a")
-    return s.select("i", R("sum"), R("mean"), "min", "max", R(F.log("mul") + 0.0, "log_mul"), "n")
+    return s.select("i", R("sum", d=9), R("mean", d=12), "min", "max", R(F.log("mul") + 0.0, "log_mul"), "n")
 
 
 @query("scatter_arg", """

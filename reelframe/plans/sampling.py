@@ -84,11 +84,11 @@ def confidence_filter(v):
 
 @query("mask_quality_filter", """
     SELECT image, box_id, score / 2000 AS pred_iou, (x1 - x0) / 60 AS stability FROM boxes
-    WHERE score / 2000 > 0.46 AND (x1 - x0) / 60 >= 0.6""")
+    WHERE score / 2000 > 0.454 AND (x1 - x0) / 60 >= 0.6""")
 def mask_quality_filter(v):
     d = v.boxes.select("image", "box_id", (F.col("score") / 2000).alias("pred_iou"),
                        ((F.col("x1") - F.col("x0")) / 60).alias("stability"))
-    return S.mask_quality(d, 0.46, 0.6)
+    return S.mask_quality(d, 0.454, 0.6)
 
 
 @query("box_area_filter", "SELECT * FROM boxes WHERE (x1 - x0) * (y1 - y0) <= 170 * 260 * 0.02")
@@ -172,10 +172,10 @@ def prune_metadata_columns(v):
 
 
 @query("strength_schedule", """
-    SELECT name, round(0.2 + 0.6 * (row_number() OVER (ORDER BY name) - 1) / greatest(1, (SELECT count(*) FROM gen_clips) - 1), 4)
+    SELECT name, round(0.2 + 0.6 * (row_number() OVER (ORDER BY name) - 1) / greatest(1, (SELECT count(*) FROM gen_clips) - 1), 9)
            AS strength FROM gen_clips""")
 def strength_schedule(v):
-    return S.strength_schedule(v.gen_clips.select("name"), 0.2, 0.8)
+    return S.strength_schedule(v.gen_clips.select("name"), 0.2, 0.8, digits=9)
 
 
 _POS = "SELECT name, row_number() OVER (PARTITION BY name ORDER BY frame_idx) - 1 AS pos, value FROM frames"

@@ -89,51 +89,51 @@ _CELLS = """c AS (SELECT arm, g, avg(wall_s) AS wall, avg(straggler_s) AS st, su
 
 @query("scaling_table", f"""
     WITH {_CELLS}, b AS (SELECT arm, arg_min(wall, g) AS base FROM c GROUP BY arm)
-    SELECT arm, g, round(wall, 3) AS wall_s, round(base / wall, 4) AS speedup, round(base / wall / g, 4) AS efficiency,
-           round(n / wall, 4) AS throughput FROM c JOIN b USING (arm)""")
+    SELECT arm, g, round(wall, 9) AS wall_s, round(base / wall, 9) AS speedup, round(base / wall / g, 9) AS efficiency,
+           round(n / wall, 9) AS throughput FROM c JOIN b USING (arm)""")
 def scaling_table(v):
-    return T.scaling_table(v.runs)
+    return T.scaling_table(v.runs, digits=9)
 
 
 @query("saturation_point", f"""
     WITH {_CELLS}, o AS (SELECT arm, w_cpu, w_gpu FROM c WHERE g = 1)
-    SELECT c.arm, g, round(198 * o.w_gpu / o.w_cpu, 4) AS g_star, round(least(g / o.w_gpu, 198 / o.w_cpu), 6) AS predicted
+    SELECT c.arm, g, round(198 * o.w_gpu / o.w_cpu, 9) AS g_star, round(least(g / o.w_gpu, 198 / o.w_cpu), 9) AS predicted
     FROM c JOIN o ON c.arm = o.arm""")
 def saturation_point(v):
-    return T.saturation_point(v.runs, 198.0)
+    return T.saturation_point(v.runs, 198.0, digits=9)
 
 
 @query("serial_fraction_fit", f"""
     WITH {_CELLS}, f AS (SELECT arm, avg(wall - st) AS s, arg_min(st, g) AS st1, arg_min(wall, g) AS w1 FROM c GROUP BY arm)
-    SELECT arm, g, round(s, 4) AS serial_s, round(s + st1 / g, 4) AS predicted_s, round((s + st1 / g - wall) * 100 / wall, 3) AS error_pct,
-           CASE WHEN s > 0 THEN round(w1 / s, 4) END AS ceiling FROM c JOIN f USING (arm)""")
+    SELECT arm, g, round(s, 9) AS serial_s, round(s + st1 / g, 9) AS predicted_s, round((s + st1 / g - wall) * 100 / wall, 9) AS error_pct,
+           CASE WHEN s > 0 THEN round(w1 / s, 9) END AS ceiling FROM c JOIN f USING (arm)""")
 def serial_fraction_fit(v):
-    return T.serial_fraction_fit(v.runs)
+    return T.serial_fraction_fit(v.runs, digits=9)
 
 
 @query("fleet_projection", f"""
     WITH {_CELLS}, d AS (SELECT *, CAST(floor(8 / g) AS BIGINT) AS containers, floor(8 / g) * n / wall AS fleet FROM c),
     o AS (SELECT arm, fleet AS one FROM d WHERE g = 8)
-    SELECT arm, g, containers, round(fleet, 4) AS fleet_v_per_s, round(fleet / one, 4) AS vs_single FROM d LEFT JOIN o USING (arm)""")
+    SELECT arm, g, containers, round(fleet, 9) AS fleet_v_per_s, round(fleet / one, 9) AS vs_single FROM d LEFT JOIN o USING (arm)""")
 def fleet_projection(v):
-    return T.fleet_projection(v.runs, 8)
+    return T.fleet_projection(v.runs, 8, digits=9)
 
 
 @query("repeat_stats", """
     WITH d AS (SELECT arm, avg(wall_s) FILTER (g = 4) AS ma, stddev_samp(wall_s) FILTER (g = 4) AS sa,
                       avg(wall_s) FILTER (g = 8) AS mb, stddev_samp(wall_s) FILTER (g = 8) AS sb FROM runs GROUP BY arm)
-    SELECT arm, round(ma, 4) AS mean_a, round(sa, 4) AS sd_a, round(mb, 4) AS mean_b, round(sb, 4) AS sd_b,
-           round(sqrt(sa * sa + sb * sb), 4) AS spread, round((mb - ma) / sqrt(sa * sa + sb * sb), 4) AS gap_in_spread,
-           round(mb / ma, 4) AS ratio FROM d""")
+    SELECT arm, round(ma, 9) AS mean_a, round(sa, 9) AS sd_a, round(mb, 9) AS mean_b, round(sb, 9) AS sd_b,
+           round(sqrt(sa * sa + sb * sb), 9) AS spread, round((mb - ma) / sqrt(sa * sa + sb * sb), 9) AS gap_in_spread,
+           round(mb / ma, 9) AS ratio FROM d""")
 def repeat_stats(v):
-    return T.repeat_stats(v.runs, 4, 8)
+    return T.repeat_stats(v.runs, 4, 8, digits=9)
 
 
 @query("best_config", f"""
-    WITH {_CELLS} SELECT arm, arg_min(g, wall) AS best_g, round(min(wall), 4) AS best_wall_s, max(g) AS largest_g,
+    WITH {_CELLS} SELECT arm, arg_min(g, wall) AS best_g, round(min(wall), 9) AS best_wall_s, max(g) AS largest_g,
     arg_min(g, wall) = max(g) AS largest_is_best FROM c GROUP BY arm""")
 def best_config(v):
-    return T.best_config(v.runs)
+    return T.best_config(v.runs, digits=9)
 
 
 @query("guarded_ratio", """
