@@ -15,7 +15,7 @@ IMAGE_EXTS = ["jpg", "jpeg", "png", "bmp", "tiff", "tif"]
 ARTIFACTS = {
     "rgb": ("rgb", ".mp4"), "pose": ("pose", ".npz"), "depth": ("depth", ".zip"),
     "intrinsics": ("intrinsics", ".npz"), "flow": ("flow", ".zip"), "mask": ("mask", ".zip"),
-    "mask_phrase": ("mask", ".txt"), "meta_info": ("vipe", "_info.pkl"), "meta_vis": ("vipe", "_vis.mp4"),
+    "mask_phrase": ("mask", ".txt"), "meta_info": ("meta", "_info.pkl"), "meta_vis": ("meta", "_vis.mp4"),
 }
 
 
@@ -48,13 +48,14 @@ def list_clips(paths: DataFrame, exts: list[str]) -> DataFrame:
         .dropDuplicates(["path"]).orderBy("path")
 
 
-def artifact_index(paths: DataFrame) -> DataFrame:
-    """One row per clip with the path of each essential artifact (null when absent) and `complete`."""
+def artifact_index(paths: DataFrame, meta_folder: str = "meta") -> DataFrame:
+    """One row per clip with the path of each essential artifact (null when absent) and `complete`.
+    `meta_folder` is the folder the writing pipeline keeps its own metadata in."""
     file = F.element_at(F.split("path", "/"), -1)
     folder = F.element_at(F.split("path", "/"), -2)
     kind, clip = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, (d, suffix) in ARTIFACTS.items():
-        hit = (folder == d) & file.endswith(suffix)
+        hit = (folder == (meta_folder if d == "meta" else d)) & file.endswith(suffix)
         kind = F.when(hit, F.lit(k)).otherwise(kind)
         clip = F.when(hit, F.expr("substring(element_at(split(path, '/'), -1), 1, "
                                   f"length(element_at(split(path, '/'), -1)) - {len(suffix)})")).otherwise(clip)
