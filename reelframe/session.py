@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,16 +35,27 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Checkpoint folder named by the session; a temporary one only where none is set."""
+    """Checkpoint folder named by the session. Where none is named, a local master gets a temporary one; a cluster gets an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="reelframe-ckpt-"))
+    if not named:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="reelframe-ckpt-")
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df below the shared folder and read it back: cuts the lineage, and later scans read the result instead of making it again."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a loop state in the shared folder, so a lost executor restarts from there."""
     shared_dir(df.sparkSession)
