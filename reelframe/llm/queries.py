@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import exact, leaks, licenses, sql, warc
+from reelframe.llm import exact, leaks, licenses, packing, sql, urls, warc
 from reelframe.session import shared_dir
 
 
@@ -22,6 +22,20 @@ def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -32,5 +46,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op5_leaks, op6_exact, op9_warc, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses)}
 SQL = {"op5_leaks": sql.LEAKS, "op6_exact": sql.EXACT, "op9_warc": sql.WARC}
