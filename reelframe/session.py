@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +36,17 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "1
     return spark
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the session's Python workers, once per context; they need not find it on their own paths."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_reelframe_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="reelframe-zip-"), "reelframe"), "zip", root, "reelframe")
+        sc.addPyFile(made)
+        sc._reelframe_shipped = True
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Checkpoint folder named by the session. Where none is named, a local master gets a temporary one; a cluster gets an error."""
     sc = spark.sparkContext
