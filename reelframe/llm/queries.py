@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import exact, leaks, licenses, packing, sql, urls, warc
+from reelframe.llm import exact, leaks, licenses, packing, simhash, sql, urls, warc
 from reelframe.session import shared_dir
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,5 +50,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses)}
 SQL = {"op5_leaks": sql.LEAKS, "op6_exact": sql.EXACT, "op9_warc": sql.WARC}
