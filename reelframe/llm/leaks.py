@@ -17,8 +17,9 @@ def words(c: Column) -> Column:
 
 def shingle_set(w: Column, k: int) -> Column:
     """Distinct shingles as text; of fewer than k words the whole sequence."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1)))
-    return F.when(F.size(w) > 0, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+    at = F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0)))
+    run = lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(k)))  # noqa: E731  by place: slice() copies the whole array each time
+    return F.when(F.size(w) > 0, F.array_distinct(F.transform(at, run))).otherwise(F.array().cast("array<string>"))
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
