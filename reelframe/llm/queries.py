@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import crf, exact, leaks, licenses, packing, simhash, sql, urls, warc
+from reelframe.llm import crf, exact, leaks, licenses, packing, pll, simhash, sql, urls, warc
 from reelframe.session import shared_dir
 
 
@@ -19,6 +19,11 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.quality(docs, crf.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pll.score(docs, *pll.train(docs))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -55,5 +60,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op3_simhash, op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_pseudo_likelihood, op3_simhash, op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses)}
 SQL = {"op5_leaks": sql.LEAKS, "op6_exact": sql.EXACT, "op9_warc": sql.WARC}
