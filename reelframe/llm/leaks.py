@@ -59,7 +59,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
 
     # each text with a candidate is held against its items once, whatever the number of its copies
     texts = rows.select(F.sha2("body", 256).alias("sha"), "body").join(pairs.select("sha").distinct(), "sha", "left_semi").groupBy("sha").agg(F.any_value("body").alias("body"))
-    checked = texts.withColumn("doc_set", shingle_set(words(F.col("body")), k)).select("sha", "doc_set").join(pairs, "sha").join(kinds.select("item", "item_set", "q"), "item")
+    # the words are a column of their own: inside the lambda their expression would be worked out for each shingle
+    checked = texts.select("sha", words(F.col("body")).alias("w")).withColumn("doc_set", shingle_set(F.col("w"), k)).select("sha", "doc_set").join(pairs, "sha").join(kinds.select("item", "item_set", "q"), "item")
     checked = checked.withColumn("n_shared", F.size(F.array_intersect("doc_set", "item_set"))).filter(F.col("n_shared") >= need(F.col("q")))
     found = staged(checked.select("sha", "item", "n_shared", F.col("q").alias("n_item")), "leaks")
     out = rows.select("doc_id", F.sha2("body", 256).alias("sha")).join(found, "sha").join(items.select("item_id", "item"), "item")
