@@ -15,13 +15,6 @@ def words(c: Column) -> Column:
     return split_words(F.lower(c.cast("string")), GAP)
 
 
-def shingle_set(w: Column, k: int) -> Column:
-    """Distinct shingles as text; of fewer than k words the whole sequence."""
-    at = F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0)))
-    run = lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(k)))  # noqa: E731  by place: slice() copies the whole array each time
-    return F.when(F.size(w) > 0, F.array_distinct(F.transform(at, run))).otherwise(F.array().cast("array<string>"))
-
-
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                k: int = 5, share: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """Pairs (doc_id, item_id, n_shared, n_item, containment) where a document holds at least `share` of an item's distinct k-word shingles.
@@ -34,15 +27,16 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     every document that holds the item: no threshold to tune and no miss. Items are partitioned by size (powers of two), and a document
     is only tried against partitions whose smallest item can be held by its number of shingles. Every shingle of every document
     is looked up. The sketches are broadcast while they number at most `broadcast_rows`; beyond, the lookup is a shuffled join, which
-    adaptive execution splits where a shingle is hot. Candidates are then held against the items by their shingle texts.
+    adaptive execution splits where a shingle is hot. Candidates are then
+    held against all shingles of their items, word by word, in a second scan.
     """
     need = lambda q: F.ceil(q * F.lit(share) - F.lit(1e-9)).cast("int")
     items = bench.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("body")).distinct()
     items = items.withColumn("item", F.sha2("body", 256))
-    kinds = items.select("item", "body").distinct().select("item", words(F.col("body")).alias("w")).withColumn("item_set", shingle_set(F.col("w"), k))
-    kinds = kinds.withColumn("q", F.size("item_set")).filter("q > 0").withColumn("part", F.floor(F.log2("q")).cast("int"))
-    kinds = staged(kinds, "leak-items")
+    kinds = items.select("item", "body").distinct().select("item", words(F.col("body")).alias("w"))
     grams = [f"g{i}" for i in range(k)]
+    sizes = rolling(kinds, "w", k, ["item"]).select("item", *grams).distinct().groupBy("item").agg(F.count("*").cast("int").alias("q"))
+    kinds = staged(kinds.join(sizes, "item").withColumn("part", F.floor(F.log2("q")).cast("int")), "leak-items")
     sized = rolling(kinds, "w", k, ["item", "q", "part"]).select("item", "q", "part", F.xxhash64(*grams).alias("h"))
     sketch = sized.groupBy("item", "q", "part").agg(F.array_sort(F.collect_set("h")).alias("hs"))
     sketch = sketch.select("item", "part", need(F.pow(F.lit(2), F.col("part"))).alias("least"), F.explode(F.slice("hs", F.lit(1), F.col("q") - need(F.col("q")) + 1)).alias("h"))
@@ -57,11 +51,14 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     met = looked.join(F.broadcast(sketch) if small else sketch, "h").filter("n >= least")
     pairs = staged(met.select("sha", "item").distinct(), "leak-pairs")
 
-    # each text with a candidate is held against its items once, whatever the number of its copies
-    texts = rows.select(F.sha2("body", 256).alias("sha"), "body").join(pairs.select("sha").distinct(), "sha", "left_semi").groupBy("sha").agg(F.any_value("body").alias("body"))
-    # the words are a column of their own: inside the lambda their expression would be worked out for each shingle
-    checked = texts.select("sha", words(F.col("body")).alias("w")).withColumn("doc_set", shingle_set(F.col("w"), k)).select("sha", "doc_set").join(pairs, "sha").join(kinds.select("item", "item_set", "q"), "item")
-    checked = checked.withColumn("n_shared", F.size(F.array_intersect("doc_set", "item_set"))).filter(F.col("n_shared") >= need(F.col("q")))
-    found = staged(checked.select("sha", "item", "n_shared", F.col("q").alias("n_item")), "leaks")
+    # candidates are held against all shingles of their items, found by hash and compared word by word; no text is moved
+    whole = staged(rolling(kinds, "w", k, ["item", "q"]).select("item", "q", F.xxhash64(*grams).alias("h"), *(F.col(g).alias(f"i{g}") for g in grams)).distinct(), "leak-shingles")
+    every = rolling(rows.select(F.sha2("body", 256).alias("sha"), words(F.col("body")).alias("w")), "w", k, ["sha"]).withColumn("h", F.xxhash64(*grams))
+    same = every.join(F.broadcast(whole) if whole.count() <= broadcast_rows else whole, "h")
+    for g in grams:
+        same = same.filter(F.col(g).eqNullSafe(F.col(f"i{g}")))
+    same = same.select("sha", "item", "q", *grams).distinct().join(pairs, ["sha", "item"], "left_semi")
+    counted = same.groupBy("sha", "item", "q").agg(F.count("*").cast("int").alias("n_shared")).filter(F.col("n_shared") >= need(F.col("q")))
+    found = staged(counted.select("sha", "item", "n_shared", F.col("q").alias("n_item")), "leaks")
     out = rows.select("doc_id", F.sha2("body", 256).alias("sha")).join(found, "sha").join(items.select("item_id", "item"), "item")
     return out.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
