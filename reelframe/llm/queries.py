@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import crf, exact, leaks, licenses, packing, pll, simhash, sql, urls, warc
+from reelframe.llm import crf, exact, leaks, licenses, packing, pll, simhash, sql, suffix, urls, warc
 from reelframe.session import shared_dir
 
 
@@ -28,6 +28,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), bodies=False).drop("kept", "spans")
+
+
 def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,5 +64,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_pseudo_likelihood, op3_simhash, op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_pseudo_likelihood, op3_simhash, op4_suffix_index, op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses)}
 SQL = {"op5_leaks": sql.LEAKS, "op6_exact": sql.EXACT, "op9_warc": sql.WARC}
