@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -55,15 +54,13 @@ def fingerprints(k: int):
     return of
 
 
-def block_masks(rows: int, radius: int, held: int = 8) -> list[int]:
-    """Masks of which two fingerprints at `radius` or fewer differing bits share at least one: all sets of m - radius of m equal blocks. m is the
-    smallest for which a key has about `held` random fingerprints or fewer; any m gives the same links."""
-    for m in range(radius + 1, 2 * radius + 2):
-        if rows <= held * 2 ** (BITS * (m - radius) / m) or comb(m + 1, radius) > 100:
-            break
-    cuts = [BITS * i // m for i in range(m + 1)]
-    blocks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(m)]
-    return [sum(s) for s in combinations(blocks, m - radius)]
+def block_masks(radius: int, blocks: int) -> list[int]:
+    """Masks of which two fingerprints at `radius` or fewer differing bits share at least one: of equal blocks all sets that leave out `radius`."""
+    if blocks <= radius:
+        raise ValueError("there must be more blocks than differing bits")
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    parts = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(blocks)]
+    return [sum(s) for s in combinations(parts, blocks - radius)]
 
 
 def spanning_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -82,13 +79,13 @@ def spanning_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(a.view(np.int64)), int(b.view(np.int64))) for a, b in links]
 
 
-def close_links(prints: DataFrame, radius: int, most: int = 2048) -> DataFrame:
+def close_links(prints: DataFrame, radius: int, blocks: int = 7, most: int = 2048) -> DataFrame:
     """Links (a, b) that connect whatever fingerprints at `radius` or fewer differing bits connect. prints: distinct, in column `fp`.
 
-    Fingerprints meet by block key. A key with over `most` of them is dealt into parts of about that size, and each pair of parts meets in
+    Fingerprints meet by block key: with 7 blocks and 4 bits 35 keys of 27 bits each, at every size of the table. A key with over `most` of them is dealt into parts of about that size, and each pair of parts meets in
     a task of its own, so no task holds more than two parts; each gives a spanning tree of verified links, not all pairs.
     """
-    masks = block_masks(prints.count(), radius)
+    masks = block_masks(radius, blocks)
     signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
     keys = F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)))
     keyed = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.key")
@@ -110,7 +107,7 @@ def close_links(prints: DataFrame, radius: int, most: int = 2048) -> DataFrame:
     return met.filter(F.size("fps") > 1).select("fps").mapInPandas(verified, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4, blocks: int = 7) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable over links, itself included).
 
     Two rows are linked when their fingerprints differ in `radius` or fewer bits. Equal fingerprints are one node, so copies form no pairs. Null and
@@ -119,7 +116,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprints(k)(F.col(text_col).cast("string")).alias("fp")), "simhash-rows")
     prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
-    labels = staged(components(close_links(prints.select("fp"), radius)).select(F.col("node").alias("fp"), "root"), "simhash-labels")
+    labels = staged(components(close_links(prints.select("fp"), radius, blocks)).select(F.col("node").alias("fp"), "root"), "simhash-labels")
     linked = labels.join(prints, "fp")
     named = staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-roots")
     known = prints.join(labels.join(named, "root").select("fp", F.lit(True).alias("linked"), "component_id"), "fp", "left")
