@@ -88,7 +88,7 @@ def places(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(pieces: DataFrame, size: int = 1024, group_rows: int = 4096) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024, group_rows: int = 512) -> DataFrame:
     """pieces (as token_pieces gives them) with sequence_id and offset.
 
     Only the counts per length, at most `size` numbers, come to the driver, which plans over them; the table of places follows from
@@ -98,9 +98,8 @@ def pack(pieces: DataFrame, size: int = 1024, group_rows: int = 4096) -> DataFra
     spark = pieces.sparkSession
     pieces = staged(pieces, "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    groups = max([1, *(-(-n // group_rows) for n in counts.values())])
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
-    pieces = pieces.withColumn("part", spread)
+    groups = F.broadcast(spark.createDataFrame([(k, -(-n // group_rows)) for k, n in counts.items()], "length long, groups long"))  # a row per length
+    pieces = pieces.join(groups, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("groups"))).drop("groups")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = pieces.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
