@@ -65,8 +65,12 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 # --- anchors -------------------------------------------------------------------------------------------------------------------------
 
-def anchors(data: np.ndarray, span: int) -> np.ndarray:
-    """For each start the least hash of the K-byte strings inside the `span` bytes from there; starts run to the last one that fits."""
+def anchors(data: np.ndarray, span: int, step: int = 1 << 20) -> np.ndarray:
+    """For each start the least hash of the K-byte strings inside the `span` bytes from there; starts run to the last one that fits. `step` at a time."""
+    return np.concatenate([_anchors(data[i:i + step + span - 1], span) for i in range(0, len(data) - span + 1, step)])
+
+
+def _anchors(data: np.ndarray, span: int) -> np.ndarray:
     h = (data.astype(np.uint64) + np.uint64(1)) * ODD
     h ^= h >> np.uint64(29)
     have = 1
@@ -94,19 +98,20 @@ class Stretches:
 
 def stretches(data: np.ndarray, sizes: np.ndarray, span: int, most: int = 4096) -> Stretches:
     none = np.zeros(0, np.int64)
-    if len(data) < span:
+    if not (sizes >= span).any():
         return Stretches(none, none, none, none.astype(np.uint64))
     a = anchors(data, span)
     ends = np.cumsum(sizes)
-    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), np.maximum(sizes - span + 1, 0))
-    first = np.repeat(ends - sizes, np.maximum(sizes - span + 1, 0))
-    inner = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(sizes - span + 1, 0)) - np.maximum(sizes - span + 1, 0), np.maximum(sizes - span + 1, 0))
-    at = first + inner
-    if not len(at):
-        return Stretches(none, none, none, none.astype(np.uint64))
-    a = a[at]
-    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (doc[1:] != doc[:-1]) | (inner[1:] % most == 0))))
-    return Stretches(at[new], np.diff(np.append(new, len(at))), doc[new], a[new])
+    fit = np.flatnonzero(sizes >= span)
+    first, last = (ends - sizes)[fit], ends[fit] - span + 1  # starts of each document that has any
+    cut = np.unique(np.concatenate((np.flatnonzero(a[1:] != a[:-1]) + 1, first, last)))
+    start, stop = cut[:-1], cut[1:]
+    home = np.searchsorted(first, start, "right") - 1
+    inside = (home >= 0) & (start < last[np.maximum(home, 0)])
+    start, stop, home = start[inside], stop[inside], home[inside]
+    parts = -(-(stop - start) // most)
+    begin = np.repeat(start, parts) + most * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    return Stretches(begin, np.minimum(np.repeat(stop, parts) - begin, most), fit[np.repeat(home, parts)], a[begin])
 
 
 def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -135,20 +140,22 @@ def anchor_rows(buckets: int, span: int):
                 order = np.argsort(b, kind="stable")
                 b, key, several = b[order], low(key[order]), several[order]
                 cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-                rows = [(int(b[i]), chunk, packed(key[i:j], several[i:j])) for i, j in zip(cuts, np.append(cuts[1:], len(b)))]
-                yield pd.DataFrame(rows, columns=["bucket", "chunk", "keys"])
+                rows = [(int(b[i]), chunk, key[i:j].tobytes(), np.packbits(several[i:j]).tobytes()) for i, j in zip(cuts, np.append(cuts[1:], len(b)))]
+                yield pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "several"])
 
     return of
 
 
 def shared_anchors(frame: pd.DataFrame) -> pd.DataFrame:
     """Of each chunk's anchors in a bucket those that another document has too."""
-    parts = [unpacked(b) for b in frame["keys"]]
-    keys, counts = np.unique(np.concatenate([k for k, _ in parts]), return_counts=True)
-    own = [np.unique(k[s]) for k, s in parts]
-    common = np.union1d(keys[counts > 1], np.concatenate(own))
-    kept = [k[np.isin(k, common, assume_unique=False)] for k, _ in parts]
-    return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "keys": [packed(np.unique(k)) for k in kept]})
+    sizes = np.array([len(k) // 4 for k in frame["keys"]])
+    keys = np.frombuffer(b"".join(frame["keys"]), np.uint32)
+    several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(frame["several"], sizes)])
+    _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    common = (counts > 1) | (np.bincount(which, several) > 0)
+    kept = common[which]
+    ends = np.cumsum(sizes)
+    return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "keys": [keys[i:j][kept[i:j]].tobytes() for i, j in zip(ends - sizes, ends)]})
 
 
 # --- stretches that may repeat -------------------------------------------------------------------------------------------------------
@@ -162,7 +169,7 @@ def candidate_rows(buckets: int, span: int, index_buckets: int):
                 s = stretches(np.frombuffer(body, np.uint8), sizes, span)
                 known = [np.array([], np.uint64)]
                 for r in shared if shared is not None else ():
-                    known.append((np.uint64(r["bucket"]) << np.uint64(32)) | unpacked(r["keys"])[0].astype(np.uint64))
+                    known.append((np.uint64(r["bucket"]) << np.uint64(32)) | np.frombuffer(r["keys"], np.uint32).astype(np.uint64))
                 known = np.sort(np.concatenate(known))
                 mine = (bucket_of(s.anchor, buckets).astype(np.uint64) << np.uint64(32)) | low(s.anchor).astype(np.uint64)
                 at = np.searchsorted(known, mine)
@@ -403,10 +410,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     held = staged(chunks(docs, id_col, text_col, chunk_bytes), "suffix-chunks")
     buckets = max(64, held.count())
-    keys = held.mapInPandas(anchor_rows(buckets, span), "bucket long, chunk long, keys binary")
-    common = keys.groupBy("bucket").applyInPandas(shared_anchors, "chunk long, bucket long, keys binary")
+    index_buckets = 3 * buckets
+    keys = held.mapInPandas(anchor_rows(buckets, span), "bucket long, chunk long, keys binary, several binary")
+    # numbered partitions: rows are small and costly, so partitions are not to be joined for their size
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = keys.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(shared_anchors, "chunk long, bucket long, keys binary")
     shared = common.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys")).alias("shared"))
-    parts = held.join(shared.hint("shuffle_hash"), "chunk").mapInPandas(candidate_rows(buckets, span, buckets), "kind int, chunk long, bucket long, part binary, size long")
+    parts = held.join(shared.hint("shuffle_hash"), "chunk").mapInPandas(candidate_rows(buckets, span, index_buckets), "kind int, chunk long, bucket long, part binary, size long")
     parts = staged(parts, "suffix-parts")
     contents = parts.filter("kind = 1")
     sizes = contents.groupBy("bucket").agg(F.sum("size").alias("total"))
@@ -414,9 +424,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = hot.agg(F.sum("total")).first()[0]
     if more:
         pieces = int(more * span // crowded) + 1
-        split = contents.join(hot.select("bucket"), "bucket", "left_semi").select("chunk", "part").mapInPandas(single_rows(span, buckets, pieces), "kind int, chunk long, bucket long, part binary, size long")
+        split = contents.join(hot.select("bucket"), "bucket", "left_semi").select("chunk", "part").mapInPandas(single_rows(span, index_buckets, pieces), "kind int, chunk long, bucket long, part binary, size long")
         contents = contents.join(hot, "bucket", "left_anti").select("kind", "chunk", "bucket", "part", "size").unionByName(split)
-    answers = contents.select("bucket", "chunk", "part").groupBy("bucket").applyInPandas(index_rows(span), "chunk long, reply binary")
+    answers = contents.select("bucket", "chunk", "part").repartition(tasks, "bucket").groupBy("bucket").applyInPandas(index_rows(span), "chunk long, reply binary")
     replies = answers.groupBy("chunk").agg(F.collect_list("reply").alias("replies"))
     found = parts.filter("kind = 0").select("chunk", F.col("part").alias("occurrences")).join(replies, "chunk", "left")
     found = staged(found, "suffix-found")
