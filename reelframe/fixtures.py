@@ -80,8 +80,11 @@ VIEWS: dict[str, str] = {
     "coo": "SELECT l_partkey % 200 AS i, l_suppkey % 50 AS j, l_quantity AS a FROM lineitem",
     "logs": """
         SELECT event_id AS line_no,
-               concat('[rank ', CAST(user_id % 8 AS STRING), '] ', CAST(K AS STRING), '/99 ', event_type,
-                      ' wall=', CAST(CAST(value AS DECIMAL(10,2)) AS STRING), 's') AS line
+               CASE WHEN event_id % 97 = 0 THEN concat('[rank ', CAST(user_id % 8 AS STRING), '] FAILED ', event_type, ': no frame: ', CAST(event_id AS STRING))
+                    ELSE concat('[rank ', CAST(user_id % 8 AS STRING), '] ', CAST(K AS STRING), '/99 ', event_type,
+                      ' wall=', CAST(CAST(value AS DECIMAL(10,2)) AS STRING), 's cpu=', CAST(user_id % 50 AS STRING), '.5s ',
+                      CASE event_id % 3 WHEN 0 THEN 'cache=0.25s ' WHEN 1 THEN concat('gpu_busy=', CAST(event_id % 7 AS STRING), '.25s ') ELSE 'gpu_busy=Nones ' END,
+                      'gpu_util=', CASE event_id % 5 WHEN 0 THEN 'None' ELSE CAST(event_id % 101 AS STRING) END, '% cores_busy=', CAST(user_id % 9 AS STRING), '.0') END AS line
         FROM events""",
     "runs": """
         SELECT event_type AS arm, CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END AS g,

@@ -187,14 +187,15 @@ DIRECTIONS = {"left": (0, -1), "right": (0, 1), "up": (1, -1), "down": (1, 1), "
 
 
 def look_at(pos: list[Column], target: list[Column]) -> list[Column]:
-    """Right, up and forward rows and the negated position, twelve entries row by row."""
-    f = [t - p for t, p in zip(target, pos)]
-    f = se3.times(1.0 / se3.length(f), f)
-    up = [F.lit(0.0), F.lit(1.0), F.lit(0.0)]
-    r = se3.cross(up, f)
-    r = se3.times(1.0 / se3.length(r), r)
-    u = se3.cross(f, r)
-    return [*r, -pos[0], *u, -pos[1], *f, -pos[2]]
+    """Right, up and forward rows and the negated position, twelve entries row by row; y is up.
+
+    With the unit forward (fx, fy, fz) and r = |(fx, fz)|: right = (fz, 0, -fx) / r, up = (-fx fy / r, r, -fy fz / r).
+    """
+    ahead = [t - p for t, p in zip(target, pos)]
+    fx, fy, fz = se3.times(1.0 / se3.length(ahead), ahead)
+    r = F.hypot(fx, fz)
+    rows = [[fz / r, F.lit(0.0), 0.0 - fx / r], [0.0 - fx * fy / r, r, 0.0 - fy * fz / r], [fx, fy, fz]]  # no negative zeros
+    return [c for row, p in zip(rows, pos) for c in (*row, -p)]
 
 
 def path_offset(kind: Column, step: Column, n: int, distance: Column, depth: Column) -> list[Column]:

@@ -68,22 +68,42 @@ def morph(kind: str, size: int = 5, pad: str = "edge"):
     return run
 
 
-def grid_nms(radius: int):
-    """Keep local maxima of a score map; two rounds recover maxima hidden by suppressed ones."""
+OPEN, PEAK, COVERED = 0, 1, 2
+
+
+def _near(flags, r: int):
+    """Cells with a set cell at most r rows and columns away, by counts from a summed-area table."""
+    import numpy as np
+
+    *lead, h, w = flags.shape
+    area = np.zeros((*lead, h + 1, w + 1), np.int64)
+    area[..., 1:, 1:] = flags.cumsum(-2).cumsum(-1)
+    y0, y1 = np.clip(np.arange(h) - r, 0, h), np.clip(np.arange(h) + r + 1, 0, h)
+    x0, x1 = np.clip(np.arange(w) - r, 0, w), np.clip(np.arange(w) + r + 1, 0, w)
+    rows = area[..., y1, :] - area[..., y0, :]
+    return rows[..., x1] - rows[..., x0] > 0
+
+
+def grid_nms(radius: int, passes: int = 3):
+    """Scores of the peaks of a map, zero elsewhere. A peak is an open cell that no cell of its window tops, cells already taken or covered
+    counting as zero; a pass takes all peaks and covers their windows, and the passes after the first find peaks that covered ones hid."""
 
     @F.pandas_udf(_ARR)
     def run(px, h, w):
         import numpy as np
 
-        def fn(x):
-            top = x == _max_pool(x, radius)
-            for _ in range(2):
-                near = _max_pool(top.astype(float), radius) > 0
-                rest = np.where(near, 0.0, x)
-                top = top | ((rest == _max_pool(rest, radius)) & ~near)
-            return np.where(top, x, 0.0)
-
-        return _by_shape(px, h, w, fn)
+        def peaks(x):
+            state = np.full(x.shape, OPEN, np.int8)
+            for _ in range(passes):
+                live = np.where(state == OPEN, x, 0.0)
+                found = (state == OPEN) & (live >= _max_pool(live, radius))
+                if not found.any():
+                    break
+                state[found] = PEAK
+                state[_near(found, radius) & (state == OPEN)] = COVERED
+            return x * (state == PEAK)
+
+        return _by_shape(px, h, w, peaks)
 
     return run
 

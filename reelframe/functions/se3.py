@@ -112,12 +112,11 @@ _EPS = 1e-6
 
 
 def so3_log(q: Vec) -> Vec:
-    n2 = dot(q[:3], q[:3])
-    n, w = F.sqrt(n2), q[3]
-    k = F.when(n < _EPS, 2.0 / w - (2.0 / 3.0) * n2 / (w * w * w)) \
-        .when(F.abs(w) < _EPS, F.lit(3.141592653589793) / n * F.when(w < 0, -1.0).otherwise(1.0)) \
-        .otherwise(2.0 * F.atan(n / w) / n)
-    return times(k, q[:3])
+    """Rotation vector: the angle is 2 atan2(n, |w|) with the sign of w; next to n = 0 its quotient by n is 2 / w (1 - (n / w)^2 / 3)."""
+    w, n = q[3], length(q[:3])
+    angle = 2.0 * F.atan2(n, F.abs(w)) * F.when(w < 0, -1.0).otherwise(1.0)
+    t = n / w
+    return times(F.when(n < _EPS, 2.0 / w * (1.0 - t * t / 3.0)).otherwise(angle / n), q[:3])
 
 
 def se3_log(p: list[Column]) -> list[Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelframe.functions.values import present
 from reelframe.operators.ordered import exact_percentile, exact_percentiles
 from reelframe.operators.points import knn_join
 from reelframe.session import cut
@@ -58,8 +59,8 @@ def _trim(df: DataFrame, keys: list[str], cols: dict[str, Column], lo: float, hi
 def align_inv_depth(df: DataFrame, keys: list[str], src_inv: str, target: str, valid: Column, lo: float = 0.1,
                     hi: float = 0.9) -> DataFrame:
     """Fit scale and bias of an inverse depth to 1 / target on the trimmed pixels, apply, invert."""
-    d = df.withColumn("__t", F.when(F.col(target) > 0, 1.0 / F.col(target)))
-    d = _trim(d, keys, {src_inv: F.col(src_inv) > 0, "__t": valid & F.col("__t").isNotNull()}, lo, hi)
+    d = df.withColumn("__t", F.when(present(F.col(target)), 1.0 / F.col(target)))
+    d = _trim(d, keys, {src_inv: present(F.col(src_inv)), "__t": valid & F.col("__t").isNotNull()}, lo, hi)
     fit = scale_shift(d.filter("__in"), keys, F.col(src_inv), F.col("__t"), F.lit(1.0))
     out = d.join(fit, keys, "left")
     aligned = F.greatest(1.0 / (F.col(src_inv) * F.col("scale") + F.col("shift")), F.lit(1e-4))
@@ -69,7 +70,7 @@ def align_inv_depth(df: DataFrame, keys: list[str], src_inv: str, target: str, v
 def align_depth_median(df: DataFrame, keys: list[str], src: str, target: str, valid: Column, lo: float = 0.1,
                        hi: float = 0.9) -> DataFrame:
     """Scale by the median of target / source on the trimmed pixels."""
-    d = _trim(df, keys, {src: F.col(src) > 0, target: valid & (F.col(target) > 0)}, lo, hi)
+    d = _trim(df, keys, {src: present(F.col(src)), target: valid & present(F.col(target))}, lo, hi)
     m = exact_percentile(d.filter("__in").withColumn("__r", F.col(target) / F.col(src)), keys, "__r", {"scale": 0.5})
     return d.join(m, keys, "left").select(
         *df.columns, "scale", F.greatest(F.col(src) * F.col("scale"), F.lit(1e-4)).alias("aligned"))
@@ -78,7 +79,7 @@ def align_depth_median(df: DataFrame, keys: list[str], src: str, target: str, va
 def align_depth_affine(df: DataFrame, keys: list[str], src: str, target: str, valid: Column, lo: float = 0.1,
                        hi: float = 0.9) -> DataFrame:
     """Scale and bias on the trimmed pixels."""
-    d = _trim(df, keys, {src: F.col(src) > 0, target: valid & (F.col(target) > 0)}, lo, hi)
+    d = _trim(df, keys, {src: present(F.col(src)), target: valid & present(F.col(target))}, lo, hi)
     fit = scale_shift(d.filter("__in"), keys, F.col(src), F.col(target), F.lit(1.0))
     return d.join(fit, keys, "left").select(
         *df.columns, "scale", "shift",
@@ -125,7 +126,7 @@ def coverage_score(df: DataFrame, frame: str, h: int, w: int, patches: int = 10,
     """Share of patches with any depth per frame, and the minimum over every 10th frame with the branch it picks."""
     ph, pw = h // patches, w // patches
     cu, cv = F.floor(F.col("u") / pw), F.floor(F.col("v") / ph)
-    hit = (F.col("depth") > 0) & (cu < patches) & (cv < patches)
+    hit = present(F.col("depth")) & (cu < patches) & (cv < patches)
     per = df.groupBy(frame).agg((F.count_distinct(F.when(hit, cu * patches + cv)) / float(patches * patches)).alias("score"))
     low = per.filter(F.col(frame) % every == 0).agg(F.min("score").alias("min_score")).withColumn(
         "branch", F.when(F.col("min_score") < threshold, "fallback").otherwise("prompted"))
@@ -168,7 +169,7 @@ def _range(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
 
 def uncertainty_map(df: DataFrame, keys: list[str], local: str, glob: str) -> DataFrame:
     """|local - global| / global where global > 0, else 0; scaled to 0..1 over the frame."""
-    d = df.withColumn("__u", F.when(F.col(glob) > 0, F.abs(F.col(local) - F.col(glob)) / F.col(glob)).otherwise(0.0))
+    d = df.withColumn("__u", F.when(present(F.col(glob)), F.abs(F.col(local) - F.col(glob)) / F.col(glob)).otherwise(0.0))
     return d.join(_range(d, keys, F.col("__u")), keys).withColumn(
         "uncertainty", F.try_divide(F.col("__u") - F.col("__min"), F.col("__max") - F.col("__min"))) \
         .drop("__u", "__min", "__max")
@@ -245,5 +246,5 @@ def reliability_rows(df: DataFrame, keys: list[str], window: int = 5, ratio: flo
         F.max(d).alias("mx"), F.min(d).alias("mn"), (F.sum(d) / float(window * window)).alias("mean"),
         F.max(F.when((F.col("du") == 0) & (F.col("dv") == 0), d)).alias("depth"))
     return g.filter(F.col("depth").isNotNull()).select(
-        *keys, "u", "v", "depth", (((F.col("mx") - F.col("mn")) / (F.col("mean") + 1e-6) < ratio) & (F.col("depth") > 0))
+        *keys, "u", "v", "depth", (((F.col("mx") - F.col("mn")) / (F.col("mean") + 1e-6) < ratio) & present(F.col("depth")))
         .alias("reliable"))

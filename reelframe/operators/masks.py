@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from reelframe.operators.ordered import rank0, running
 
 
-def rle_encode(mask_px: DataFrame, keys: list[str], h: int, w: int) -> DataFrame:
+def rle_encode(mask_px: DataFrame, keys: list[str], h: int, w: int, masks: DataFrame | None = None) -> DataFrame:
     """Column-major run lengths of the set pixels (keys, u, v): rows (keys, run, length). Even runs are
-    background, and run 0 has length 0 when the first pixel is set."""
+    background, and run 0 has length 0 when the first pixel is set. A mask of `masks` (keys) without pixels is one run of h * w."""
     d = mask_px.select(*keys, (F.col("u").cast("long") * h + F.col("v")).alias("pos"))
     # set pixels in a row have one difference of position and rank
     runs = rank0(d, keys, "pos", "__r").groupBy(*keys, (F.col("pos") - F.col("__r")).alias("__isle")).agg(
@@ -23,7 +23,11 @@ def rle_encode(mask_px: DataFrame, keys: list[str], h: int, w: int) -> DataFrame
     tail = F.when(F.col("lo") == F.col("__last"), F.lit(h * w) - F.col("lo") - F.col("n"))
     parts = F.array(F.struct(r.alias("run"), gap.alias("length")), F.struct((r + 1).alias("run"), F.col("n").alias("length")),
                     F.struct((r + 2).alias("run"), F.when(tail > 0, tail).alias("length")))
-    return runs.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.run", "p.length").filter("length IS NOT NULL")
+    out = runs.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.run", "p.length").filter("length IS NOT NULL")
+    if masks is None:
+        return out
+    bare = masks.select(*keys).distinct().join(mask_px.select(*keys).distinct(), keys, "left_anti")
+    return out.unionByName(bare.select(*keys, F.lit(0).cast(out.schema["run"].dataType).alias("run"), F.lit(h * w).cast("long").alias("length")))
 
 
 def rle_decode(runs: DataFrame, keys: list[str], h: int) -> DataFrame:
@@ -54,12 +58,13 @@ def stability_score(px: DataFrame, keys: list[str], logit: str, t: float, offset
     return px.groupBy(*keys).agg(F.try_divide(F.count_if(x > t + offset), F.count_if(x > t - offset)).alias("stability"))
 
 
-def mask_iou(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Intersection / max(union, 1) of two pixel sets."""
+def mask_iou(a: DataFrame, b: DataFrame, keys: list[str], masks: DataFrame | None = None) -> DataFrame:
+    """Intersection / max(union, 1) of two pixel sets; a mask of `masks` (keys) without pixels in either set has 0."""
     on = [*keys, "u", "v"]
     j = a.select(*on, F.lit(1).alias("a")).join(b.select(*on, F.lit(1).alias("b")), on, "full")
-    return j.groupBy(*keys).agg((F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull())
-                                 / F.greatest(F.count("*"), F.lit(1))).alias("iou"))
+    g = j.groupBy(*keys).agg((F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull())
+                              / F.greatest(F.count("*"), F.lit(1))).alias("iou"))
+    return g if masks is None else masks.select(*keys).distinct().join(g, keys, "left").na.fill(0.0, ["iou"])
 
 
 def confusion(df: DataFrame, pred: str, gt: str) -> DataFrame:

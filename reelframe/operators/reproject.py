@@ -75,8 +75,9 @@ def frame_distance(px: DataFrame, edges: DataFrame, poses: DataFrame, k: list[Co
     (fa, na), (fb, nb) = flow("a"), flow("b")
     g = d.groupBy("i", "j").agg((beta * fa + (1 - beta) * fb).alias("f"), (beta * na + (1 - beta) * nb).alias("n"),
                                 F.count("*").alias("total"))
-    return g.select("i", "j", F.when(F.col("n") / (F.col("total") + 1e-8) < 0.75, 1000.0)
-                    .otherwise(F.col("f") / F.col("n")).alias("dist"))
+    d = g.select("i", "j", F.when(F.col("n") / (F.col("total") + 1e-8) < 0.75, 1000.0)
+                 .otherwise(F.col("f") / F.col("n")).alias("dist"))
+    return edges.select("i", "j").distinct().join(d, ["i", "j"], "left").na.fill(1000.0, ["dist"])  # an edge whose frame has no pixel is far
 
 
 def frames_to_points(px: DataFrame, poses: DataFrame, k: list[Column], frame: str = "frame") -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelframe.functions.values import present
 from reelframe.operators.ordered import rank0, running, shifted, top_k
 
 
@@ -138,19 +139,19 @@ def drop_near_crop_edge(df: DataFrame, crop: tuple, image: tuple, atol: float =
 def in_frame(df: DataFrame, w: float, h: float, u: str = "u", v: str = "v", disp: str = "disp") -> DataFrame:
     """Projected points strictly inside the image and in front of the camera."""
     c = [F.col(x) for x in (u, v, disp)]
-    return df.filter((c[0] > 0) & (c[0] < w) & (c[1] > 0) & (c[1] < h) & (c[2] > 0))
+    return df.filter((c[0] > 0) & (c[0] < w) & (c[1] > 0) & (c[1] < h) & present(c[2]))
 
 
 def zero_out_of_frame(df: DataFrame, w: float, h: float, u: str = "u", v: str = "v", disp: str = "disp") -> DataFrame:
     """Keep every row; flag the valid ones and zero the coordinates of the others."""
-    ok = (F.col(u) > 0) & (F.col(u) < w) & (F.col(v) > 0) & (F.col(v) < h) & (F.col(disp) > 0)
+    ok = (F.col(u) > 0) & (F.col(u) < w) & (F.col(v) > 0) & (F.col(v) < h) & present(F.col(disp))
     d = df.withColumn("valid", ok)
     return d.withColumns({c: F.when(F.col("valid"), F.col(c)).otherwise(0.0) for c in (u, v)})
 
 
 def depth_range(df: DataFrame, lo: float, hi: float, eps: float = 1e-4) -> DataFrame:
     d = F.col("depth")
-    return df.filter((d > eps) & (d > lo) & (d < hi))
+    return df.filter(present(d, eps) & (d > lo) & (d < hi))
 
 
 def sample_n(df: DataFrame, keys: list[str], n: int, seed: int, at: list[str]) -> DataFrame:
@@ -177,23 +178,22 @@ def grid_select(df: DataFrame, h: int, w: int, lh: int, lw: int, eps: float = 1e
     def on(c, size, low):
         k = F.ceil(F.col(c) * low / F.lit(float(size)))
         return (F.floor(k * F.lit(size / low)) == F.col(c)) & (k < low)
-    return df.filter(on("u", w, lw) & on("v", h, lh) & (F.col("depth") > eps))
+    return df.filter(on("u", w, lw) & on("v", h, lh) & present(F.col("depth"), eps))
 
 
 def scanline_cells(spark, lines: int, h: int, w: int, horizontal: int = 200) -> DataFrame:
-    """Pixels hit by lines x 200 beams over pitch +-0.5 and yaw +-pi/2.1; at most lines * 200 rows."""
-    def lin(i, lo, hi, n):
-        return F.lit(lo) + i * F.lit((hi - lo) / (n - 1) if n > 1 else 0.0)
-    r = spark.range(lines * horizontal)
-    pitch = lin(F.col("id") % lines, -0.5, 0.5, lines)
-    yaw = lin(F.floor(F.col("id") / lines), -math.pi / 2.1, math.pi / 2.1, horizontal)
-    y, x = F.sin(pitch), F.cos(pitch) * F.sin(yaw)
-    r = r.select(x.alias("x"), y.alias("y"), F.sqrt(F.lit(1.0) - x * x - y * y).alias("z"))
-    f = float(h)
-    u = F.bround((F.lit(f) * F.col("x") + F.lit(0.5 * w) * F.col("z")) / (F.col("z") + 1e-8), 0)
-    v = F.bround((F.lit(f) * F.col("y") + F.lit(0.5 * h) * F.col("z")) / (F.col("z") + 1e-8), 0)
-    return r.select(u.cast("long").alias("u"), v.cast("long").alias("v")) \
-        .filter((F.col("u") >= 0) & (F.col("u") < w) & (F.col("v") >= 0) & (F.col("v") < h)).distinct()
+    """Pixels hit by lines x 200 beams over pitch +-0.5 and yaw +-pi/2.1; at most lines * 200 rows.
+
+    A beam of that pitch and yaw meets the image plane at tan(yaw) and tan(pitch) / cos(yaw) in units of the focal length h.
+    """
+    def at(i, reach, n):
+        return F.lit(-reach) + i * F.lit(2.0 * reach / max(n - 1, 1))
+
+    beams = spark.range(lines * horizontal)
+    pitch, yaw = at(F.col("id") % lines, 0.5, lines), at(F.floor(F.col("id") / lines), math.pi / 2.1, horizontal)
+    u, v = h * F.tan(yaw) + 0.5 * w, h * F.tan(pitch) / F.cos(yaw) + 0.5 * h
+    cells = beams.select(F.bround(u, 0).cast("long").alias("u"), F.bround(v, 0).cast("long").alias("v"))
+    return cells.filter((F.col("u") >= 0) & (F.col("u") < w) & (F.col("v") >= 0) & (F.col("v") < h)).distinct()
 
 
 def scanline_sample(px: DataFrame, lines: int, h: int, w: int, eps: float = 1e-4) -> DataFrame:
@@ -202,7 +202,7 @@ def scanline_sample(px: DataFrame, lines: int, h: int, w: int, eps: float = 1e-4
     cells = scanline_cells(px.sparkSession, lines, h, w)
     if lines * 200 <= 100_000:
         cells = F.broadcast(cells)
-    return px.filter(F.col("depth") > eps).join(cells, ["u", "v"], "left_semi")
+    return px.filter(present(F.col("depth"), eps)).join(cells, ["u", "v"], "left_semi")
 
 
 def valid_from_instances(px: DataFrame, objects: DataFrame, sky: str) -> DataFrame:

@@ -69,7 +69,7 @@ def stitch_windows(px: DataFrame, n_frames: DataFrame, key: str = "clip", length
         moved = new.join(old, [key, "window"]).agg(F.max(F.greatest(
             F.abs(F.col("scale") - F.col("s")) / (1 + F.abs("s")), F.abs(F.col("shift") - F.col("b")) / (1 + F.abs("b"))))).first()[0]
         fit = new
-        if moved is None or moved <= max(tol, 1e-9):
+        if moved is None or moved <= tol:
             break
     first = d.join(fit, [key, "window"], "left")
     val = F.when(F.col("window") == 0, F.col("depth")).otherwise(

@@ -58,9 +58,15 @@ def persistence(obs: DataFrame, limit: int = 10) -> DataFrame:
         "view_id", "frame", "kp", F.least(F.col("kf") - F.col("__first"), F.lit(limit)).alias("chain"))
 
 
-def track_loss(obs: DataFrame, pairs: DataFrame, ratio: float = 0.2) -> DataFrame:
-    """Flag the frames whose number of tracks in common with the frame before fell by more than `ratio`."""
-    n = correspondences(obs, pairs).groupBy("b").agg(F.count("*").alias("n"))
-    d = shifted(n, [], "b", {"last_n": F.col("n")})
+def track_loss(obs: DataFrame, pairs: DataFrame, ratio: float = 0.2, keys: list[str] | None = None) -> DataFrame:
+    """Flag the frames whose number of tracks in common with the frame before fell by more than `ratio`, per `keys` (as the clip).
+
+    Every second frame of `pairs` is there: where no track survives, the count is 0.
+    """
+    keys = keys or []
+    frames = pairs.select(*keys, F.col("b").alias("frame")).distinct()
+    n = correspondences(obs, pairs).groupBy(*keys, F.col("b").alias("frame")).agg(F.count("*").alias("n"))
+    d = frames.join(n, [*keys, "frame"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    d = shifted(d, keys, "frame", {"last_n": F.col("n")})
     drop = (F.col("last_n") > 0) & ((F.col("last_n") - F.col("n")) / F.col("last_n") > ratio)
-    return d.select(F.col("b").alias("frame"), "n", "last_n", F.coalesce(drop, F.lit(False)).alias("lost"))
+    return d.select(*keys, "frame", "n", "last_n", F.coalesce(drop, F.lit(False)).alias("lost"))

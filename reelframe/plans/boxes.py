@@ -127,14 +127,14 @@ def _mask(v):
 
 
 @query("rle_encode", f"""
-    WITH p AS (SELECT f.frame, k AS pos, (m.u IS NOT NULL)::INT AS x FROM (SELECT DISTINCT frame FROM {_MASK}) f CROSS JOIN range(3072) r(k)
+    WITH p AS (SELECT f.frame, k AS pos, (m.u IS NOT NULL)::INT AS x FROM (SELECT DISTINCT frame FROM depth_px) f CROSS JOIN range(3072) r(k)
                LEFT JOIN (SELECT frame, u, v FROM {_MASK}) m ON m.frame = f.frame AND m.u * 48 + m.v = k),
     c AS (SELECT *, CASE WHEN x <> coalesce(lag(x) OVER (PARTITION BY frame ORDER BY pos), 0) THEN 1 ELSE 0 END AS ch FROM p),
     r AS (SELECT *, CAST(sum(ch) OVER (PARTITION BY frame ORDER BY pos) AS BIGINT) AS run FROM c),
     g AS (SELECT frame, run, count(*) AS length FROM r GROUP BY 1, 2)
     SELECT * FROM g UNION ALL SELECT frame, 0, 0 FROM g GROUP BY frame HAVING min(run) = 1""")
 def rle_encode(v):
-    return M.rle_encode(_mask(v), ["frame"], 48, 64)
+    return M.rle_encode(_mask(v), ["frame"], 48, 64, v.depth_px.select("frame"))
 
 
 @query("rle_decode", f"SELECT frame, u, v FROM {_MASK}")
@@ -151,10 +151,11 @@ def mask_area_box(v):
     return M.mask_area_box(v.depth_px, ["frame", "label"], m)
 
 
-@query("rle_area", f"SELECT frame, count(*) AS area FROM {_MASK} GROUP BY frame")
+@query("rle_area", """
+    SELECT frame, count(*) FILTER (depth > 2.5) AS area FROM depth_px GROUP BY frame""")
 def rle_area(v):
     # run lengths of a frame as one array: at most as many runs as pixels of an image
-    r = M.rle_encode(_mask(v), ["frame"], 48, 64).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("run", "length"))).alias("r"))
+    r = M.rle_encode(_mask(v), ["frame"], 48, 64, v.depth_px.select("frame")).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("run", "length"))).alias("r"))
     return r.select("frame", M.rle_area(F.col("r.length")).alias("area"))
 
 
@@ -166,10 +167,10 @@ def stability_score(v):
 
 @query("mask_iou", """
     SELECT frame, round(count(*) FILTER (depth > 2.5 AND target > 3.5) / greatest(count(*) FILTER (depth > 2.5 OR target > 3.5), 1)::DOUBLE, 6) AS iou
-    FROM depth_px GROUP BY frame HAVING count(*) FILTER (depth > 2.5 OR target > 3.5) > 0""")
+    FROM depth_px GROUP BY frame""")
 def mask_iou(v):
     p = v.depth_px
-    return M.mask_iou(p.filter("depth > 2.5"), p.filter("target > 3.5"), ["frame"]).select("frame", R("iou"))
+    return M.mask_iou(p.filter("depth > 2.5"), p.filter("target > 3.5"), ["frame"], p).select("frame", R("iou"))
 
 
 @query("confusion_counts", """

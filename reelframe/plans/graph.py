@@ -130,7 +130,8 @@ def track_persistence(v):
 
 
 @query("track_loss_flag", f"""
-    WITH {_CORR}, n AS (SELECT b AS frame, count(*) AS n FROM c GROUP BY b), l AS (SELECT *, lag(n) OVER (ORDER BY frame) AS last_n FROM n)
+    WITH {_CORR}, n AS (SELECT f.frame, coalesce(k.n, 0) AS n FROM (SELECT DISTINCT o.frame FROM observations o JOIN observations s ON s.view_id = o.view_id AND s.frame = o.frame - 1) f
+                        LEFT JOIN (SELECT b, count(*) AS n FROM c GROUP BY b) k ON k.b = f.frame), l AS (SELECT *, lag(n) OVER (ORDER BY frame) AS last_n FROM n)
     SELECT frame, n, last_n, coalesce(last_n > 0 AND (last_n - n) / last_n::DOUBLE > 0.05, false) AS lost FROM l""")
 def track_loss_flag(v):
     return T.track_loss(v.observations, _pairs(v), 0.05)

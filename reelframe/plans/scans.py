@@ -158,14 +158,18 @@ def depth_fill_corrupt(v):
 
 @query("scan_worker_logs", """
     SELECT event_id AS line_no, CAST(user_id % 8 AS INT) AS rank,
-           CAST(json_extract_string(props,'$.k') AS INT) AS i, 99 AS n, event_type AS name,
-           CAST(CAST(value AS DECIMAL(10,2)) AS DOUBLE) AS wall_s FROM events""")
+           CASE WHEN ok THEN CAST(json_extract_string(props,'$.k') AS INT) END AS i, CASE WHEN ok THEN 99 END AS n, event_type AS name,
+           CASE WHEN ok THEN CAST(CAST(value AS DECIMAL(10,2)) AS DOUBLE) END AS wall_s, CASE WHEN ok THEN user_id % 50 + 0.5::DOUBLE END AS cpu_s,
+           CASE WHEN ok AND event_id % 3 = 1 THEN event_id % 7 + 0.25::DOUBLE END AS gpu_busy_s, CASE WHEN ok AND event_id % 3 = 0 THEN 0.25::DOUBLE END AS cache_s,
+           CASE WHEN ok AND event_id % 5 <> 0 THEN CAST(event_id % 101 AS DOUBLE) END AS gpu_util, CASE WHEN ok THEN CAST(user_id % 9 AS DOUBLE) END AS cores_busy,
+           CASE WHEN NOT ok THEN concat('no frame: ', event_id) END AS error
+    FROM (SELECT *, event_id % 97 <> 0 AS ok FROM events)""")
 def scan_worker_logs(v):
     path = FS.scratch(v.spark, "logs")
     v.logs.select(F.concat_ws("\t", F.col("line_no").cast("string"), "line").alias("value")).write.text(path)
     raw = v.spark.read.text(path).select(
         F.split("value", "\t", 2)[0].cast("long").alias("line_no"), F.split("value", "\t", 2)[1].alias("line"))
-    return S.parse_logs(raw).drop("cpu_s")
+    return S.parse_logs(raw)
 
 
 @query("scan_sweep", """

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from reelframe import schemas
 
-# fixed values: formats of a worker progress line and of a crash line
-LOG_PATTERN = r"^\[rank (\d+)\] (\d+)/(\d+) (\S+) wall=([0-9.]+)s(?: cpu=([0-9.]+)s)?"
-FAILED_PATTERN = r"^\[rank (\d+)\] FAILED (\S+): (.*)$"
-
+# fixed values: start of a worker's progress line, its further fields, and a crash line
+LOG_PATTERN = r"^\[rank (\d+)\] (\d+)/(\d+) (\S+) wall=([0-9.]+)s"
+LOG_FIELDS = {"cpu_s": r" cpu=([0-9.]+)s", "gpu_busy_s": r" gpu_busy=([0-9.]+)s", "cache_s": r" cache=([0-9.]+)s", "gpu_util": r" gpu_util=([0-9.]+)%", "cores_busy": r" cores_busy=([0-9.]+)"}
+FAILED_PATTERN = r"^\[rank (\d+)\] FAILED ([^:\s]+): (.*)$"
 
 def scan_shards(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Shard payloads under a folder (one JSON document per line or file); error when there are none."""
@@ -102,13 +102,15 @@ def read_summary(spark: SparkSession, paths: list[str], schema: str) -> DataFram
 
 
 def parse_logs(lines: DataFrame, col: str = "line") -> DataFrame:
-    """Worker progress lines as columns; other lines are dropped."""
-    g = lambda n: F.regexp_extract(col, LOG_PATTERN, n)
-    return lines.filter(F.col(col).rlike(LOG_PATTERN)).select(
+    """Worker progress lines as columns, with null for fields a line does not have, and crash lines with their error; other lines are dropped."""
+    done, failed = F.col(col).rlike(LOG_PATTERN), F.col(col).rlike(FAILED_PATTERN)
+    g = lambda n, kind: F.when(done, F.regexp_extract(col, LOG_PATTERN, n)).cast(kind)
+    x = lambda n: F.regexp_extract(col, FAILED_PATTERN, n)
+    more = [F.when(done, F.regexp_extract(col, pattern, 1)).try_cast("double").alias(name) for name, pattern in LOG_FIELDS.items()]
+    return lines.filter(done | failed).select(
         *[c for c in lines.columns if c != col],
-        g(1).cast("int").alias("rank"), g(2).cast("int").alias("i"), g(3).cast("int").alias("n"),
-        g(4).alias("name"), g(5).cast("double").alias("wall_s"),
-        F.when(g(6) != "", g(6).cast("double")).alias("cpu_s"))
+        F.coalesce(g(1, "int"), F.when(failed, x(1)).cast("int")).alias("rank"), g(2, "int").alias("i"), g(3, "int").alias("n"),
+        F.coalesce(g(4, "string"), F.when(failed, x(2))).alias("name"), g(5, "double").alias("wall_s"), *more, F.when(failed, x(3)).alias("error"))
 
 
 def parse_phrases(lines: DataFrame, col: str = "value") -> DataFrame:

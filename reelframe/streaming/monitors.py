@@ -94,7 +94,7 @@ def object_registry(objects: DataFrame) -> DataFrame:
 
     def step(batch, batch_id, path):
         spark = batch.sparkSession
-        first = batch.groupBy("obj_id").agg(F.min("frame").alias("first_frame"), F.min_by("phrase", "frame").alias("phrase"))
+        first = batch.groupBy("obj_id").agg(F.min("frame").alias("first_frame"), F.min_by("phrase", F.struct("frame", "phrase")).alias("phrase"))
         if batch_id > 0:
             known = spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch") < batch_id)
             base = known.agg(F.coalesce(F.max("reg_id") + 1, F.lit(0))).first()[0]
