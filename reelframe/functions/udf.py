@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import udtf
 
 from reelframe.functions import arrays as X
 from reelframe.operators.scoring import psnr, ssim
@@ -112,8 +111,7 @@ def mergeable_aggregate(df: DataFrame, keys: list[str], schema: str, to_accum: C
     # two levels: at most 64 rows per key reach the last merge
     lvl = part.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy(*keys, "__salt") \
         .applyInPandas(fold, f"{kddl}, {schema}")
-    merged = lvl.groupBy(*keys).applyInPandas(fold, f"{kddl}, {schema}")
-    return merged.groupBy(*keys).applyInPandas(last, f"{kddl}, {out}")
+    return lvl.groupBy(*keys).applyInPandas(lambda pdf: last(fold(pdf)), f"{kddl}, {out}")
 
 
 def score_unit(pairs: DataFrame, clip: str, a: str, b: str, h: str, w: str, metrics: list[str]) -> DataFrame:
@@ -121,25 +119,3 @@ def score_unit(pairs: DataFrame, clip: str, a: str, b: str, h: str, w: str, metr
     every = {"psnr": psnr(F.col(a), F.col(b)), "ssim": ssim(a, b, h, w, F.lit(1)), "clip": X.cosine(F.col(a), F.col(b))}
     d = pairs.select(clip, *[every[m].alias(m) for m in metrics])
     return d.groupBy(clip).agg(*[F.avg(m).alias(m) for m in metrics], F.count("*").alias("frames"))
-
-
-def crop_table(layers: int, overlap_ratio: float):
-    """Table function giving the crops of an image of size (h, w): layer, x0, y0, x1, y1."""
-    import math
-
-    @udtf(returnType="layer int, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
-    class Crops:
-        def eval(self, h: int, w: int):
-            for layer in range(layers + 1):
-                n = 2 ** layer
-                ov = int(overlap_ratio * min(h, w) * (2 / n)) if layer else 0
-                cw, ch = (math.ceil((ov * (n - 1) + s) / n) for s in (w, h))
-                for x in range(n):
-                    for y in range(n):
-                        x0, y0 = (cw - ov) * x, (ch - ov) * y
-                        yield layer, x0, y0, min(x0 + cw, w), min(y0 + ch, h)
-
-    return Crops
-
-
-Kernel = Callable[[Column], Column]

@@ -71,25 +71,11 @@ def finalize(accum: DataFrame) -> DataFrame:
 
 
 def merge_scores(clip_scores: DataFrame) -> DataFrame:
-    """Exact mean per metric from the workers' partial states, next to the biased mean of means."""
-    part = to_accum(clip_scores, ["metric", "rank"])
-    biased = part.groupBy("metric").agg(F.avg(F.try_divide(F.col("s"), F.col("n"))).alias("mean_of_means"))
-    return finalize(merge_accum(part, ["metric"])).join(biased, "metric") \
-        .withColumn("bias", F.col("mean_of_means") - F.col("mean"))
-
-
-def merge_trace(ranks: DataFrame) -> DataFrame:
-    """Which workers combine in which round of a pairwise merge."""
-    d = rank0(ranks.select("rank").distinct(), [], "rank", "pos")
-    n = d.select(F.count("*")).scalar()
-    rounds = F.when(n > 1, F.sequence(F.lit(1), F.ceil(F.log2(n.cast("double"))).cast("int"))) \
-        .otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("round", F.explode(rounds)) \
-        .withColumn("slot", F.floor(F.col("pos") / F.pow(F.lit(2.0), F.col("round"))))
-    label = F.concat(F.lit("r"), F.col("rank").cast("string"))
-    return d.groupBy("round", "slot").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", label.alias("l")))),
-                                 lambda s: s["l"]), "+").alias("members"))
+    """Exact mean per metric from the workers' partial states, next to the biased mean of means; one aggregate over the states."""
+    total, n = F.sum("s"), F.sum("n")
+    mean, biased = F.try_divide(total, n), F.avg(F.try_divide(F.col("s"), F.col("n")))
+    return to_accum(clip_scores, ["metric", "rank"]).groupBy("metric").agg(
+        n.alias("n"), mean.alias("mean"), biased.alias("mean_of_means"), (biased - mean).alias("bias"))
 
 
 def clip_scores(frames: DataFrame, keys: list[str] = ["name", "metric"], value: str = "value") -> DataFrame:
@@ -198,11 +184,10 @@ def _partial_moments(pdfs: Iterator) -> Iterator:
     for pdf in pdfs:
         for s, g in pdf.groupby("set_name"):
             x = np.stack(g["vec"].to_numpy()).astype(np.float64)
-            n, t, m = acc.get(s, (0, 0.0, 0.0))
-            acc[s] = (n + len(x), t + x.sum(0), m + x.T @ x)
-    for s, (n, t, m) in acc.items():
-        for i in range(len(t)):
-            yield pd.DataFrame({"set_name": [s], "i": [i], "n": [n], "s": [float(t[i])], "row": [m[i].tolist()]})
+            n, t, m, _ = acc.get(s, (0, 0.0, 0.0, None))
+            acc[s] = (n + len(x), t + x.sum(0), m + x.T @ x, g["mid"].iloc[0])
+    for s, (n, t, m, mid) in acc.items():
+        yield pd.DataFrame({"set_name": s, "i": range(len(t)), "n": n, "s": t, "mid": mid, "row": list(m)})
 
 
 def set_moments(df: DataFrame, set_col: str, vec_col: str) -> DataFrame:
@@ -211,16 +196,21 @@ def set_moments(df: DataFrame, set_col: str, vec_col: str) -> DataFrame:
     Every input partition is reduced to d rows of sums, so the shuffle carries d*d numbers per
     partition and never the vectors.
     """
-    part = df.select(F.col(set_col).alias("set_name"), F.col(vec_col).alias("vec")).mapInPandas(
-        _partial_moments, "set_name string, i int, n bigint, s double, row array<double>")
-    sums = part.groupBy("set_name", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    d = df.select(F.col(set_col).alias("set_name"), F.col(vec_col).alias("vec"))
+    # sums of large values cancel, so each set is first moved by its mean
+    means = d.select("set_name", F.posexplode("vec").alias("i", "x")).groupBy("set_name", "i").agg(F.avg("x").alias("m"))
+    means = means.groupBy("set_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mid"))
+    moved = F.transform("vec", lambda x, i: x - F.get("mid", i))
+    part = d.join(means, "set_name").select("set_name", moved.alias("vec"), "mid").mapInPandas(
+        _partial_moments, "set_name string, i int, n bigint, s double, mid double, row array<double>")
+    sums = part.groupBy("set_name", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("mid").alias("mid"))
     cross = part.select("set_name", "i", F.posexplode("row").alias("j", "x")).groupBy("set_name", "i", "j") \
         .agg(F.sum("x").alias("x"))
-    a = sums.select("set_name", "i", "n", F.col("s").alias("si"))
-    b = sums.select("set_name", F.col("i").alias("j"), F.col("s").alias("sj"))
+    a = sums.select("set_name", "i", "n", F.col("s").alias("si"), F.col("mid").alias("mi"))
+    b = sums.select("set_name", F.col("i").alias("j"), F.col("s").alias("sj"), F.col("mid").alias("mj"))
     n = F.col("n")
     return cross.join(a, ["set_name", "i"]).join(b, ["set_name", "j"]).select(
-        "set_name", "i", "j", "n", (F.col("si") / n).alias("mean_i"), (F.col("sj") / n).alias("mean_j"),
+        "set_name", "i", "j", "n", (F.col("mi") + F.col("si") / n).alias("mean_i"), (F.col("mj") + F.col("sj") / n).alias("mean_j"),
         F.when(n > 1, (F.col("x") - F.col("si") * F.col("sj") / n) / (n - 1)).alias("cov"))
 
 

@@ -29,15 +29,6 @@ def merge_scores(v):
     return d.select("metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "mean_of_means", "bias")])
 
 
-@query("merge_trace", """
-    WITH d AS (SELECT rank, row_number() OVER (ORDER BY rank) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT rank FROM sample_timing)),
-    e AS (SELECT *, k FROM d, range(1, 20) r(k) WHERE k <= ceil(log2(n)))
-    SELECT CAST(k AS INT) AS round, CAST(floor(pos / pow(2, k)) AS BIGINT) AS slot, string_agg('r' || rank, '+' ORDER BY pos) AS members
-    FROM e GROUP BY 1, 2""")
-def merge_trace(v):
-    return Q.merge_trace(v.sample_timing)
-
-
 @query("mean_of_means", f"""
     WITH c AS ({_CLIP}), p AS (SELECT metric, rank, avg(value) AS m, sum(value) AS s, count(*) AS n FROM c GROUP BY metric, rank)
     SELECT metric, round(avg(m), 6) AS mean_of_means, round(sum(s) / sum(n), 6) AS weighted_mean FROM p GROUP BY metric""")

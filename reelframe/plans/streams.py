@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from reelframe.functions import camera
 from reelframe.functions import udf as U
 from reelframe.operators import blocks as BL
 from reelframe.operators.ordered import rank0
@@ -212,10 +213,7 @@ def robust_kernel(v):
 
 @query("generator_tables", SQL["crop_boxes"])
 def generator_tables(v):
-    from pyspark.sql.functions import col
-
-    v.spark.udtf.register("image_crops", U.crop_table(2, 0.25))
-    v.strings.select("id", (240 + col("id") % 480).alias("h"), (320 + col("id") % 640).alias("w")).createOrReplaceTempView("image_sizes")
-    return v.spark.sql("SELECT id, c.* FROM image_sizes, LATERAL image_crops(h, w) c")
+    sizes = v.strings.select("id", (240 + F.col("id") % 480).alias("h"), (320 + F.col("id") % 640).alias("w"))
+    return camera.crop_boxes(sizes, "h", "w", 2, 0.25).drop("h", "w")
 
 

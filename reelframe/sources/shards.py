@@ -18,7 +18,7 @@ def scan_shards(spark: SparkSession, path: str, glob: str | None = None) -> Data
     if glob:
         r = r.option("pathGlobFilter", glob).option("multiLine", "true")
     df = r.json(path)
-    if not df.inputFiles():
+    if df.isEmpty():
         raise FileNotFoundError(f"no shard files under {path}")
     return df
 

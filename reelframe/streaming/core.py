@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 
 from reelframe.sources.files import scratch
 
-WATERMARK = "10 minutes"
-
-
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """Parquet table of a folder as a stream."""
+    """Parquet table of a folder as a stream, whether it is one file or a folder of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    # as a pattern the path may name either; a plain path would have to be a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name}.parque[t]")
 
 
 def folder_stream(df_like: DataFrame, folder: str, fmt: str = "parquet", files_per_batch: int = 64) -> DataFrame:
@@ -57,10 +54,9 @@ def run_batches(stream: DataFrame, step: Callable[[DataFrame, int, str], DataFra
     return (r.schema(schema) if schema is not None else r).parquet(path + "/data")
 
 
-def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Newest version of each key of an update-mode table."""
-    rest = [c for c in updates.columns if c not in (*keys, "batch")]
-    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+def bounded(df: DataFrame, time: str, delay: str | None) -> DataFrame:
+    """A watermark bounds the state and loses rows that come later than it; without one, as for a finite table, none is lost."""
+    return df.withWatermark(time, delay) if delay else df
 
 
 def event_time(ts: str = "ts") -> Column:

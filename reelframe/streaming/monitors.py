@@ -7,31 +7,39 @@ from pyspark.sql import functions as F
 
 from reelframe.operators.ordered import rank0
 from reelframe.operators.scoring import finalize, merge_accum, to_accum
-from reelframe.streaming.core import WATERMARK, event_time, latest, run_append, run_batches
+from reelframe.streaming.core import bounded, event_time, run_append, run_batches
 
 
-def load_peak(trace: DataFrame, quota: float, width: str = "1 minute", delay: str = WATERMARK) -> DataFrame:
-    """Mean and peak load per tumbling window, with an alert above the quota; same code for batch and stream."""
-    d = trace.withColumn("ts", event_time())
-    if d.isStreaming:
-        d = d.withWatermark("ts", delay)
-    return d.groupBy(F.window("ts", width).alias("w")).agg(
-        F.avg("l1").alias("mean"), F.max("l1").alias("peak"), F.count("*").alias("n")).select(
-        F.col("w.start").alias("start"), "mean", "peak", "n", (F.col("peak") > quota).alias("alert"))
+def load_parts(trace: DataFrame, width: str) -> DataFrame:
+    """Mergeable load of each tumbling window: sum, count, largest."""
+    w = F.window(event_time(), width)
+    return trace.groupBy(w.alias("w")).agg(F.sum("l1").alias("s"), F.max("l1").alias("peak"), F.count("l1").alias("k"), F.count("*").alias("n")).select(
+        F.col("w.start").alias("start"), "s", "peak", "k", "n")
 
 
-def run_load_peak(trace: DataFrame, quota: float, width: str, delay: str = WATERMARK) -> DataFrame:
-    return latest(run_batches(load_peak(trace, quota, width, delay), lambda b, i, p: b, "update"), ["start"])
+def merge_load(parts: DataFrame, quota: float) -> DataFrame:
+    g = parts.groupBy("start").agg(F.sum("s").alias("s"), F.max("peak").alias("peak"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+    return g.select("start", F.try_divide("s", "k").alias("mean"), "peak", "n", (F.col("peak") > quota).alias("alert"))
 
 
-def utilisation_matches(samples: DataFrame, ticks: DataFrame, delay: str = WATERMARK, bucket_s: int = 60) -> DataFrame:
+def load_peak(trace: DataFrame, quota: float, width: str = "1 minute") -> DataFrame:
+    """Mean and peak load per tumbling window, with an alert above the quota."""
+    return merge_load(load_parts(trace, width), quota)
+
+
+def run_load_peak(trace: DataFrame, quota: float, width: str) -> DataFrame:
+    """The same of a stream: each batch stores its windows' parts, so rows in any order and of any age count."""
+    return merge_load(run_batches(trace, lambda b, i, p: load_parts(b, width)), quota)
+
+
+def utilisation_matches(samples: DataFrame, ticks: DataFrame, delay: str | None = None, bucket_s: int = 60) -> DataFrame:
     """Ticks inside each sample's interval. Samples meet ticks by time bucket, so the range condition has an
-    equality to shuffle on; with streams both sides carry watermarks and bound the state."""
+    equality to shuffle on; streams keep both sides, or what `delay` leaves of them."""
     s = samples.withColumn("start", event_time()).withColumn(
         "end", F.timestamp_micros((F.unix_micros("start") + F.round(F.col("wall_s") * 1e6)).cast("long")))
     t = ticks.withColumn("tick", event_time()).select("tick", "util")
     if samples.isStreaming:
-        s, t = s.withWatermark("start", delay), t.withWatermark("tick", delay)
+        s, t = bounded(s, "start", delay), bounded(t, "tick", delay)
     b = lambda c: F.floor(F.unix_micros(c) / (bucket_s * 1_000_000))
     s = s.withColumn("bucket", F.explode(F.sequence(b("start"), b("end")))).select("sample_id", "start", "end", "bucket")
     t = t.withColumn("tb", b("tick"))
@@ -46,18 +54,19 @@ def utilisation(samples: DataFrame, matches: DataFrame) -> DataFrame:
         "busy_s", F.col("wall_s") * F.col("util_mean") / 100.0)
 
 
-def merged_scores(results: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Current mean per metric over the shards seen so far: repeated results are dropped within the
-    watermark of their arrival, and each batch adds only its partial sums."""
-    d = results.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["name", "metric"])
+def merged_scores(results: DataFrame, delay: str | None = None) -> DataFrame:
+    """Current mean per metric over the shards seen so far: repeated results are dropped (with `delay`, within
+    the watermark of their arrival), and each batch adds only its partial sums."""
+    keys = ["name", "metric"]
+    d = bounded(results, "arrived", delay).dropDuplicatesWithinWatermark(keys) if delay else results.dropDuplicates(keys)
     part = run_batches(d, lambda b, i, p: to_accum(b, ["metric"]), schema="metric string, s double, n bigint, batch int")
     return finalize(merge_accum(part, ["metric"]))
 
 
-def pair_frames(raw: DataFrame, gen: DataFrame, on: list[str], delay: str = WATERMARK, within: str = "1 hour") -> DataFrame:
+def pair_frames(raw: DataFrame, gen: DataFrame, on: list[str], delay: str | None = None, within: str = "1 hour") -> DataFrame:
     """Raw and generated records that arrive apart, joined on their keys within a time bound."""
-    r = raw.withWatermark("arrived", delay).select(*on, F.col("arrived").alias("ra"), F.col("value").alias("raw_value"))
-    g = gen.withWatermark("arrived", delay).select(*[F.col(c).alias("g_" + c) for c in on], F.col("arrived").alias("ga"),
+    r = bounded(raw, "arrived", delay).select(*on, F.col("arrived").alias("ra"), F.col("value").alias("raw_value"))
+    g = bounded(gen, "arrived", delay).select(*[F.col(c).alias("g_" + c) for c in on], F.col("arrived").alias("ga"),
                                                    F.col("value").alias("gen_value"))
     cond = (F.col("ga") >= F.col("ra") - F.expr(f"INTERVAL {within}")) & (F.col("ga") <= F.col("ra") + F.expr(f"INTERVAL {within}"))
     for c in on:

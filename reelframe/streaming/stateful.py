@@ -1,7 +1,7 @@
 """Keyed running state over ordered streams: keyframe selection, chunk numbers, averages, last-20 statistics.
 
-Each operator keeps one small record per key. A micro-batch hands a key its new rows; they are sorted by
-the order column, so batches must arrive in order, as frames do. The size of a micro-batch (files per
+Each operator keeps one small record per key, with the largest order value seen. A micro-batch hands a key its new rows; they are sorted by
+the order column, and a batch that starts before what came earlier is an error. The size of a micro-batch (files per
 trigger) bounds the rows a key can bring at once.
 """
 
@@ -21,16 +21,19 @@ def _stateful(df: DataFrame, key: str, order: str, cols: list[str], out: str, ou
         import pandas as pd
 
         pdf = pd.concat(list(pdfs)).sort_values(order)
-        s = st.get if st.exists else init
+        *s, top = st.get if st.exists else (*init, None)
+        s, low = tuple(s), pdf[order].iloc[0].item()
+        if top is not None and low < top:
+            raise ValueError(f"rows of {k[0]} came out of order: {low} after {top}")
         outs = []
         for row in zip(*[pdf[c] for c in cols]):
             s, o = step(s, row)
             outs.append(o)
-        st.update(s)
+        st.update((*s, pdf[order].iloc[-1].item()))
         yield pdf[[key, order]].assign(**{out: outs})
 
     return df.select(key, order, *[c for c in cols if c not in (key, order)]).groupBy(key).applyInPandasWithState(
-        fn, f"{key} {kt}, {order} {ot}, {out} {out_type}", state, "append", GroupStateTimeout.NoTimeout)
+        fn, f"{key} {kt}, {order} {ot}, {out} {out_type}", f"{state}, top {ot}", "append", GroupStateTimeout.NoTimeout)
 
 
 def _moved(last, x, thresh):

@@ -12,9 +12,11 @@ from reelframe.functions import se3
 from reelframe.operators import boxes as B
 from reelframe.operators import depth as D
 from reelframe.operators import graph as G
+from reelframe.operators import masks
 from reelframe.operators import points as P
 from reelframe.operators import reproject as RP
 from reelframe.operators import scoring as Q
+from reelframe.operators import tracks
 from reelframe.operators import trajectory as TR
 from reelframe.operators.stitch import stitch_windows
 
@@ -323,3 +325,53 @@ def test_grid_nms_and_resize(spark):
     assert np.allclose(same, x.ravel())
     half = np.array(d.select(FR.resize(18, 22, "nearest")("px", "h", "w")).first()[0]).reshape(18, 22)
     assert np.array_equal(half[::2, ::2], x)
+
+
+def test_total_track_loss_is_flagged(spark):
+    obs = [(0, f, k, 1.0, 1.0) for f in (0, 1) for k in range(10)] + [(0, f, k + 100, 1.0, 1.0) for f in (2, 3) for k in range(10)]
+    obs = spark.createDataFrame(obs, "view_id int, frame int, kp int, u double, v double")
+    got = {r.frame: (r.n, r.lost) for r in tracks.track_loss(obs, tracks.consecutive_frames(obs)).collect()}
+    assert got == {1: (10, False), 2: (0, True), 3: (10, False)}
+
+
+def test_nan_depths_are_no_depths(spark):
+    px = spark.createDataFrame([(f, u, v, float("nan") if f else 2.0) for f in (0, 10) for u in range(20) for v in range(20)], "frame int, u int, v int, depth double")
+    per, low = D.coverage_score(px, "frame", 20, 20)
+    assert {r.frame: r.score for r in per.collect()} == {0: 1.0, 10: 0.0}
+    assert low.first().branch == "fallback"
+
+
+def test_masks_without_pixels_have_rows(spark):
+    px = spark.createDataFrame([(1, 0, 1)], "m int, u int, v int")
+    every = spark.createDataFrame([(1,), (2,)], "m int")
+    runs = sorted((r.m, r.run, r.length) for r in masks.rle_encode(px, ["m"], 2, 3, every).collect())
+    assert runs == [(1, 0, 1), (1, 1, 1), (1, 2, 4), (2, 0, 6)]
+    assert {r.m: r.iou for r in masks.mask_iou(px, px, ["m"], every).collect()} == {1: 1.0, 2: 0.0}
+
+
+def test_covariance_of_far_values(spark):
+    rng = np.random.default_rng(1)
+    x = 1e8 + rng.normal(size=(200, 3))
+    df = spark.createDataFrame([("a", r.tolist()) for r in x], "s string, x array<double>").repartition(5)
+    got = np.zeros((3, 3))
+    for r in Q.set_moments(df, "s", "x").collect():
+        got[r.i, r.j] = r.cov
+    np.testing.assert_allclose(got, np.cov(x.T), rtol=1e-6)
+
+
+def test_peaks_like_a_plain_walk(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (9, 11)).astype(float)
+    state = np.zeros(x.shape, int)
+    for _ in range(3):
+        live = np.where(state == 0, x, 0)
+        window = lambda y, i, j: y[max(0, i - 2):i + 3, max(0, j - 2):j + 3]
+        found = [(i, j) for i in range(9) for j in range(11) if state[i, j] == 0 and live[i, j] == window(live, i, j).max()]
+        for i, j in found:
+            state[i, j] = 1
+        for i, j in found:
+            w = window(state, i, j)
+            w[w == 0] = 2
+    df = spark.createDataFrame([(x.ravel().tolist(), 9, 11)], "px array<double>, h int, w int")
+    got = np.array(df.select(FR.grid_nms(2)("px", "h", "w")).first()[0]).reshape(9, 11)
+    np.testing.assert_array_equal(got, np.where(state == 1, x, 0))

@@ -102,3 +102,28 @@ def test_registry_numbers_new_objects_once(spark, tmp_path):
                 os.utime(os.path.join(path, f), (1_500_000_000 + i * 100,) * 2)
     got = MO.object_registry(C.folder_stream(d, path, files_per_batch=1))
     assert rows(got, "obj_id", "reg_id") == {(5, 0), (2, 1), (9, 2), (1, 3)}
+
+
+def test_tables_in_one_file_or_many_lose_no_rows(spark, tmp_path):
+    base = spark.range(90).select(F.col("id"), (F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id") * 600)).alias("ts"), (F.col("id") % 7).cast("double").alias("l1"))
+    base.repartition(4).write.parquet(str(tmp_path / "many.parquet"))
+    base.coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "single.parquet")
+    want = sorted(map(tuple, MO.load_peak(base, 5.0, "1 hour").collect()))
+    for name in ("many", "single"):
+        got = MO.run_load_peak(C.table_stream(spark, str(tmp_path), name, files_per_batch=1), 5.0, "1 hour")
+        assert sorted(map(tuple, got.collect())) == want
+    assert sum(r[3] for r in want) == 90
+
+
+def test_keyed_state_refuses_files_out_of_order(spark, tmp_path):
+    frames = spark.createDataFrame([("a", i, float(i)) for i in range(20)], "clip string, frame long, x double")
+    for k, part in enumerate(("frame >= 10", "frame < 10")):
+        frames.filter(part).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        import os
+        import time
+        for f in (tmp_path / f"in/{k}").glob("*.parquet"):
+            os.utime(f, (time.time() - 100 + k, time.time() - 100 + k))
+    stream = C.folder_stream(frames, str(tmp_path / "in"), files_per_batch=1)
+    with pytest.raises(Exception, match="out of order"):
+        C.run_append(ST.keyframes(stream, "clip", "frame", "x")).count()
