@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,11 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.words import split_words
 from reelframe.session import staged
 
-GAP = r"[ \t-\r]+"
-BLANKS = " \t\n\x0b\x0c\r"
 SIDE = 2
 CLASSES, MEMBERS, HIDDEN = 32, 64, 32
 WORDS = CLASSES * MEMBERS
@@ -26,9 +24,9 @@ CHUNK = 8192
 
 @dataclass
 class Net:
-    """ctx: a vector per place and word (one more for outside the text); a word is a member of a class, so its probability is P(class) P(member | class)."""
+    """ctx: a vector per word (one more for outside the text) and place; a word is a member of a class, so its probability is P(class) P(member | class)."""
 
-    ctx: np.ndarray  # [2 SIDE, WORDS + 1, HIDDEN]
+    ctx: np.ndarray  # [WORDS + 1, 2 SIDE, HIDDEN]
     bias: np.ndarray  # [HIDDEN]
     to_class: np.ndarray  # [HIDDEN, CLASSES]
     class_bias: np.ndarray
@@ -54,80 +52,82 @@ def new_net(counts: np.ndarray, seed: int = 7) -> Net:
     rng = np.random.default_rng(seed)
     small = lambda *shape: (0.1 * rng.standard_normal(shape)).astype(np.float32)
     table = (counts + 1.0).reshape(MEMBERS, CLASSES).T
-    return Net(small(2 * SIDE, WORDS + 1, HIDDEN), np.zeros(HIDDEN, np.float32), small(HIDDEN, CLASSES), np.log(table.sum(1) / table.sum()).astype(np.float32),
+    return Net(small(WORDS + 1, 2 * SIDE, HIDDEN), np.zeros(HIDDEN, np.float32), small(HIDDEN, CLASSES), np.log(table.sum(1) / table.sum()).astype(np.float32),
                small(CLASSES, HIDDEN, MEMBERS), np.log(table / table.sum(1, keepdims=True)).astype(np.float32))
 
 
-def word_number(vocabulary: dict[str, int], word: str) -> int:
-    at = vocabulary.get(word)
-    return WORDS - BUCKETS + zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS if at is None else at
+def words_of(text: str) -> list[bytes]:
+    """Lower-cased words in UTF-8; they end at ASCII white space."""
+    return text.lower().encode("utf-8", "replace").split()
 
 
 class Numbers(dict):
-    """word -> its number; remembers up to `room` words besides the vocabulary."""
+    """word -> its number; remembers up to `room` words besides the vocabulary. Words outside of it share numbers by checksum."""
 
-    def __init__(self, vocabulary: dict[str, int], room: int = 200_000):
+    def __init__(self, vocabulary: dict[bytes, int], room: int = 500_000):
         super().__init__(vocabulary)
         self.vocabulary, self.room = vocabulary, room
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.room:
             self.clear()
             self.update(self.vocabulary)
-        self[word] = at = word_number(self.vocabulary, word)
+        self[word] = at = WORDS - BUCKETS + zlib.crc32(word) % BUCKETS
         return at
 
 
 def padded(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of the texts with SIDE marks around each; the places of the words; each word's text."""
-    parts, sizes = [np.full(SIDE, WORDS, np.int32)], []
+    mark = np.full(SIDE, WORDS, np.int32)
+    parts, sizes = [mark], []
     for t in texts:
-        words = t.lower().translate(_BLANKS).split(" ") if t else []
-        ids = np.fromiter((numbers[w] for w in words if w), np.int32)
-        parts += [ids, np.full(SIDE, WORDS, np.int32)]
-        sizes.append(len(ids))
-    sizes = np.array(sizes, np.int64)
+        words = words_of(t or "")
+        parts += [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)), mark]
+        sizes.append(len(words))
     owner = np.repeat(np.arange(len(texts)), sizes)
     return np.concatenate(parts), np.arange(len(owner)) + SIDE * (owner + 1), owner
 
 
-_BLANKS = str.maketrans({c: " " for c in BLANKS})
 OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Of each row, in place. Values beyond 60, which would mean a certainty of one in 1e26, are taken as 60."""
+    np.clip(x, -60, 60, out=x)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
 
 
-def forward(net: Net, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    around = [ids[at + o] for o in OFFSETS]
-    h = np.tanh(sum((net.ctx[p][i] for p, i in enumerate(around)), net.bias))
-    return around, h, log_softmax(h @ net.to_class + net.class_bias)
+def forward(net: Net, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden values and class probabilities."""
+    h = net.ctx[ids[at + OFFSETS[0]], 0] + net.bias
+    for p, o in enumerate(OFFSETS[1:], 1):
+        h += net.ctx[ids[at + o], p]
+    np.tanh(h, out=h)
+    return h, softmax(h @ net.to_class + net.class_bias)
 
 
-def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the targets of each class."""
-    kind = target % CLASSES
+def in_classes(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """The places in the order of their words' classes, how they were ordered, and each class with its part of them."""
+    kind = ids[at] % CLASSES
     order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c]:edges[c + 1]]
+    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+    return at[order], order, [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
 
 
 def word_scores(net: Net, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log P(word | both sides) at the places `at`."""
     out = np.empty(len(at), np.float32)
     for i in range(0, len(at), CHUNK):
-        part = at[i:i + CHUNK]
+        part, order, classes = in_classes(ids, at[i:i + CHUNK])
+        h, d = forward(net, ids, part)
         target = ids[part]
-        _, h, classes = forward(net, ids, part)
-        got = classes[np.arange(len(part)), target % CLASSES]
-        for c, rows in by_class(target):
-            members = log_softmax(h[rows] @ net.to_member[c] + net.member_bias[c])
-            got[rows] += members[np.arange(len(rows)), target[rows] // CLASSES]
-        out[i:i + CHUNK] = got
+        got = d[np.arange(len(part)), target % CLASSES]
+        for c, rows in classes:
+            members = softmax(h[rows] @ net.to_member[c] + net.member_bias[c])
+            got[rows] *= members[np.arange(len(members)), target[rows] // CLASSES]
+        out[i + order] = np.log(np.maximum(got, 1e-30))
     return out
 
 
@@ -145,25 +145,33 @@ class Trainer:
 
     def step(self, ids: np.ndarray, at: np.ndarray) -> None:
         net, n = self.net, len(at)
+        low, high = at[0] - SIDE, at[-1] + SIDE
+        at, _, classes = in_classes(ids, at)
         target = ids[at]
-        around, h, classes = forward(net, ids, at)
-        d = np.exp(classes)
+        h, d = forward(net, ids, at)
         d[np.arange(n), target % CLASSES] -= 1
         d /= n
         dh = d @ net.to_class.T
         moves = [(2, slice(None), h.T @ d), (3, slice(None), d.sum(0))]
-        for c, rows in by_class(target):
-            e = np.exp(log_softmax(h[rows] @ net.to_member[c] + net.member_bias[c]))
-            e[np.arange(len(rows)), target[rows] // CLASSES] -= 1
+        for c, rows in classes:
+            own = h[rows]
+            e = softmax(own @ net.to_member[c] + net.member_bias[c])
+            e[np.arange(len(own)), target[rows] // CLASSES] -= 1
             e /= n
             dh[rows] += e @ net.to_member[c].T
-            moves += [(4, c, h[rows].T @ e), (5, c, e.sum(0))]
+            moves += [(4, c, own.T @ e), (5, c, e.sum(0))]
         dh *= 1 - h * h
         moves.append((1, slice(None), dh.sum(0)))
-        for p, words in enumerate(around):
-            order = np.argsort(words, kind="stable")
-            firsts = np.flatnonzero(np.concatenate(([True], np.diff(words[order]) > 0)))
-            moves.append((0, (p, words[order][firsts]), np.add.reduceat(dh[order], firsts, axis=0)))
+        # every number between the first and last place, in one order: it moves by what it did to the words on its sides
+        span = ids[low:high + 1]
+        source = np.full(len(span) + 2 * SIDE, n)  # row of dh of each place, the zero row for places without one
+        source[at - low + SIDE] = np.arange(n)
+        rows = np.concatenate((dh, np.zeros((1, dh.shape[1]), dh.dtype)))
+        order = np.argsort(span, kind="stable")
+        sorted_ = span[order]
+        firsts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        pulls = [np.add.reduceat(rows[source[order + SIDE - o]], firsts, axis=0) for o in OFFSETS]
+        moves.append((0, sorted_[firsts], np.stack(pulls, axis=1)))
         for k, place, grad in moves:
             self.move(k, place, grad)
         self.seen += n
@@ -173,14 +181,30 @@ class Trainer:
             self.step(ids, at[i:i + CHUNK])
 
 
-def corpus_words(docs: DataFrame, text_col: str) -> tuple[dict[str, int], np.ndarray]:
+def count_words(room: int = 400_000):
+    """Counts of the words of a task's rows, given out whenever `room` different ones are held."""
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter[bytes] = Counter()
+        for frame in frames:
+            for text in frame["text"]:
+                held.update(words_of(text))
+                if len(held) >= room:
+                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                    held.clear()
+        if held:
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+
+    return of
+
+
+def corpus_words(docs: DataFrame, text_col: str) -> tuple[dict[bytes, int], np.ndarray]:
     """Numbers of the most frequent words and the counts behind each number, from every word of every text."""
-    words = docs.select(F.explode(split_words(F.lower(F.col(text_col).cast("string")), GAP)).alias("word"))
-    counts = staged(words.groupBy("word").agg(F.count("*").alias("n")), "pll-words")
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    counts = staged(texts.mapInPandas(count_words(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "pll-words")
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS - BUCKETS).collect()
-    vocabulary = {r["word"]: i for i, r in enumerate(top)}
-    rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string")), "word", "left_anti")
-    shares = rest.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect()
+    vocabulary = {bytes(r["word"]): i for i, r in enumerate(top)}
+    rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w),) for w in vocabulary], "word binary")), "word", "left_anti")
+    shares = rest.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect()
     table = np.zeros(WORDS)
     table[:len(top)] = [r["n"] for r in top]
     for r in shares:
@@ -188,7 +212,7 @@ def corpus_words(docs: DataFrame, text_col: str) -> tuple[dict[str, int], np.nda
     return vocabulary, table
 
 
-def train(docs: DataFrame, text_col: str = "text", fan_in: int = 32, rounds: int = 1) -> tuple[dict[str, int], Net]:
+def train(docs: DataFrame, text_col: str = "text", fan_in: int = 32, rounds: int = 1) -> tuple[dict[bytes, int], Net]:
     """Every task trains on all words of its rows from the common state; the states are averaged by words seen, `fan_in` at a time, until one is left.
 
     Only the vocabulary, the state (about 1.3 MB) and fixed numbers of counts pass through the driver.
@@ -230,11 +254,11 @@ def train(docs: DataFrame, text_col: str = "text", fan_in: int = 32, rounds: int
     return vocabulary, net
 
 
-def score(docs: DataFrame, vocabulary: dict[str, int], net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: dict[bytes, int], net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, pll (summed log-probability of every word given both sides), score (pll per word).
 
     Words are the lower-cased text's runs of other characters than ASCII white space. Null and empty texts have no words: pll 0, score null. Equal texts
-    score the same; null ids stay null; other columns are not looked at.
+    score the same up to rounding; null ids stay null; other columns are not looked at.
     """
     held = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
 

@@ -75,7 +75,7 @@ def test_odd_rows(spark, table, odd):
     rows = df.collect()
     assert len(rows) == len(odd)
     assert all((r.n_tokens, r.pll, r.score) == (0, 0.0, None) for r in rows if r.doc_id in (1, 2, 3))
-    assert len({r.pll for r in rows if r.n_tokens == 60_000}) == 1
+    assert len({round(r.score, 4) for r in rows if r.n_tokens == 60_000}) == 1
     assert pll.score(table([]), *pll.train(table([]))).collect() == []
 
 
@@ -83,5 +83,5 @@ def test_corpus_counts_are_of_all_words(table, prose):
     texts = [prose(i, 500, 3000) for i in range(10)]
     known, counts = pll.corpus_words(table(list(enumerate(texts))), "text")
     assert counts.sum() == 5000
-    words = " ".join(texts).split()
+    words = " ".join(texts).encode().split()
     assert all(counts[i] == words.count(w) for w, i in list(known.items())[:20])
