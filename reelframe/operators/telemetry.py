@@ -232,8 +232,15 @@ def ema(df: DataFrame, keys: list[str], order: str, value: str, decay: float = 0
     """Exponential moving average per group; the first value starts it, a null value leaves it as it is.
 
     The recurrence is linear, so a block sums its own weighted values and hands one number to the later
-    blocks; a block decays by about e^-5, so ten blocks back nothing is left at double precision.
+    blocks; a block decays by about e^-5, and what is more than e^-45 of its weight away is left out, which is below double precision
+    for values of like size. A decay of 1 keeps the first value.
     """
+    if not 0 < decay <= 1:
+        raise ValueError("decay must be over 0 and at most 1")
+    if decay == 1 and not warmup:
+        firsts = rank0(df.filter(F.col(value).isNotNull()), keys, order, "__m").filter("__m = 0").select(*keys, order, F.col(value).cast("double").alias("__e"))
+        return running(df.join(firsts, [*keys, order], "left"), keys, order, {out: ("last", F.col("__e"))}).drop("__e")
+    decay = min(decay, 1.0 - 1e-12)
     width = max(1, math.ceil(5.0 / -math.log(decay)))
     back = math.ceil(45.0 / (width * -math.log(decay))) + 1
     logp, weight = _ema_weights(decay, warmup)

@@ -134,3 +134,11 @@ def test_ema_over_many_blocks(spark):
                     dec = min(0.9, (1 + n) / (10 + n)) if warm else 0.9
                     c = dec * c + (1 - dec) * v
             assert got[t] == (None if c is None else pytest.approx(c, rel=1e-9))
+
+
+def test_ema_of_decay_one_keeps_the_first_value(spark):
+    from reelframe.operators.telemetry import ema
+
+    d = spark.createDataFrame([("a", 0, None), ("a", 1, 3.0), ("a", 2, 9.0), ("a", 3, None), ("b", 0, 5.0)], "k string, t int, x double")
+    got = {(r.k, r.t): r.ema for r in ema(d, ["k"], "t", "x", 1.0).collect()}
+    assert got == {("a", 0): None, ("a", 1): 3.0, ("a", 2): 3.0, ("a", 3): 3.0, ("b", 0): 5.0}
