@@ -86,7 +86,7 @@ def scan_manifest(v):
     return S.scan_manifest(v.spark, path, multiline=False).select("source", "name", "frames", "degrade_strength")
 
 
-@query("list_clips")
+@query("list_clips", "SELECT DISTINCT concat('clip=', clip) AS folder, 'parquet' AS ext FROM poses")
 def list_clips(v):
     path = FS.scratch(v.spark, "clips")
     v.poses.write.partitionBy("clip").parquet(path)
@@ -94,7 +94,11 @@ def list_clips(v):
         .orderBy("folder")
 
 
-@query("artifact_index")
+@query("artifact_index", f"""
+    WITH a AS (SELECT name, frames, kind, place, concat('file:/out/', dir, '/', name, suffix) AS path FROM gen_clips,
+               (VALUES {', '.join(f"({i}, '{k}', '{d}', '{s}')" for i, (k, (d, s)) in enumerate(FS.ARTIFACTS.items()))}) k(place, kind, dir, suffix)
+               WHERE frames > 2 OR place % frames = 0)
+    SELECT CAST(name AS VARCHAR) AS name, {', '.join(f"max(path) FILTER (kind = '{k}') AS {k}" for k in FS.ARTIFACTS)}, count(*) = {len(FS.ARTIFACTS)} AS complete FROM a GROUP BY 1""")
 def artifact_index(v):
     # the artifact paths a clip would have, less the kinds its index leaves out
     kinds = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("d"), F.lit(s).alias("s"))
@@ -195,7 +199,7 @@ def write_shards_by_worker(v):
         F.count("*").alias("samples"), F.sum(F.col("name").cast("long")).alias("id_sum"))
 
 
-@query("write_summary")
+@query("write_summary", "SELECT run, count(*) AS n_videos, round(sum(wall_s), 3) AS wall_s FROM sample_timing GROUP BY run")
 def write_summary(v):
     path = FS.scratch(v.spark, "summary")
     s = v.sample_timing.groupBy("run").agg(F.count("*").alias("n_videos"), F.round(F.sum("wall_s"), 3).alias("wall_s"))

@@ -63,7 +63,13 @@ def frame_distance(v):
     return RP.frame_distance(px(v), edges(v), poses(v), k(), 0.25).select("i", "j", R("dist", d=5))
 
 
-@query("frame_distance_both")
+@query("frame_distance_both", f"""
+    WITH {_SQL.replace("e AS (SELECT DISTINCT i % 20 AS i, j % 20 AS j FROM edges WHERE i % 20 < j % 20)",
+                       "e0 AS (SELECT DISTINCT i % 20 AS i, j % 20 AS j FROM edges WHERE i % 20 < j % 20), e AS (SELECT i, j FROM e0 UNION SELECT j, i FROM e0)")},
+    f AS (SELECT i, j, CASE WHEN x2 > 0.1 THEN sqrt((40 * x0 / x2 + 32 - u) ** 2 + (41 * x1 / x2 + 24 - v) ** 2) ELSE 0 END AS a, (x2 > 0.1)::INT AS na,
+      CASE WHEN y2 > 0.1 THEN sqrt((40 * y0 / y2 + 32 - u) ** 2 + (41 * y1 / y2 + 24 - v) ** 2) ELSE 0 END AS b, (y2 > 0.1)::INT AS nb FROM x),
+    d AS (SELECT i, j, CASE WHEN sum(0.25 * na + 0.75 * nb) / count(*) < 0.75 THEN 1000 ELSE sum(0.25 * a + 0.75 * b) / sum(0.25 * na + 0.75 * nb) END AS dist FROM f GROUP BY i, j)
+    SELECT a.i, a.j, round((a.dist + b.dist) / 2, 5) AS dist FROM e0 JOIN d a USING (i, j) JOIN d b ON b.i = e0.j AND b.j = e0.i""")
 def frame_distance_both(v):
     return RP.frame_distance(px(v), edges(v), poses(v), k(), 0.25, bidirectional=True).select("i", "j", R("dist", d=5))
 
@@ -130,12 +136,32 @@ def morph_erode_dilate(v):
     return z.select("vec_id", "i", R(F.col("z.e"), "eroded"), R(F.col("z.d"), "dilated"))
 
 
-@query("grid_nms")
+def _peak_pass(n: int) -> str:
+    """State of pass n from that of pass n - 1: 0 open, 1 peak, 2 covered."""
+    near = "b.vec_id = a.vec_id AND b.u BETWEEN a.u - 2 AND a.u + 2 AND b.v BETWEEN a.v - 2 AND a.v + 2"
+    live = "CASE WHEN {t}.s = 0 THEN {t}.x ELSE 0 END"
+    return f"""f{n} AS (SELECT a.vec_id, a.i, a.u, a.v, a.x, a.s, a.s = 0 AND {live.format(t="a")} >= max({live.format(t="b")}) AS top FROM s{n - 1} a JOIN s{n - 1} b ON {near} GROUP BY a.vec_id, a.i, a.u, a.v, a.x, a.s),
+    s{n} AS (SELECT a.vec_id, a.i, a.u, a.v, a.x, CASE WHEN a.top THEN 1 WHEN a.s = 0 AND bool_or(b.top) THEN 2 ELSE a.s END AS s FROM f{n} a JOIN f{n} b ON {near}
+      GROUP BY a.vec_id, a.i, a.u, a.v, a.x, a.s, a.top)"""
+
+
+@query("grid_nms", f"""
+    WITH {_NB}, s0 AS (SELECT *, 0 AS s FROM p), {_peak_pass(1)}, {_peak_pass(2)}, {_peak_pass(3)}
+    SELECT vec_id, CAST(i AS INT) AS i, round(CASE WHEN s = 1 THEN x ELSE 0 END, 6) AS x FROM s3""")
 def grid_nms(v):
     return _explode(_arrays(v).select("vec_id", FR.grid_nms(2)("px", "h", "w").alias("px")), "px")
 
 
-@query("frame_resize")
+@query("frame_resize", f"""
+    WITH {_NB}, o AS (SELECT r.k AS i, greatest((r.k // 5 + 0.5::DOUBLE) * 8 / 12 - 0.5, 0) AS cy, greatest((r.k % 5 + 0.5::DOUBLE) * 8 / 5 - 0.5, 0) AS cx,
+           least((r.k // 5) * 8 // 12, 7) AS ny, least((r.k % 5) * 8 // 5, 7) AS nx FROM range(60) r(k)),
+    t AS (SELECT i, cy - floor(cy) AS fy, cx - floor(cx) AS fx, CAST(floor(cy) AS INT) AS y, CAST(floor(cx) AS INT) AS x, ny, nx FROM o),
+    g AS (SELECT p.vec_id, t.i, sum(CASE WHEN p.v = t.y THEN 1 - fy ELSE 0 END * CASE WHEN p.u = t.x THEN 1 - fx ELSE 0 END * p.x)
+            + sum(CASE WHEN p.v = least(t.y + 1, 7) THEN fy ELSE 0 END * CASE WHEN p.u = t.x THEN 1 - fx ELSE 0 END * p.x)
+            + sum(CASE WHEN p.v = t.y THEN 1 - fy ELSE 0 END * CASE WHEN p.u = least(t.x + 1, 7) THEN fx ELSE 0 END * p.x)
+            + sum(CASE WHEN p.v = least(t.y + 1, 7) THEN fy ELSE 0 END * CASE WHEN p.u = least(t.x + 1, 7) THEN fx ELSE 0 END * p.x) AS b,
+            max(CASE WHEN p.v = ny AND p.u = nx THEN p.x END) AS n FROM t, p GROUP BY 1, 2)
+    SELECT vec_id, CAST(i AS INT) AS i, round(b, 6) AS bilinear, round(n, 6) AS nearest, round(CASE WHEN b > 0.9 THEN 1 ELSE 0 END::DOUBLE, 6) AS mask FROM g""")
 def frame_resize(v):
     d = _arrays(v).select("vec_id", FR.resize(12, 5)("px", "h", "w").alias("b"), FR.resize(12, 5, "nearest")("px", "h", "w").alias("n"),
                           FR.resize(12, 5, "mask")("px", "h", "w").alias("m"))
