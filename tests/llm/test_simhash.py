@@ -57,7 +57,8 @@ def test_fingerprint_and_components_like_brute_force(table, prose, odd):
 
 @pytest.mark.parametrize("text", ["", " ", "a", "a b c", "A b C d", "é É x\u00a0y z w", "a\u2003b c\x1cd e"])
 def test_fingerprint_of_small_texts(text):
-    assert fingerprint(text, 4) == slow_print(text)
+    assert fingerprint(text, 4) == [slow_print(text)]
+    assert fingerprint(text, 4, 3)[0] == slow_print(text)
 
 
 @pytest.mark.parametrize("radius,blocks", [(4, 5), (4, 7), (4, 8), (3, 6), (0, 1)])
@@ -87,10 +88,10 @@ def crowd(seed, n, flips):
 def test_crowded_keys_are_split_without_losing_links(spark):
     prints = crowd(7, 150, 9) | crowd(8, 60, 12) | {random.Random(i).getrandbits(64) for i in range(100)}
     signed = [int(np.uint64(p).view(np.int64)) for p in prints]
-    df = spark.createDataFrame([(p,) for p in signed], "fp long").repartition(3)
+    df = spark.createDataFrame([(0, p) for p in signed], "lane int, fp long").repartition(3)
     want = roots([(a, b) for a, b in combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 4], signed)
     for most in (7, 2048):
-        links = [tuple(r) for r in close_links(df, 4, most=most).collect()]
+        links = [(r.a, r.b) for r in close_links(df, 4, most=most).collect()]
         assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in links)
         assert roots(links, signed) == want
 
@@ -113,3 +114,28 @@ def test_components_of_chains_stars_and_nothing(spark):
 
 def test_empty_table(table):
     assert near_groups(table([])).collect() == []
+
+
+def test_more_lanes_link_whatever_is_close_in_any(table, prose):
+    rng = random.Random(21)
+    rows = []
+    for g in range(6):
+        w = prose(200 + g, 150).split()
+        for i in range(8):
+            v = list(w)
+            for _ in range(i // 2):
+                v[rng.randrange(len(v))] = f"new{i}"
+            rows.append((10 * g + i, " ".join(v)))
+    rows += [(None, prose(900, 20)), (99, None), (98, "")]
+    prints = [fingerprint(t, 4, 5) for _, t in rows]
+    at = list(range(len(rows)))
+    close = [(a, b) for a, b in combinations(at, 2) if any((x ^ y).bit_count() <= 4 for x, y in zip(prints[a], prints[b]))]
+    group = roots(close, at)
+    least = {}
+    for (i, _), g in zip(rows, (group[a] for a in at)):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    want = sorted(((i, f"{prints[a][0]:016x}", least.get(group[a])) for a, (i, _) in enumerate(rows)), key=repr)
+    assert sorted(map(tuple, near_groups(table(rows), lanes=5, blocks=6).collect()), key=repr) == want
+    one = roots([(a, b) for a, b in combinations(at, 2) if (prints[a][0] ^ prints[b][0]).bit_count() <= 4], at)
+    assert len(set(group.values())) < len(set(one.values()))
