@@ -65,4 +65,4 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_pseudo_likelihood, op3_simhash, op4_suffix_index, op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses)}
-SQL = {"op5_leaks": sql.LEAKS, "op6_exact": sql.EXACT, "op9_warc": sql.WARC}
+SQL = {"op4_suffix_index": sql.REPEATS, "op5_leaks": sql.LEAKS, "op6_exact": sql.EXACT, "op9_warc": sql.WARC}

@@ -33,3 +33,17 @@ i AS (SELECT DISTINCT item_id, len(s) AS n_item, unnest(s) AS g FROM b)
 SELECT doc_id, item_id, CAST(count(*) AS INT) AS n_shared, CAST(n_item AS INT) AS n_item, count(*) / n_item AS containment
 FROM d JOIN i USING (g) GROUP BY doc_id, item_id, n_item HAVING count(*) >= ceil(0.8 * n_item - 1e-9)
 """
+
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT r, o, p, substr(h, CAST(2 * p + 1 AS INT), 100) AS s FROM (SELECT r, o, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)),
+hit AS (SELECT r, p FROM (SELECT r, p, o, min(o) OVER (PARTITION BY s) AS least FROM g) WHERE least < o),
+cut AS (SELECT r, p, CASE WHEN p > lag(p) OVER w + 50 THEN 1 ELSE 0 END AS new FROM hit WINDOW w AS (PARTITION BY r ORDER BY p)),
+run AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM cut) GROUP BY r, k),
+gap AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM run),
+kept AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last,
+           string_agg(substr(h, CAST(2 * z + 1 AS INT), CAST(2 * (a - z) AS INT)), '' ORDER BY a) AS head FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, CAST(2 * last + 1 AS INT)) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
