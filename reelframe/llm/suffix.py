@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 
 from reelframe.session import staged
 
-K = 16
 #: symbols sorted at once
 WIDE = 7
 LAST = np.iinfo(np.int64).max
@@ -65,8 +65,13 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 # --- anchors -------------------------------------------------------------------------------------------------------------------------
 
+def anchor_bytes(span: int) -> int:
+    """Length of the strings that are hashed: long ones are seldom shared by chance, short ones make longer stretches."""
+    return 32 if span >= 48 else 16 if span >= 24 else 8
+
+
 def anchors(data: np.ndarray, span: int, step: int = 1 << 20) -> np.ndarray:
-    """For each start the least hash of the K-byte strings inside the `span` bytes from there; starts run to the last one that fits. `step` at a time."""
+    """For each start the least hash of the short strings (anchor_bytes) inside the `span` bytes from there; starts run to the last one that fits. `step` at a time."""
     return np.concatenate([_anchors(data[i:i + step + span - 1], span) for i in range(0, len(data) - span + 1, step)])
 
 
@@ -74,12 +79,12 @@ def _anchors(data: np.ndarray, span: int) -> np.ndarray:
     h = (data.astype(np.uint64) + np.uint64(1)) * ODD
     h ^= h >> np.uint64(29)
     have = 1
-    while have < K:
+    while have < anchor_bytes(span):
         h = (h[:-have] * np.uint64(0xD1B54A32D192ED03 + 2 * have)) ^ (h[have:] + (h[have:] >> np.uint64(31)))
         have *= 2
     h *= ODD
     h ^= h >> np.uint64(32)
-    wide, reach = span - K + 1, 1
+    wide, reach = span - anchor_bytes(span) + 1, 1
     while 2 * reach <= wide:
         h = np.minimum(h[:-reach], h[reach:])
         reach *= 2
@@ -183,7 +188,8 @@ def candidate_rows(buckets: int, span: int, index_buckets: int):
                 least = np.full(len(number), LAST)
                 np.minimum.at(least, which, order)
                 _, rep = np.unique(which, return_index=True)
-                n_starts, home = count[rep], bucket_of(anchor[rep] * ODD, index_buckets)
+                n_starts, keys = count[rep], anchor[rep]
+                home = bucket_of(keys * ODD, index_buckets)
                 rows = [(0, chunk, 0, packed(doc.astype(np.int32), start, which, n_starts), 0)]
                 texts = list(number)
                 by = np.argsort(home, kind="stable")
@@ -191,7 +197,7 @@ def candidate_rows(buckets: int, span: int, index_buckets: int):
                 for i, j in zip(cuts, np.append(cuts[1:], len(by))):
                     part = by[i:j]
                     text = b"".join(texts[x] for x in part)
-                    rows.append((1, chunk, int(home[part[0]]), packed(part.astype(np.int32), np.zeros(len(part), np.int32), n_starts[part], least[part], text), len(text)))
+                    rows.append((1, chunk, int(home[part[0]]), packed(part.astype(np.int32), np.zeros(len(part), np.int32), n_starts[part], least[part], text, keys[part]), len(text)))
                 yield pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "part", "size"])
 
     return of
@@ -202,17 +208,18 @@ def single_rows(span: int, first_bucket: int, buckets: int):
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for chunk, blob in zip(frame["chunk"], frame["part"]):
-                which, _, count, least, text = unpacked(blob)
+                which, _, count, least, text, _ = unpacked(blob)
                 ends = np.cumsum(count + span - 1)
                 at = np.repeat(ends - count - span + 1, count) + (inner := np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 grams = [text[i:i + span] for i in at.tolist()]
-                home = np.array([int.from_bytes(hashlib.blake2b(g, digest_size=7).digest(), "little") % buckets for g in grams])
+                keys = np.array([int.from_bytes(hashlib.blake2b(g, digest_size=8).digest(), "little") for g in grams], np.uint64)
+                home = bucket_of(keys, buckets)
                 which, least = np.repeat(which, count), np.repeat(least, count)
                 rows = []
                 for b in np.unique(home):
                     part = np.flatnonzero(home == b)
                     joined = b"".join(grams[i] for i in part)
-                    rows.append((1, chunk, first_bucket + int(b), packed(which[part], inner[part].astype(np.int32), np.ones(len(part), np.int64), least[part], joined), len(joined)))
+                    rows.append((1, chunk, first_bucket + int(b), packed(which[part], inner[part].astype(np.int32), np.ones(len(part), np.int64), least[part], joined, keys[part]), len(joined)))
                 yield pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "part", "size"])
 
     return of
@@ -278,8 +285,8 @@ class RunIndex:
         """Symbols that the suffixes at p and q share, counted up to `most`."""
         p, q, n = p.copy(), q.copy(), len(self.symbols)
         out, going = np.zeros(len(p), np.int64), np.ones(len(p), bool)
-        depths = sorted(self.ranks, reverse=True)
-        for depth in [depths[0]] * (most // depths[0]) + depths[1:]:
+        depths = sorted((d for d in self.ranks if d <= most), reverse=True)
+        for depth in depths[:1] * (most // depths[0] if depths else 0) + depths[1:]:
             rank = self.ranks[depth]
             ok = going & (p < n) & (q < n)
             ok[ok] = rank[p[ok]] == rank[q[ok]]
@@ -314,8 +321,8 @@ class RunIndex:
                 up, down = self.by[np.maximum(j - 1, 0)], self.by[np.minimum(j, self.runs - 1)]
                 has_up = (j > 0) & (self.run_symbol[up] == c[off])
                 has_down = (j < self.runs) & (self.run_symbol[down] == c[off])
-                share_up = np.where(has_up, self.common(p[off], self.last_sample[up], span), -1)
-                share_down = np.where(has_down, self.common(p[off], self.first_sample[down], span), -1)
+                share_up = np.where(has_up, self.common(p[off], self.last_sample[up], min(t, span)), -1)  # no match is longer than what was read
+                share_down = np.where(has_down, self.common(p[off], self.first_sample[down], min(t, span)), -1)
                 higher = share_up >= share_down
                 run[off] = np.where(higher, up, down)
                 r[off] = np.where(higher, self.run_start[up] + self.length[up] - 1, self.run_start[down])
@@ -333,27 +340,39 @@ class RunIndex:
 
 
 def index_rows(span: int):
-    """A bucket's contents against their own index: for each chunk and content the least document order of each of its `span`-byte strings."""
+    """A bucket's contents against their index: for each chunk and content the least document order of each of its `span`-byte strings.
+
+    Equal contents are one text. Strings of different anchors are different, so a text that is the only one of its anchor has no other to meet: its
+    strings' least order is its own. All other texts go through the index.
+    """
     def of(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [unpacked(b) for b in frame["part"]]
         least: dict[bytes, int] = {}
+        anchor: dict[bytes, int] = {}
         texts = []
-        for which, first, count, order, text in parts:
+        for _, _, count, order, text, keys in parts:
             ends = np.cumsum(count + span - 1).tolist()
             mine = [text[i:j] for i, j in zip([0, *ends[:-1]], ends)]
             texts.append(mine)
-            for t, o in zip(mine, order.tolist()):
+            for t, o, a in zip(mine, order.tolist(), keys.tolist()):
                 if o < least.get(t, LAST + 1):
                     least[t] = o
-        inside = sorted(least, key=lambda t: (least[t], t))
-        index = RunIndex(inside, span)
-        _, found = index.matches(inside, span)
-        orders = np.array([least[t] for t in inside], np.int64)
-        begin = dict(zip(inside, (np.cumsum([len(t) for t in inside]) - [len(t) for t in inside]).tolist()))
+                    anchor[t] = a
+        per = Counter(anchor.values())
+        inside = sorted((t for t, a in anchor.items() if per[a] > 1), key=lambda t: (least[t], t))
+        found, orders, begin = np.zeros(0, np.int64), np.array([least[t] for t in inside], np.int64), {}
+        if inside:
+            _, found = RunIndex(inside, span).matches(inside, span)
+            sizes = np.array([len(t) for t in inside])
+            begin = dict(zip(inside, (np.cumsum(sizes) - sizes).tolist()))
         replies = []
-        for (which, first, count, _, _), mine in zip(parts, texts):
-            starts = np.repeat(np.array([begin[t] for t in mine]), count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            replies.append(packed(which, first, count, orders[found[starts]]))
+        for (which, first, count, _, _, _), mine in zip(parts, texts):
+            at = np.repeat(np.array([begin.get(t, -1) for t in mine]), count)
+            out = np.repeat(np.array([least[t] for t in mine], np.int64), count)
+            asked = np.flatnonzero(at >= 0)
+            inner = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            out[asked] = orders[found[(at + inner)[asked]]]
+            replies.append(packed(which, first, count, out))
         return pd.DataFrame({"chunk": frame["chunk"], "reply": replies})
 
     return of
