@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.session import staged
+from reelframe.session import shared_dir, staged
 
 #: symbols sorted at once
 WIDE = 7
@@ -29,7 +30,7 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def packed(*parts) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, 5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(parts, 5))
 
 
 def unpacked(blob: bytes) -> tuple:
@@ -63,6 +64,14 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return rows.mapInPandas(gather, "docs binary").withColumn("chunk", F.monotonically_increasing_id())
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df written below the shared folder in hash buckets of key, so that joins on it leave df where it is."""
+    spark = df.sparkSession
+    name = f"suffix_chunks_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 # --- anchors -------------------------------------------------------------------------------------------------------------------------
 
 def anchor_bytes(span: int) -> int:
@@ -427,12 +436,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Index tasks hold the distinct stretches of one bucket. A bucket of over `crowded` bytes, as a very frequent anchor can make, is cut into
     single strings dealt by their own hash, so no string's copies but one per chunk meet in a task.
     """
-    held = staged(chunks(docs, id_col, text_col, chunk_bytes), "suffix-chunks")
+    # numbered partitions: rows are small and costly, so partitions are not to be joined for their size
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = bucketed(chunks(docs, id_col, text_col, chunk_bytes), "chunk", tasks)
     buckets = max(64, held.count())
     index_buckets = 3 * buckets
     keys = held.mapInPandas(anchor_rows(buckets, span), "bucket long, chunk long, keys binary, several binary")
-    # numbered partitions: rows are small and costly, so partitions are not to be joined for their size
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     common = keys.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(shared_anchors, "chunk long, bucket long, keys binary")
     shared = common.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys")).alias("shared"))
     parts = held.join(shared.hint("shuffle_hash"), "chunk").mapInPandas(candidate_rows(buckets, span, index_buckets), "kind int, chunk long, bucket long, part binary, size long")
