@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from reelframe.session import staged
 SIDE = 2
 CLASSES, MEMBERS, HIDDEN = 32, 64, 32
 WORDS = CLASSES * MEMBERS
-#: words without an entry of their own share this many entries
+#: words without an entry of their own share this many entries; a word's part of its entry is its share of the counts behind it
 BUCKETS = 128
 CHUNK = 8192
 
@@ -56,6 +57,14 @@ def new_net(counts: np.ndarray, seed: int = 7) -> Net:
                small(CLASSES, HIDDEN, MEMBERS), np.log(table / table.sum(1, keepdims=True)).astype(np.float32))
 
 
+class Vocabulary(dict):
+    """word -> its number, for words with an entry of their own; `words` has the counts (word, n) of the others, `shared` the counts behind each shared entry."""
+
+    def __init__(self, numbers: dict[bytes, int], words: DataFrame, shared: np.ndarray):
+        super().__init__(numbers)
+        self.words, self.shared = words, shared
+
+
 def words_of(text: str) -> list[bytes]:
     """Lower-cased words in UTF-8; they end at ASCII white space."""
     return text.lower().encode("utf-8", "replace").split()
@@ -197,22 +206,22 @@ def count_words(room: int = 400_000):
     return of
 
 
-def corpus_words(docs: DataFrame, text_col: str) -> tuple[dict[bytes, int], np.ndarray]:
-    """Numbers of the most frequent words and the counts behind each number, from every word of every text."""
+def corpus_words(docs: DataFrame, text_col: str) -> tuple[Vocabulary, np.ndarray]:
+    """Numbers of the most frequent words and the counts behind each number, from every word of every text; the other words' counts stay a table."""
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counts = staged(texts.mapInPandas(count_words(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "pll-words")
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS - BUCKETS).collect()
     vocabulary = {bytes(r["word"]): i for i, r in enumerate(top)}
-    rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w),) for w in vocabulary], "word binary")), "word", "left_anti")
+    rest = staged(counts.join(F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w),) for w in vocabulary], "word binary")), "word", "left_anti"), "pll-rest")
     shares = rest.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect()
     table = np.zeros(WORDS)
     table[:len(top)] = [r["n"] for r in top]
     for r in shares:
         table[WORDS - BUCKETS + r["b"]] = r["n"]
-    return vocabulary, table
+    return Vocabulary(vocabulary, rest, table[WORDS - BUCKETS:]), table
 
 
-def train(docs: DataFrame, text_col: str = "text", fan_in: int = 32, rounds: int = 1) -> tuple[dict[bytes, int], Net]:
+def train(docs: DataFrame, text_col: str = "text", fan_in: int = 32, rounds: int = 1) -> tuple[Vocabulary, Net]:
     """Every task trains on all words of its rows from the common state; the states are averaged by words seen, `fan_in` at a time, until one is left.
 
     Only the vocabulary, the state (about 1.3 MB) and fixed numbers of counts pass through the driver.
@@ -222,7 +231,7 @@ def train(docs: DataFrame, text_col: str = "text", fan_in: int = 32, rounds: int
     net = new_net(counts)
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for _ in range(rounds):
-        held = sc.broadcast((vocabulary, net))
+        held = sc.broadcast((dict(vocabulary), net))
 
         def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known, start = held.value
@@ -254,26 +263,38 @@ def train(docs: DataFrame, text_col: str = "text", fan_in: int = 32, rounds: int
     return vocabulary, net
 
 
-def score(docs: DataFrame, vocabulary: dict[bytes, int], net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, pll (summed log-probability of every word given both sides), score (pll per word).
 
-    Words are the lower-cased text's runs of other characters than ASCII white space. Null and empty texts have no words: pll 0, score null. Equal texts
-    score the same up to rounding; null ids stay null; other columns are not looked at.
+    Words are the lower-cased text's runs of other characters than ASCII white space. A word without an entry of its own has the probability of its
+    shared entry times its share n / (N + 1) of the N places counted behind it; all words that were not counted have 1 / (N + 1) together. Null and
+    empty texts have no words: pll 0, score null. Equal texts score the same up to rounding; null ids stay null; other columns are not looked at.
     """
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
+    held = docs.sparkSession.sparkContext.broadcast(dict(vocabulary))
+    state = docs.sparkSession.sparkContext.broadcast(net)
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, state = held.value
+        known, part_no, done = held.value, TaskContext.get().partitionId(), 0
         numbers = Numbers(known)
         for frame in frames:
             for i in range(0, len(frame), 512):
                 part = frame.iloc[i:i + 512]
-                ids, at, owner = padded(part["text"].tolist(), numbers)
-                got = word_scores(state, ids, at)
+                texts = part["text"].tolist()
+                ids, at, owner = padded(texts, numbers)
+                got = word_scores(state.value, ids, at)
                 n = np.bincount(owner, minlength=len(part))
                 total = np.bincount(owner, got.astype(np.float64), minlength=len(part))
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_tokens": n, "pll": total})
+                rare = [Counter(w for w in words_of(t or "") if w not in known) for t in texts]
+                yield pd.DataFrame({"row": (part_no << 33) + done + np.arange(len(part)), "doc_id": part["doc_id"].astype("Int64").array, "n_tokens": n, "pll": total,
+                                    "words": [list(c) for c in rare], "times": [list(c.values()) for c in rare]})
+                done += len(part)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = rows.mapInPandas(scored, "doc_id long, n_tokens long, pll double")
+    # written before rows are told by number, so that a task that runs again cannot number them otherwise
+    out = staged(rows.mapInPandas(scored, "row long, doc_id long, n_tokens long, pll double, words array<binary>, times array<long>"), "pll-scored")
+    rare = out.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    behind = F.element_at(F.array(*(F.lit(float(x)) for x in vocabulary.shared)), (F.crc32("word") % BUCKETS + 1).cast("int"))
+    part = F.log(F.coalesce(F.col("n"), F.lit(1)) / (behind + 1))
+    parts = rare.join(vocabulary.words, "word", "left").groupBy("row").agg(F.sum(F.col("times") * part).alias("part"))
+    out = out.drop("words", "times").join(parts, "row", "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("part", F.lit(0.0))).alias("pll"))
     return out.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -85,3 +86,26 @@ def test_corpus_counts_are_of_all_words(table, prose):
     assert counts.sum() == 5000
     words = " ".join(texts).encode().split()
     assert all(counts[i] == words.count(w) for w, i in list(known.items())[:20])
+
+
+def test_words_without_an_entry_have_their_share_of_the_shared_one(table):
+    """Words beyond the vocabulary, of one shared entry: pll has log(share) of each, so that a frequent word scores over a rare and an unknown one."""
+    often = [f"v{i}" for i in range(pll.WORDS - pll.BUCKETS)]
+    by_bucket = {}
+    for i in range(3000):
+        by_bucket.setdefault(zlib.crc32(b"r%d" % i) % pll.BUCKETS, []).append(f"r{i}")
+    a, b, new = by_bucket[5][:3]
+    texts = [" ".join(often)] * 30 + [" ".join([a] * 20), f"{b} {a}"]
+    known, net = pll.train(table(list(enumerate(texts))))
+    rows = [(1, a), (2, b), (3, new), (4, f"{a} {b} {a}"), (5, often[0]), (None, f"{a} {a}"), (1, a)]
+    got = pll.score(table(rows), known, net).collect()
+    assert len(got) == len(rows)
+    numbers = pll.Numbers(dict(known))
+    share = {a: 21 / 23, b: 1 / 23, new: 1 / 23}
+    want = []
+    for i, t in rows:
+        ids, at, _ = pll.padded([t], numbers)
+        want.append((i, round(float(pll.word_scores(net, ids, at).sum()) + sum(np.log(share.get(w, 1)) for w in t.split()), 3)))
+    assert sorted(((r.doc_id, round(r.pll, 3)) for r in got), key=repr) == sorted(want, key=repr)
+    score = {r.doc_id: r.pll for r in got}
+    assert abs(score[1] - score[2] - np.log(21)) < 1e-3
