@@ -38,6 +38,20 @@ def powers() -> np.ndarray:
     return np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
 
+def pieces(line: str) -> Iterator[str]:
+    """Parts of at most PIECE characters, cut after white space; only a word that is longer is cut itself. Parts of white space alone are left out."""
+    at = 0
+    while at < len(line):
+        end = at + PIECE
+        if end < len(line):
+            while end > at and not line[end - 1].isspace():
+                end -= 1
+        end = end if end > at else at + PIECE
+        piece, at = line[at:end], end
+        if not piece.isspace():
+            yield piece
+
+
 def cut_lines(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
     """Lines with more than white space and their documents' numbers, in pieces of about PIECE characters."""
     lines, owners, size = [], [], 0
@@ -45,8 +59,8 @@ def cut_lines(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
         for line in (text or "").split("\n"):
             if not line or line.isspace():
                 continue
-            for at in range(0, len(line), PIECE):
-                lines.append(line[at:at + PIECE])
+            for piece in pieces(line):
+                lines.append(piece)
                 owners.append(i)
                 size += len(lines[-1]) + 1
                 if size >= PIECE:

@@ -93,3 +93,16 @@ def test_labels_of_held_out_rows_change_nothing(spark, table, prose):
 def test_without_labels_the_prior_decides(spark, table):
     model = crf.train(table([(1, "a b")]), spark.createDataFrame([], "doc_id long, quality int"))
     assert all(0 <= r.score <= 1 for r in crf.quality(table([(1, "a b"), (2, None)]), model).collect())
+
+
+def test_long_lines_are_cut_between_words(monkeypatch):
+    """Blanks over a cut or at the end make no line without a word; words stay whole unless they are longer than a piece."""
+    monkeypatch.setattr(crf, "PIECE", 16)
+    for line in ["word" + " " * 60, "a b" + " " * 40 + "c", "alpha beta gamma delta epsilon", "x" * 40 + " y"]:
+        parts = [x for lines, _ in crf.cut_lines([line]) for x in lines]
+        assert all(x.strip() and len(x) <= 16 for x in parts)
+        assert "".join("".join(parts).split()) == "".join(line.split())
+        if max(map(len, line.split())) <= 16:
+            assert [w for x in parts for w in x.split()] == line.split()
+        assert len(crf.lines_of([line, "next line"]).sizes) == len(parts) + 1
+        assert crf.lines_of(["next line", line]).count.tolist() == [1, len(parts)]
