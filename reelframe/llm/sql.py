@@ -47,3 +47,21 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
        sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, CAST(2 * last + 1 AS INT)) END)) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
+
+MIXING = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS turn FROM documents),
+w AS (SELECT *, [5, 2, 1][1 + (place % 3)] AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(row_number() OVER (ORDER BY source NULLS LAST) - 1 AS INT) AS place FROM d GROUP BY source)),
+a AS (SELECT CAST(sum(source_size) AS BIGINT) AS all_size, CAST(sum(weight) AS BIGINT) AS all_weight FROM w),
+o AS (SELECT *, 2 * source_size / weight <= CAST(3 * all_size - 4 * coalesce(sum(source_size) OVER b, 0) AS DOUBLE) / (2 * (all_weight - coalesce(sum(weight) OVER b, 0))) AS stops
+      FROM w, a WINDOW b AS (ORDER BY 2 * source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT CAST(coalesce(sum(source_size) FILTER (stops), 0) AS BIGINT) AS stopped, CAST(coalesce(sum(weight) FILTER (NOT stops), 0) AS BIGINT) AS free FROM o),
+t AS (SELECT source, place, source_size, CASE WHEN stops THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(3 * all_size - 4 * stopped AS DOUBLE) * weight / (2 * free) END AS target FROM o, f),
+q AS (SELECT d.doc_id, d.size, t.*, row_number() OVER g AS r, CAST(sum(d.size) OVER g AS BIGINT) - d.size AS begin FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+      WINDOW g AS (PARTITION BY t.place ORDER BY d.turn, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT place, r, size, target, begin + k * source_size AS begin FROM q, (VALUES (0), (1)) AS v(k) WHERE size > 0 AND begin + k * source_size < target),
+p AS (SELECT place, r, target, begin, size AS words FROM e WHERE begin + size <= target
+      UNION ALL SELECT place, r, target, begin + s, least(16, size - s) FROM (SELECT *, unnest(range(0, size, 16)) AS s FROM e WHERE begin + size > target) WHERE begin + s < target),
+l AS (SELECT place, r, words, sum(words) OVER (ORDER BY (begin + words) / target, place, begin ROWS UNBOUNDED PRECEDING) - words AS ahead FROM p),
+m AS (SELECT place, r, CAST(sum(least(words, 3 * all_size // 2 - ahead)) AS BIGINT) AS taken FROM l, a WHERE ahead < 3 * all_size // 2 GROUP BY place, r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN m USING (place, r)
+"""

@@ -10,10 +10,11 @@ COLUMNS = {
     "op6_exact": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], "op7_url_filter": ["page_id", "host", "path", "rule", "verdict"],
     "op8_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], "op9_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op10_licenses": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+    "op12_mixing": ["doc_id", "size", "source_size", "target", "taken"],
 }
 
 
-def test_ten_queries():
+def test_all_queries():
     assert list(QUERIES) == list(COLUMNS) and set(SQL) <= set(QUERIES)
 
 
