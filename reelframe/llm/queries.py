@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import crf, exact, leaks, licenses, mixing, packing, pll, simhash, sql, suffix, urls, warc
+from reelframe.llm import crf, exact, leaks, licenses, mixing, packing, pll, simhash, spelling, sql, suffix, urls, warc
 from reelframe.session import shared_dir
 
 
@@ -64,10 +64,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), drop=31)
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_pseudo_likelihood, op3_simhash, op4_suffix_index, op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses, op12_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_pseudo_likelihood, op3_simhash, op4_suffix_index, op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses, op11_spelling, op12_mixing)}
 SQL = {"op4_suffix_index": sql.REPEATS, "op5_leaks": sql.LEAKS, "op6_exact": sql.EXACT, "op9_warc": sql.WARC, "op12_mixing": sql.MIXING}

@@ -10,7 +10,7 @@ COLUMNS = {
     "op6_exact": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], "op7_url_filter": ["page_id", "host", "path", "rule", "verdict"],
     "op8_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], "op9_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op10_licenses": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
-    "op12_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op11_spelling": ["word", "form", "root", "n", "n_near", "form_n"], "op12_mixing": ["doc_id", "size", "source_size", "target", "taken"],
 }
 
 
@@ -34,7 +34,9 @@ def test_columns_and_rows(spark, data, name):
     df = QUERIES[name](spark, data)
     assert df.columns[:len(COLUMNS[name])] == COLUMNS[name]
     whole = spark.read.parquet(f"{data}/{'pages' if name == 'op7_url_filter' else 'documents'}.parquet")
-    if name == "op8_packing":
+    if name == "op11_spelling":
+        assert 0 < df.count() == df.select("word").distinct().count()
+    elif name == "op8_packing":
         assert df.select("doc_id").distinct().count() == whole.count()
     else:
         assert df.count() == whole.count()
