@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import crf, exact, leaks, licenses, mixing, packing, pll, simhash, spelling, sql, suffix, urls, warc
+from reelframe.llm import crf, exact, leaks, lexical, licenses, mixing, packing, pll, simhash, spelling, sql, suffix, urls, warc
 from reelframe.session import shared_dir
 
 
@@ -73,5 +73,9 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_pseudo_likelihood, op3_simhash, op4_suffix_index, op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses, op11_spelling, op12_mixing)}
-SQL = {"op4_suffix_index": sql.REPEATS, "op5_leaks": sql.LEAKS, "op6_exact": sql.EXACT, "op9_warc": sql.WARC, "op12_mixing": sql.MIXING}
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_pseudo_likelihood, op3_simhash, op4_suffix_index, op5_leaks, op6_exact, op7_url_filter, op8_packing, op9_warc, op10_licenses, op11_spelling, op12_mixing, op13_lexical)}
+SQL = {"op4_suffix_index": sql.REPEATS, "op5_leaks": sql.LEAKS, "op6_exact": sql.EXACT, "op9_warc": sql.WARC, "op12_mixing": sql.MIXING, "op13_lexical": sql.RANKS}

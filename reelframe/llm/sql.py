@@ -65,3 +65,18 @@ l AS (SELECT place, r, words, sum(words) OVER (ORDER BY (begin + words) / target
 m AS (SELECT place, r, CAST(sum(least(words, 3 * all_size // 2 - ahead)) AS BIGINT) AS taken FROM l, a WHERE ahead < 3 * all_size // 2 GROUP BY place, r)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN m USING (place, r)
 """
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS j, item_id, {_TERMS} AS w FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+q AS (SELECT j, item_id, term, count(*) AS qtf FROM (SELECT j, item_id, unnest(w) AS term FROM i) GROUP BY j, item_id, term),
+a AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term),
+t AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, a GROUP BY term, docs),
+s AS (SELECT j, item_id, r, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN t USING (term), a GROUP BY j, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""

@@ -11,6 +11,7 @@ COLUMNS = {
     "op8_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], "op9_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op10_licenses": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
     "op11_spelling": ["word", "form", "root", "n", "n_near", "form_n"], "op12_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op13_lexical": ["item_id", "rank", "doc_id", "score"],
 }
 
 
