@@ -251,3 +251,39 @@ def speculative_fold(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequenc
     entry = known.select(*keys, _B, "__entry")
     return base.join(entry, [*keys, _B]).groupBy(*keys, _B).applyInPandas(
         rows, f"{key_ddl}, `{pos}` {pos_type}, `{out}` boolean").drop(_B)
+
+
+def entries(maps: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], compose, apply, start: Column, identity: Column,
+            width: int = 256, levels: int = 3) -> DataFrame:
+    """State before each step of a chain of maps: (keys, pos, entry). `pos` counts from 0 without gaps in each group.
+
+    A map is a struct of `cols`; `apply(state, map)` gives the next state, `compose(first, map)` one map for both, and `identity` is the map
+    that changes nothing. Chunks of `width` maps are composed to one, whose entries are found the same way a level up; then each chunk is
+    walked from its entry. The top level walks one map per width ** (levels - 1) steps.
+    """
+    keys = list(keys)
+    step = F.struct(F.col(pos).alias("p"), F.struct(*cols).alias("m"))
+    chunk = (F.floor(F.col(pos) / width) if levels > 1 else F.lit(0)).cast("long").alias("__c")
+    g = maps.groupBy(*keys, chunk).agg(F.array_sort(F.collect_list(step)).alias("__m"))
+    if levels > 1:
+        whole = F.aggregate("__m", identity, lambda f, x: compose(f, x["m"]))
+        upper = g.select(*keys, "__c", whole.alias("__f")).select(*keys, "__c", "__f.*")
+        g = g.join(entries(upper, keys, "__c", cols, compose, apply, start, identity, width, levels - 1), [*keys, "__c"])
+    else:
+        g = g.withColumn("entry", start)
+    kind = f"array<struct<p:{maps.schema[pos].dataType.simpleString()},entry:{g.schema['entry'].dataType.simpleString()}>>"
+    walked = F.aggregate("__m", F.struct(F.col("entry").alias("at"), F.expr(f"cast(array() as {kind})").alias("seen")),
+                         lambda s, x: F.struct(apply(s["at"], x["m"]).alias("at"), F.array_append(s["seen"], F.struct(x["p"].alias("p"), s["at"].alias("entry"))).alias("seen")))
+    return g.select(*keys, F.explode(walked["seen"]).alias("__s")).select(*keys, F.col("__s.p").alias(pos), F.col("__s.entry").alias("entry"))
+
+
+def range_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """0-based position of each row in the order of the whole table. Rows are dealt to ranges of the order, so no value of its first column need fit
+    one task; one row per range carries the counts across."""
+    from reelframe.session import cut
+
+    d = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = d.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
+    d = d.withColumn("__i", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    return d.join(base, "__range").select(*[c for c in df.columns if c != out], (F.col("__base") + F.col("__i") - 1).alias(out))

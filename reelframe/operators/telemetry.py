@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions.arrays import let
-from reelframe.operators.ordered import rank0, running, sliding, top_k
+from reelframe.operators.ordered import entries, rank0, running, sliding, top_k
 
 
 def guarded_ratio(a: Column, b: Column, digits: int | None = None, empty: Column | None = None) -> Column:
@@ -198,65 +198,59 @@ def eta(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
         .drop("__s", "__n", "pos")
 
 
-def _ema_weights(decay: float, warmup: bool):
-    """log of the product of decays up to update m, and the weight of update m, as column functions.
+def _log_decay(decay: float, warmup: bool):
+    """Column functions: log of the product of the decays after update `base` up to update `m`, and the weight of update m.
 
-    With warm-up the decay is min(decay, (1+m)/(10+m)), whose product has the closed form
-    10! / ((m+2)...(m+10)) until the constant decay takes over.
+    With warm-up the decay is min(decay, (1+m)/(10+m)). Its product telescopes to nine factors, until the constant decay takes over
+    after update `turn`; for a decay of 1 it never does.
     """
     if not warmup:
-        return (lambda m: m * math.log(decay)), (lambda m: F.lit(1.0 - decay))
-    turn = 0
-    while (1 + turn + 1) / (10 + turn + 1) < decay:
-        turn += 1
+        return (lambda m, base: (m - base) * math.log(decay)), (lambda m: F.lit(1.0 - decay))
+    turn = None if decay == 1 else max(0, math.ceil((10 * decay - 1) / (1 - decay)) - 1)
 
-    def log_poly(m):
-        e = F.lit(math.log(math.factorial(10)))
+    def warm(m, base):
+        e = F.lit(0.0)
         for k in range(2, 11):
-            e = e - F.log(m.cast("double") + k)
+            e = e - F.log1p((m - base) / (base.cast("double") + k))
         return e
 
-    at_turn = math.log(math.factorial(10)) - sum(math.log(turn + k) for k in range(2, 11))
+    def log_decay(m, base):
+        if turn is None:
+            return warm(m, base)
+        t = F.lit(turn).cast("long")
+        low, high = F.least(m, t), F.least(base, t)
+        return warm(low, high) + ((m - low) - (base - high)) * math.log(decay)
 
-    def logp(m):
-        return F.when(m <= turn, log_poly(m)).otherwise(at_turn + (m - turn) * math.log(decay))
-
-    def weight(m):
-        return F.lit(1.0) - F.least(F.lit(decay), (m + 1) / (m + 10.0))
-
-    return logp, weight
+    return log_decay, lambda m: F.lit(1.0) - F.least(F.lit(decay), (m + 1) / (m + 10.0))
 
 
 def ema(df: DataFrame, keys: list[str], order: str, value: str, decay: float = 0.99, warmup: bool = False,
-        out: str = "ema") -> DataFrame:
+        out: str = "ema", rows: int = 4096) -> DataFrame:
     """Exponential moving average per group; the first value starts it, a null value leaves it as it is.
 
-    The recurrence is linear, so a block sums its own weighted values and hands one number to the later
-    blocks; a block decays by about e^-5, and what is more than e^-45 of its weight away is left out, which is below double precision
-    for values of like size. A decay of 1 keeps the first value.
+    An update is the affine map e -> d * e + (1 - d) * x. Blocks of `rows` updates (fewer where the decay is so strong that their weights would leave
+    the range of doubles) sum their own weighted values; a block is one map, and the entries of all blocks come from
+    `ordered.entries`. Every value counts, however far back; a decay of 1 without warm-up keeps the first value.
     """
     if not 0 < decay <= 1:
         raise ValueError("decay must be over 0 and at most 1")
-    if decay == 1 and not warmup:
-        firsts = rank0(df.filter(F.col(value).isNotNull()), keys, order, "__m").filter("__m = 0").select(*keys, order, F.col(value).cast("double").alias("__e"))
-        return running(df.join(firsts, [*keys, order], "left"), keys, order, {out: ("last", F.col("__e"))}).drop("__e")
-    decay = min(decay, 1.0 - 1e-12)
-    width = max(1, math.ceil(5.0 / -math.log(decay)))
-    back = math.ceil(45.0 / (width * -math.log(decay))) + 1
-    logp, weight = _ema_weights(decay, warmup)
+    width = rows if decay == 1 else max(1, min(rows, int(300.0 / -math.log(decay))))
+    log_decay, weight = _log_decay(decay, warmup)
     seen = rank0(df.filter(F.col(value).isNotNull()), keys, order, "__m")
-    m, b = F.col("__m"), F.floor(F.col("__m") / width)
-    base = F.col("__b") * width
+    m = F.col("__m")
+    seen = seen.withColumn("__b", F.floor(m / width))
+    base = F.greatest(F.col("__b") * width - 1, F.lit(0).cast("long"))
     w = F.when(m == 0, F.lit(1.0)).otherwise(weight(m))
-    seen = seen.withColumn("__b", b).withColumn("__t", w * F.col(value) * F.exp(logp(base) - logp(m)))
-    # sum of a block, scaled to its start
-    tot = seen.groupBy(*keys, "__b").agg(F.sum("__t").alias("__s"))
-    carry = tot.withColumn("__to", F.explode(F.sequence(F.col("__b") + 1, F.col("__b") + back)))
-    carry = carry.groupBy(*keys, F.col("__to").alias("__b")).agg(
-        F.sum(F.col("__s") * F.exp(logp(F.col("__to") * width) - logp(base))).alias("__c"))
+    seen = seen.withColumn("__t", w * F.col(value) * F.exp(-log_decay(m, base)))
+    # block 0 starts the average: what enters it has no weight
+    kept = F.when(F.col("__b") == 0, 0.0).otherwise(F.exp(log_decay(F.col("__top"), base)))
+    maps = seen.groupBy(*keys, "__b").agg(F.sum("__t").alias("__s"), F.max("__m").alias("__top"))
+    maps = maps.select(*keys, "__b", kept.alias("a"), (F.col("__s") * F.exp(log_decay(F.col("__top"), base))).alias("s"))
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("s"))
+    compose = lambda f, x: F.struct((x["a"] * f["a"]).alias("a"), (x["a"] * f["s"] + x["s"]).alias("s"))
+    carry = entries(maps, keys, "__b", ["a", "s"], compose, lambda e, x: x["a"] * e + x["s"], F.lit(0.0), one)
     win = Window.partitionBy(*keys, "__b").orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
     local = seen.withColumn("__l", F.sum("__t").over(win))
-    got = local.join(carry, [*keys, "__b"], "left").select(
-        *keys, order, ((F.col("__l") + F.coalesce("__c", F.lit(0.0))) * F.exp(logp(m) - logp(base))).alias("__e"))
+    got = local.join(carry, [*keys, "__b"]).select(*keys, order, ((F.col("__l") + F.col("entry")) * F.exp(log_decay(m, base))).alias("__e"))
     d = df.join(got, [*keys, order], "left")
     return running(d, keys, order, {out: ("last", F.col("__e"))}).drop("__e")

@@ -94,7 +94,23 @@ def reproject_frame(v):
     return d.select("i", "j", "x", "y", R("target", d=5), R("weight", d=9))
 
 
-@query("stitch_windows")
+@query("stitch_windows", """
+    WITH RECURSIVE o AS (SELECT u AS clip, row_number() OVER (PARTITION BY u ORDER BY frame * 64 + v) - 1 AS pos, depth FROM depth_px),
+    n AS (SELECT clip, count(*) AS n FROM o GROUP BY clip),
+    w AS (SELECT clip, k, p, least(CASE WHEN k = 0 THEN p WHEN p = 0 THEN 0 WHEN p = 1 THEN 4 * k - 1 ELSE 4 * k + p END, n - 1) AS pos
+          FROM n, range((SELECT max(n) FROM n)) a(k), range(8) b(p) WHERE 4 * k < n),
+    x AS (SELECT clip, k, p, i AS pix, CASE WHEN i = 0 THEN depth ELSE depth * 0.7 + 0.2 END * (1 + k % 3 * 0.1::DOUBLE) + k % 2 * 0.05::DOUBLE AS d FROM w JOIN o USING (clip, pos), range(2) c(i)),
+    l AS (SELECT clip, k, list(d ORDER BY pix) FILTER (p = 0) AS a, list(d ORDER BY pix) FILTER (p = 1) AS b, list(d ORDER BY pix) FILTER (p = 3) AS c FROM x GROUP BY clip, k),
+    j AS (SELECT l.clip, l.k, l.a || l.b AS q, z.a AS r0, y.c AS r1 FROM l JOIN l z ON z.clip = l.clip AND z.k = 0 JOIN l y ON y.clip = l.clip AND y.k = l.k - 1),
+    f AS (SELECT clip, 0::BIGINT AS k, 1::DOUBLE AS s, 0::DOUBLE AS b FROM n
+      UNION ALL SELECT clip, k, CASE WHEN det <> 0 THEN (a11 * b0 - a01 * b1) / det ELSE 1 END, CASE WHEN det <> 0 THEN (a00 * b1 - a01 * b0) / det ELSE 0 END
+      FROM (SELECT *, a00 * a11 - a01 * a01 AS det FROM (SELECT clip, k, list_sum(list_transform(q, lambda v: v * v)) AS a00, list_sum(q) AS a01, len(q)::DOUBLE AS a11,
+              list_sum(list_transform(t, lambda v, i: v * q[i])) AS b0, list_sum(t) AS b1
+            FROM (SELECT j.clip, j.k, j.q, j.r0 || CASE WHEN j.k = 1 THEN j.r1 ELSE list_transform(j.r1, lambda v: greatest(f.s * v + f.b, 0)) END AS t FROM f JOIN j ON j.clip = f.clip AND j.k = f.k + 1)))),
+    e AS (SELECT clip, 4 * k + p AS frame, pix, CASE WHEN k = 0 THEN d ELSE greatest(d * s + b, 0) END
+            * CASE WHEN k > 0 AND p < 4 THEN p - 2 WHEN p >= 6 AND k < max(k) OVER (PARTITION BY clip) THEN 7 - p ELSE 1 END AS d
+          FROM x JOIN f USING (clip, k) WHERE k = 0 OR p >= 2)
+    SELECT clip, frame, CAST(pix AS INT) AS pix, round(sum(d), 5) AS depth FROM e JOIN n USING (clip) WHERE frame < n GROUP BY clip, frame, pix""")
 def stitch_windows_query(v):
     """Each frame's pixel column is a clip; positions are its frames in order, seen through short windows."""
     d = v.depth_px.select(F.col("u").alias("clip"), (F.col("frame") * 64 + F.col("v")).alias("ord"), "depth")

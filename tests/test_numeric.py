@@ -306,6 +306,31 @@ def test_stitch_equals_sequential(spark, low):
             assert got[(f, i)] == pytest.approx(out[f][i], abs=1e-6)
 
 
+def test_stitch_of_many_windows(spark):
+    """One clip of 10,000 windows, with values that the clamp changes; two pixels, so that a fit is a plain 2 x 2 solution."""
+    rng = np.random.default_rng(5)
+    n, npix = 10_000, 2
+    win = rng.uniform(-0.5, 2.0, (n, 8, npix))
+    fit, prev = [], win[0, 3]
+    for k in range(1, n):
+        q, t = np.concatenate([win[k, 0], win[k, 1]]), np.concatenate([win[0, 0], prev])
+        a00, a01, a11, b0, b1 = q @ q, q.sum(), 4.0, q @ t, t.sum()
+        det = a00 * a11 - a01 * a01
+        s, b = (a11 * b0 - a01 * b1) / det, (a00 * b1 - a01 * b0) / det
+        fit.append((s, b))
+        prev = np.maximum(win[k, 3] * s + b, 0)
+    k, p, i = np.meshgrid(np.arange(n), np.arange(8), np.arange(npix), indexing="ij")
+    d = spark.createDataFrame(pd.DataFrame({"clip": "a", "window": k.ravel(), "slot": p.ravel().astype(np.int32), "pix": i.ravel().astype(np.int32), "depth": win.ravel()}))
+    nf = spark.createDataFrame([("a", 4 * n)], "clip string, n long")
+    rows = stitch_windows(d, nf, "clip", 8, 4, 2, 3).filter("frame % 4 = 1 AND frame > 8").collect()
+    got = {(r["frame"], r["pix"]): r["depth"] for r in rows}
+    # slot 5 of a window is in no overlap
+    for w in range(2, n - 1):
+        s, b = fit[w - 1]
+        for x in range(npix):
+            assert got[4 * w + 5, x] == pytest.approx(max(win[w, 5, x] * s + b, 0), abs=1e-6)
+
+
 def test_grid_nms_and_resize(spark):
     x = RNG.random((9, 11))
     d = spark.createDataFrame([(x.ravel().tolist(), 9, 11)], "px array<double>, h int, w int")
@@ -334,6 +359,26 @@ def test_total_track_loss_is_flagged(spark):
     assert got == {1: (10, False), 2: (0, True), 3: (10, False)}
 
 
+def test_tracks_of_two_clips_do_not_meet(spark):
+    obs = [(c, 0, f, k, float(k), 1.0) for c in ("a", "b") for f in range(4) for k in range(5) if c == "a" or f < 2 or k < 1]
+    obs = spark.createDataFrame(obs, "clip string, view_id int, frame int, kp int, u double, v double")
+    pairs = tracks.consecutive_frames(obs, ["clip"])
+    got = {(r.clip, r.frame): (r.n, r.lost) for r in tracks.track_loss(obs, pairs, keys=["clip"]).collect()}
+    assert got == {("a", 1): (5, False), ("a", 2): (5, False), ("a", 3): (5, False), ("b", 1): (5, False), ("b", 2): (1, True), ("b", 3): (1, False)}
+    assert {(r.clip, r.a, r.n) for r in tracks.displacement(obs, pairs, ["clip"]).collect()} == {(c, f - 1, n) for (c, f), (n, _) in got.items()}
+    chains = tracks.persistence(obs, keys=["clip"]).filter("frame = 3").collect()
+    assert {(r.clip, r.kp, r.chain) for r in chains} == {("a", k, 3) for k in range(5)} | {("b", 0, 3)}
+
+
+def test_every_kind_of_log_line_has_its_status(spark):
+    from reelframe.plans.telemetry import job_status_counts
+
+    line = lambda wall: f"[rank 1] 1/9 a wall={wall}s cpu=1.5s gpu_busy=Nones gpu_util=None% cores_busy=1.0"
+    logs = spark.createDataFrame([(line("7.00"),), (line("2.00"),), (line("0.00"),), ("[rank 1] FAILED a: no frame: 7",), ("loading models",)], "line string")
+    row = job_status_counts(type("Given", (), {"logs": logs})).first()
+    assert (row.done, row.missing, row.failed) == (1, 1, 2)
+
+
 def test_nan_depths_are_no_depths(spark):
     px = spark.createDataFrame([(f, u, v, float("nan") if f else 2.0) for f in (0, 10) for u in range(20) for v in range(20)], "frame int, u int, v int, depth double")
     per, low = D.coverage_score(px, "frame", 20, 20)

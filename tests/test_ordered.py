@@ -136,6 +136,44 @@ def test_ema_over_many_blocks(spark):
             assert got[t] == (None if c is None else pytest.approx(c, rel=1e-9))
 
 
+@pytest.mark.parametrize("decay, warm, rows", [(0.9999999, False, 64), (0.9999999, True, 50), (1.0, True, 64), (0.5, False, 4096), (1e-200, False, 7), (0.97, True, 3)])
+def test_ema_counts_every_value(spark, decay, warm, rows):
+    from reelframe.operators.telemetry import ema
+
+    n = 3000
+    x = np.random.default_rng(7).normal(0, 1, size=n) + 1000.0 * (np.arange(n) < 5)
+    d = spark.createDataFrame(pd.DataFrame({"k": "a", "t": np.arange(n), "x": x}))
+    got = {r["t"]: r["ema"] for r in ema(d, ["k"], "t", "x", decay, warm, rows=rows).collect()}
+    c = x[0]
+    for t in range(1, n):
+        dec = min(decay, (1 + t) / (10 + t)) if warm else decay
+        c = dec * c + (1 - dec) * x[t]
+        assert got[t] == pytest.approx(c, rel=1e-9, abs=1e-9)
+
+
+def test_entries_of_a_chain(spark):
+    from reelframe.operators.ordered import entries
+
+    rng = np.random.default_rng(1)
+    rows = [(k, i, float(rng.uniform(-1.2, 1.2)), float(rng.normal())) for k, n in (("a", 1), ("b", 40), ("c", 333)) for i in range(n)]
+    maps = spark.createDataFrame(rows, "k string, i long, a double, s double")
+    compose = lambda f, x: F.struct((x["a"] * f["a"]).alias("a"), (x["a"] * f["s"] + x["s"]).alias("s"))
+    got = entries(maps, ["k"], "i", ["a", "s"], compose, lambda e, x: x["a"] * e + x["s"], F.lit(2.0), F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("s")), width=7)
+    at, want = {}, {}
+    for k, i, a, s in rows:
+        want[k, i] = at.get(k, 2.0)
+        at[k] = a * want[k, i] + s
+    assert {(r.k, r.i): pytest.approx(r.entry, rel=1e-9, abs=1e-9) for r in got.collect()} == want
+
+
+def test_range_rank_of_one_hot_value(spark):
+    from reelframe.operators.ordered import range_rank
+
+    d = spark.createDataFrame([(i % 3 // 2, 1000 - i) for i in range(500)], "hot int, x int")
+    got = sorted((r["hot"], r["x"], r["at"]) for r in range_rank(d, ["hot", "x"], "at").collect())
+    assert [r[2] for r in got] == list(range(500))
+
+
 def test_ema_of_decay_one_keeps_the_first_value(spark):
     from reelframe.operators.telemetry import ema
 
