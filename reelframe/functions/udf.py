@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelframe.functions import arrays as X
+from reelframe.operators.ordered import fold_blocks
 from reelframe.operators.scoring import psnr, ssim
 
 
@@ -26,7 +27,7 @@ def iterator_processor(df: DataFrame, keys: list[str], pos: str, fn, schema: str
                        width: int = 4096) -> DataFrame:
     """Apply `fn(pdf)` to the ordered frames of a clip with `before` frames of history and `after` of
     look-ahead. A clip is cut into blocks that carry this context, so no task holds a whole clip; rows of the
-    context are dropped from the result. For state without a bound use `speculative_fold`.
+    context are dropped from the result. For state without a bound use `iterator_fold`.
     """
     p = F.col(pos)
     first, last = F.floor((p - after) / width), F.floor((p + before) / width)
@@ -42,6 +43,16 @@ def iterator_processor(df: DataFrame, keys: list[str], pos: str, fn, schema: str
     return d.groupBy(*keys, "__blk").applyInPandas(run, ddl)
 
 
+def iterator_fold(df: DataFrame, keys: list[str], pos: str, fn, schema: str, state: str, width: int = 65536) -> DataFrame:
+    """Apply `fn(pdf, state) -> (rows, state)` to the ordered frames of a clip, with a state of the type `state` that reaches from its first frame to its last.
+
+    The position counts without gaps. A clip is cut into blocks of `width` frames; the state a block ends with enters the next, and a block runs again only
+    where its entry changed (`ordered.fold_blocks`). `schema` lists the columns that `fn` returns, a row per frame.
+    """
+    cols = [c for c in df.columns if c not in keys and c != pos]
+    return fold_blocks(df, keys, pos, cols, fn, state, schema, width)[0]
+
+
 _CACHE: dict = {}
 
 

@@ -201,67 +201,72 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, qs: dict[st
     return d.select(*keys, *[F.col(f"__p_{n}").alias(n) for n in qs])
 
 
-def speculative_fold(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], fold, state: str,
-                     out: str, width: int = BLOCK) -> DataFrame:
-    """Order-dependent fold whose state is one value, run block by block in parallel.
-
-    `fold(pdf, state)` returns (list of outputs, end state) for one block; every block first runs from an
-    unknown state (None), then only the blocks whose entry state turned out different run again, until no
-    entry changes. Folds that forget their start settle after a few rounds.
+def fold_blocks(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], fold, state: str, outs: str,
+                width: int = BLOCK, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Order-dependent fold over a dense position, block by block in parallel: its rows (keys, pos, outs) and its end (keys, state) per group.
+
+    `fold(pdf, state)` returns (frame with the columns of `outs`, end state) for one block in order; the state is any value of the type `state`, None at
+    the beginning of a group that `start` (keys, state) does not name. Every block first runs from None, then only the blocks whose
+    entry turned out different run again, until no entry changes. Folds that forget their start settle after a few rounds; one that never forgets takes a
+    round per block. A block is one task's work, whatever the size of its group.
     """
     import pandas as pd
 
     from reelframe.session import cut
 
     keys = list(keys)
-    base = df.select(*keys, pos, *cols).withColumn(_B, F.floor(F.col(pos) / width).cast("long"))
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields
-                        if f.name in [*keys, _B])
-    pos_type = base.schema[pos].dataType.simpleString()
-    firsts = base.groupBy(*keys).agg(F.min(_B).alias("__first"))
+    base = df.select(*keys, pos, *[c for c in cols if c != pos]).withColumn(_B, F.floor(F.col(pos) / width).cast("long"))
+    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in [*keys, _B])
+    names = [p.strip().split()[0].strip("`") for p in outs.split(",")] if outs else []
+
+    def entry_of(pdf):
+        entry = pdf["__entry"].iloc[0]
+        return None if entry is None or (isinstance(entry, float) and pd.isna(entry)) else entry
 
     def ends(pdf):
         pdf = pdf.sort_values(pos)
-        entry = pdf["__entry"].iloc[0]
-        _, end = fold(pdf, None if pd.isna(entry) else entry)
-        return pdf[[*keys, _B]].head(1).assign(__entry=entry, __end=end)
+        entry = entry_of(pdf)
+        _, end = fold(pdf, entry)
+        return pd.DataFrame([[*pdf[[*keys, _B]].iloc[0], entry, end]], columns=[*keys, _B, "__entry", "__end"])
 
     def rows(pdf):
         pdf = pdf.sort_values(pos)
-        entry = pdf["__entry"].iloc[0]
-        o, _ = fold(pdf, None if pd.isna(entry) else entry)
-        return pdf[[*keys, _B, pos]].assign(**{out: o})
+        out, _ = fold(pdf, entry_of(pdf))
+        return pd.concat([pdf[[*keys, pos]].reset_index(drop=True), out[names].reset_index(drop=True)], axis=1)
 
     todo = base.select(*keys, _B).distinct().withColumn("__entry", F.lit(None).cast(state))
     known = None
     while True:
-        ran = base.join(todo, [*keys, _B]).groupBy(*keys, _B).applyInPandas(
-            ends, f"{key_ddl}, __entry {state}, __end {state}")
-        known = ran if known is None else known.join(todo, [*keys, _B], "left_anti").unionByName(ran)
-        known = cut(known)
+        ran = base.join(todo, [*keys, _B]).groupBy(*keys, _B).applyInPandas(ends, f"{key_ddl}, __entry {state}, __end {state}")
+        known = cut(ran if known is None else known.join(todo, [*keys, _B], "left_anti").unionByName(ran))
         w = Window.partitionBy(*keys).orderBy(_B)
-        todo = (
-            known.withColumn("__new", F.lag("__end").over(w))
-            .filter(~F.col("__new").eqNullSafe(F.col("__entry")))
-            .select(*keys, _B, F.col("__new").alias("__entry"))
-        )
-        todo = cut(todo)
+        seen = known.withColumn("__new", F.lag("__end").over(w))
+        if start is not None:
+            first = start.select(*keys, F.col("state").alias("__start"))
+            seen = seen.withColumn("__first", F.row_number().over(w) == 1).join(first, keys, "left").withColumn("__new", F.when(F.col("__first"), F.col("__start")).otherwise(F.col("__new")))
+        todo = cut(seen.filter(~F.col("__new").eqNullSafe(F.col("__entry"))).select(*keys, _B, F.col("__new").alias("__entry")))
         if todo.isEmpty():
             break
     entry = known.select(*keys, _B, "__entry")
-    return base.join(entry, [*keys, _B]).groupBy(*keys, _B).applyInPandas(
-        rows, f"{key_ddl}, `{pos}` {pos_type}, `{out}` boolean").drop(_B)
+    pos_type = base.schema[pos].dataType.simpleString()
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
+    done = base.join(entry, [*keys, _B]).groupBy(*keys, _B).applyInPandas(rows, f"{ddl}, `{pos}` {pos_type}, {outs}")
+    return done, known.groupBy(*keys).agg(F.max_by("__end", _B).alias("state"))
 
 
 def entries(maps: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], compose, apply, start: Column, identity: Column,
-            width: int = 256, levels: int = 3) -> DataFrame:
+            width: int = 256, levels: int | None = None) -> DataFrame:
     """State before each step of a chain of maps: (keys, pos, entry). `pos` counts from 0 without gaps in each group.
 
     A map is a struct of `cols`; `apply(state, map)` gives the next state, `compose(first, map)` one map for both, and `identity` is the map
     that changes nothing. Chunks of `width` maps are composed to one, whose entries are found the same way a level up; then each chunk is
-    walked from its entry. The top level walks one map per width ** (levels - 1) steps.
+    walked from its entry. There are as many levels as the longest chain needs; `maps` is read for that and on every level, so it should be stored.
     """
     keys = list(keys)
+    if levels is None:
+        longest, levels = maps.agg(F.coalesce(F.max(pos), F.lit(0))).first()[0], 1
+        while longest >= width**levels:
+            levels += 1
     step = F.struct(F.col(pos).alias("p"), F.struct(*cols).alias("m"))
     chunk = (F.floor(F.col(pos) / width) if levels > 1 else F.lit(0)).cast("long").alias("__c")
     g = maps.groupBy(*keys, chunk).agg(F.array_sort(F.collect_list(step)).alias("__m"))

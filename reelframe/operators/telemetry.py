@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions.arrays import let
 from reelframe.operators.ordered import entries, rank0, running, sliding, top_k
+from reelframe.session import cut
 
 
 def guarded_ratio(a: Column, b: Column, digits: int | None = None, empty: Column | None = None) -> Column:
@@ -245,7 +246,7 @@ def ema(df: DataFrame, keys: list[str], order: str, value: str, decay: float = 0
     # block 0 starts the average: what enters it has no weight
     kept = F.when(F.col("__b") == 0, 0.0).otherwise(F.exp(log_decay(F.col("__top"), base)))
     maps = seen.groupBy(*keys, "__b").agg(F.sum("__t").alias("__s"), F.max("__m").alias("__top"))
-    maps = maps.select(*keys, "__b", kept.alias("a"), (F.col("__s") * F.exp(log_decay(F.col("__top"), base))).alias("s"))
+    maps = cut(maps.select(*keys, "__b", kept.alias("a"), (F.col("__s") * F.exp(log_decay(F.col("__top"), base))).alias("s")))
     one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("s"))
     compose = lambda f, x: F.struct((x["a"] * f["a"]).alias("a"), (x["a"] * f["s"] + x["s"]).alias("s"))
     carry = entries(maps, keys, "__b", ["a", "s"], compose, lambda e, x: x["a"] * e + x["s"], F.lit(0.0), one)

@@ -81,9 +81,9 @@ def prune_keyframe(v):
     return G.prune_keyframe(v.edges, 60.0).select("i", "j", "age")
 
 
-@query("stream_dirty_refresh", """
+@query("dirty_refresh", """
     SELECT i, count(*) AS n, CAST(sum(age) AS BIGINT) + CASE WHEN i % 4 = 0 THEN 1000 ELSE 0 END AS s FROM edges GROUP BY i""")
-def stream_dirty_refresh(v):
+def dirty_refresh(v):
     e = v.edges
     derive = lambda d, extra: d.groupBy("i").agg(F.count("*").alias("n"), (F.sum("age") + extra).alias("s"))
     return G.refresh_dirty(derive(e, 0), e, e.filter("i % 4 = 0"), "i", lambda d: derive(d, 1000))

@@ -74,12 +74,40 @@ def stream_pair_frames(v):
     return MO.run(MO.pair_frames(raw, gen, ["name", "frame_idx", "metric"]))
 
 
-@query("stream_keyframes")
+_KEYFRAMES = """
+    WITH RECURSIVE s AS (SELECT run, sample_id, wall_s AS x, row_number() OVER w AS k, count(*) OVER (PARTITION BY run) AS n FROM sample_timing WINDOW w AS (PARTITION BY run ORDER BY sample_id)),
+    f AS (SELECT run, sample_id, k, n, x AS last, true AS keep FROM s WHERE k = 1
+      UNION ALL SELECT s.run, s.sample_id, s.k, s.n, CASE WHEN abs(s.x - f.last) > 24 THEN s.x ELSE f.last END, abs(s.x - f.last) > 24 FROM f JOIN s ON s.run = f.run AND s.k = f.k + 1)
+    SELECT run, sample_id FROM f WHERE keep OR k = n"""
+
+
+@query("stream_keyframes", _KEYFRAMES)
 def stream_keyframes(v):
-    return MO.run(ST.keyframes(_events(v), "run", "sample_id", "wall_s", 24.0)).filter("keep").select("run", "sample_id")
+    return ST.keyframes(_events(v), "run", "sample_id", "wall_s", 24.0).filter("keep").select("run", "sample_id")
+
+
+@query("keyframe_tracks", """
+    WITH RECURSIVE o AS (SELECT kp % 4 AS clip, view_id, frame, kp, u, v FROM observations),
+    s AS (SELECT clip, frame, avg(u) AS x, row_number() OVER w AS k, count(*) OVER (PARTITION BY clip) AS n FROM o GROUP BY clip, frame WINDOW w AS (PARTITION BY clip ORDER BY frame)),
+    v AS (SELECT a.clip, a.frame AS a, b.frame AS b, a.view_id, count(*) AS n, avg(sqrt((a.u - b.u) ** 2 + (a.v - b.v) ** 2)) AS d FROM o a JOIN o b USING (clip, view_id, kp) WHERE a.frame < b.frame GROUP BY ALL),
+    p AS (SELECT clip, a, b, CAST(sum(n) AS BIGINT) AS n, sum(d) AS d FROM v GROUP BY clip, a, b),
+    f AS (SELECT clip, frame, k, n, frame AS last, x, 0::BIGINT AS seen, true AS keep FROM s WHERE k = 1
+      UNION ALL SELECT clip, frame, k, n, CASE WHEN keep THEN frame ELSE last END, CASE WHEN keep THEN nx ELSE x END, CASE WHEN keep THEN 0 ELSE now END, keep
+      FROM (SELECT s.clip, s.frame, s.k, s.n, f.last, f.x, s.x AS nx, coalesce(p.n, 0) AS now,
+              abs(s.x - f.x) > 60 OR coalesce(p.d, 0) > 120 OR (f.seen > 0 AND (f.seen - coalesce(p.n, 0)) / f.seen::DOUBLE > 0.2) AS keep
+            FROM f JOIN s ON s.clip = f.clip AND s.k = f.k + 1 LEFT JOIN p ON p.clip = s.clip AND p.a = f.last AND p.b = s.frame))
+    SELECT clip, frame FROM f WHERE keep OR k = n""")
+def keyframe_tracks(v):
+    o = v.observations.withColumn("clip", F.col("kp") % 4)
+    tracks = F.array_sort(F.collect_list(F.struct("view_id", "kp", "u", "v")))
+    d = o.groupBy("clip", "frame").agg(F.avg("u").alias("x"), tracks.alias("tracks"))
+    path = scratch(v.spark, "frames")
+    d.repartitionByRange(4, "frame").sortWithinPartitions("frame").write.parquet(path)
+    C.stamp_order(v.spark, path)
+    return ST.keyframes(C.folder_stream(d, path, files_per_batch=1), "clip", "frame", "x", 60.0, tracks="tracks").filter("keep").select("clip", "frame")
 
 
-@query("keyframe_selection")
+@query("keyframe_selection", _KEYFRAMES)
 def keyframe_selection(v):
     d = rank0(v.sample_timing, ["run"], "sample_id", "pos")
     k = ST.keyframes_batch(d, "run", "pos", "wall_s", 24.0)
@@ -89,12 +117,12 @@ def keyframe_selection(v):
 @query("stream_chunks", """
     SELECT run, sample_id, CAST(floor((row_number() OVER (PARTITION BY run ORDER BY sample_id) - 1) / 16) AS BIGINT) AS chunk FROM sample_timing""")
 def stream_chunks(v):
-    return MO.run(ST.chunk_numbers(_events(v), "run", "sample_id", 16))
+    return ST.chunk_numbers(_events(v), "run", "sample_id", 16)
 
 
 @query("stream_ema", _FOLD.format(step="0.99::DOUBLE * f.e + 0.01::DOUBLE * s.x"))
 def stream_ema(v):
-    return MO.run(ST.ema(_events(v), "run", "sample_id", "gpu_busy_s", 0.99)).select("run", "sample_id", R("ema"))
+    return ST.ema(_events(v), "run", "sample_id", "gpu_busy_s", 0.99).select("run", "sample_id", R("ema"))
 
 
 @query("stream_smoothed", """
@@ -102,7 +130,7 @@ def stream_ema(v):
       WINDOW w AS (PARTITION BY rank ORDER BY sample_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), p AS (PARTITION BY rank ORDER BY sample_id))
     SELECT rank, sample_id, l[CAST(floor((len(l) - 1) / 2) AS INT) + 1] AS median, round(mean, 6) AS mean, max, round(g, 6) AS global_mean FROM d""")
 def stream_smoothed(v):
-    d = MO.run(ST.smoothed(_events(v), "rank", "sample_id", "wall_s", 20))
+    d = ST.smoothed(_events(v), "rank", "sample_id", "wall_s", 20)
     s = F.col("stats")
     return d.select("rank", "sample_id", s[0].alias("median"), R(s[1], "mean"), s[2].alias("max"), R(s[3], "global_mean"))
 
@@ -136,8 +164,28 @@ def stream_redetect(v):
     SELECT obj_id, first_frame, phrase, row_number() OVER (ORDER BY first_frame, obj_id) - 1 AS reg_id FROM f""")
 def stream_object_registry(v):
     path = scratch(v.spark, "objects")
-    v.objects.coalesce(1).write.parquet(path)
-    return MO.object_registry(C.folder_stream(v.objects, path)).select("obj_id", "first_frame", "phrase", "reg_id")
+    v.objects.repartitionByRange(8, "frame", "obj_id").write.parquet(path)
+    C.stamp_order(v.spark, path)
+    return MO.object_registry(C.folder_stream(v.objects, path, files_per_batch=2)).select("obj_id", "first_frame", "phrase", "reg_id")
+
+
+@query("stream_dirty_refresh", """
+    WITH e AS (SELECT i, j, CASE WHEN i % 8 = 0 THEN age * 3 WHEN i % 4 = 0 THEN age + 10 ELSE age END AS age FROM edges UNION ALL SELECT i, j + 1000, 1 FROM edges WHERE i % 16 = 0)
+    SELECT i, count(*) AS n, CAST(sum(age) AS BIGINT) AS s, max(age) AS oldest FROM e GROUP BY i""")
+def stream_dirty_refresh(v):
+    """All edges arrive, then changed ages, changed ages once more for some of them, and new edges."""
+    path = scratch(v.spark, "changes")
+    e = v.edges.select("i", "j", "age")
+    sets = [e, e.filter("i % 4 = 0").withColumn("age", F.col("age") + 10), e.filter("i % 8 = 0").withColumn("age", F.col("age") * 3),
+            e.filter("i % 16 = 0").select("i", (F.col("j") + 1000).alias("j"), F.lit(1).cast(e.schema["age"].dataType).alias("age"))]
+    for k, d in enumerate(sets):
+        d.write.parquet(f"{path}/{k}")
+    C.stamp_order(v.spark, path, "*/part-*")
+    derive = lambda d: d.groupBy("i").agg(F.count("*").alias("n"), F.sum("age").alias("s"), F.max("age").alias("oldest"))
+    # one file at a time: a change may come in many batches
+    stream = C.folder_stream(e, path, files_per_batch=1)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in derive(e).schema)
+    return MO.dirty_refresh(stream, ["i", "j"], "i", kinds, derive)[1]
 
 
 # --- user code -------------------------------------------------------------------------------------
@@ -159,6 +207,23 @@ def iterator_processor(v):
     return d.select("clip", "frame_idx", R("mixed"))
 
 
+@query("iterator_fold", """
+    WITH d AS (SELECT clip, frame_idx, tx, max(tx) OVER (PARTITION BY clip ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM poses)
+    SELECT clip, frame_idx, greatest(tx, coalesce(before, tx)) AS highest, CAST(count(*) FILTER (before IS NULL OR tx > before) OVER (PARTITION BY clip ORDER BY frame_idx) AS BIGINT) AS records FROM d""")
+def iterator_fold(v):
+    def fn(pdf, state):
+        import numpy as np
+        import pandas as pd
+
+        top, seen = (-np.inf, 0) if state is None else (state["top"], state["seen"])
+        x = pdf["tx"].to_numpy()
+        high = np.maximum.accumulate(np.maximum(x, top))
+        records = seen + np.cumsum(high > np.r_[top, high[:-1]])
+        return pd.DataFrame({"highest": high, "records": records}), {"top": float(high[-1]), "seen": int(records[-1])}
+
+    return U.iterator_fold(v.poses.select("clip", "frame_idx", "tx"), ["clip"], "frame_idx", fn, "highest double, records bigint", "struct<top:double,seen:bigint>", 32)
+
+
 @query("score_unit", """
     WITH p AS (SELECT pair_id, a.px_raw AS ra, b.px_raw AS rb FROM (SELECT * FROM frame_px WHERE side = 'raw') a JOIN (SELECT * FROM frame_px WHERE side = 'gen') b USING (pair_id)),
     d AS (SELECT pair_id, (unnest(ra)::DOUBLE + 1) / 2 AS x, (unnest(rb)::DOUBLE + 1) / 2 AS y FROM p),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.operators.ordered import rank0
+from reelframe.operators.ordered import range_rank
 from reelframe.operators.scoring import finalize, merge_accum, to_accum
+from reelframe.sources.files import scratch
 from reelframe.streaming.core import bounded, event_time, run_append, run_batches
+from reelframe.streaming.upsert import Upsert
 
 
 def load_parts(trace: DataFrame, width: str) -> DataFrame:
@@ -97,23 +99,60 @@ def best_so_far(df: DataFrame, key: str, value: str, epoch: str, init: float) ->
 
 
 def object_registry(objects: DataFrame) -> DataFrame:
-    """Registry ids in the order of first appearance (frame, object). A batch looks up its objects in the
-    registry written so far and appends the new ones."""
+    """Registry ids in the order of first appearance (frame, object) over batches that arrive in that order.
+
+    A batch takes the first appearance of each object, leaves out the objects that earlier batches numbered, and ranks the new ones over ranges of
+    (frame, object), so that no task orders a whole batch. How many were numbered before is the sum of one stored count per batch. A batch that runs again reads
+    what the batches before it wrote and gives the same ids.
+    """
     schema = "obj_id int, first_frame bigint, phrase string, reg_id bigint, batch int"
 
     def step(batch, batch_id, path):
         spark = batch.sparkSession
         first = batch.groupBy("obj_id").agg(F.min("frame").alias("first_frame"), F.min_by("phrase", F.struct("frame", "phrase")).alias("phrase"))
+        base = 0
         if batch_id > 0:
             known = spark.read.schema(schema).option("basePath", path).parquet(path).filter(F.col("batch") < batch_id)
-            base = known.agg(F.coalesce(F.max("reg_id") + 1, F.lit(0))).first()[0]
             first = first.join(known.select("obj_id"), "obj_id", "left_anti")
-        else:
-            base = 0
-        return rank0(first, [], ["first_frame", "obj_id"], "reg_id").withColumn("reg_id", F.col("reg_id") + base)
+            counts = spark.read.schema("n bigint, batch int").option("basePath", path + "-counts").parquet(path + "-counts")
+            base = counts.filter(F.col("batch") < batch_id).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        new = range_rank(first, ["first_frame", "obj_id"], "reg_id").withColumn("reg_id", F.col("reg_id") + base)
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        written = spark.read.schema(new.schema).parquet(f"{path}/batch={batch_id}")
+        written.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}-counts/batch={batch_id}")
+        return None
 
     return run_batches(objects, step, schema=schema).drop("batch")
 
 
+def dirty_refresh(changes: DataFrame, keys: list[str], by: str, derived_schema: str, derive, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Keep rows derived per `by` in step with a stream of changed source rows; returns (source, derived) as the last batch left them.
+
+    A change replaces the source row of its `keys` (the last one of a batch by arrival `seq`, where that column exists). The derived rows of the values of `by` that changed, and no others, are
+    made again from all their source rows by `derive(rows)`. Both tables write the hash buckets of changed values only, under the number of the batch, so a
+    repeated batch leaves the same rows.
+    """
+    spark = changes.sparkSession
+    path = scratch(spark, "stream")
+    kept = [f for f in changes.schema if f.name != "seq"]
+    source = Upsert(spark, f"{path}/source", [by], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), buckets)
+    derived = Upsert(spark, f"{path}/derived", [by], derived_schema, buckets)
+    names = [f.name for f in kept]
+
+    def step(batch, number):
+        if "seq" in batch.columns:
+            rest = [c for c in names if c not in keys]
+            batch = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("r")).select(*keys, "r.*")
+        dirty = batch.select(by).distinct()
+        same = source.read(number).join(dirty, by, "left_semi").join(batch.select(*keys), keys, "left_anti")
+        source.write(same.select(*names).unionByName(batch.select(*names)), dirty, number)
+        now = source.read(number + 1).join(dirty, by, "left_semi")
+        derived.write(derive(now), dirty, number)
+
+    q = changes.writeStream.foreachBatch(step).option("checkpointLocation", path + "/ckpt").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return source.read(), derived.read()
+
+
 def run(stream: DataFrame) -> DataFrame:
     return run_append(stream)

@@ -41,21 +41,21 @@ def rows(df, *cols):
 
 
 def test_chunks_continue_over_batches(spark, timing):
-    got = MO.run(ST.chunk_numbers(stream(timing), "run", "sample_id", 16))
+    got = ST.chunk_numbers(stream(timing), "run", "sample_id", 16)
     pdf = timing[0].toPandas().sort_values("sample_id")
     pdf["chunk"] = pdf.groupby("run").cumcount() // 16
     assert rows(got, "run", "sample_id", "chunk") == set(pdf[["run", "sample_id", "chunk"]].itertuples(index=False, name=None))
 
 
 def test_ema_equals_batch(spark, timing):
-    got = {r["sample_id"]: r["ema"] for r in MO.run(ST.ema(stream(timing), "run", "sample_id", "gpu", 0.9)).collect()}
+    got = {r["sample_id"]: r["ema"] for r in ST.ema(stream(timing), "run", "sample_id", "gpu", 0.9).collect()}
     want = {r["sample_id"]: r["ema"] for r in T.ema(timing[0], ["run"], "sample_id", "gpu", 0.9).collect()}
     assert got.keys() == want.keys()
     assert all((got[k] is None and want[k] is None) or got[k] == pytest.approx(want[k]) for k in got)
 
 
 def test_smoothed_equals_batch(spark, timing):
-    got = {r["sample_id"]: r["stats"] for r in MO.run(ST.smoothed(stream(timing), "rank", "sample_id", "wall_s", 20)).collect()}
+    got = {r["sample_id"]: r["stats"] for r in ST.smoothed(stream(timing), "rank", "sample_id", "wall_s", 20).collect()}
     for r in T.smoothed(timing[0].select("rank", "sample_id", "wall_s"), ["rank"], "sample_id", "wall_s", 20).collect():
         assert got[r["sample_id"]] == pytest.approx([r["median"], r["mean"], r["max"], r["global_mean"]])
 
@@ -63,7 +63,7 @@ def test_smoothed_equals_batch(spark, timing):
 def test_keyframes_equal_batch(spark, timing):
     from reelframe.operators.ordered import rank0
 
-    got = rows(MO.run(ST.keyframes(stream(timing), "run", "sample_id", "wall_s", 8.0)).filter("keep"), "run", "sample_id")
+    got = rows(ST.keyframes(stream(timing), "run", "sample_id", "wall_s", 8.0, width=8).filter("keep"), "run", "sample_id")
     d = rank0(timing[0], ["run"], "sample_id", "pos")
     k = ST.keyframes_batch(d, "run", "pos", "wall_s", 8.0, width=8).filter("keep")
     assert got == rows(d.join(k, ["run", "pos"]), "run", "sample_id")
@@ -91,17 +91,161 @@ def test_utilisation_join_equals_batch(spark, timing):
     assert rows(got, "sample_id", "tick") == rows(want, "sample_id", "tick") and want.count() > 120
 
 
-def test_registry_numbers_new_objects_once(spark, tmp_path):
-    path = str(tmp_path)
-    batches = [[(0, 5, "x"), (1, 2, "y")], [(2, 5, "z"), (2, 9, "w")], [(3, 1, "v"), (4, 2, "u")]]
-    for i, b in enumerate(batches):
-        d = spark.createDataFrame(b, "frame long, obj_id int, phrase string").coalesce(1)
-        d.write.mode("append").parquet(path)
-        for f in os.listdir(path):
-            if f.endswith(".parquet") and os.path.getmtime(os.path.join(path, f)) > 1_600_000_000:
-                os.utime(os.path.join(path, f), (1_500_000_000 + i * 100,) * 2)
-    got = MO.object_registry(C.folder_stream(d, path, files_per_batch=1))
-    assert rows(got, "obj_id", "reg_id") == {(5, 0), (2, 1), (9, 2), (1, 3)}
+def registry_case(spark, tmp_path):
+    """Twelve range files in six batches, objects that come again, one frame with half of them."""
+    rng = np.random.default_rng(3)
+    seen = [(int(f if k % 2 else 20), int(rng.integers(0, 400)), f"p{k}") for k, f in enumerate(rng.integers(0, 60, 1500))]
+    d = spark.createDataFrame(seen, "frame long, obj_id int, phrase string")
+    path = str(tmp_path / "objects")
+    d.repartitionByRange(12, "frame", "obj_id").write.parquet(path)
+    assert C.stamp_order(spark, path) == 12
+    first = {}
+    for f, o, p in sorted(seen):
+        first.setdefault(o, (f, p))
+    want = {(o, f, p, k) for k, (o, (f, p)) in enumerate(sorted(first.items(), key=lambda x: (x[1][0], x[0])))}
+    return C.folder_stream(d, path, files_per_batch=2), want
+
+
+def test_registry_over_many_files_and_batches(spark, tmp_path):
+    stream, want = registry_case(spark, tmp_path)
+    assert rows(MO.object_registry(stream), "obj_id", "first_frame", "phrase", "reg_id") == want
+
+
+def test_registry_batch_that_runs_again(spark, tmp_path, monkeypatch):
+    stream, want = registry_case(spark, tmp_path)
+    plain = C.run_batches
+
+    def twice(df, step, **kw):
+        def both(batch, number, path):
+            step(batch, number, path)
+            return step(batch, number, path)
+
+        return plain(df, both, **kw)
+
+    monkeypatch.setattr(MO, "run_batches", twice)
+    assert rows(MO.object_registry(stream), "obj_id", "first_frame", "phrase", "reg_id") == want
+
+
+def test_upsert_replaces_touched_buckets_only(spark, tmp_path):
+    from reelframe.streaming.upsert import Upsert
+
+    t = Upsert(spark, str(tmp_path / "t"), ["k"], "k int, x string", buckets=8)
+    frame = lambda r: spark.createDataFrame(r, "k int, x string")
+    assert t.read().count() == 0
+    base = frame([(k, "a") for k in range(40)])
+    t.write(base, base, 0)
+    change = frame([(3, "b"), (41, "n")])
+    gone = frame([(3, ""), (5, ""), (41, "")])
+    want = {(k, "a") for k in range(40) if k not in (3, 5)} | {(3, "b"), (41, "n")}
+    for _ in range(2):
+        t.write(change, gone, 1)
+        assert rows(t.read(), "k", "x") == want
+    assert len(list((tmp_path / "t/data/v=1").glob("bucket=*"))) <= 3
+    assert rows(t.read(before=1), "k", "x") == {(k, "a") for k in range(40)}
+    # a batch that stopped before its list was written is not seen
+    frame([(7, "lost")]).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(str(tmp_path / "t/data/v=2"))
+    assert rows(t.read(), "k", "x") == want
+    t.write(frame([]), frame([(k, "") for k in range(50)]), 2)
+    assert t.read().count() == 0
+
+
+def test_dirty_refresh_equals_the_batch_twin_after_repeats(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    now, folder = {}, str(tmp_path / "changes")
+    for k in range(4):
+        part = {(int(i), int(j)): int(rng.integers(0, 99)) for i, j in zip(rng.integers(0, 5 if k else 30, 60), rng.integers(0, 20, 60))}
+        now |= part
+        spark.createDataFrame([(i, j, a) for (i, j), a in part.items()], "i int, j int, age int").coalesce(1).write.parquet(f"{folder}/{k}")
+    assert C.stamp_order(spark, folder, "*/part-*") == 4
+    like = spark.createDataFrame([], "i int, j int, age int")
+    made = []
+
+    def derive(d):
+        made.append(d.select("i").distinct().count())
+        return d.groupBy("i").agg(F.count("*").alias("n"), F.sum("age").alias("s"))
+
+    class Twice:
+        """A stream whose batches each run twice."""
+
+        def __init__(self, df):
+            self.df = df
+
+        def __getattr__(self, name):
+            return getattr(self.df, name)
+
+        @property
+        def writeStream(self):
+            outer = self.df.writeStream
+
+            class Writer:
+                def foreachBatch(self, step):
+                    return outer.foreachBatch(lambda b, n: (step(b, n), step(b, n)))
+
+            return Writer()
+
+    source, derived = MO.dirty_refresh(Twice(C.folder_stream(like, folder, files_per_batch=1)), ["i", "j"], "i", "i int, n long, s long", derive, buckets=4)
+    assert rows(source, "i", "j", "age") == {(i, j, a) for (i, j), a in now.items()}
+    want = {}
+    for (i, _), a in now.items():
+        n, s = want.get(i, (0, 0))
+        want[i] = (n + 1, s + a)
+    assert rows(derived, "i", "n", "s") == {(i, n, s) for i, (n, s) in want.items()}
+    # the first batch makes all, the later ones only what changed
+    assert len(made) == 8 and max(made[2:]) <= 5 < made[0]
+
+
+def keyframes_of(frames, thresh):
+    """frames: (x, {(view, kp): (u, v)}) in order."""
+    kept, last, n = [], None, 0
+    for k, (x, seen) in enumerate(frames):
+        keep = last is None
+        if last is not None:
+            common = last[1].keys() & seen.keys()
+            views = {v for v, _ in common}
+            sparse = sum(np.mean([np.hypot(*np.subtract(last[1][c], seen[c])) for c in common if c[0] == v]) for v in views)
+            keep = abs(x - last[0]) > thresh or sparse > 2 * thresh or (n > 0 and (n - len(common)) / n > 0.2)
+            n = len(common)
+        if keep:
+            kept.append(k)
+            last, n = (x, seen), 0
+    return kept + [len(frames) - 1]
+
+
+def test_keyframes_by_tracks_over_batches_and_blocks(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    clips, out = {}, []
+    for clip, n in (("hot", 150), ("b", 30), ("c", 1)):
+        x, at, frames = 0.0, {}, []
+        for k in range(n):
+            x += rng.normal(0, 0.4)
+            at = {c: p for c, p in at.items() if rng.random() > 0.04} | {(int(rng.integers(2)), int(rng.integers(30))): (float(rng.uniform(0, 50)), 1.0) for _ in range(3)}
+            at = {c: (u + float(rng.normal(0, 0.7)), v) for c, (u, v) in at.items()}
+            frames.append((x, dict(at)))
+            out.append((clip, k, x, [(v, p, float(u), float(w)) for (v, p), (u, w) in at.items()]))
+        clips[clip] = frames
+    d = spark.createDataFrame(out, "clip string, frame int, x double, tracks array<struct<view_id:int,kp:int,u:double,v:double>>")
+    path = str(tmp_path / "frames")
+    d.repartitionByRange(3, "frame").write.parquet(path)
+    C.stamp_order(spark, path)
+    want = {(c, k) for c, f in clips.items() for k in keyframes_of(f, 2.0)}
+    got = ST.keyframes(C.folder_stream(d, path, files_per_batch=1), "clip", "frame", "x", 2.0, width=16, tracks="tracks")
+    assert got.count() == len(out)
+    assert rows(got.filter("keep"), "clip", "frame") == want
+    batch = ST.keyframes_batch(d, "clip", "frame", "x", 2.0, width=16, tracks="tracks").filter("keep")
+    assert rows(batch, "clip", "frame") == want
+    assert 20 < len(want) < 150
+
+
+def test_a_hot_key_is_several_tasks(spark):
+    from reelframe.operators.ordered import fold_blocks
+
+    d = spark.range(4000).select(F.lit("hot").alias("k"), F.col("id").alias("t"), (F.col("id") * 0.1).alias("x"))
+
+    def fold(pdf, state):
+        return pd.DataFrame({"n": [len(pdf)] * len(pdf)}), 1.0
+
+    done, ends = fold_blocks(d, ["k"], "t", ["x"], fold, "double", "n int", 250)
+    assert done.agg(F.max("n")).first()[0] == 250 and done.count() == 4000 and ends.count() == 1
 
 
 def test_tables_in_one_file_or_many_lose_no_rows(spark, tmp_path):
@@ -126,4 +270,4 @@ def test_keyed_state_refuses_files_out_of_order(spark, tmp_path):
             os.utime(f, (time.time() - 100 + k, time.time() - 100 + k))
     stream = C.folder_stream(frames, str(tmp_path / "in"), files_per_batch=1)
     with pytest.raises(Exception, match="out of order"):
-        C.run_append(ST.keyframes(stream, "clip", "frame", "x")).count()
+        ST.keyframes(stream, "clip", "frame", "x").count()
