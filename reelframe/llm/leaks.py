@@ -15,6 +15,11 @@ def words(c: Column) -> Column:
     return split_words(F.lower(c.cast("string")), GAP)
 
 
+def leaking_texts(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_text: str = "text", k: int = 5, share: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
+    """(sha, item, n_shared, n_item) by the SHA-256 of the texts, as `find_leaks` finds them: for removals, which a null or repeated id must not misguide."""
+    return _found(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")), bench.select(F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("body")), k, share, broadcast_rows)
+
+
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                k: int = 5, share: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """Pairs (doc_id, item_id, n_shared, n_item, containment) where a document holds at least `share` of an item's distinct k-word shingles.
@@ -30,10 +35,17 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     adaptive execution splits where a shingle is hot. Candidates are then
     held against all shingles of their items, word by word, in a second scan.
     """
-    need = lambda q: F.ceil(q * F.lit(share) - F.lit(1e-9)).cast("int")
     items = bench.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("body")).distinct()
-    items = items.withColumn("item", F.sha2("body", 256))
-    kinds = items.select("item", "body").distinct().select("item", words(F.col("body")).alias("w"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    found = _found(rows.select("body"), items.select("body"), k, share, broadcast_rows)
+    items = items.select("item_id", F.sha2("body", 256).alias("item"))
+    out = rows.select("doc_id", F.sha2("body", 256).alias("sha")).join(found, "sha").join(items.select("item_id", "item"), "item")
+    return out.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
+
+
+def _found(rows: DataFrame, items: DataFrame, k: int, share: float, broadcast_rows: int) -> DataFrame:
+    need = lambda q: F.ceil(q * F.lit(share) - F.lit(1e-9)).cast("int")
+    kinds = items.distinct().select(F.sha2("body", 256).alias("item"), words(F.col("body")).alias("w"))
     grams = [f"g{i}" for i in range(k)]
     sizes = rolling(kinds, "w", k, ["item"]).select("item", *grams).distinct().groupBy("item").agg(F.count("*").cast("int").alias("q"))
     kinds = staged(kinds.join(sizes, "item").withColumn("part", F.floor(F.log2("q")).cast("int")), "leak-items")
@@ -42,8 +54,6 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     sketch = sketch.select("item", "part", need(F.pow(F.lit(2), F.col("part"))).alias("least"), F.explode(F.slice("hs", F.lit(1), F.col("q") - need(F.col("q")) + 1)).alias("h"))
     sketch = staged(sketch, "leak-sketch")
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("body"))
     looked = rows.select(F.sha2("body", 256).alias("sha"), words(F.col("body")).alias("w"))
     looked = looked.withColumn("n", F.greatest(F.size("w") - (k - 1), F.least(F.size("w"), F.lit(1))))
     looked = rolling(looked, "w", k, ["sha", "n"]).select("sha", "n", F.xxhash64(*grams).alias("h"))
@@ -59,6 +69,4 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
         same = same.filter(F.col(g).eqNullSafe(F.col(f"i{g}")))
     same = same.select("sha", "item", "q", *grams).distinct().join(pairs, ["sha", "item"], "left_semi")
     counted = same.groupBy("sha", "item", "q").agg(F.count("*").cast("int").alias("n_shared")).filter(F.col("n_shared") >= need(F.col("q")))
-    found = staged(counted.select("sha", "item", "n_shared", F.col("q").alias("n_item")), "leaks")
-    out = rows.select("doc_id", F.sha2("body", 256).alias("sha")).join(found, "sha").join(items.select("item_id", "item"), "item")
-    return out.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()
+    return staged(counted.select("sha", "item", "n_shared", F.col("q").alias("n_item")), "leaks")

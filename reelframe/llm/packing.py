@@ -39,17 +39,18 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     return rows.mapInPandas(cut, PIECES)
 
 
-def fullest(left: dict[int, int], room: int) -> dict[int, int]:
-    """Lengths, at most as many of each as left has, whose sum is the largest within room; bit s of the set says that sum s can be had."""
-    sums, steps, mask = 1, [], (1 << (room + 1)) - 1
+def fullest(left: dict[int, int], room: int, slack: int = 0) -> dict[int, int]:
+    """Lengths, at most as many of each as left has, whose sum is the largest within room; bit s of the set says that sum s can be had. Longer lengths come first, and
+    once they reach within `slack` of the room the shorter ones are left for others."""
+    sums, steps, mask, enough = 1, [], (1 << (room + 1)) - 1, max(0, room - slack)
     for length in sorted((x for x in left if x <= room), reverse=True):
         many, take = min(left[length], room // length), 1
-        while many and not sums >> room & 1:
+        while many and not sums >> enough:
             take = min(take, many)
             steps.append((length, take, sums))
             sums |= sums << length * take & mask
             many, take = many - take, take * 2
-        if sums >> room & 1:
+        if sums >> enough:
             break
     at, chosen = sums.bit_length() - 1, {}
     for length, take, before in reversed(steps):
@@ -59,14 +60,14 @@ def fullest(left: dict[int, int], room: int) -> dict[int, int]:
     return chosen
 
 
-def minimum_slack(counts: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
+def with_slack(counts: dict[int, int], size: int, slack: int) -> list[tuple[dict[int, int], int]]:
     """(lengths of one sequence with how many of each, how often): always the longest piece left with the fullest company for it, removed
     as often as the pieces left allow. Every round uses up a length or leaves fewer of it than one sequence holds, so the rounds are bounded by size, not by the data."""
     left, plan = {k: n for k, n in counts.items() if n > 0}, []
     while left:
         longest = max(left)
         rest = {k: n - (k == longest) for k, n in left.items() if n - (k == longest) > 0}
-        bin_ = fullest(rest, size - longest)
+        bin_ = fullest(rest, size - longest, slack)
         bin_[longest] = bin_.get(longest, 0) + 1
         times = min(left[k] // n for k, n in bin_.items())
         plan.append((bin_, times))
@@ -74,6 +75,54 @@ def minimum_slack(counts: dict[int, int], size: int) -> list[tuple[dict[int, int
     return plan
 
 
+LEVELS = (0, 1, 2, 3, 5, 8, 13, 21, 34, 55)
+
+
+def sequences(plan: list[tuple[dict[int, int], int]]) -> int:
+    return sum(times for _, times in plan)
+
+
+def least_sequences(counts: dict[int, int], size: int) -> int:
+    return -(-sum(k * n for k, n in counts.items()) // size)
+
+
+def leveled(counts: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
+    """The plan with the fewest sequences over several slack levels, at once when one needs no more than all pieces together. Exact fills (level 0) use up the
+    short pieces that the last long ones would need; a level leaves them more of it and costs at most that much per sequence."""
+    best = None
+    for slack in LEVELS:
+        plan = with_slack(counts, size, slack)
+        if best is None or sequences(plan) < sequences(best):
+            best = plan
+        if sequences(best) == least_sequences(counts, size):
+            break
+    return best
+
+
+def minimum_slack(counts: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
+    """The best of the leveled plans, then repaired: the sequences with the most slack are taken apart together and planned anew, more of them at a time, while
+    that saves one."""
+    plan, width = leveled(counts, size), 4
+    while width <= 256 and sequences(plan) > least_sequences(counts, size):
+        slack = lambda entry: size - sum(k * n for k, n in entry[0].items())
+        kept, open_, room = [], [], width
+        for bin_, times in sorted(plan, key=slack, reverse=True):
+            apart = min(times, room)
+            room -= apart
+            open_ += [(bin_, apart)] if apart else []
+            kept += [(bin_, times - apart)] if times > apart else []
+        loose: dict[int, int] = {}
+        for bin_, times in open_:
+            for k, n in bin_.items():
+                loose[k] = loose.get(k, 0) + n * times
+        anew = leveled(loose, size)
+        if sequences(anew) < sequences(open_):
+            plan = kept + anew
+        else:
+            width *= 2
+    return plan
+
+
 def places(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, ranks, pieces of it per sequence, first sequence, offset of its first piece)."""
     used: dict[int, int] = {}
@@ -114,7 +163,7 @@ def pack(pieces: DataFrame, size: int = 1024, group_rows: int = 512) -> DataFram
 def pack_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; all rows and whole texts.
 
-    A document is the ids of its text, special tokens' strings read as plain text, and end_id. Null and empty texts are the end id
+    A document is the ids of its text, strings of the vocabulary's added tokens as those tokens, and end_id. Null and empty texts are the end id
     alone. Rows that repeat an id are documents of their own; null ids stay null. Only a document of more than `size` ids is cut, its first
     piece is the shorter one. Other columns are not looked at; an empty table gives an empty result.
     """

@@ -30,23 +30,32 @@ class WordIds(dict):
 
         names = byte_names()
         spec = json.loads(vocabulary)
-        special = {x["content"] for x in spec.get("added_tokens") or ()}
+        added = {x["content"]: x["id"] for x in spec.get("added_tokens") or ()}
         # ids of this vocabulary follow the order of its merges, so they are the ranks
-        ranks = {bytes(names[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
-        self.piece = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        ranks = {bytes(names[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in added}
+        # words are cut here, so the encoder's own pattern takes all of one
+        self.ids = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.full, self.room = regex.compile(PATTERN), room
+        self.added = {w: struct.pack("<I", i) for w, i in added.items()}
+        self.marks = re.compile("(" + "|".join(re.escape(w) for w in sorted(added, key=len, reverse=True)) + ")") if added else None
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.room:
             self.clear()
-        ids = self.piece(word.encode("utf-8", "replace"))
+        ids = self.ids(word)
         self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
-    def encode(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
         words = QUICK.findall(text) if LATIN.fullmatch(text) else self.full.findall(text)
         return b"".join(map(self.__getitem__, words))
 
+    def encode(self, text: str) -> bytes:
+        """Ids of a text; a string of an added token is that token, and what stands around it is cut into words by itself."""
+        if self.marks is None or not self.marks.search(text):
+            return self.plain(text)
+        return b"".join(self.added[part] if part in self.added else self.plain(part) for part in self.marks.split(text))
+
 
 _held: dict[str, WordIds] = {}
 

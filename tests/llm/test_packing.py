@@ -14,7 +14,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def ids():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -42,7 +41,7 @@ def check(rows, df, ids, size):
 
 
 def test_ids_pieces_and_places(table, prose, odd, ids):
-    texts = ["it's we'll  x'd\n\n  y \t z", "<|endoftext|> a", "naïve café № ½ ²³ ª 12345", " a\u0085b  c", "a_b __c -- ... !?", "é", " lead", "trail "]
+    texts = ["it's we'll  x'd\n\n  y \t z", "<|endoftext|> a", "x <|endoftext|>", "a  <|endoftext|><|endoftext|>\n b <|endoftext", "<|endoftext|>", "naïve café № ½ ²³ ª 12345", " a\u0085b  c", "a_b __c -- ... !?", "é", " lead", "trail "]
     rows = odd + [(100 + i, t) for i, t in enumerate(texts)] + [(200 + i, prose(i, 20 + 37 * i % 700)) for i in range(60)]
     n, bound = check(rows, pack_documents(table(rows), PATH), ids, 1024)
     assert n <= bound + 1
@@ -71,6 +70,30 @@ def test_fullest_is_a_subset_sum_optimum():
         assert sum(k * n for k, n in got.items()) == max(sums)
 
 
+def best_fit(counts, size):
+    """Sequences of best-fit decreasing."""
+    rooms = []
+    for k in sorted(counts, reverse=True):
+        for _ in range(counts[k]):
+            at = min((i for i, r in enumerate(rooms) if r >= k), key=rooms.__getitem__, default=None)
+            if at is None:
+                rooms.append(size - k)
+            else:
+                rooms[at] -= k
+    return len(rooms)
+
+
+def test_plan_is_no_worse_than_best_fit():
+    rng = random.Random(8)
+    for case in range(12):
+        counts = {}
+        for _ in range(rng.randint(50, 500)):
+            k = min(1024, int(rng.paretovariate(0.7) * 20)) if case % 2 else rng.randint(1, 1024)
+            counts[k] = counts.get(k, 0) + 1
+        n = sum(times for _, times in minimum_slack(counts, 1024))
+        assert n <= best_fit(counts, 1024)
+
+
 def test_plan_uses_every_piece_once():
     rng = random.Random(3)
     counts = {k: rng.randint(1, 50) for k in rng.sample(range(1, 1025), 300)}

@@ -13,7 +13,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parents[2]))
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from reelframe.llm import crf, simhash  # noqa: E402
+from reelframe.llm import crf  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -57,10 +57,15 @@ def test_exact(stages):
     assert set(after) == set(best.values())
 
 
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_near(stages):
+    """Against all pairs of the stage's input, by the Jaccard similarity of their 5-word shingles."""
     before, after = pairs(stages[2]), pairs(stages[3])
-
-    of = {i: simhash.fingerprint(t, 4, corpus_pipeline.LANES) for i, t in before.items()}
+    of = {i: shingle_set(t) for i, t in before.items()}
     up = {i: i for i in of}
 
     def find(i):
@@ -69,12 +74,25 @@ def test_near(stages):
         return i
 
     for a, b in combinations(sorted(of), 2):
-        if any((x ^ y).bit_count() <= 4 for x, y in zip(of[a], of[b])):
+        if of[a] == of[b] or len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]):
             x, y = find(a), find(b)
             up[max(x, y)] = min(x, y)
     assert set(after) == {find(i) for i in of}
 
 
+def test_removals_by_id_and_text(spark, data):
+    """Texts that share an id, or have none, are judged by themselves."""
+    item, second = (r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").orderBy("item_id").limit(2).collect())
+    words = [f"w{i}" for i in range(60)]
+    near, copy, clean, other = " ".join(words), " ".join([*words[:59], "x"]), " ".join(f"c{i}" for i in range(40)), " ".join(f"d{i}" for i in range(40))
+    rows = [(1, near), (2, copy), (2, clean), (None, copy + " y"), (None, other), (3, "before " + item), (3, clean + " z z z z"), (None, "without an id " + second), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, data).collect()}
+    assert left == {(i, t) for i, t in rows if t not in (copy, copy + " y", clean + " z z z z")}
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.drop_leaks(spark, docs, data).collect()}
+    assert left == {(i, t) for i, t in rows if item not in (t or "") and second not in (t or "")}
+
+
 def test_leaks(spark, data, stages):
     before, after = pairs(stages[3]), pairs(stages[4])
 
