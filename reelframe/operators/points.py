@@ -2,90 +2,133 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.operators.ordered import exact_percentiles, top_k
 from reelframe.session import cut
 
-MAX_CELL = 65536
+#: a node of the split tree is divided into FAN parts while it holds more than twice LEAF points
+LEAF, FAN = 256, 8
+
+
+def _box(coords: list[str]) -> list[Column]:
+    return [F.min(c).alias(f"lo_{i}") for i, c in enumerate(coords)] + [F.max(c).alias(f"hi_{i}") for i, c in enumerate(coords)]
 
 
-def _cells(coords: list[str], lows: list[float], size: Column) -> list[Column]:
-    return [F.floor((F.col(c) - lo) / size).alias(f"__c{i}") for i, (c, lo) in enumerate(zip(coords, lows))]
+def _norm(parts: list[Column]) -> Column:
+    total = parts[0] * parts[0]
+    for p in parts[1:]:
+        total = total + p * p
+    return F.sqrt(total)
+
+
+def split_tree(points: DataFrame, keys: list[str], coords: list[str], leaf: int = LEAF) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """A tree of bounding boxes balanced by counts: (roots, kids, leaves, depth). points: keys, `pid`, coords, few of them at one position.
+
+    A node of over 2 x `leaf` points is cut along its widest side at FAN - 1 quantiles and at its middle, which parts even heavily repeated values; the quantiles come from
+    mergeable sketches, so a node may be any share of the table. roots: keys, n and box; kids: keys, node, kids (a struct per child);
+    leaves: keys, node, points. Each level is one pass.
+    """
+    stat = lambda d, *by: d.groupBy(*by).agg(F.count("*").alias("n"), *_box(coords))
+    active = points.withColumn("node", F.lit(""))
+    roots, kids, leaves, depth = None, None, None, 0
+    spans = [F.col(f"hi_{i}") - F.col(f"lo_{i}") for i in range(len(coords))]
+    while True:
+        st = cut(stat(active, *keys, "node"))
+        if roots is None:
+            roots = st
+        else:
+            child = F.struct("node", "n", *[c for c in st.columns if c[:3] in ("lo_", "hi_")], (F.col("n") > 2 * leaf).alias("inner")).alias("kid")
+            new = st.select(*keys, F.regexp_replace("node", "/[^/]*$", "").alias("node"), child).groupBy(*keys, "node").agg(F.collect_list("kid").alias("kids"))
+            kids = new if kids is None else kids.unionByName(new)
+        ended = active.join(st.filter(F.col("n") <= 2 * leaf).select(*keys, "node"), [*keys, "node"])
+        ended = ended.groupBy(*keys, "node").agg(F.collect_list(F.struct("pid", *coords)).alias("points"))
+        leaves = ended if leaves is None else leaves.unionByName(ended)
+        big = st.filter(F.col("n") > 2 * leaf)
+        if big.isEmpty():
+            return roots, kids, cut(leaves), depth
+        side = F.greatest(*spans) if len(spans) > 1 else spans[0]
+        axis, middle = F.lit(0), (F.col("lo_0") + F.col("hi_0")) / 2
+        for i in range(len(coords) - 1, -1, -1):
+            axis = F.when(spans[i] == side, i).otherwise(axis)
+            middle = F.when(spans[i] == side, (F.col(f"lo_{i}") + F.col(f"hi_{i}")) / 2).otherwise(middle)
+        big = big.select(*keys, "node", axis.alias("axis"), middle.alias("middle"))
+        place = F.lit(None).cast("double")
+        for i, c in enumerate(coords):
+            place = F.when(F.col("axis") == i, F.col(c)).otherwise(place)
+        inside = active.join(big, [*keys, "node"]).withColumn("place", place)
+        marks = inside.groupBy(*keys, "node").agg(F.percentile_approx("place", [j / FAN for j in range(1, FAN)], 1000).alias("marks"))
+        part = F.size(F.filter(F.array_distinct(F.concat("marks", F.array("middle"))), lambda m: m < F.col("place")))
+        active = cut(inside.join(marks, [*keys, "node"]).withColumn("node", F.concat_ws("/", "node", part)).select(*active.columns))
+        depth += 1
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, coords: list[str], qid: str, pid: str,
-             keys: list[str] = (), strict: bool = True) -> DataFrame:
+             keys: list[str] = (), strict: bool = True, leaf: int = LEAF, count: list | None = None) -> DataFrame:
     """The k nearest points of every query by (distance, pid): exact, without pairing all points.
 
-    A pyramid of grid cells is counted. The smallest cell around a query that holds k points bounds its
-    k-th distance by the cell diagonal, and the 3^d cells of twice that size cover this radius; only
-    they are joined. At most k points per identical position are kept, since no more can be returned.
-    `strict`: a query group with fewer than k points is an error.
+    A query descends the `split_tree` of its group. At each level the farthest corner of a box with k points bounds its k-th distance, and boxes that begin
+    beyond the bound are left. The leaves that remain are opened nearest first, four times as many a round, while their boxes begin within the k-th distance
+    found so far. At most k points per identical position are kept, since no more can be returned; null coordinates never meet.
+    `strict`: a query group with fewer than k points is an error. `count` takes up the pairs formed in each round.
     """
-    keys, d = list(keys), len(coords)
-    # ids and coordinates only; written once for the four passes below
-    pts = cut(top_k(points.select(*keys, F.col(pid).alias("__pid"), *coords), [*keys, *coords], [F.col("__pid")], k))
-    q = queries.select(*keys, qid, *coords)
-    ext = pts.select(*coords).unionByName(q.select(*coords)).agg(
-        *[F.min(c) for c in coords], *[F.max(c) for c in coords], F.count("*")).first()
-    if ext[0] is None:
-        return _knn_empty(q, keys, qid)
-    lows, highs = list(ext[:d]), list(ext[d:2 * d])
-    span = max(max(h - lo for h, lo in zip(highs, lows)), 1e-12) * (1 + 1e-9)
-    depth = math.ceil(math.log2(ext[2 * d] + 1) / min(d, 2)) + 2
-    c = [f"__c{i}" for i in range(d)]
-    # finer cells while one of the finest still holds too many points
-    while depth < 48:
-        big = pts.select(*keys, *_cells(coords, lows, F.lit(span / 2 ** depth))).groupBy(*keys, *c).count() \
-            .agg(F.max("count")).first()[0]
-        if big is None or big <= max(MAX_CELL, 4 * k):
+    own, d = list(keys), len(coords)
+    keys = own or ["__all"]
+    whole = lambda df: df if own else df.withColumn("__all", F.lit(0))
+    known = F.lit(True)
+    for c in coords:
+        known = known & F.col(c).isNotNull()
+    pts = whole(points).filter(known).select(*keys, F.col(pid).alias("pid"), *[F.col(c).cast("double").alias(c) for c in coords])
+    pts = cut(top_k(pts, [*keys, *coords], [F.col("pid")], k))
+    roots, kids, leaves, depth = split_tree(pts, keys, coords, max(leaf, k))
+    at = [F.col(f"q_{i}") for i in range(d)]
+    q = whole(queries).select(*keys, F.col(qid).alias("qid"), *[F.col(c).cast("double").alias(f"q_{i}") for i, c in enumerate(coords)])
+    far = float("inf")
+    near_of = lambda b: _norm([F.greatest(b[f"lo_{i}"] - at[i], at[i] - b[f"hi_{i}"], F.lit(0.0)) for i in range(d)])
+    far_of = lambda b: _norm([F.greatest(F.abs(b[f"lo_{i}"] - at[i]), F.abs(b[f"hi_{i}"] - at[i])) for i in range(d)])
+    root = F.struct(F.lit("").alias("node"), (F.col("n") > 2 * max(leaf, k)).alias("inner"), near_of({f"{s}_{i}": F.col(f"{s}_{i}") for s in ("lo", "hi") for i in range(d)}).alias("near"))
+    line = [*keys, "qid", *[f"q_{i}" for i in range(d)]]
+    state = q.join(roots, keys).select(*line, F.lit(far).alias("bound"), F.array(root).alias("open"))
+    for _ in range(depth):
+        # boxes without children stay as they are
+        inner = state.select(*line, "bound", F.explode(F.filter("open", lambda b: b["inner"])).alias("b"))
+        opened = inner.withColumn("node", F.col("b.node")).join(kids, [*keys, "node"])
+        boxes = F.transform("kids", lambda b: F.struct(b["node"].alias("node"), b["inner"].alias("inner"), near_of(b).alias("near")))
+        least = F.array_min(F.transform("kids", lambda b: F.when(b["n"] >= k, far_of(b)).otherwise(F.lit(far))))
+        opened = opened.select(*line, F.least("bound", least).alias("bound"), boxes.alias("open"))
+        stay = state.select(*line, "bound", F.filter("open", lambda b: ~b["inner"]).alias("open"))
+        state = opened.unionByName(stay).groupBy(*line).agg(F.min("bound").alias("bound"), F.flatten(F.collect_list("open")).alias("open"))
+        state = cut(state.withColumn("open", F.filter("open", lambda b: b["near"] <= F.col("bound"))))
+    kind = f"array<struct<dist:double,pid:{pts.schema['pid'].dataType.simpleString()}>>"
+    todo = F.array_sort(F.transform("open", lambda b: F.struct(b["near"].alias("near"), b["node"].alias("node"))))
+    state = state.select(*line, todo.alias("todo"), F.expr(f"cast(array() as {kind})").alias("best"))
+    done, many = None, 1
+    while True:
+        ask = state.select(*line, F.explode(F.slice("todo", 1, many)).alias("b")).withColumn("node", F.col("b.node"))
+        dist = F.transform("points", lambda p: F.struct(_norm([at[i] - p[c] for i, c in enumerate(coords)]).alias("dist"), p["pid"].alias("pid")))
+        met = ask.join(leaves, [*keys, "node"])
+        if count is not None:
+            count.append(met.agg(F.coalesce(F.sum(F.size("points")), F.lit(0))).first()[0])
+        found = met.select(*line, F.slice(F.array_sort(dist), 1, k).alias("best"))
+        rest = state.select(*line, "best", F.slice("todo", many + 1, F.greatest(F.size("todo"), F.lit(1))).alias("todo"))
+        both = found.withColumn("todo", F.lit(None).cast(rest.schema["todo"].dataType)).unionByName(rest)
+        merged = both.groupBy(*line).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"), F.max("todo").alias("todo"))
+        kth = F.when(F.size("best") >= k, F.get("best", F.lit(k - 1))["dist"]).otherwise(F.lit(far))
+        state = cut(merged.withColumn("todo", F.filter("todo", lambda b: b["near"] <= kth)))
+        ready = state.filter(F.size("todo") == 0)
+        done = ready if done is None else done.unionByName(ready)
+        state, many = state.filter(F.size("todo") > 0), many * 4
+        if state.isEmpty():
             break
-        depth += 6
-    level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("__lv")
-    size = F.lit(span) / F.pow(F.lit(2.0), F.lit(depth) - F.col("__lv"))
-    dense = pts.select("*", level).select(*keys, "__lv", *_cells(coords, lows, size)) \
-        .groupBy(*keys, "__lv", *c).agg(F.count("*").alias("__n")).filter(F.col("__n") >= k).drop("__n")
-    ql = q.select("*", level).select("*", *_cells(coords, lows, size))
-    found = ql.join(dense, [*keys, "__lv", *c], "left_semi").groupBy(*keys, qid).agg(F.min("__lv").alias("__lv"))
-    # the whole extent is split in at most 2^d cells at the top level: one level above holds everything
-    need = q.join(found, [*keys, qid], "left").withColumn("__lv", F.coalesce("__lv", F.lit(depth + 1)))
-    need = cut(need)
-    used = [r[0] for r in need.select("__lv").distinct().collect()]
-    if not used:
-        return _knn_empty(q, keys, qid)
-    up = F.lit(span) / F.pow(F.lit(2.0), F.lit(depth) - F.col("__lv") - 1)
-    near = need.select("*", *_cells(coords, lows, up))
-    for x in c:
-        near = near.withColumn(x, F.explode(F.sequence(F.col(x) - 1, F.col(x) + 1)))
-    cand_pts = pts.select("*", F.explode(F.array(*[F.lit(u) for u in sorted(used)])).alias("__lv"))
-    cand_pts = cand_pts.select(*keys, "__pid", *[F.col(x).alias("__p_" + x) for x in coords], "__lv",
-                               *[e.alias(f"__c{i}") for i, e in enumerate(_cells(coords, lows, up))])
-    j = near.join(cand_pts, [*keys, "__lv", *c])
-    sq = None
-    for x in coords:
-        t = (F.col(x) - F.col("__p_" + x)) * (F.col(x) - F.col("__p_" + x))
-        sq = t if sq is None else sq + t
-    j = j.withColumn("dist", F.sqrt(sq))
-    radius = F.lit(math.sqrt(d) * span) / F.pow(F.lit(2.0), F.lit(depth) - F.col("__lv"))
-    # above the top level nothing bounds the distance
-    j = j.filter((F.col("__lv") > depth) | (F.col("dist") <= radius * (1 + 1e-9)))
-    near_k = top_k(j.select(*keys, qid, "__pid", "dist"), [*keys, qid], [F.col("dist"), F.col("__pid")], k)
-    out = near_k.withColumnRenamed("__pid", pid)
+    out = done.select(*own, F.col("qid").alias(qid), F.explode("best").alias("b")).select(*own, qid, F.col("b.pid").alias(pid), F.col("b.dist").alias("dist"))
     if not strict:
         return out
-    n = out.groupBy(*keys, qid).agg(F.count("*").alias("__n"))
-    chk = queries.select(*keys, qid).join(n, [*keys, qid], "left").select(
-        *keys, qid, F.when(F.coalesce("__n", F.lit(0)) < k, F.raise_error(F.lit(f"fewer than {k} points")))
+    n = out.groupBy(*own, qid).agg(F.count("*").alias("__n"))
+    chk = queries.select(*own, qid).join(n, [*own, qid], "left").select(
+        *own, qid, F.when(F.coalesce("__n", F.lit(0)) < k, F.raise_error(F.lit(f"fewer than {k} points")))
         .otherwise(F.lit(True)).alias("__ok"))
-    return out.join(chk.filter("__ok"), [*keys, qid]).drop("__ok")
-
-
-def _knn_empty(q: DataFrame, keys: list[str], qid: str) -> DataFrame:
-    return q.filter("false").select(*keys, qid, F.lit(None).cast("long").alias("pid"), F.lit(0.0).alias("dist"))
+    return out.join(chk.filter("__ok"), [*own, qid]).drop("__ok")
 
 
 def fill_nearest(missing: DataFrame, known: DataFrame, k: int, value: str, keys: list[str] = ("frame",)) -> DataFrame:

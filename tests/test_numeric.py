@@ -33,7 +33,7 @@ def test_knn_equals_brute_force(spark, case):
     p = spark.createDataFrame(pd.DataFrame(pts, columns=list("xyz")).assign(pid=np.arange(len(pts))))
     q = spark.createDataFrame(pd.DataFrame(qs, columns=list("xyz")).assign(qid=np.arange(len(qs))))
     got = {}
-    for r in P.knn_join(q, p, k, ["x", "y", "z"], "qid", "pid").collect():
+    for r in P.knn_join(q, p, k, ["x", "y", "z"], "qid", "pid", leaf=8).collect():
         got.setdefault(r["qid"], []).append((r["dist"], r["pid"]))
     for i, x in enumerate(qs):
         d = np.sqrt((x[0] - pts[:, 0]) ** 2 + (x[1] - pts[:, 1]) ** 2 + (x[2] - pts[:, 2]) ** 2)
@@ -41,6 +41,24 @@ def test_knn_equals_brute_force(spark, case):
         assert [b for _, b in sorted(got[i])] == [b for _, b in want]
 
 
+@pytest.mark.parametrize("case", ["far", "dense", "line"])
+def test_knn_forms_few_pairs(spark, case):
+    """Far queries, one dense cell with nine tenths of all points, and points on a line open a small part of the tree."""
+    n, k = 20_000, 3
+    pts = {"far": RNG.uniform(0, 1, (n, 3)), "dense": np.concatenate([RNG.uniform(0, 1e-6, (n * 9 // 10, 3)), RNG.uniform(0, 1, (n // 10, 3))]),
+           "line": np.stack([RNG.uniform(0, 1, n), np.zeros(n), np.zeros(n)], axis=1)}[case]
+    qs = {"far": RNG.uniform(50, 90, (40, 3)) * [1, -1, 1], "dense": np.concatenate([RNG.uniform(0, 1e-6, (20, 3)), RNG.uniform(-1, 2, (20, 3))]), "line": RNG.uniform(-1, 2, (40, 3))}[case]
+    p = spark.createDataFrame(pd.DataFrame(pts, columns=list("xyz")).assign(pid=np.arange(n)))
+    q = spark.createDataFrame(pd.DataFrame(qs, columns=list("xyz")).assign(qid=np.arange(len(qs))))
+    got, pairs = {}, []
+    for r in P.knn_join(q, p, k, ["x", "y", "z"], "qid", "pid", leaf=64, count=pairs).collect():
+        got.setdefault(r["qid"], []).append((r["dist"], r["pid"]))
+    for i, x in enumerate(qs):
+        d = np.sqrt((x[0] - pts[:, 0]) ** 2 + (x[1] - pts[:, 1]) ** 2 + (x[2] - pts[:, 2]) ** 2)
+        assert sorted(got[i]) == sorted(zip(d, range(n)))[:k]
+    assert sum(pairs) < 0.06 * n * len(qs)
+
+
 def test_knn_needs_enough_points(spark):
     p = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 1.0)], "pid long, x double, y double")
     q = p.withColumnRenamed("pid", "qid")
