@@ -40,12 +40,23 @@ def damp(a: DataFrame, ep: float, lam: float, value: str = "a") -> DataFrame:
     return a.withColumn(value, F.when(F.col("i") == F.col("j"), x + ep + lam * x).otherwise(x))
 
 
-def transposed_product(a: DataFrame, b: DataFrame, upper: bool = False, value: str = "a") -> DataFrame:
-    """A^T B of coordinate tables (i, j, a). Duplicates are summed first, so a crowded row forms only the
-    pairs of its distinct columns."""
+def paired_columns(a: DataFrame, b: DataFrame, value: str = "a", block: int = 512) -> DataFrame:
+    """Pairs (i, j1, j2, x, y) of the entries of a and b that share a row. A row is a grid of column blocks: of about `block` columns of a by as many of b, each
+    cell of the grid with a key of its own, so a row of m columns is the work of (m / block) ** 2 tasks."""
     x = coalesce_entries(a, value=value).select("i", F.col("j").alias("j1"), F.col(value).alias("x"))
     y = coalesce_entries(b, value=value).select("i", F.col("j").alias("j2"), F.col(value).alias("y"))
-    j = x.join(y, "i")
+    parts = lambda d, n: d.groupBy("i").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    grid = parts(x, "nx").join(parts(y, "ny"), "i")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = x.join(grid, "i").select("i", "j1", "x", F.pmod(F.xxhash64("j1"), F.col("nx")).cast("int").alias("bx"), others("ny").alias("by"))
+    y = y.join(grid, "i").select("i", "j2", "y", others("nx").alias("bx"), F.pmod(F.xxhash64("j2"), F.col("ny")).cast("int").alias("by"))
+    return x.join(y, ["i", "bx", "by"])
+
+
+def transposed_product(a: DataFrame, b: DataFrame, upper: bool = False, value: str = "a", block: int = 512) -> DataFrame:
+    """A^T B of coordinate tables (i, j, a). Duplicates are summed first, so a crowded row forms only the
+    pairs of its distinct columns, spread over `paired_columns`' grid."""
+    j = paired_columns(a, b, value, block)
     if upper:
         j = j.filter("j1 <= j2")
     return j.groupBy(F.col("j1").alias("i"), F.col("j2").alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias(value))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.operators.greedy import greedy_keep
-from reelframe.operators.ordered import rank0
+from reelframe.operators.ordered import range_rank, rank0
 
 
 def new_edges(cand: DataFrame, active: DataFrame, inactive: DataFrame, on: list[str] = ("i", "j")) -> DataFrame:
@@ -23,18 +25,14 @@ def band_edges(nodes: DataFrame, r: int, keys: list[str] = (), self_edges: bool
     return d.join(n.select(*keys, F.col("i").alias("j")), [*keys, "j"], "left_semi").select(*keys, "i", "j")
 
 
-def bidirectional(edges: DataFrame) -> DataFrame:
-    """Edges and their reverses."""
-    e = edges.select("i", "j")
-    return e.union(e.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-
-
-def edge_difference(cand: DataFrame, existing: DataFrame) -> DataFrame:
-    return cand.select("i", "j").subtract(existing.select("i", "j"))
+def bidirectional(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Edges and their reverses; `keys` name the graph."""
+    e = edges.select(*keys, "i", "j")
+    return e.unionByName(e.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
 
 
-def _key(i: str = "i", j: str = "j") -> Column:
-    return F.shiftleft(F.col(i).cast("long"), 32) + F.col(j)
+def edge_difference(cand: DataFrame, existing: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return cand.select(*keys, "i", "j").subtract(existing.select(*keys, "i", "j"))
 
 
 def _diamond(edges: DataFrame, nms: int) -> DataFrame:
@@ -47,26 +45,39 @@ def _diamond(edges: DataFrame, nms: int) -> DataFrame:
 
 
 def proximity_edges(dist: DataFrame, nodes: DataFrame, existing: DataFrame, rad: int = 2, nms: int = 2, thresh: float = 16.0,
-                    cap: int = 0) -> DataFrame:
-    """Neighbour edges of every node plus near pairs picked by growing distance, each picked pair
-    suppressing a diamond of cells around it; both directions. `cap` stops the picking once the edge
-    list is longer than it (0 = no cap).
+                    cap: int = 0, keys: Sequence[str] = (), self_edges: bool = False) -> DataFrame:
+    """Neighbour edges of every node plus near pairs picked by growing distance (ties by i, j), each picked pair
+    suppressing a diamond of cells around it; both directions, one graph per value of `keys`. With `self_edges` every node also has an edge to
+    itself, for graphs over several views. `cap` stops the picking of a graph once its edge list is longer than it (0 = no cap).
+
+    Picking goes by rounds over the conflicts of all graphs together; a graph without conflicts left takes no part. Ranks within a graph for `cap` come
+    from ranges of (keys, distance).
     """
-    n = nodes.select("i").distinct()
+    keys = list(keys)
+    n = nodes.select(*keys, "i").distinct()
     near = n.withColumn("j", F.explode(F.sequence(F.col("i") - rad - 1, F.col("i") - 1))).filter("j >= 0") \
-        .join(n.select(F.col("i").alias("j")), "j", "left_semi").select("i", "j")
-    blocked = _diamond(existing.select("i", "j"), nms).select(F.col("si").alias("i"), F.col("sj").alias("j")) \
-        .unionByName(near).distinct()
-    cand = dist.filter((F.col("i") - rad >= F.col("j")) & (F.col("dist") <= thresh)).select("i", "j", "dist") \
-        .join(blocked, ["i", "j"], "left_anti").withColumn("__key", _key())
-    a = _diamond(cand, nms).select(F.col("__key").alias("strong"), F.col("dist").alias("da"), F.col("si").alias("i"), F.col("sj").alias("j"))
-    conf = a.join(cand.select("i", "j", F.col("__key").alias("weak"), F.col("dist").alias("db")), ["i", "j"]).filter(
+        .join(n.select(*keys, F.col("i").alias("j")), [*keys, "j"], "left_semi").select(*keys, "i", "j")
+    selves = n.select(*keys, "i", F.col("i").alias("j"))
+    blocked = _diamond(existing.select(*keys, "i", "j"), nms).select(*keys, F.col("si").alias("i"), F.col("sj").alias("j")).unionByName(near)
+    if self_edges:
+        blocked = blocked.unionByName(selves)
+    cand = dist.filter((F.col("i") - rad >= F.col("j")) & (F.col("dist") <= thresh)).select(*keys, "i", "j", "dist") \
+        .join(blocked.distinct(), [*keys, "i", "j"], "left_anti").withColumn("__key", F.struct(*keys, "i", "j"))
+    a = _diamond(cand, nms).select(*keys, F.col("__key").alias("strong"), F.col("dist").alias("da"), F.col("si").alias("i"), F.col("sj").alias("j"))
+    conf = a.join(cand.select(*keys, "i", "j", F.col("__key").alias("weak"), F.col("dist").alias("db")), [*keys, "i", "j"]).filter(
         F.struct("da", "strong") < F.struct("db", "weak"))
-    kept = greedy_keep(cand, conf, "__key")
+    kept = greedy_keep(cand, conf, "__key").select(*keys, "i", "j", "dist")
     if cap > 0:
-        base = near.select((F.count("*") * 2)).scalar()
-        kept = rank0(kept, [], ["dist", "__key"], "__r", block=F.floor("dist")).filter(base + F.col("__r") * 2 <= cap)
-    return bidirectional(kept.select("i", "j").unionByName(near))
+        listed = near.select(*keys, F.lit(2).alias("__n"))
+        if self_edges:
+            listed = listed.unionByName(selves.select(*keys, F.lit(1).alias("__n")))
+        kept = range_rank(kept, [*keys, "dist", "i", "j"], "__r")
+        first = kept.groupBy(*keys).agg(F.min("__r").alias("__first"))
+        base = listed.groupBy(*keys).agg(F.sum("__n").alias("__base"))
+        on = list(keys) or F.lit(True)
+        kept = kept.join(first, on).join(base, on, "left").filter(F.coalesce("__base", F.lit(0)) + (F.col("__r") - F.col("__first")) * 2 <= cap)
+    out = bidirectional(kept.select(*keys, "i", "j").unionByName(near), keys)
+    return out.unionByName(selves) if self_edges else out
 
 
 def expand_views(edges: DataFrame, n_views: int, cross_view: DataFrame | None = None, offset: int = 0) -> DataFrame:

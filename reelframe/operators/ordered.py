@@ -156,22 +156,19 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], cols: dict[str, Column], qs: dict[str, float],
-                      bins: int = 4096) -> DataFrame:
+                      bins: int = 64) -> DataFrame:
     """Exact percentiles with linear interpolation of several columns: one row per group, columns
     `<col>_<q>`. Nulls are left out.
 
-    All columns go through one pass. Equal values are counted before the shuffle, a histogram of `bins`
-    value ranges finds the range holding each wanted rank, and only that range is sorted.
+    All columns go through one pass. Equal values are counted before the shuffle. A mergeable sketch of the different values cuts them into `bins` ranges of
+    about as many each, wherever they lie; their counts tell the range of each wanted rank, and only that range is sorted.
     """
     keys = list(keys)
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("c"), x.cast("double").alias("v")) for n, x in cols.items()]))
     c = df.select(*keys, rows.alias("__r")).filter(F.col("__r.v").isNotNull()) \
         .groupBy(*keys, F.col("__r.c").alias("__col"), F.col("__r.v").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     g = [*keys, "__col"]
-    span = c.groupBy(*g).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"))
-    bin_of = F.when(F.col("__hi") > F.col("__lo"), F.least(
-        F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    d = c.join(span, g).withColumn(_B, bin_of.cast("long"))
+    d = value_ranges(c, g, bins)
     prev = Window.partitionBy(*g).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     hist = (
         d.groupBy(*g, _B).agg(F.sum("__c").alias("__bn"), F.first("__n").alias("__n"))
@@ -195,7 +192,14 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], cols: dict[str, Column
     return sel.groupBy(*keys).agg(*outs)
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], bins: int = 4096) -> DataFrame:
+def value_ranges(counts: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
+    """Different values (`by`, __v, __c) with the count `__n` of their group and a range number: about one part in `bins` of a group's different values each."""
+    marks = F.percentile_approx("__v", [i / bins for i in range(1, bins)], 10_000).alias("__marks")
+    span = counts.groupBy(*by).agg(F.sum("__c").alias("__n"), marks)
+    return counts.join(span, list(by)).withColumn(_B, F.size(F.filter("__marks", lambda m: m < F.col("__v"))).cast("long")).drop("__marks")
+
+
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], bins: int = 64) -> DataFrame:
     """`exact_percentiles` of one column, named after the quantiles."""
     d = exact_percentiles(df, keys, {"__p": F.col(value)}, qs, bins)
     return d.select(*keys, *[F.col(f"__p_{n}").alias(n) for n in qs])

@@ -176,42 +176,57 @@ def ssim(a, b, h, w, c):
 
 # --- embedding sets -------------------------------------------------------------------------------
 
+def _merged_moments(a, b):
+    """(n, mean, centred cross products) of two sets together."""
+    (na, ma, ca), (nb, mb, cb) = a, b
+    n, gap = na + nb, mb - ma
+    return n, ma + gap * (nb / n), ca + cb + (gap[:, None] * gap) * (na * nb / n)
+
+
 def _partial_moments(pdfs: Iterator) -> Iterator:
     import numpy as np
     import pandas as pd
 
-    acc = {}
+    acc: dict = {}
     for pdf in pdfs:
         for s, g in pdf.groupby("set_name"):
             x = np.stack(g["vec"].to_numpy()).astype(np.float64)
-            n, t, m, _ = acc.get(s, (0, 0.0, 0.0, None))
-            acc[s] = (n + len(x), t + x.sum(0), m + x.T @ x, g["mid"].iloc[0])
-    for s, (n, t, m, mid) in acc.items():
-        yield pd.DataFrame({"set_name": s, "i": range(len(t)), "n": n, "s": t, "mid": mid, "row": list(m)})
+            mean = x.mean(0)
+            now = len(x), mean, (x - mean).T @ (x - mean)
+            acc[s] = (_merged_moments(acc[s][0], now), g["slot"].iloc[0]) if s in acc else (now, g["slot"].iloc[0])
+    yield pd.DataFrame([(s, slot, n, mean, cross.ravel()) for s, ((n, mean, cross), slot) in acc.items()], columns=["set_name", "slot", "n", "mean", "cross"])
 
 
-def set_moments(df: DataFrame, set_col: str, vec_col: str) -> DataFrame:
-    """Count, means and sample covariance (set_name, i, j, n, mean_i, mean_j, cov) of embedding sets.
+def moment_sums(df: DataFrame, set_col: str, vec_col: str) -> DataFrame:
+    """One row per set: n, mean, cross (centred cross products, row by row). Vectors are read once; every input partition becomes one row per set, and rows are merged in
+    a tree of three levels, so that no task holds more than a few hundredths of them and the vectors are never moved."""
+    import numpy as np
+    import pandas as pd
 
-    Every input partition is reduced to d rows of sums, so the shuffle carries d*d numbers per
-    partition and never the vectors.
-    """
-    d = df.select(F.col(set_col).alias("set_name"), F.col(vec_col).alias("vec"))
-    # sums of large values cancel, so each set is first moved by its mean
-    means = d.select("set_name", F.posexplode("vec").alias("i", "x")).groupBy("set_name", "i").agg(F.avg("x").alias("m"))
-    means = means.groupBy("set_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mid"))
-    moved = F.transform("vec", lambda x, i: x - F.get("mid", i))
-    part = d.join(means, "set_name").select("set_name", moved.alias("vec"), "mid").mapInPandas(
-        _partial_moments, "set_name string, i int, n bigint, s double, mid double, row array<double>")
-    sums = part.groupBy("set_name", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("mid").alias("mid"))
-    cross = part.select("set_name", "i", F.posexplode("row").alias("j", "x")).groupBy("set_name", "i", "j") \
-        .agg(F.sum("x").alias("x"))
-    a = sums.select("set_name", "i", "n", F.col("s").alias("si"), F.col("mid").alias("mi"))
-    b = sums.select("set_name", F.col("i").alias("j"), F.col("s").alias("sj"), F.col("mid").alias("mj"))
-    n = F.col("n")
-    return cross.join(a, ["set_name", "i"]).join(b, ["set_name", "j"]).select(
-        "set_name", "i", "j", "n", (F.col("mi") + F.col("si") / n).alias("mean_i"), (F.col("mj") + F.col("sj") / n).alias("mean_j"),
-        F.when(n > 1, (F.col("x") - F.col("si") * F.col("sj") / n) / (n - 1)).alias("cov"))
+    schema = "set_name string, slot int, n bigint, mean array<double>, cross array<double>"
+
+    def merge(pdf):
+        total = None
+        for r in pdf.itertuples():
+            now = r.n, np.asarray(r.mean), np.asarray(r.cross).reshape(len(r.mean), -1)
+            total = now if total is None else _merged_moments(total, now)
+        n, mean, cross = total
+        return pd.DataFrame([(pdf["set_name"].iloc[0], pdf["slot"].iloc[0], n, mean, cross.ravel())], columns=["set_name", "slot", "n", "mean", "cross"])
+
+    d = df.select(F.col(set_col).alias("set_name"), F.col(vec_col).alias("vec"), F.spark_partition_id().alias("slot")).filter("set_name IS NOT NULL AND vec IS NOT NULL")
+    d = d.mapInPandas(_partial_moments, schema)
+    for slots in (256, 16, 1):
+        d = d.withColumn("slot", F.col("slot") % slots).groupBy("set_name", "slot").applyInPandas(merge, schema)
+    return d.drop("slot")
+
+
+def set_moments(df: DataFrame, set_col: str, vec_col: str) -> DataFrame:
+    """Count, means and sample covariance (set_name, i, j, n, mean_i, mean_j, cov) of embedding sets."""
+    m = moment_sums(df, set_col, vec_col)
+    d = F.size("mean")
+    e = m.select("set_name", "n", "mean", d.alias("d"), F.posexplode("cross").alias("at", "x"))
+    i, j = F.floor(F.col("at") / F.col("d")).cast("int"), (F.col("at") % F.col("d")).cast("int")
+    return e.select("set_name", i.alias("i"), j.alias("j"), "n", F.get("mean", i).alias("mean_i"), F.get("mean", j).alias("mean_j"), F.when(F.col("n") > 1, F.col("x") / (F.col("n") - 1)).alias("cov"))
 
 
 def frechet_distance(df: DataFrame, set_col: str, vec_col: str, a: str, b: str, min_n: int = 8) -> DataFrame:
@@ -219,23 +234,15 @@ def frechet_distance(df: DataFrame, set_col: str, vec_col: str, a: str, b: str,
 
     Only the d*d moments reach the last step, whose size does not depend on the number of vectors.
     """
-    m = set_moments(df.filter(F.col(set_col).isin(a, b)), set_col, vec_col)
+    m = moment_sums(df.filter(F.col(set_col).isin(a, b)), set_col, vec_col)
 
     def solve(pdf):
         import numpy as np
         import pandas as pd
 
-        out = {}
-        for s in (a, b):
-            g = pdf[pdf["set_name"] == s]
-            if g.empty:
-                out[s] = (0, None, None)
-                continue
-            d = int(g["i"].max()) + 1
-            cov, mean = np.zeros((d, d)), np.zeros(d)
-            cov[g["i"].to_numpy(), g["j"].to_numpy()] = g["cov"].fillna(0).to_numpy()
-            mean[g["i"].to_numpy()] = g["mean_i"].to_numpy()
-            out[s] = (int(g["n"].iloc[0]), mean, cov)
+        out = {a: (0, None, None), b: (0, None, None)}
+        for r in pdf.itertuples():
+            out[r.set_name] = r.n, np.asarray(r.mean), np.asarray(r.cross).reshape(len(r.mean), -1) / max(r.n - 1, 1)
         (na, ma, ca), (nb, mb, cb) = out[a], out[b]
         dist = None
         if min(na, nb) >= min_n:

@@ -32,11 +32,24 @@ def edge_difference(v):
     return G.edge_difference(v.edges.filter("age > 2"), v.edges.filter("active").select(F.col("j").alias("i"), F.col("i").alias("j")))
 
 
-@query("proximity_edges")
+@query("proximity_edges", """
+    WITH RECURSIVE e AS (SELECT age % 3 AS clip, * FROM edges), n AS (SELECT DISTINCT clip, i FROM e),
+    r AS (SELECT a.clip, a.i, b.i AS j FROM n a JOIN n b ON a.clip = b.clip AND b.i BETWEEN a.i - 3 AND a.i - 1),
+    d AS (SELECT a AS di, b AS dj FROM range(-2, 3) x(a), range(-2, 3) y(b)),
+    o AS (SELECT clip, i + di AS i, j + dj AS j FROM (SELECT * FROM e WHERE NOT active AND age > 6 AND dist < 20), d WHERE abs(di) + abs(dj) <= greatest(least(abs(i - j) - 2, 2), 0)
+          UNION SELECT clip, i, j FROM r UNION SELECT clip, i, i FROM n),
+    c AS (SELECT clip, i, j, row_number() OVER (PARTITION BY clip ORDER BY dist, i, j) AS k FROM e WHERE i - 2 >= j AND dist <= 30 AND NOT EXISTS (SELECT 1 FROM o WHERE o.clip = e.clip AND o.i = e.i AND o.j = e.j)),
+    f AS (SELECT clip, 0::BIGINT AS k, []::STRUCT(i BIGINT, j BIGINT)[] AS kept FROM (SELECT DISTINCT clip FROM e)
+      UNION ALL SELECT c.clip, c.k, CASE WHEN len(list_filter(kept, lambda x: abs(x.i - c.i) + abs(x.j - c.j) <= greatest(least(abs(x.i - x.j) - 2, 2), 0))) = 0
+        THEN list_append(kept, {'i': c.i, 'j': c.j}) ELSE kept END FROM f JOIN c ON c.clip = f.clip AND c.k = f.k + 1),
+    b AS (SELECT clip, 2 * (SELECT count(*) FROM r WHERE r.clip = n.clip) + count(*) AS base FROM n GROUP BY clip),
+    g AS (SELECT clip, unnest(kept[:greatest((1000 - base) // 2 + 1, 0)]) AS x FROM (SELECT clip, arg_max(kept, k) AS kept FROM f GROUP BY clip) JOIN b USING (clip)),
+    h AS (SELECT clip, x.i AS i, x.j AS j FROM g UNION SELECT clip, i, j FROM r)
+    SELECT clip, i, j FROM h UNION SELECT clip, j, i FROM h UNION SELECT clip, i, i FROM n""")
 def proximity_edges(v):
-    e = v.edges
-    old = e.filter("NOT active AND age > 6 AND dist < 20").select("i", "j")
-    return G.proximity_edges(e.select("i", "j", "dist"), e.select("i"), old, 2, 2, 30.0, 4000)
+    e = v.edges.withColumn("clip", F.col("age") % 3)
+    old = e.filter("NOT active AND age > 6 AND dist < 20").select("clip", "i", "j")
+    return G.proximity_edges(e.select("clip", "i", "j", "dist"), e.select("clip", "i"), old, 2, 2, 30.0, 1000, ["clip"], self_edges=True)
 
 
 @query("multiview_edges", """

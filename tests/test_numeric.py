@@ -81,15 +81,68 @@ def brute_nms(b, thr):
     return {r[0] for r in keep}
 
 
-@pytest.mark.parametrize("pairs", [200, 0])
-def test_nms_equals_greedy(spark, pairs):
+@pytest.mark.parametrize("crowd, thr", [(256, 0.4), (40, 0.7), (60, 0.02)])
+def test_nms_equals_greedy(spark, crowd, thr):
     n = 120
     xy = RNG.uniform(0, 100, (n, 2)).round(1)
     wh = RNG.uniform(20, 60, (n, 2)).round(1)
     rows = [(i, *map(float, (xy[i, 0], xy[i, 1], xy[i, 0] + wh[i, 0], xy[i, 1] + wh[i, 1], RNG.integers(0, 30)))) for i in range(n)]
     d = spark.createDataFrame([(0, *r) for r in rows], "image int, box_id int, x0 double, y0 double, x1 double, y1 double, score double")
-    got = {r["box_id"] for r in B.nms(d, ["image"], "box_id", "score", 0.4, pairs_per_box=pairs).collect()}
-    assert got == brute_nms(rows, 0.4)
+    got = {r["box_id"] for r in B.nms(d, ["image"], "box_id", "score", thr, crowd=crowd).collect()}
+    assert got == brute_nms(rows, thr)
+
+
+def test_nms_of_one_crowded_place(spark):
+    """Half of the boxes in one place among thin ones: few rounds, and no more pairs than the limit per box and cell."""
+    rng = np.random.default_rng(2)
+    n = 1000
+    xy = np.where(np.arange(n)[:, None] % 2, rng.uniform(0, 4000, (n, 2)), 500 + rng.uniform(0, 12, (n, 2))).round(2)
+    wh = rng.uniform(20, 60, (n, 2)).round(2)
+    rows = [(i, *map(float, (*xy[i], *(xy[i] + wh[i]), rng.integers(0, 500)))) for i in range(n)]
+    d = spark.createDataFrame([(0, *r) for r in rows], "image int, box_id int, x0 double, y0 double, x1 double, y1 double, score double")
+    left = []
+    got = {r["box_id"] for r in B.nms(d, ["image"], "box_id", "score", 0.7, crowd=128, count=left).collect()}
+    assert got == brute_nms(rows, 0.7)
+    assert len(left) <= 8 and left == sorted(left, reverse=True)
+    own, meets = B._shape_cells(d.withColumn("__s", F.col("score")), ["image"], "box_id", 0.7)
+    assert meets.count() <= 12 * n and own.count() == n
+
+
+def test_moments_of_many_partitions(spark):
+    """One scan of the vectors, and one row per partition and set in the shuffles."""
+    from reelframe.operators.scoring import moment_sums, set_moments
+
+    x = RNG.normal(1e6, 1, (400, 5))
+    d = spark.createDataFrame([(f"s{i % 3}", [float(v) for v in r]) for i, r in enumerate(x)], "set_name string, vec array<double>").repartition(40)
+    got = {(r.set_name, r.i, r.j): (r.n, r.mean_i, r.cov) for r in set_moments(d, "set_name", "vec").collect()}
+    for k in range(3):
+        part = x[k::3]
+        cov = np.cov(part.T)
+        for i in range(5):
+            for j in range(5):
+                n, mean, c = got[f"s{k}", i, j]
+                assert n == len(part) and mean == pytest.approx(part[:, i].mean(), rel=1e-12) and c == pytest.approx(cov[i, j], abs=1e-7)
+    assert moment_sums(d, "set_name", "vec").count() == 3
+    plan = set_moments(d, "set_name", "vec")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") <= 1
+
+
+def test_product_of_a_row_with_many_columns(spark):
+    """A row of 10,000 columns spreads over a grid of keys."""
+    from reelframe.operators.blocks import paired_columns, transposed_product
+
+    wide = spark.range(10_000).select(F.lit(0).alias("i"), F.col("id").alias("j"), (F.col("id") % 7).cast("double").alias("a"))
+    few = spark.createDataFrame([(0, 1, 2.0), (0, 5, 3.0), (1, 1, 4.0)], "i int, j long, a double")
+    tall = paired_columns(wide, wide.filter("j < 3000"), block=512).groupBy("bx", "by").count().collect()
+    assert len(tall) == 20 * 6 and max(r["count"] for r in tall) < 3 * 512 * 512 and sum(r["count"] for r in tall) == 10_000 * 3000
+    got = {(r.i, r.j): r.a for r in transposed_product(wide, few, block=100).collect()}
+    assert got == {(i, j): float(i % 7 * a) for i in range(10_000) for j, a in ((1, 2), (5, 3))}
+
+
+def test_nms_keeps_what_has_no_area(spark):
+    d = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 9.0, 1.0), (0, 2, 0.0, 0.0, 0.0, 9.0, 2.0), (0, 3, 0.0, 0.0, 5.0, 5.0, 1.0), (0, 4, 0.0, 0.0, 5.0, 5.0, 1.0)],
+                              "image int, box_id int, x0 double, y0 double, x1 double, y1 double, score double")
+    assert {r["box_id"] for r in B.nms(d, ["image"], "box_id", "score", 0.5).collect()} == {1, 2, 3}
 
 
 def test_overlap_pairs_are_complete(spark):

@@ -82,6 +82,18 @@ def test_exact_percentiles(spark, frame):
                 assert got[k]["x_" + n] == pytest.approx(np.quantile(x, q))
 
 
+def test_percentiles_with_an_outlier(spark):
+    """A value of 1e9 among 100,000 leaves no range with over 2 % of the rows."""
+    from reelframe.operators.ordered import exact_percentiles, value_ranges
+
+    x = np.r_[np.random.default_rng(0).normal(0, 1, 99_999), 1e9]
+    d = spark.createDataFrame(pd.DataFrame({"k": "a", "x": x}))
+    r = exact_percentiles(d, ["k"], {"x": F.col("x")}, {"lo": 0.1, "mid": 0.5, "hi": 0.9}).first()
+    assert [r["x_lo"], r["x_mid"], r["x_hi"]] == pytest.approx(np.percentile(x, [10, 50, 90]), rel=1e-12)
+    sizes = value_ranges(d.select("k", F.col("x").alias("__v"), F.lit(1).alias("__c")), ["k"], 64).groupBy("__block").count().agg(F.max("count")).first()[0]
+    assert sizes <= 2000
+
+
 def test_percentile_of_repeated_values(spark):
     d = spark.createDataFrame([(1.0,)] * 50 + [(2.0,)] * 3, "v double")
     r = O.exact_percentile(d, [], "v", {"a": 0.5, "b": 1.0, "c": 0.0}).first()
