@@ -210,7 +210,7 @@ def fold_blocks(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str
     """Order-dependent fold over a dense position, block by block in parallel: its rows (keys, pos, outs) and its end (keys, state) per group.
 
     `fold(pdf, state)` returns (frame with the columns of `outs`, end state) for one block in order; the state is any value of the type `state`, None at
-    the beginning of a group that `start` (keys, state) does not name. Every block first runs from None, then only the blocks whose
+    the beginning of a group that `start` (keys, state) does not name. Every block but the first first runs from None, then only the blocks whose
     entry turned out different run again, until no entry changes. Folds that forget their start settle after a few rounds; one that never forgets takes a
     round per block. A block is one task's work, whatever the size of its group.
     """
@@ -239,6 +239,9 @@ def fold_blocks(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str
         return pd.concat([pdf[[*keys, pos]].reset_index(drop=True), out[names].reset_index(drop=True)], axis=1)
 
     todo = base.select(*keys, _B).distinct().withColumn("__entry", F.lit(None).cast(state))
+    if start is not None:
+        given = base.groupBy(*keys).agg(F.min(_B).alias(_B)).join(start.select(*keys, F.col("state").alias("__given")), keys)
+        todo = todo.join(given, [*keys, _B], "left").select(*keys, _B, F.coalesce("__given", "__entry").alias("__entry"))
     known = None
     while True:
         ran = base.join(todo, [*keys, _B]).groupBy(*keys, _B).applyInPandas(ends, f"{key_ddl}, __entry {state}, __end {state}")

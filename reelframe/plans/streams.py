@@ -102,7 +102,7 @@ def keyframe_tracks(v):
     tracks = F.array_sort(F.collect_list(F.struct("view_id", "kp", "u", "v")))
     d = o.groupBy("clip", "frame").agg(F.avg("u").alias("x"), tracks.alias("tracks"))
     path = scratch(v.spark, "frames")
-    d.repartitionByRange(4, "frame").sortWithinPartitions("frame").write.parquet(path)
+    d.repartitionByRange(3, "frame").write.parquet(path)
     C.stamp_order(v.spark, path)
     return ST.keyframes(C.folder_stream(d, path, files_per_batch=1), "clip", "frame", "x", 60.0, tracks="tracks").filter("keep").select("clip", "frame")
 
@@ -179,13 +179,12 @@ def stream_dirty_refresh(v):
     sets = [e, e.filter("i % 4 = 0").withColumn("age", F.col("age") + 10), e.filter("i % 8 = 0").withColumn("age", F.col("age") * 3),
             e.filter("i % 16 = 0").select("i", (F.col("j") + 1000).alias("j"), F.lit(1).cast(e.schema["age"].dataType).alias("age"))]
     for k, d in enumerate(sets):
-        d.write.parquet(f"{path}/{k}")
+        d.repartition(2, "i").write.parquet(f"{path}/{k}")
     C.stamp_order(v.spark, path, "*/part-*")
     derive = lambda d: d.groupBy("i").agg(F.count("*").alias("n"), F.sum("age").alias("s"), F.max("age").alias("oldest"))
-    # one file at a time: a change may come in many batches
-    stream = C.folder_stream(e, path, files_per_batch=1)
+    stream = C.folder_stream(e, path, files_per_batch=2)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in derive(e).schema)
-    return MO.dirty_refresh(stream, ["i", "j"], "i", kinds, derive)[1]
+    return MO.dirty_refresh(stream, ["i", "j"], "i", kinds, derive, buckets=8)[1]
 
 
 # --- user code -------------------------------------------------------------------------------------

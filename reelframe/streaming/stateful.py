@@ -26,7 +26,7 @@ def _in_order(batch: DataFrame, known: DataFrame, key: str, order: str) -> None:
 
 
 def carried(stream: DataFrame, key: str, order: str, state: str, rows: Callable[[DataFrame, DataFrame], DataFrame], ends: Callable[[DataFrame, DataFrame, DataFrame], DataFrame],
-            flush: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+            flush: Callable[[DataFrame, DataFrame], DataFrame] | None = None, buckets: int = 16) -> DataFrame:
     """Run a stream with one record per key between batches.
 
     `rows(batch, known)` gives the rows to store, `known` holding the records (key, state columns, top) of the keys seen before; `ends(batch, known,
@@ -36,7 +36,7 @@ def carried(stream: DataFrame, key: str, order: str, state: str, rows: Callable[
     spark = stream.sparkSession
     path = scratch(spark, "stream")
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    store = Upsert(spark, f"{path}/state", [key], f"`{key}` {kinds[key]}, {state}, top {kinds[order]}")
+    store = Upsert(spark, f"{path}/state", [key], f"`{key}` {kinds[key]}, {state}, top {kinds[order]}", buckets)
     shape = []
 
     def step(batch: DataFrame, number: int) -> None:
