@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.operators.greedy import greedy_keep
-from reelframe.operators.ordered import range_rank, rank0
+from reelframe.operators.ordered import range_rank
 
 
 def new_edges(cand: DataFrame, active: DataFrame, inactive: DataFrame, on: list[str] = ("i", "j")) -> DataFrame:
@@ -95,30 +95,31 @@ def expand_views(edges: DataFrame, n_views: int, cross_view: DataFrame | None =
     return d.withColumn("di", F.col("pi") * n_views + F.col("qi")).withColumn("dj", F.col("pj") * n_views + F.col("qj"))
 
 
-def track_edges(nodes: DataFrame, length: int, n_frames: Column | None = None) -> DataFrame:
-    """Edges from each frame to its length - 1 predecessors inside the range."""
-    d = nodes.select("i").distinct().withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(length - 2))))
-    d = d.select("i", (F.col("i") - F.col("m") - 1).alias("j")).filter("i >= 0 AND j >= 0")
+def track_edges(nodes: DataFrame, length: int, n_frames: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Edges from each frame to its length - 1 predecessors inside the range; `keys` name the clip."""
+    d = nodes.select(*keys, "i").distinct().withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(length - 2))))
+    d = d.select(*keys, "i", (F.col("i") - F.col("m") - 1).alias("j")).filter("i >= 0 AND j >= 0")
     return d if n_frames is None else d.filter((F.col("i") < n_frames) & (F.col("j") < n_frames))
 
 
-def best_cross_view(dist: DataFrame, old: DataFrame, limit: float = 400.0) -> DataFrame:
+def best_cross_view(dist: DataFrame, old: DataFrame, limit: float = 400.0, keys: Sequence[str] = ()) -> DataFrame:
     """Nearest frame of another view per (frame, view); the old choice stays when nothing is nearer than the limit."""
-    g = dist.groupBy("frame", "view").agg(F.min_by(F.struct("t", "v"), F.struct("d", "t", "v")).alias("b"), F.min("d").alias("d"))
-    o = old.select("frame", "view", F.col("t").alias("ot"), F.col("v").alias("ov"))
+    g = dist.groupBy(*keys, "frame", "view").agg(F.min_by(F.struct("t", "v"), F.struct("d", "t", "v")).alias("b"), F.min("d").alias("d"))
+    o = old.select(*keys, "frame", "view", F.col("t").alias("ot"), F.col("v").alias("ov"))
     take = F.col("d") < limit
-    return g.join(o, ["frame", "view"], "left").select(
-        "frame", "view", F.when(take, F.col("b.t")).otherwise(F.col("ot")).alias("t"),
+    return g.join(o, [*keys, "frame", "view"], "left").select(
+        *keys, "frame", "view", F.when(take, F.col("b.t")).otherwise(F.col("ot")).alias("t"),
         F.when(take, F.col("b.v")).otherwise(F.col("ov")).alias("v"))
 
 
-def age_evict(edges: DataFrame, cap: int, max_age: int) -> DataFrame:
-    """Keep the newest `cap` active edges (by age, then i, j) that are not over-age; the others turn inactive."""
-    act = edges.filter("active")
-    block = F.col("age").cast("long") * 1000000 + F.floor(F.col("i") / 1024)
-    keep = rank0(act, [], ["age", "i", "j"], "__r", block=block).filter((F.col("__r") < cap) & (F.col("age") <= max_age)) \
-        .select("i", "j", F.lit(True).alias("__k"))
-    return edges.join(keep, ["i", "j"], "left").withColumn("active", F.coalesce("__k", F.lit(False))).drop("__k")
+def age_evict(edges: DataFrame, cap: int, max_age: int, keys: Sequence[str] = (), room: int = 0) -> DataFrame:
+    """Keep the newest active edges of each graph (by age, then i, j), `cap` less `room` for new ones, that are not over-age; the others turn inactive."""
+    keys = list(keys)
+    act = range_rank(edges.filter("active").select(*keys, "age", "i", "j"), [*keys, "age", "i", "j"], "__r")
+    first = act.groupBy(*keys).agg(F.min("__r").alias("__first"))
+    act = act.join(first, keys or F.lit(True)).filter((F.col("__r") - F.col("__first") < cap - room) & (F.col("age") <= max_age))
+    keep = act.select(*keys, "i", "j", F.lit(True).alias("__k"))
+    return edges.join(keep, [*keys, "i", "j"], "left").withColumn("active", F.coalesce("__k", F.lit(False))).drop("__k")
 
 
 def prune_keyframe(edges: DataFrame, thresh: float) -> DataFrame:

@@ -86,6 +86,14 @@ def edge_age_evict(v):
     return G.age_evict(v.edges.select("i", "j", "age", "active"), 2000, 5)
 
 
+@query("edge_age_evict_clips", """
+    WITH r AS (SELECT age % 3 AS clip, i, j, age, row_number() OVER (PARTITION BY age % 3 ORDER BY age, i, j) AS k FROM edges WHERE active)
+    SELECT e.age % 3 AS clip, e.i, e.j, e.age, (r.k IS NOT NULL AND r.k <= 450 AND e.age <= 6) AS active FROM edges e LEFT JOIN r ON e.i = r.i AND e.j = r.j""")
+def edge_age_evict_clips(v):
+    """Graphs of several clips, each with room for 50 new edges."""
+    return G.age_evict(v.edges.select((F.col("age") % 3).alias("clip"), "i", "j", "age", "active"), 500, 6, ["clip"], room=50)
+
+
 @query("prune_keyframe", """
     WITH l AS (SELECT max(greatest(i, j)) AS n FROM edges), g AS (SELECT coalesce(max(dist) < 60, false) AS d FROM edges, l WHERE least(i, j) = n - 2 AND greatest(i, j) = n - 1)
     SELECT CASE WHEN d AND i > n - 1 THEN i - 1 ELSE i END AS i, CASE WHEN d AND j > n - 1 THEN j - 1 ELSE j END AS j, age FROM edges, l, g

@@ -49,6 +49,19 @@ def stream_utilisation(v):
     return d.select("sample_id", "wall_s", R("util_mean"), F.coalesce("ticks", F.lit(0)).alias("ticks"), R("busy_s", d=9))
 
 
+@query("stream_device_utilisation", """
+    WITH s AS (SELECT sample_id, rank, wall_s, ts, make_timestamp(CAST(epoch_us(ts) + round(wall_s * 1e6) AS BIGINT)) AS e FROM sample_timing),
+    t AS (SELECT ts AS tick, user_id % 8 AS rank, value AS util FROM events)
+    SELECT sample_id, wall_s, round(avg(util), 6) AS util_mean, count(util) AS ticks, round(wall_s * avg(util) / 100.0, 9) AS busy_s
+    FROM s LEFT JOIN t ON t.rank = s.rank AND tick >= s.ts AND tick <= e GROUP BY sample_id, wall_s""")
+def stream_device_utilisation(v):
+    """Every worker's samples with the ticks of its own device."""
+    ticks = C.table_stream(v.spark, v.path, "events").select("ts", (F.col("user_id") % 8).alias("rank"), F.col("value").alias("util"))
+    m = MO.run(MO.utilisation_matches(_events(v), ticks, on="rank"))
+    d = MO.utilisation(v.sample_timing, m)
+    return d.select("sample_id", "wall_s", R("util_mean"), F.coalesce("ticks", F.lit(0)).alias("ticks"), R("busy_s", d=9))
+
+
 @query("stream_new_shards", """
     SELECT metric, count(*) AS n, round(avg(m), 6) AS mean FROM (SELECT rank, name, metric, avg(value) AS m FROM frame_scores GROUP BY ALL) GROUP BY metric""")
 def stream_new_shards(v):

@@ -34,19 +34,22 @@ def run_load_peak(trace: DataFrame, quota: float, width: str) -> DataFrame:
     return merge_load(run_batches(trace, lambda b, i, p: load_parts(b, width)), quota)
 
 
-def utilisation_matches(samples: DataFrame, ticks: DataFrame, delay: str | None = None, bucket_s: int = 60) -> DataFrame:
-    """Ticks inside each sample's interval. Samples meet ticks by time bucket, so the range condition has an
-    equality to shuffle on; streams keep both sides, or what `delay` leaves of them."""
+def utilisation_matches(samples: DataFrame, ticks: DataFrame, delay: str | None = None, bucket_s: int = 60, on: str | None = None) -> DataFrame:
+    """Ticks inside each sample's interval, of the sample's own device where a column `on` names it on both sides. Samples meet ticks by time bucket, so
+    the range condition has an equality to shuffle on; streams keep both sides, or what `delay` leaves of them."""
+    device = lambda name: [] if on is None else [F.col(on).alias(name)]
     s = samples.withColumn("start", event_time()).withColumn(
         "end", F.timestamp_micros((F.unix_micros("start") + F.round(F.col("wall_s") * 1e6)).cast("long")))
-    t = ticks.withColumn("tick", event_time()).select("tick", "util")
+    t = ticks.withColumn("tick", event_time()).select("tick", "util", *device("tick_device"))
     if samples.isStreaming:
         s, t = bounded(s, "start", delay), bounded(t, "tick", delay)
     b = lambda c: F.floor(F.unix_micros(c) / (bucket_s * 1_000_000))
-    s = s.withColumn("bucket", F.explode(F.sequence(b("start"), b("end")))).select("sample_id", "start", "end", "bucket")
+    s = s.withColumn("bucket", F.explode(F.sequence(b("start"), b("end")))).select("sample_id", "start", "end", "bucket", *device("device"))
     t = t.withColumn("tb", b("tick"))
-    return s.join(t, (F.col("bucket") == F.col("tb")) & (F.col("tick") >= F.col("start")) & (F.col("tick") <= F.col("end")),
-                  "inner").select("sample_id", "tick", "util")
+    meet = (F.col("bucket") == F.col("tb")) & (F.col("tick") >= F.col("start")) & (F.col("tick") <= F.col("end"))
+    if on is not None:
+        meet = meet & (F.col("device") == F.col("tick_device"))
+    return s.join(t, meet, "inner").select("sample_id", "tick", "util")
 
 
 def utilisation(samples: DataFrame, matches: DataFrame) -> DataFrame:

@@ -450,6 +450,12 @@ def test_every_kind_of_log_line_has_its_status(spark):
     assert (row.done, row.missing, row.failed) == (1, 1, 2)
 
 
+def test_edges_of_large_indices_keep_their_order(spark):
+    e = spark.createDataFrame([("a", 3_000_000_000 - k, k, 1, True) for k in range(20)] + [("a", 5, 5, 2, True), ("b", 1, 1, 9, True)], "clip string, i long, j long, age int, active boolean")
+    kept = {(r.clip, r.i) for r in G.age_evict(e, 6, 8, ["clip"], room=1).filter("active").collect()}
+    assert kept == {("a", 3_000_000_000 - k) for k in range(15, 20)}
+
+
 def test_nan_depths_are_no_depths(spark):
     px = spark.createDataFrame([(f, u, v, float("nan") if f else 2.0) for f in (0, 10) for u in range(20) for v in range(20)], "frame int, u int, v int, depth double")
     per, low = D.coverage_score(px, "frame", 20, 20)
