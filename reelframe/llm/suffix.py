@@ -1,9 +1,9 @@
 """Repeated passages removed by a run-length index: matches of a fixed length that also start in a document with a smaller id.
 
 Documents travel in packed chunks. Equal strings of `span` bytes have equal least k-byte hashes (anchors), so only stretches whose anchor
-occurs in several documents can hold a repeat; they are dealt by anchor to index tasks. Each task builds a run-compressed
-Burrows-Wheeler transform of its distinct stretches with text samples at the run ends, streams the matching statistics of every stretch
-backwards through it, and answers each full match with the smallest document that has it.
+occurs in several documents can hold a repeat; they are dealt by anchor to index tasks, those of a very frequent anchor by a longer one.
+Each task builds run-compressed Burrows-Wheeler transforms of its distinct stretches with text samples at the run ends, streams the
+matching statistics of every stretch backwards through them, and answers each full match with the smallest document that has it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import pickle
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +20,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.session import shared_dir, staged
+from reelframe.session import shared_dir
 
-#: symbols sorted at once
-WIDE = 7
+#: symbols sorted at once, at most
+WIDE = 12
 LAST = np.iinfo(np.int64).max
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,6 +36,15 @@ def unpacked(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(bytes(blob)))
 
 
+def steps(rising: np.ndarray) -> np.ndarray:
+    """Differences of a rising sequence, as planes of like bytes; `summed` undoes it."""
+    return np.ascontiguousarray(np.diff(rising.astype(np.int64), prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
+def summed(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64))
+
+
 # --- documents in chunks -------------------------------------------------------------------------------------------------------------
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -79,21 +87,22 @@ def anchor_bytes(span: int) -> int:
     return 32 if span >= 48 else 16 if span >= 24 else 8
 
 
-def anchors(data: np.ndarray, span: int, step: int = 1 << 20) -> np.ndarray:
-    """For each start the least hash of the short strings (anchor_bytes) inside the `span` bytes from there; starts run to the last one that fits. `step` at a time."""
-    return np.concatenate([_anchors(data[i:i + step + span - 1], span) for i in range(0, len(data) - span + 1, step)])
+def anchors(data: np.ndarray, span: int, width: int | None = None, step: int = 1 << 20) -> np.ndarray:
+    """For each start the least hash of the strings of `width` bytes (anchor_bytes) inside the `span` bytes from there; starts run to the last one that fits. `step` at a time."""
+    return np.concatenate([_anchors(data[i:i + step + span - 1], span, width or anchor_bytes(span)) for i in range(0, len(data) - span + 1, step)])
 
 
-def _anchors(data: np.ndarray, span: int) -> np.ndarray:
+def _anchors(data: np.ndarray, span: int, width: int) -> np.ndarray:
     h = (data.astype(np.uint64) + np.uint64(1)) * ODD
     h ^= h >> np.uint64(29)
     have = 1
-    while have < anchor_bytes(span):
-        h = (h[:-have] * np.uint64(0xD1B54A32D192ED03 + 2 * have)) ^ (h[have:] + (h[have:] >> np.uint64(31)))
-        have *= 2
+    while have < width:
+        more = min(have, width - have)
+        h = (h[:-more] * np.uint64(0xD1B54A32D192ED03 + 2 * more)) ^ (h[more:] + (h[more:] >> np.uint64(31)))
+        have += more
     h *= ODD
     h ^= h >> np.uint64(32)
-    wide, reach = span - anchor_bytes(span) + 1, 1
+    wide, reach = span - width + 1, 1
     while 2 * reach <= wide:
         h = np.minimum(h[:-reach], h[reach:])
         reach *= 2
@@ -137,99 +146,104 @@ def low(anchor: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(buckets: int, span: int):
-    """Each chunk's distinct anchors by bucket (as 32 bits: a false meeting only adds work), those of several of its documents apart."""
+    """Each chunk's distinct anchors by bucket (as 32 bits: a false meeting only adds work), whether several of its documents have them, and how many bytes their stretches hold (as a power of two)."""
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for chunk, blob in zip(frame["chunk"], frame["docs"]):
                 _, _, sizes, body = unpacked(blob)
                 s = stretches(np.frombuffer(body, np.uint8), sizes, span)
-                order = np.lexsort((s.doc, s.anchor))
-                key, doc = s.anchor[order], s.doc[order]
-                first = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+                home = bucket_of(s.anchor, buckets)
+                mine = home.astype(np.uint64) << np.uint64(32) | low(s.anchor)
+                order = np.argsort(mine, kind="stable")
+                mine, doc, held = mine[order], s.doc[order], (s.count + span - 1)[order]
+                first = np.flatnonzero(np.concatenate((np.ones(min(len(mine), 1), bool), mine[1:] != mine[:-1])))
                 if not len(first):
                     continue
-                last = np.append(first[1:], len(key)) - 1
-                several, key = doc[first] != doc[last], key[first]
-                b = bucket_of(key, buckets)
-                order = np.argsort(b, kind="stable")
-                b, key, several = b[order], low(key[order]), several[order]
+                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+                weight = np.ceil(np.log2(np.add.reduceat(held, first))).astype(np.uint8)
+                b, key = home[order][first], mine[first] & np.uint64(0xFFFFFFFF)
                 cuts = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-                rows = [(int(b[i]), chunk, key[i:j].tobytes(), np.packbits(several[i:j]).tobytes()) for i, j in zip(cuts, np.append(cuts[1:], len(b)))]
-                yield pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "several"])
+                rows = [(int(b[i]), chunk, packed(steps(key[i:j]), np.packbits(several[i:j]), weight[i:j])) for i, j in zip(cuts, np.append(cuts[1:], len(b)))]
+                yield pd.DataFrame(rows, columns=["bucket", "chunk", "keys"])
 
     return of
 
 
-def shared_anchors(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of each chunk's anchors in a bucket those that another document has too."""
-    sizes = np.array([len(k) // 4 for k in frame["keys"]])
-    keys = np.frombuffer(b"".join(frame["keys"]), np.uint32)
-    several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(frame["several"], sizes)])
-    _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    common = (counts > 1) | (np.bincount(which, several) > 0)
-    kept = common[which]
-    ends = np.cumsum(sizes)
-    return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "keys": [keys[i:j][kept[i:j]].tobytes() for i, j in zip(ends - sizes, ends)]})
+def shared_anchors(crowded: int):
+    """Of each chunk's anchors in a bucket those that another document has too, and which of them are frequent: over `crowded` bytes in all chunks together."""
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpacked(b) for b in frame["keys"]]
+        each = [summed(k) for k, _, _ in parts]
+        several = np.concatenate([np.unpackbits(b, count=len(k)) for k, (_, b, _) in zip(each, parts)])
+        held = np.concatenate([np.exp2(w.astype(np.float64)) for _, _, w in parts])
+        _, which, counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        kept = ((counts > 1) | (np.bincount(which, several) > 0))[which]
+        frequent = (np.bincount(which, held) > crowded)[which]
+        ends = np.cumsum([len(k) for k in each])
+        rows = [packed(steps(k[kept[j - len(k):j]]), np.packbits(frequent[j - len(k):j][kept[j - len(k):j]])) for k, j in zip(each, ends)]
+        return pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "keys": rows})
+
+    return of
 
 
 # --- stretches that may repeat -------------------------------------------------------------------------------------------------------
 
+def longer(data: np.ndarray, s: Stretches, span: int) -> Stretches:
+    """The stretches cut by anchors of nearly `span` bytes: what surrounds a frequent anchor tells its strings apart."""
+    place = np.repeat(s.start, s.count) + np.arange(s.count.sum()) - np.repeat(np.cumsum(s.count) - s.count, s.count)
+    home = np.repeat(np.arange(len(s.start)), s.count)
+    anchor = anchors(data, span, span - 2)[place]
+    first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (home[1:] != home[:-1]))))
+    return Stretches(place[first], np.diff(np.append(first, len(place))), s.doc[home[first]], anchor[first])
+
+
 def candidate_rows(buckets: int, span: int, index_buckets: int):
-    """kind 0: a chunk's occurrences (document, start, number of the content); kind 1: its distinct contents, by index bucket."""
+    """A chunk's occurrences (start, number of the content, starts of each content) in a bucket of their own below zero; its distinct contents by index bucket."""
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for chunk, blob, shared in zip(frame["chunk"], frame["docs"], frame["shared"]):
                 ids, null, sizes, body = unpacked(blob)
-                s = stretches(np.frombuffer(body, np.uint8), sizes, span)
-                known = [np.array([], np.uint64)]
-                for r in shared if shared is not None else ():
-                    known.append((np.uint64(r["bucket"]) << np.uint64(32)) | np.frombuffer(r["keys"], np.uint32).astype(np.uint64))
-                known = np.sort(np.concatenate(known))
-                mine = (bucket_of(s.anchor, buckets).astype(np.uint64) << np.uint64(32)) | low(s.anchor).astype(np.uint64)
-                at = np.searchsorted(known, mine)
-                keep = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == mine) if len(known) else np.zeros(0, np.int64)
-                start, count, doc, anchor = s.start[keep], s.count[keep], s.doc[keep], s.anchor[keep]
-                order = np.where(null, LAST, ids)[doc]
+                data = np.frombuffer(body, np.uint8)
+                s = stretches(data, sizes, span)
+                known, often = [], []
+                for r in shared:
+                    planes, bits = unpacked(r["keys"])
+                    known.append(np.uint64(r["bucket"]) << np.uint64(32) | summed(planes).astype(np.uint64))
+                    often.append(np.unpackbits(bits, count=len(known[-1])).astype(bool))
+                known, often = np.concatenate(known), np.concatenate(often)
+                order = np.argsort(known)
+                known, often = known[order], often[order]
+                if not len(known):
+                    continue
+                mine = bucket_of(s.anchor, buckets).astype(np.uint64) << np.uint64(32) | low(s.anchor)
+                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                keep = known[at] == mine
+
+                def chosen(which: np.ndarray) -> Stretches:
+                    return Stretches(s.start[which], s.count[which], s.doc[which], s.anchor[which])
+
+                s, many = chosen(keep & ~often[at]), chosen(keep & often[at])
+                if len(many.start):
+                    many = longer(data, many, span)
+                    s = Stretches(*(np.concatenate((getattr(s, k), getattr(many, k))) for k in ("start", "count", "doc", "anchor")))
+                    s = chosen(np.argsort(s.start))
                 number: dict[bytes, int] = {}
-                which = np.fromiter((number.setdefault(body[i:j], len(number)) for i, j in zip(start.tolist(), (start + count + span - 1).tolist())), np.int32, len(start))
+                which = np.fromiter((number.setdefault(body[i:j], len(number)) for i, j in zip(s.start.tolist(), (s.start + s.count + span - 1).tolist())), np.int32, len(s.start))
                 if not len(which):
                     continue
                 least = np.full(len(number), LAST)
-                np.minimum.at(least, which, order)
+                np.minimum.at(least, which, np.where(null, LAST, ids)[s.doc])
                 _, rep = np.unique(which, return_index=True)
-                n_starts, keys = count[rep], anchor[rep]
-                home = bucket_of(keys * ODD, index_buckets)
-                rows = [(0, chunk, 0, packed(doc.astype(np.int32), start, which, n_starts), 0)]
+                n_starts = s.count[rep].astype(np.uint16)
+                home = bucket_of(s.anchor[rep] * ODD, index_buckets)
+                rows = [(chunk, -1 - chunk, packed(steps(s.start), np.diff(which, prepend=0), n_starts))]
                 texts = list(number)
                 by = np.argsort(home, kind="stable")
                 cuts = np.flatnonzero(np.concatenate(([True], np.diff(home[by]) > 0)))
                 for i, j in zip(cuts, np.append(cuts[1:], len(by))):
                     part = by[i:j]
-                    text = b"".join(texts[x] for x in part)
-                    rows.append((1, chunk, int(home[part[0]]), packed(part.astype(np.int32), np.zeros(len(part), np.int32), n_starts[part], least[part], text, keys[part]), len(text)))
-                yield pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "part", "size"])
-
-    return of
-
-
-def single_rows(span: int, first_bucket: int, buckets: int):
-    """Contents of a crowded bucket cut into single `span`-byte strings, which are then dealt by themselves."""
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for chunk, blob in zip(frame["chunk"], frame["part"]):
-                which, _, count, least, text, _ = unpacked(blob)
-                ends = np.cumsum(count + span - 1)
-                at = np.repeat(ends - count - span + 1, count) + (inner := np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-                grams = [text[i:i + span] for i in at.tolist()]
-                keys = np.array([int.from_bytes(hashlib.blake2b(g, digest_size=8).digest(), "little") for g in grams], np.uint64)
-                home = bucket_of(keys, buckets)
-                which, least = np.repeat(which, count), np.repeat(least, count)
-                rows = []
-                for b in np.unique(home):
-                    part = np.flatnonzero(home == b)
-                    joined = b"".join(grams[i] for i in part)
-                    rows.append((1, chunk, first_bucket + int(b), packed(which[part], inner[part].astype(np.int32), np.ones(len(part), np.int64), least[part], joined, keys[part]), len(joined)))
-                yield pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "part", "size"])
+                    rows.append((chunk, int(home[part[0]]), packed(steps(part), n_starts[part], least[part], b"".join([texts[x] for x in part]))))
+                yield pd.DataFrame(rows, columns=["chunk", "bucket", "part"])
 
     return of
 
@@ -241,42 +255,50 @@ class RunIndex:
 
     def __init__(self, texts: list[bytes], span: int):
         sizes = np.array([len(t) for t in texts], np.int64)
-        symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
+        joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         self.begin = np.cumsum(sizes + 1) - sizes - 1
-        symbols[self.begin + sizes] = 0  # ends of texts; bytes are 1 to 256
-        self.symbols, n = symbols, len(symbols)
-        # seven symbols of nine bits, cut where a text ends among them; then rows still alike are sorted by what follows, twice as far each time
-        number = np.repeat(np.arange(len(texts)), sizes + 1)
-        key, whole = symbols.copy(), symbols > 0
-        for i in range(1, WIDE):
-            later = np.concatenate((symbols[i:], np.zeros(min(i, n), np.int64)))[:n]
-            key = key << 9 | np.where(whole, later, 0)
-            whole &= later > 0
+        ends, n = self.begin + sizes, len(joined)
+        used = np.bincount(joined, minlength=256)
+        used[0] -= len(texts)
+        self.code = np.where(used > 0, np.cumsum(used > 0), 256)  # bytes in use are numbered from 1; 0 ends a text
+        symbols = self.code[joined].astype(np.int16)
+        symbols[ends] = 0
+        self.symbols = symbols
+        self.bits = max(1, int((used > 0).sum()).bit_length())
+        self.wide = min(WIDE, span, 63 // self.bits)
+        # the first symbols as one number, cut where a text ends among them; then rows still alike are sorted by what follows, twice as far each time
+        number = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+        self.rest = (ends[number] - np.arange(n)).astype(np.int32)
+        key = symbols.astype(np.int64)
+        for i in range(1, self.wide):
+            key <<= self.bits
+            key[:n - i] |= np.where(self.rest[:n - i] >= i, symbols[i:], 0)
+        self.key = key
         order = np.argsort(key)
-        rank, new = np.empty(n, np.int64), np.concatenate(([True], np.diff(key[order]) != 0))
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # place of the first row alike
+        rank, new = np.empty(n, np.int32), np.concatenate(([True], np.diff(key[order]) != 0))
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))  # place of the first row alike
 
-        def refine(then: np.ndarray) -> None:
+        def refine(then) -> None:
             alike = np.flatnonzero(~(new & np.append(new[1:], True)))
             rows = order[alike]
-            k = rank[rows] * (n + 1) + then[rows]
+            k = rank[rows].astype(np.int64) * (n + 1) + then(rows)
             by = np.argsort(k)
             rows, k = rows[by], k[by]
             order[alike], new[alike] = rows, np.concatenate((np.ones(min(len(k), 1), bool), np.diff(k) != 0))
             rank[rows] = np.maximum.accumulate(np.where(new[alike], alike, 0))
 
-        refine(np.where(whole, 0, number))  # an ended text's number tells it from all others
-        self.ranks: dict[int, np.ndarray] = {WIDE: rank.copy()}
-        depth = WIDE
+        refine(lambda rows: np.where(self.rest[rows] >= self.wide, 0, number[rows]))  # an ended text's number tells it from all others
+        self.ranks: dict[int, np.ndarray] = {self.wide: rank.copy()}
+        depth = self.wide
         while depth < span or not new.all():
-            refine(np.concatenate((rank[depth:], np.full(min(depth, n), -1)))[:n] + 1)
+            refine(lambda rows: np.where(rows + depth < n, rank[np.minimum(rows + depth, n - 1)] + 1, 0))
             depth *= 2
-            if depth <= 8 * WIDE:
+            if depth <= span:
                 self.ranks[depth] = rank.copy()
         before = symbols[order - 1]  # of the first row's text the last symbol, an end
         starts = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         lengths = np.diff(np.append(starts, n))
-        self.run_start, self.run_symbol = starts, before[starts]
+        self.run_start, self.run_symbol = starts, before[starts].astype(np.int64)
         self.first_sample, self.last_sample = order[starts], order[starts + lengths - 1]  # places of the rows at both ends of each run
         by = np.argsort(self.run_symbol, kind="stable")
         through = np.concatenate(([0], np.cumsum(lengths[by])[:-1]))
@@ -286,32 +308,31 @@ class RunIndex:
         self.runs = len(starts)
         self.keyed = self.run_symbol[by] * self.runs + by
         self.by = by
-        same = self.common(order[:-1], order[1:], span) >= span
-        self.block_start = np.flatnonzero(np.concatenate(([True], ~same)))
-        self.block_text = np.minimum.reduceat(number[order], self.block_start)  # of each block of equal `span` symbols the first text
+        self.run_of = np.repeat(np.arange(self.runs, dtype=np.int32), lengths)
+        near = np.flatnonzero(self.key[order[1:]] == self.key[order[:-1]])
+        new = np.ones(n, bool)
+        new[near + 1] = self.common(order[near], order[near + 1], span) < span
+        self.block_of = np.cumsum(new, dtype=np.int32) - 1
+        self.block_text = np.minimum.reduceat(number[order], np.flatnonzero(new))  # of each block of equal `span` symbols the first text
 
     def common(self, p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
         """Symbols that the suffixes at p and q share, counted up to `most`."""
-        p, q, n = p.copy(), q.copy(), len(self.symbols)
-        out, going = np.zeros(len(p), np.int64), np.ones(len(p), bool)
+        out = np.zeros(len(p), np.int64)
         depths = sorted((d for d in self.ranks if d <= most), reverse=True)
         for depth in depths[:1] * (most // depths[0] if depths else 0) + depths[1:]:
             rank = self.ranks[depth]
-            ok = going & (p < n) & (q < n)
-            ok[ok] = rank[p[ok]] == rank[q[ok]]
-            out, p, q = out + depth * ok, p + depth * ok, q + depth * ok
-        for _ in range(WIDE - 1):
-            ok = (p < n) & (q < n)
-            ok[ok] = (self.symbols[p[ok]] == self.symbols[q[ok]]) & (self.symbols[p[ok]] > 0)
-            ok &= going
-            out, p, q, going = out + ok, p + ok, q + ok, ok
-        return np.minimum(out, most)
+            more = depth * ((rank[p] == rank[q]) & (self.rest[p] >= depth))
+            out, p, q = out + more, p + more, q + more
+        apart = self.key[p] ^ self.key[q]
+        top = np.frexp((apart & ~(apart >> 1)).astype(np.float64))[1]  # bits up to the first that differs
+        alike = (self.wide * self.bits - top) // self.bits
+        return np.minimum(out + np.minimum(alike, np.minimum(self.rest[p], self.rest[q])), most)
 
     def matches(self, texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of every text, from its end to its start, capped at span: for each place of the joined texts the length of the match
         that starts there, and the first indexed text with it where the length is span (else -1)."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        query = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+        query = self.code[np.frombuffer(b"".join(texts), np.uint8)]
         ends = np.cumsum(sizes)
         length_out, text_out = np.zeros(len(query), np.int64), np.full(len(query), -1)
         live = np.argsort(-sizes, kind="stable")
@@ -322,7 +343,7 @@ class RunIndex:
             at = ends[live] - 1 - t
             c = query[at]
             r, p, m = row[live], place[live], length[live]
-            run = np.searchsorted(self.run_start, r, "right") - 1
+            run = self.run_of[r].astype(np.int64)
             off = np.flatnonzero(self.run_symbol[run] != c)
             if len(off):
                 # the nearest runs of the symbol above and below; the one whose suffix shares more goes on
@@ -344,45 +365,58 @@ class RunIndex:
             row[live], place[live], length[live] = r, p, m
             length_out[at] = m
             full = np.flatnonzero(m == span)
-            text_out[at[full]] = self.block_text[np.searchsorted(self.block_start, r[full], "right") - 1]
+            text_out[at[full]] = self.block_text[self.block_of[r[full]]]
         return length_out, text_out
 
 
-def index_rows(span: int):
-    """A bucket's contents against their index: for each chunk and content the least document order of each of its `span`-byte strings.
+def least_orders(least: dict[bytes, int], span: int, at_once: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """Where each text begins among all texts' places, and for each place the least order of the string that starts there, read off indexes of about `at_once` bytes.
 
-    Equal contents are one text. Strings of different anchors are different, so a text that is the only one of its anchor has no other to meet: its
-    strings' least order is its own. All other texts go through the index.
+    Strings of different anchors are different, so texts meet only those of their own anchor, which go into one index.
     """
-    def of(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpacked(b) for b in frame["part"]]
+    texts = sorted(least, key=lambda t: (least[t], t))
+    sizes = np.array([len(t) for t in texts], np.int64)
+    piece = np.zeros(len(texts), np.int64)
+    if sizes.sum() > at_once:
+        joined = np.frombuffer(b"".join([t[:span] for t in texts]), np.uint8)
+        anchor = anchors(joined, span)[::span]
+        _, family = np.unique(anchor, return_inverse=True)
+        through = np.cumsum(np.bincount(family, sizes))
+        piece = (np.concatenate(([0], through[:-1])) // at_once).astype(np.int64)[family]
+    out, begin, held = [], {}, 0
+    for k in np.unique(piece).tolist():
+        mine = [texts[i] for i in np.flatnonzero(piece == k)]
+        _, found = RunIndex(mine, span).matches(mine, span)
+        out.append(np.array([least[t] for t in mine], np.int64)[found])
+        for t in mine:
+            begin[t] = held
+            held += len(t)
+    return begin, np.concatenate(out)
+
+
+def index_rows(span: int, at_once: int):
+    """A bucket's contents against their index: for each chunk the numbers of its contents and the least document order of each of their `span`-byte strings, as runs. Occurrences go through."""
+    def of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return pd.DataFrame({"chunk": frame["chunk"], "found": False, "reply": frame["part"]})
         least: dict[bytes, int] = {}
-        anchor: dict[bytes, int] = {}
-        texts = []
-        for _, _, count, order, text, keys in parts:
-            ends = np.cumsum(count + span - 1).tolist()
+        parts = []
+        for blob in frame["part"]:
+            numbers, count, order, text = unpacked(blob)
+            ends = np.cumsum(count + np.int64(span - 1)).tolist()
             mine = [text[i:j] for i, j in zip([0, *ends[:-1]], ends)]
-            texts.append(mine)
-            for t, o, a in zip(mine, order.tolist(), keys.tolist()):
+            parts.append((numbers, count.astype(np.int64), mine))
+            for t, o in zip(mine, order.tolist()):
                 if o < least.get(t, LAST + 1):
                     least[t] = o
-                    anchor[t] = a
-        per = Counter(anchor.values())
-        inside = sorted((t for t, a in anchor.items() if per[a] > 1), key=lambda t: (least[t], t))
-        found, orders, begin = np.zeros(0, np.int64), np.array([least[t] for t in inside], np.int64), {}
-        if inside:
-            _, found = RunIndex(inside, span).matches(inside, span)
-            sizes = np.array([len(t) for t in inside])
-            begin = dict(zip(inside, (np.cumsum(sizes) - sizes).tolist()))
+        begin, orders = least_orders(least, span, at_once)
         replies = []
-        for (which, first, count, _, _, _), mine in zip(parts, texts):
-            at = np.repeat(np.array([begin.get(t, -1) for t in mine]), count)
-            out = np.repeat(np.array([least[t] for t in mine], np.int64), count)
-            asked = np.flatnonzero(at >= 0)
-            inner = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            out[asked] = orders[found[(at + inner)[asked]]]
-            replies.append(packed(which, first, count, out))
-        return pd.DataFrame({"chunk": frame["chunk"], "reply": replies})
+        for numbers, count, mine in parts:
+            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            out = orders[np.repeat(np.array([begin[t] for t in mine]), count) + inner]
+            first = np.flatnonzero(np.concatenate(([True], out[1:] != out[:-1])))
+            replies.append(packed(numbers, steps(first), out[first]))
+        return pd.DataFrame({"chunk": frame["chunk"], "found": True, "reply": replies})
 
     return of
 
@@ -396,17 +430,23 @@ def removal_rows(span: int, bodies: bool):
     """Each document without the bytes of strings whose least order is below its own."""
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for blob, occurrences, replies in zip(frame["docs"], frame["occurrences"], frame["replies"]):
+            for blob, replies in zip(frame["docs"], frame["replies"]):
                 ids, null, sizes, body = unpacked(blob)
                 data, ends = np.frombuffer(body, np.uint8), np.cumsum(sizes)
                 gone = np.zeros(len(data), bool)
-                if occurrences is not None:
-                    doc, start, which, count = unpacked(occurrences)
+                if replies is not None:
+                    start, which, count = next(unpacked(r["reply"]) for r in replies if not r["found"])
+                    start, which, count = summed(start), np.cumsum(which), count.astype(np.int64)
+                    doc = np.searchsorted(ends, start, "right")
                     begin = np.cumsum(count) - count
                     least = np.full(count.sum(), LAST)
-                    for r in replies if replies is not None else ():
-                        w, first, n, order = unpacked(r)
-                        least[np.repeat(begin[w] + first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = order
+                    for r in replies:
+                        if r["found"]:
+                            numbers, first, order = unpacked(r["reply"])
+                            w = summed(numbers)
+                            n = count[w]
+                            place = np.repeat(begin[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                            least[place] = np.repeat(order, np.diff(np.append(summed(first), len(place))))
                     n = count[which]
                     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     own = np.where(null, LAST, ids)[np.repeat(doc, n)]
@@ -426,36 +466,26 @@ def removal_rows(span: int, bodies: bool):
     return of
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, chunk_bytes: int = 4 << 20, crowded: int = 48 << 20, bodies: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, chunk_bytes: int = 4 << 20, crowded: int = 4 << 20, bodies: bool = True) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (remaining bytes), spans (removed runs); the last two null without `bodies`.
 
     A byte goes if a `span`-byte string that covers it also starts in a document with a smaller id; strings lie within one document and are judged
-    on the input. Null texts are empty. Texts shorter than span keep all bytes. Rows with one id are not smaller than each other, so they remove
-    nothing from one another; null ids are larger than all others and equal among themselves. Other columns are not looked at.
+    on the input. Null texts are empty. Texts shorter than span keep all bytes. Very long texts are a chunk of their own. Rows with one id are not
+    smaller than each other, so they remove nothing from one another; null ids are larger than all others and equal among themselves. Other columns
+    are not looked at. An empty table gives an empty one.
 
-    Index tasks hold the distinct stretches of one bucket. A bucket of over `crowded` bytes, as a very frequent anchor can make, is cut into
-    single strings dealt by their own hash, so no string's copies but one per chunk meet in a task.
+    Index tasks hold the distinct stretches of one bucket, in indexes of about `crowded` bytes. Stretches of an anchor with over `crowded` bytes in all
+    chunks together are cut where an anchor of span - 2 bytes changes and dealt by that one: at most three strings then surround it on either side
+    by a byte or two, whatever the corpus.
     """
     # numbered partitions: rows are small and costly, so partitions are not to be joined for their size
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = bucketed(chunks(docs, id_col, text_col, chunk_bytes), "chunk", tasks)
     buckets = max(64, held.count())
-    index_buckets = 3 * buckets
-    keys = held.mapInPandas(anchor_rows(buckets, span), "bucket long, chunk long, keys binary, several binary")
-    common = keys.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(shared_anchors, "chunk long, bucket long, keys binary")
+    keys = held.mapInPandas(anchor_rows(buckets, span), "bucket long, chunk long, keys binary")
+    common = keys.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(shared_anchors(crowded), "chunk long, bucket long, keys binary")
     shared = common.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "keys")).alias("shared"))
-    parts = held.join(shared.hint("shuffle_hash"), "chunk").mapInPandas(candidate_rows(buckets, span, index_buckets), "kind int, chunk long, bucket long, part binary, size long")
-    parts = staged(parts, "suffix-parts")
-    contents = parts.filter("kind = 1")
-    sizes = contents.groupBy("bucket").agg(F.sum("size").alias("total"))
-    hot = staged(sizes.filter(F.col("total") > crowded).select("bucket", "total"), "suffix-hot")
-    more = hot.agg(F.sum("total")).first()[0]
-    if more:
-        pieces = int(more * span // crowded) + 1
-        split = contents.join(hot.select("bucket"), "bucket", "left_semi").select("chunk", "part").mapInPandas(single_rows(span, index_buckets, pieces), "kind int, chunk long, bucket long, part binary, size long")
-        contents = contents.join(hot, "bucket", "left_anti").select("kind", "chunk", "bucket", "part", "size").unionByName(split)
-    answers = contents.select("bucket", "chunk", "part").repartition(tasks, "bucket").groupBy("bucket").applyInPandas(index_rows(span), "chunk long, reply binary")
-    replies = answers.groupBy("chunk").agg(F.collect_list("reply").alias("replies"))
-    found = parts.filter("kind = 0").select("chunk", F.col("part").alias("occurrences")).join(replies, "chunk", "left")
-    found = staged(found, "suffix-found")
-    return held.join(found.hint("shuffle_hash"), "chunk", "left").mapInPandas(removal_rows(span, bodies), REMOVED)
+    parts = held.join(shared.hint("shuffle_hash"), "chunk").mapInPandas(candidate_rows(buckets, span, 3 * buckets), "chunk long, bucket long, part binary")
+    answers = parts.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(index_rows(span, crowded), "chunk long, found boolean, reply binary")
+    replies = answers.groupBy("chunk").agg(F.collect_list(F.struct("found", "reply")).alias("replies"))
+    return held.join(replies.hint("shuffle_hash"), "chunk", "left").mapInPandas(removal_rows(span, bodies), REMOVED)

@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from reelframe.llm.suffix import RunIndex, remove_repeats
+from reelframe.llm import suffix
+from reelframe.llm.suffix import RunIndex, least_orders, remove_repeats
 
 
 def expected(rows, span):
@@ -41,7 +42,7 @@ def case(prose):
     return rows
 
 
-@pytest.mark.parametrize("chunk,crowded", [(4 << 20, 48 << 20), (600, 48 << 20), (900, 1500)])
+@pytest.mark.parametrize("chunk,crowded", [(4 << 20, 4 << 20), (600, 4 << 20), (900, 1500), (900, 100)])
 def test_removal_like_brute_force(table, prose, chunk, crowded):
     rows = case(prose)
     assert got(remove_repeats(table(rows), chunk_bytes=chunk, crowded=crowded)) == expected(rows, 50)
@@ -93,6 +94,52 @@ def test_matching_statistics_like_brute_force():
             at += len(x)
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 300, 1])
+def test_every_answer_comes_from_an_index(prose, monkeypatch, at_once):
+    base = prose(3, 120).encode()
+    rng = random.Random(1)
+    least = {base[a:a + rng.randrange(50, 90)]: rng.randrange(99) for a in [rng.randrange(len(base) - 90) for _ in range(60)]}
+    seen = []
+
+    class Watched(RunIndex):
+        def __init__(self, texts, span):
+            super().__init__(texts, span)
+            seen.extend(texts)
+
+    monkeypatch.setattr(suffix, "RunIndex", Watched)
+    # texts that share a string of 50 bytes but not its first 50 have one anchor only as stretches do: cut them so
+    import numpy as np
+
+    parts = {}
+    for t, o in least.items():
+        s = suffix.stretches(np.frombuffer(t, np.uint8), np.array([len(t)]), 50)
+        for a, n in zip(s.start.tolist(), s.count.tolist()):
+            piece = t[a:a + n + 49]
+            parts[piece] = min(o, parts.get(piece, o))
+    begin, orders = least_orders(parts, 50, at_once)
+    assert sorted(seen) == sorted(parts)
+    for t in parts:
+        for i in range(len(t) - 49):
+            assert orders[begin[t] + i] == min(o for x, o in parts.items() if t[i:i + 50] in x)
+
+
+@pytest.mark.parametrize("span", [8, 16, 50, 64])
+def test_longer_anchors_keep_equal_strings_together(span):
+    import numpy as np
+
+    rng = random.Random(span)
+    base = bytes(rng.choice(b"abcd") for _ in range(400))
+    body = b"".join(base[a:a + 150] for a in [rng.randrange(250) for _ in range(9)])
+    data = np.frombuffer(body, np.uint8)
+    coarse = suffix.stretches(data, np.array([150] * 9), span)
+    fine = suffix.longer(data, coarse, span)
+    assert fine.count.sum() == coarse.count.sum() and len(fine.start) >= len(coarse.start)
+    key = {}
+    for a, n, k in zip(fine.start.tolist(), fine.count.tolist(), fine.anchor.tolist()):
+        for i in range(a, a + n):
+            assert key.setdefault(body[i:i + span], k) == k
+
+
 def test_copies_compress_to_few_runs(prose):
     text = prose(4, 300).encode()
     one, many = RunIndex([text], 50), RunIndex([text] * 20, 50)
