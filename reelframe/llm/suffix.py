@@ -84,10 +84,10 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 def anchor_bytes(span: int) -> int:
     """Length of the strings that are hashed: long ones are seldom shared by chance, short ones make longer stretches."""
-    return 32 if span >= 48 else 16 if span >= 24 else 8
+    return 24 if span >= 48 else 16 if span >= 24 else 8
 
 
-def anchors(data: np.ndarray, span: int, width: int | None = None, step: int = 1 << 20) -> np.ndarray:
+def anchors(data: np.ndarray, span: int, width: int | None = None, step: int = 1 << 15) -> np.ndarray:
     """For each start the least hash of the strings of `width` bytes (anchor_bytes) inside the `span` bytes from there; starts run to the last one that fits. `step` at a time."""
     return np.concatenate([_anchors(data[i:i + step + span - 1], span, width or anchor_bytes(span)) for i in range(0, len(data) - span + 1, step)])
 
@@ -266,32 +266,33 @@ class RunIndex:
         self.symbols = symbols
         self.bits = max(1, int((used > 0).sum()).bit_length())
         self.wide = min(WIDE, span, 63 // self.bits)
-        # the first symbols as one number, cut where a text ends among them; then rows still alike are sorted by what follows, twice as far each time
+        # the first symbols as one number; then rows still alike are sorted by what follows, twice as far each time
         number = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
-        self.rest = (ends[number] - np.arange(n)).astype(np.int32)
-        key = symbols.astype(np.int64)
-        for i in range(1, self.wide):
-            key <<= self.bits
-            key[:n - i] |= np.where(self.rest[:n - i] >= i, symbols[i:], 0)
+        self.rest = (np.repeat(ends, sizes + 1) - np.arange(n)).astype(np.int32)
+        key, have = symbols.astype(np.int64), 1
+        while have < self.wide:
+            more = min(have, self.wide - have)
+            later = np.zeros(n, np.int64)
+            later[:max(n - have, 0)] = key[have:] >> self.bits * (have - more)
+            key, have = key << self.bits * more | later, have + more
         self.key = key
         order = np.argsort(key)
         rank, new = np.empty(n, np.int32), np.concatenate(([True], np.diff(key[order]) != 0))
         rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))  # place of the first row alike
 
-        def refine(then) -> None:
+        def refine(depth: int) -> None:
             alike = np.flatnonzero(~(new & np.append(new[1:], True)))
             rows = order[alike]
-            k = rank[rows].astype(np.int64) * (n + 1) + then(rows)
+            k = rank[rows].astype(np.int64) * (n + 1) + np.where(rows + depth < n, rank[np.minimum(rows + depth, n - 1)] + 1, 0)
             by = np.argsort(k)
             rows, k = rows[by], k[by]
             order[alike], new[alike] = rows, np.concatenate((np.ones(min(len(k), 1), bool), np.diff(k) != 0))
             rank[rows] = np.maximum.accumulate(np.where(new[alike], alike, 0))
 
-        refine(lambda rows: np.where(self.rest[rows] >= self.wide, 0, number[rows]))  # an ended text's number tells it from all others
         self.ranks: dict[int, np.ndarray] = {self.wide: rank.copy()}
         depth = self.wide
         while depth < span or not new.all():
-            refine(lambda rows: np.where(rows + depth < n, rank[np.minimum(rows + depth, n - 1)] + 1, 0))
+            refine(depth)
             depth *= 2
             if depth <= span:
                 self.ranks[depth] = rank.copy()
@@ -302,8 +303,8 @@ class RunIndex:
         self.first_sample, self.last_sample = order[starts], order[starts + lengths - 1]  # places of the rows at both ends of each run
         by = np.argsort(self.run_symbol, kind="stable")
         through = np.concatenate(([0], np.cumsum(lengths[by])[:-1]))
-        self.step = np.empty(len(starts), np.int64)
-        self.step[by] = through  # row that the first row of a run steps to: rows are in order of their first symbol
+        self.step = -starts
+        self.step[by] += through  # how far a run's rows step: rows are in order of their first symbol
         self.length = lengths
         self.runs = len(starts)
         self.keyed = self.run_symbol[by] * self.runs + by
@@ -312,8 +313,8 @@ class RunIndex:
         near = np.flatnonzero(self.key[order[1:]] == self.key[order[:-1]])
         new = np.ones(n, bool)
         new[near + 1] = self.common(order[near], order[near + 1], span) < span
-        self.block_of = np.cumsum(new, dtype=np.int32) - 1
-        self.block_text = np.minimum.reduceat(number[order], np.flatnonzero(new))  # of each block of equal `span` symbols the first text
+        block = np.flatnonzero(new)
+        self.first_text = np.repeat(np.minimum.reduceat(number[order], block), np.diff(np.append(block, n)))  # for each row of a block of equal `span` symbols the first text
 
     def common(self, p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
         """Symbols that the suffixes at p and q share, counted up to `most`."""
@@ -335,15 +336,16 @@ class RunIndex:
         query = self.code[np.frombuffer(b"".join(texts), np.uint8)]
         ends = np.cumsum(sizes)
         length_out, text_out = np.zeros(len(query), np.int64), np.full(len(query), -1)
-        live = np.argsort(-sizes, kind="stable")
+        by_size = np.argsort(-sizes, kind="stable")
+        sizes, ends = sizes[by_size], ends[by_size]
         row, length = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         place = np.full(len(texts), self.first_sample[0])
         for t in range(int(sizes.max(initial=0))):
-            live = live[:np.searchsorted(-sizes[live], -t, "left")]
-            at = ends[live] - 1 - t
+            live = int(np.searchsorted(-sizes, -t, "left"))  # texts of more than t symbols come first
+            at = ends[:live] - 1 - t
             c = query[at]
-            r, p, m = row[live], place[live], length[live]
-            run = self.run_of[r].astype(np.int64)
+            r, p, m = row[:live], place[:live], length[:live]
+            run = self.run_of[r]
             off = np.flatnonzero(self.run_symbol[run] != c)
             if len(off):
                 # the nearest runs of the symbol above and below; the one whose suffix shares more goes on
@@ -358,14 +360,14 @@ class RunIndex:
                 r[off] = np.where(higher, self.run_start[up] + self.length[up] - 1, self.run_start[down])
                 p[off] = np.where(higher, self.last_sample[up], self.first_sample[down])
                 m[off] = np.minimum(m[off], np.maximum(share_up, share_down))
-            r = self.step[run] + r - self.run_start[run]
-            p, m = p - 1, np.minimum(m + 1, span)
-            gone = np.flatnonzero(self.run_symbol[run] != c)  # a symbol that the index does not have
+            r += self.step[run]
+            p -= 1
+            np.minimum(m + 1, span, out=m)
+            gone = off[~(has_up | has_down)] if len(off) else off  # a symbol that the index does not have
             r[gone], p[gone], m[gone] = 0, self.first_sample[0], 0
-            row[live], place[live], length[live] = r, p, m
             length_out[at] = m
             full = np.flatnonzero(m == span)
-            text_out[at[full]] = self.block_text[self.block_of[r[full]]]
+            text_out[at[full]] = self.first_text[r[full]]
         return length_out, text_out
 
 
