@@ -477,8 +477,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are not looked at. An empty table gives an empty one.
 
     Index tasks hold the distinct stretches of one bucket, in indexes of about `crowded` bytes. Stretches of an anchor with over `crowded` bytes in all
-    chunks together are cut where an anchor of span - 2 bytes changes and dealt by that one: at most three strings then surround it on either side
-    by a byte or two, whatever the corpus.
+    chunks together are cut where an anchor of span - 2 bytes changes and dealt by that one: such an anchor has at most 3 * 65,536
+    different strings, whatever the corpus, though each chunk sends its own copy of them.
     """
     # numbered partitions: rows are small and costly, so partitions are not to be joined for their size
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
