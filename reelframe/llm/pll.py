@@ -1,68 +1,124 @@
-"""Masked pseudo-likelihood: a window network predicts every word from the words on both sides; the summed log-probabilities score documents."""
+"""Masked pseudo-likelihood: a window network predicts every token from the tokens on both sides; the summed log-probabilities score documents."""
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelframe.llm.tokens import word_ids
 from reelframe.session import staged
 
 SIDE = 2
-CLASSES, MEMBERS, HIDDEN = 32, 64, 32
-WORDS = CLASSES * MEMBERS
-#: words without an entry of their own share this many entries; a word's part of its entry is its share of the counts behind it
-BUCKETS = 128
+OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
+HIDDEN = 16
 CHUNK = 8192
+#: decisions near the root, which most tokens pass, are taken as one matrix product
+TOP = 63
+#: rows of a state that are averaged together
+BLOCK = 1024
+
+
+@dataclass
+class Vocabulary:
+    """Tokens 0 to len(counts) - 1: frequent words, pieces of all other words, and last the one for pieces that the corpus has none of."""
+
+    words: dict[bytes, int]
+    pieces: dict[int, int]
+    counts: np.ndarray
+    kinds: int  # pieces of the tokenizer, which share the last token's probability
+
+
+class Tree:
+    """Huffman tree over the counts: a token is reached by yes / no decisions at nodes 0 (root), 1, ... in the order of their counts."""
+
+    def __init__(self, counts: np.ndarray):
+        size = len(counts)
+        leaves = np.argsort(counts, kind="stable").tolist()
+        weight = counts.tolist() + [0] * (size - 1)
+        parent, sign, odds = np.full(2 * size - 1, -1), np.zeros(2 * size - 1, np.int8), np.zeros(max(size - 1, 0), np.float32)
+        a, b = 0, size  # next leaf and next inner node; both come in ascending order
+        for new in range(size, 2 * size - 1):
+            pair = []
+            for _ in range(2):
+                if a < size and (b >= new or weight[leaves[a]] <= weight[b]):
+                    pair.append(leaves[a])
+                    a += 1
+                else:
+                    pair.append(b)
+                    b += 1
+            left, right = pair
+            weight[new] = weight[left] + weight[right]
+            parent[left] = parent[right] = new
+            sign[left], sign[right] = 1, -1
+            odds[2 * size - 2 - new] = np.log(weight[left] / weight[right])
+        self.odds, self.size = odds, size
+        top = min(TOP, size - 1)
+        self.top = np.zeros((size, top), np.int8)
+        leaf, at, steps = np.arange(size), np.arange(size), []
+        while len(leaf):
+            more = parent[at] >= 0
+            leaf, at = leaf[more], at[more]
+            node = 2 * size - 2 - parent[at]
+            high = node < top
+            self.top[leaf[high], node[high]] = sign[at[high]]
+            steps.append(np.stack((leaf[~high], node[~high], sign[at[~high]])))
+            at = parent[at]
+        deep = np.concatenate(steps, axis=1) if steps else np.zeros((3, 0), np.int64)
+        deep = deep[:, np.argsort(deep[0], kind="stable")]
+        self.node, self.sign = deep[1].astype(np.int32), deep[2].astype(np.float32)
+        self.n = np.bincount(deep[0], minlength=size)
+        self.start = np.cumsum(self.n) - self.n
+
+    def below(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each decision below the top: its row of target, node and sign."""
+        n = self.n[target]
+        rows = np.repeat(np.arange(len(target)), n)
+        at = np.arange(len(rows)) + np.repeat(self.start[target] - np.cumsum(n) + n, n)
+        return rows, self.node[at], self.sign[at]
+
+    def passed(self, seen: np.ndarray) -> np.ndarray:
+        """How often each node was passed on the way to tokens seen so often."""
+        out = np.bincount(self.node, np.repeat(seen, self.n), minlength=self.size - 1).astype(float)
+        out[:self.top.shape[1]] += np.abs(self.top.astype(np.float32)).T @ seen
+        return out
 
 
 @dataclass
 class Net:
-    """ctx: a vector per word (one more for outside the text) and place; a word is a member of a class, so its probability is P(class) P(member | class)."""
+    """A vector per token (one more for outside the text), a gain per place and number, and a weight vector and bias per node of the tree."""
 
-    ctx: np.ndarray  # [WORDS + 1, 2 SIDE, HIDDEN]
-    bias: np.ndarray  # [HIDDEN]
-    to_class: np.ndarray  # [HIDDEN, CLASSES]
-    class_bias: np.ndarray
-    to_member: np.ndarray  # [CLASSES, HIDDEN, MEMBERS]
-    member_bias: np.ndarray  # [CLASSES, MEMBERS]
+    ctx: np.ndarray  # [tokens + 1, HIDDEN]
+    gain: np.ndarray  # [2 SIDE + 1, HIDDEN], the last row is added
+    node: np.ndarray  # [tokens - 1, HIDDEN]
+    bias: np.ndarray  # [tokens - 1]
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.ctx, self.bias, self.to_class, self.class_bias, self.to_member, self.member_bias]
+        return [self.ctx, self.gain, self.node, self.bias]
 
-    def pack(self) -> bytes:
-        return np.concatenate([a.ravel() for a in self.arrays()]).astype("<f4").tobytes()
+    def rows(self) -> np.ndarray:
+        """All numbers as one table, a row per token, place and node."""
+        wide = np.zeros((len(self.ctx) + len(self.gain) + len(self.node), HIDDEN + 1), np.float32)
+        wide[:, :HIDDEN] = np.concatenate((self.ctx, self.gain, self.node))
+        wide[len(self.ctx) + len(self.gain):, HIDDEN] = self.bias
+        return wide
 
-    def unpack(self, blob: bytes) -> Net:
-        flat, out, at = np.frombuffer(blob, "<f4"), [], 0
-        for a in self.arrays():
-            out.append(flat[at:at + a.size].reshape(a.shape).copy())
-            at += a.size
-        return Net(*out)
+    def of_rows(self, wide: np.ndarray) -> Net:
+        a, b = len(self.ctx), len(self.ctx) + len(self.gain)
+        return Net(*(x.copy() for x in (wide[:a, :HIDDEN], wide[a:b, :HIDDEN], wide[b:, :HIDDEN], wide[b:, HIDDEN])))
 
 
-def new_net(counts: np.ndarray, seed: int = 7) -> Net:
-    """Small random context vectors; the biases give the words' shares in the corpus."""
+def new_net(tree: Tree, seed: int = 7) -> Net:
+    """Small random vectors; the biases give the tokens' shares in the corpus."""
     rng = np.random.default_rng(seed)
-    small = lambda *shape: (0.1 * rng.standard_normal(shape)).astype(np.float32)
-    table = (counts + 1.0).reshape(MEMBERS, CLASSES).T
-    return Net(small(WORDS + 1, 2 * SIDE, HIDDEN), np.zeros(HIDDEN, np.float32), small(HIDDEN, CLASSES), np.log(table.sum(1) / table.sum()).astype(np.float32),
-               small(CLASSES, HIDDEN, MEMBERS), np.log(table / table.sum(1, keepdims=True)).astype(np.float32))
-
-
-class Vocabulary(dict):
-    """word -> its number, for words with an entry of their own; `words` has the counts (word, n) of the others, `shared` the counts behind each shared entry."""
-
-    def __init__(self, numbers: dict[bytes, int], words: DataFrame, shared: np.ndarray):
-        super().__init__(numbers)
-        self.words, self.shared = words, shared
+    small = lambda n: (0.1 * rng.standard_normal((n, HIDDEN))).astype(np.float32)
+    gain = np.concatenate((1 + small(2 * SIDE), np.zeros((1, HIDDEN), np.float32)))
+    return Net(small(tree.size + 1), gain, small(tree.size - 1), tree.odds.copy())
 
 
 def words_of(text: str) -> list[bytes]:
@@ -71,123 +127,136 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Numbers(dict):
-    """word -> its number; remembers up to `room` words besides the vocabulary. Words outside of it share numbers by checksum."""
+    """word -> its tokens as little-endian 32-bit numbers; remembers up to `room` words besides the frequent ones."""
 
-    def __init__(self, vocabulary: dict[bytes, int], room: int = 500_000):
-        super().__init__(vocabulary)
-        self.vocabulary, self.room = vocabulary, room
+    def __init__(self, vocabulary: Vocabulary, tokenizer: str, room: int = 500_000):
+        self.frequent = {w: np.int32(i).tobytes() for w, i in vocabulary.words.items()}
+        super().__init__(self.frequent)
+        self.pieces, self.unseen, self.room = vocabulary.pieces, len(vocabulary.counts) - 1, room
+        self.ids = word_ids(tokenizer).ids
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.room:
             self.clear()
-            self.update(self.vocabulary)
-        self[word] = at = WORDS - BUCKETS + zlib.crc32(word) % BUCKETS
-        return at
+            self.update(self.frequent)
+        got = self.ids(" " + word.decode("utf-8"))
+        self[word] = out = np.array([self.pieces.get(i, self.unseen) for i in got], "<i4").tobytes()
+        return out
 
+    def of(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, words_of(text or "")))
 
-def padded(texts: list[str], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of the texts with SIDE marks around each; the places of the words; each word's text."""
-    mark = np.full(SIDE, WORDS, np.int32)
-    parts, sizes = [mark], []
-    for t in texts:
-        words = words_of(t or "")
-        parts += [np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)), mark]
-        sizes.append(len(words))
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    return np.concatenate(parts), np.arange(len(owner)) + SIDE * (owner + 1), owner
 
-
-OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
-
-
-def softmax(x: np.ndarray) -> np.ndarray:
-    """Of each row, in place. Values beyond 60, which would mean a certainty of one in 1e26, are taken as 60."""
-    np.clip(x, -60, 60, out=x)
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
-    return x
-
-
-def forward(net: Net, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden values and class probabilities."""
-    h = net.ctx[ids[at + OFFSETS[0]], 0] + net.bias
-    for p, o in enumerate(OFFSETS[1:], 1):
-        h += net.ctx[ids[at + o], p]
-    np.tanh(h, out=h)
-    return h, softmax(h @ net.to_class + net.class_bias)
-
-
-def in_classes(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
-    """The places in the order of their words' classes, how they were ordered, and each class with its part of them."""
-    kind = ids[at] % CLASSES
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
-    return at[order], order, [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
-
-
-def word_scores(net: Net, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log P(word | both sides) at the places `at`."""
-    out = np.empty(len(at), np.float32)
-    for i in range(0, len(at), CHUNK):
-        part, order, classes = in_classes(ids, at[i:i + CHUNK])
-        h, d = forward(net, ids, part)
-        target = ids[part]
-        got = d[np.arange(len(part)), target % CLASSES]
-        for c, rows in classes:
-            members = softmax(h[rows] @ net.to_member[c] + net.member_bias[c])
-            got[rows] *= members[np.arange(len(members)), target[rows] // CLASSES]
-        out[i + order] = np.log(np.maximum(got, 1e-30))
-    return out
+def padded(texts: list[bytes], mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' tokens with SIDE marks around each, and how many each has."""
+    gap = np.full(SIDE, mark, np.int32)
+    parts = [gap]
+    for t in texts:
+        parts += [np.frombuffer(t, "<i4"), gap]
+    return np.concatenate(parts), np.array([len(t) // 4 for t in texts], np.int64)
+
+
+def yes(x: np.ndarray) -> np.ndarray:
+    """Logistic function, in place. Values under -60, which would mean one in 1e26, are taken as -60."""
+    np.maximum(x, -60, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+class Pass:
+    """The network at the tokens of places low to high of a padded stream: hidden values and the chance of each decision on the way to each token."""
+
+    def __init__(self, net: Net, tree: Tree, ids: np.ndarray, low: int, high: int):
+        self.span = ids[low - SIDE:high + SIDE]
+        self.given = net.ctx[self.span]
+        own = ids[low:high]
+        self.at = np.flatnonzero(own != tree.size)
+        self.target = own[self.at]
+        n = high - low
+        h = net.gain[-1] + net.gain[0] * self.given[:n]
+        for p, o in enumerate(OFFSETS[1:], 1):
+            h += net.gain[p] * self.given[SIDE + o:SIDE + o + n]
+        self.h = np.tanh(h[self.at])
+        top = tree.top.shape[1]
+        self.way = tree.top[self.target].astype(np.float32)
+        self.high = yes((self.h @ net.node[:top].T + net.bias[:top]) * self.way)
+        self.rows, self.node, self.sign = tree.below(self.target)
+        self.low = yes((np.einsum("ij,ij->i", net.node[self.node], self.h[self.rows]) + net.bias[self.node]) * self.sign)
+
+
+def token_scores(net: Net, tree: Tree, ids: np.ndarray) -> np.ndarray:
+    """log P(token | both sides) of every token of a padded stream, in its order, marks left out."""
+    out = [np.zeros(0)]
+    for low in range(SIDE, len(ids) - SIDE, CHUNK):
+        p = Pass(net, tree, ids, low, min(low + CHUNK, len(ids) - SIDE))
+        got = np.einsum("ij,ij->i", np.log(p.high), np.abs(p.way)).astype(np.float64)
+        out.append(got + np.bincount(p.rows, np.log(p.low), minlength=len(got)))
+    return np.concatenate(out)
+
+
+def summed(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys and the sums of their rows."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    firsts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return ordered[firsts], np.add.reduceat(rows[order], firsts, axis=0)
 
 
 class Trainer:
-    """Adagrad on the negative log-likelihood, a step per CHUNK words."""
+    """Adagrad on the negative log-likelihood, a step per CHUNK places."""
 
-    def __init__(self, net: Net, rate: float = 0.1):
-        self.net, self.rate, self.seen = net, rate, 0
+    def __init__(self, net: Net, tree: Tree, rate: float = 0.1):
+        self.net, self.tree, self.rate = net, tree, rate
         self.past = [np.full_like(a, 1e-2) for a in net.arrays()]
+        self.seen = np.zeros(tree.size + 1)
 
     def move(self, k: int, place, grad: np.ndarray) -> None:
         past, value = self.past[k], self.net.arrays()[k]
-        past[place] += grad * grad
-        value[place] -= self.rate * grad / np.sqrt(past[place])
-
-    def step(self, ids: np.ndarray, at: np.ndarray) -> None:
-        net, n = self.net, len(at)
-        low, high = at[0] - SIDE, at[-1] + SIDE
-        at, _, classes = in_classes(ids, at)
-        target = ids[at]
-        h, d = forward(net, ids, at)
-        d[np.arange(n), target % CLASSES] -= 1
-        d /= n
-        dh = d @ net.to_class.T
-        moves = [(2, slice(None), h.T @ d), (3, slice(None), d.sum(0))]
-        for c, rows in classes:
-            own = h[rows]
-            e = softmax(own @ net.to_member[c] + net.member_bias[c])
-            e[np.arange(len(own)), target[rows] // CLASSES] -= 1
-            e /= n
-            dh[rows] += e @ net.to_member[c].T
-            moves += [(4, c, own.T @ e), (5, c, e.sum(0))]
-        dh *= 1 - h * h
-        moves.append((1, slice(None), dh.sum(0)))
-        # every number between the first and last place, in one order: it moves by what it did to the words on its sides
-        span = ids[low:high + 1]
-        source = np.full(len(span) + 2 * SIDE, n)  # row of dh of each place, the zero row for places without one
-        source[at - low + SIDE] = np.arange(n)
-        rows = np.concatenate((dh, np.zeros((1, dh.shape[1]), dh.dtype)))
-        order = np.argsort(span, kind="stable")
-        sorted_ = span[order]
-        firsts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-        pulls = [np.add.reduceat(rows[source[order + SIDE - o]], firsts, axis=0) for o in OFFSETS]
-        moves.append((0, sorted_[firsts], np.stack(pulls, axis=1)))
+        got = past[place] + grad * grad
+        past[place] = got
+        value[place] -= self.rate * grad / np.sqrt(got)
+
+    def step(self, ids: np.ndarray, low: int, high: int) -> None:
+        net, tree = self.net, self.tree
+        p = Pass(net, tree, ids, low, high)
+        n, top = len(p.at), tree.top.shape[1]
+        if not n:
+            return
+        g = p.way * (p.high - 1) / n
+        moves = [(2, slice(0, top), g.T @ p.h), (3, slice(0, top), g.sum(0))]
+        dh = g @ net.node[:top]
+        if len(p.rows):
+            e = p.sign * (p.low - 1) / n
+            some = tree.n[p.target] > 0
+            count = tree.n[p.target][some]
+            dh[some] += np.add.reduceat(e[:, None] * net.node[p.node], np.cumsum(count) - count, axis=0)
+            wide = np.empty((len(e), HIDDEN + 1), np.float32)
+            np.multiply(e[:, None], p.h[p.rows], out=wide[:, :HIDDEN])
+            wide[:, HIDDEN] = e
+            place, pull = summed(p.node, wide)
+            moves += [(2, place, pull[:, :HIDDEN]), (3, place, pull[:, HIDDEN])]
+        dh *= 1 - p.h * p.h
+        full = np.zeros((high - low, HIDDEN), np.float32)
+        full[p.at] = dh
+        gain, given = np.zeros_like(net.gain), np.zeros_like(p.given)
+        gain[-1] = dh.sum(0)
+        for k, o in enumerate(OFFSETS):
+            side = slice(SIDE + o, SIDE + o + high - low)
+            gain[k] = np.einsum("ij,ij->j", full, p.given[side])
+            given[side] += net.gain[k] * full
+        moves += [(1, slice(None), gain), (0, *summed(p.span, given))]
         for k, place, grad in moves:
             self.move(k, place, grad)
-        self.seen += n
 
-    def learn(self, ids: np.ndarray, at: np.ndarray) -> None:
-        for i in range(0, len(at), CHUNK):
-            self.step(ids, at[i:i + CHUNK])
+    def learn(self, ids: np.ndarray) -> None:
+        self.seen += np.bincount(ids, minlength=len(self.seen))
+        for low in range(SIDE, len(ids) - SIDE, CHUNK):
+            self.step(ids, low, min(low + CHUNK, len(ids) - SIDE))
+
+    def weights(self) -> np.ndarray:
+        """How much was seen of what each row of the state is about."""
+        return np.concatenate((self.seen, np.full(len(self.net.gain), self.seen[:-1].sum()), self.tree.passed(self.seen[:-1])))
 
 
 def count_words(room: int = 400_000):
@@ -206,95 +275,137 @@ def count_words(room: int = 400_000):
     return of
 
 
-def corpus_words(docs: DataFrame, text_col: str) -> tuple[Vocabulary, np.ndarray]:
-    """Numbers of the most frequent words and the counts behind each number, from every word of every text; the other words' counts stay a table."""
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counts = staged(texts.mapInPandas(count_words(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "pll-words")
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS - BUCKETS).collect()
-    vocabulary = {bytes(r["word"]): i for i, r in enumerate(top)}
-    rest = staged(counts.join(F.broadcast(docs.sparkSession.createDataFrame([(bytearray(w),) for w in vocabulary], "word binary")), "word", "left_anti"), "pll-rest")
-    shares = rest.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("n").alias("n")).collect()
-    table = np.zeros(WORDS)
-    table[:len(top)] = [r["n"] for r in top]
-    for r in shares:
-        table[WORDS - BUCKETS + r["b"]] = r["n"]
-    return Vocabulary(vocabulary, rest, table[WORDS - BUCKETS:]), table
+def plain_texts(docs: DataFrame, text_col: str, *more) -> DataFrame:
+    return docs.select(*more, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def corpus_vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text", entries: float = 32) -> Vocabulary:
+    """Tokens and their counts, from every word of every text. The `entries` times cube root of N most frequent of N words have tokens of their own
+    (1.4e4 at 8e7 words, 8e5 at 1.6e13); all others are cut into the tokenizer's pieces. Those words and at most one count per piece come to the driver."""
+    counts = staged(plain_texts(docs, text_col).mapInPandas(count_words(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "pll-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.orderBy(F.desc("n"), "word").limit(int(np.ceil(entries * total ** (1 / 3)))).collect()
+    words = {bytes(r["word"]): i for i, r in enumerate(top)}
+    held = docs.sparkSession.sparkContext.broadcast((words, tokenizer))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, ids, got = held.value[0], word_ids(held.value[1]).ids, Counter()
+        for frame in frames:
+            for word, n in zip(frame["word"], frame["n"]):
+                if word not in known:
+                    for i in ids(" " + word.decode("utf-8")):
+                        got[i] += n
+        yield pd.DataFrame({"piece": list(got), "n": list(got.values())}, dtype="int64")
+
+    pieces = counts.mapInPandas(cut, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy("piece").collect()
+    numbers = {r["piece"]: len(words) + i for i, r in enumerate(pieces)}
+    return Vocabulary(words, numbers, np.array([*(r["n"] for r in top), *(r["n"] for r in pieces), 1], float), tokenizer_size(tokenizer))
+
+
+def tokenizer_size(tokenizer: str) -> int:
+    import json
 
+    return len(json.loads(tokenizer)["model"]["vocab"])
 
-def train(docs: DataFrame, text_col: str = "text", fan_in: int = 32, rounds: int = 1) -> tuple[Vocabulary, Net]:
-    """Every task trains on all words of its rows from the common state; the states are averaged by words seen, `fan_in` at a time, until one is left.
 
-    Only the vocabulary, the state (about 1.3 MB) and fixed numbers of counts pass through the driver.
+def tokens(docs: DataFrame, vocabulary: Vocabulary, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, tokens (numbers of 32 bits, one after the other) of every row; written, since training and scoring read it."""
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, tokenizer))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = Numbers(*held.value)
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").array, "tokens": [numbers.of(t) for t in frame["text"]]})
+
+    rows = plain_texts(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
+    return staged(rows.mapInPandas(cut, "doc_id long, tokens binary"), "pll-tokens")
+
+
+def parts(texts: list[bytes], most: int = 64 * CHUNK) -> Iterator[list[bytes]]:
+    """Runs of texts of about `most` tokens together; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) // 4 > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t) // 4
+    if run:
+        yield run
+
+
+def train(rows: DataFrame, vocabulary: Vocabulary, fan_in: int = 32, rounds: int = 1) -> Net:
+    """Every task trains on all tokens of its rows (of `tokens`) from the common state; then each row of the state is the mean over the tasks, weighted
+    by how often a task saw its token or passed its node, so that what few tasks saw keeps its weight however many tasks there are.
+
+    States are averaged in blocks of rows, `fan_in` tasks at a time; only the vocabulary and one state pass through the driver (136 bytes a token).
     """
-    sc = docs.sparkSession.sparkContext
-    vocabulary, counts = corpus_words(docs, text_col)
-    net = new_net(counts)
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sc, tree = rows.sparkSession.sparkContext, Tree(vocabulary.counts)
+    net = new_net(tree)
     for _ in range(rounds):
-        held = sc.broadcast((dict(vocabulary), net))
+        held = sc.broadcast((tree, net))
 
         def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, start = held.value
-            numbers, trainer = Numbers(known), Trainer(Net(*(a.copy() for a in start.arrays())))
+            ways, start = held.value
+            trainer = Trainer(Net(*(a.copy() for a in start.arrays())), ways)
             for frame in frames:
-                body = frame["text"].tolist()
-                for i in range(0, len(body), 512):
-                    ids, at, _ = padded(body[i:i + 512], numbers)
-                    trainer.learn(ids, at)
-            if trainer.seen:
-                yield pd.DataFrame({"n": [trainer.seen], "state": [trainer.net.pack()]})
+                for run in parts(frame["tokens"].tolist()):
+                    trainer.learn(padded(run, ways.size)[0])
+            weight, wide = trainer.weights().astype("<f4"), trainer.net.rows().astype("<f4")
+            for i in range(0, len(wide), BLOCK):
+                if weight[i:i + BLOCK].any():
+                    yield pd.DataFrame({"block": [i // BLOCK], "weight": [weight[i:i + BLOCK].tobytes()], "state": [wide[i:i + BLOCK].tobytes()]})
 
         def mean(frame: pd.DataFrame) -> pd.DataFrame:
-            n = frame["n"].to_numpy(float)
-            total = np.zeros(len(frame["state"].iloc[0]) // 4)
-            for w, s in zip(n, frame["state"]):
-                total += w / n.sum() * np.frombuffer(s, "<f4")
-            return pd.DataFrame({"n": [int(n.sum())], "state": [total.astype("<f4").tobytes()]})
-
-        states = staged(texts.mapInPandas(learn, "n long, state binary").withColumn("at", F.monotonically_increasing_id()), "pll-states")
-        left = states.count()
-        while left > 1:
-            # consecutive numbers, so that groups are full whatever the tasks' numbers are
-            numbered = states.select("n", "state", F.pmod(F.xxhash64("at"), F.lit(-(-left // fan_in))).alias("group"))
-            states = staged(numbered.groupBy("group").applyInPandas(mean, "n long, state binary").withColumn("at", F.monotonically_increasing_id()), "pll-states")
-            left = states.count()
-        if left:
-            net = net.unpack(bytes(states.first()["state"]))
-    return vocabulary, net
-
-
-def score(docs: DataFrame, vocabulary: Vocabulary, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, pll (summed log-probability of every word given both sides), score (pll per word).
-
-    Words are the lower-cased text's runs of other characters than ASCII white space. A word without an entry of its own has the probability of its
-    shared entry times its share n / (N + 1) of the N places counted behind it; all words that were not counted have 1 / (N + 1) together. Null and
-    empty texts have no words: pll 0, score null. Equal texts score the same up to rounding; null ids stay null; other columns are not looked at.
+            weight = np.stack([np.frombuffer(w, "<f4") for w in frame["weight"]]).astype(float)
+            state = np.stack([np.frombuffer(s, "<f4") for s in frame["state"]]).reshape(*weight.shape, -1)
+            total = weight.sum(0)
+            got = np.einsum("tr,trh->rh", weight / np.maximum(total, 1e-30), state)
+            return pd.DataFrame({"block": frame["block"].iloc[:1], "weight": [total.astype("<f4").tobytes()], "state": [got.astype("<f4").tobytes()]})
+
+        schema = "block int, weight binary, state binary"
+        states = staged(rows.mapInPandas(learn, schema).withColumn("at", F.monotonically_increasing_id()), "pll-states")
+        left = lambda: states.groupBy("block").count().agg(F.max("count")).first()[0] or 0
+        most = left()
+        while most > 1:
+            grouped = states.withColumn("group", F.pmod(F.xxhash64("at"), F.lit(-(-most // fan_in))))
+            states = staged(grouped.drop("at").groupBy("block", "group").applyInPandas(lambda frame: mean(frame), schema).withColumn("at", F.monotonically_increasing_id()), "pll-states")
+            most = left()
+        wide = net.rows()
+        for r in states.select("block", "weight", "state").toLocalIterator():
+            at = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
+            known = np.frombuffer(bytes(r["weight"]), "<f4") > 0
+            wide[at][known] = np.frombuffer(bytes(r["state"]), "<f4").reshape(-1, HIDDEN + 1)[known]
+        net = net.of_rows(wide)
+    return net
+
+
+def score(rows: DataFrame, vocabulary: Vocabulary, net: Net) -> DataFrame:
+    """One row per row of `tokens`: doc_id, n_tokens, pll (summed log-probability of every token given both sides), score (pll per token).
+
+    Words are the lower-cased text's runs of other characters than ASCII white space; frequent ones are tokens, the others several. Pieces that the
+    training texts have none of share one token's probability evenly. Null and empty texts have no tokens: pll 0, score null. Texts of any length are
+    whole. Equal texts score the same up to rounding; null ids stay null; an empty table gives none; other columns are not looked at.
     """
-    held = docs.sparkSession.sparkContext.broadcast(dict(vocabulary))
-    state = docs.sparkSession.sparkContext.broadcast(net)
+    held = rows.sparkSession.sparkContext.broadcast((Tree(vocabulary.counts), net, np.log(vocabulary.kinds)))
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, part_no, done = held.value, TaskContext.get().partitionId(), 0
-        numbers = Numbers(known)
+        tree, state, even = held.value
         for frame in frames:
-            for i in range(0, len(frame), 512):
-                part = frame.iloc[i:i + 512]
-                texts = part["text"].tolist()
-                ids, at, owner = padded(texts, numbers)
-                got = word_scores(state.value, ids, at)
-                n = np.bincount(owner, minlength=len(part))
-                total = np.bincount(owner, got.astype(np.float64), minlength=len(part))
-                rare = [Counter(w for w in words_of(t or "") if w not in known) for t in texts]
-                yield pd.DataFrame({"row": (part_no << 33) + done + np.arange(len(part)), "doc_id": part["doc_id"].astype("Int64").array, "n_tokens": n, "pll": total,
-                                    "words": [list(c) for c in rare], "times": [list(c.values()) for c in rare]})
-                done += len(part)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # written before rows are told by number, so that a task that runs again cannot number them otherwise
-    out = staged(rows.mapInPandas(scored, "row long, doc_id long, n_tokens long, pll double, words array<binary>, times array<long>"), "pll-scored")
-    rare = out.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    behind = F.element_at(F.array(*(F.lit(float(x)) for x in vocabulary.shared)), (F.crc32("word") % BUCKETS + 1).cast("int"))
-    part = F.log(F.coalesce(F.col("n"), F.lit(1)) / (behind + 1))
-    parts = rare.join(vocabulary.words, "word", "left").groupBy("row").agg(F.sum(F.col("times") * part).alias("part"))
-    out = out.drop("words", "times").join(parts, "row", "left").select("doc_id", "n_tokens", (F.col("pll") + F.coalesce("part", F.lit(0.0))).alias("pll"))
+            at = 0
+            for run in parts(frame["tokens"].tolist()):
+                ids, n = padded(run, tree.size)
+                got = token_scores(state, tree, ids) - even * (ids[ids != tree.size] == tree.size - 1)
+                owner = np.repeat(np.arange(len(run)), n)
+                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[at:at + len(run)].astype("Int64").array, "n_tokens": n, "pll": np.bincount(owner, got, minlength=len(run))})
+                at += len(run)
+
+    out = rows.mapInPandas(scored, "doc_id long, n_tokens long, pll double")
     return out.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
+
+
+def pseudo_likelihood(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
+    """`score` of every row of docs under a network trained on all of them; `tokenizer` is the text of a byte-level BPE vocabulary file."""
+    vocabulary = corpus_vocabulary(docs, tokenizer, text_col)
+    rows = tokens(docs, vocabulary, tokenizer, id_col, text_col)
+    return score(rows, vocabulary, train(rows, vocabulary, rounds=rounds))

@@ -20,8 +20,8 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pll.score(docs, *pll.train(docs))
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        return pll.pseudo_likelihood(table(spark, sf_dir, "documents"), f.read())
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
