@@ -17,7 +17,8 @@ from reelframe.session import staged
 SIDE = 2
 OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 HIDDEN = 16
-CHUNK = 8192
+#: places of a step; its arrays stay within the processor's caches
+CHUNK = 2048
 #: decisions near the root, which most tokens pass, are taken as one matrix product
 TOP = 63
 #: rows of a state that are averaged together
@@ -80,7 +81,7 @@ class Tree:
         n = self.n[target]
         rows = np.repeat(np.arange(len(target)), n)
         at = np.arange(len(rows)) + np.repeat(self.start[target] - np.cumsum(n) + n, n)
-        return rows, self.node[at], self.sign[at]
+        return rows, self.node.take(at), self.sign.take(at)
 
     def passed(self, seen: np.ndarray) -> np.ndarray:
         """How often each node was passed on the way to tokens seen so often."""
@@ -91,26 +92,22 @@ class Tree:
 
 @dataclass
 class Net:
-    """A vector per token (one more for outside the text), a gain per place and number, and a weight vector and bias per node of the tree."""
+    """A vector per token (one more for outside the text), a gain per place and number, and a vector per node of the tree, whose last number is its bias."""
 
     ctx: np.ndarray  # [tokens + 1, HIDDEN]
     gain: np.ndarray  # [2 SIDE + 1, HIDDEN], the last row is added
     node: np.ndarray  # [tokens - 1, HIDDEN]
-    bias: np.ndarray  # [tokens - 1]
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.ctx, self.gain, self.node, self.bias]
+        return [self.ctx, self.gain, self.node]
 
     def rows(self) -> np.ndarray:
         """All numbers as one table, a row per token, place and node."""
-        wide = np.zeros((len(self.ctx) + len(self.gain) + len(self.node), HIDDEN + 1), np.float32)
-        wide[:, :HIDDEN] = np.concatenate((self.ctx, self.gain, self.node))
-        wide[len(self.ctx) + len(self.gain):, HIDDEN] = self.bias
-        return wide
+        return np.concatenate(self.arrays())
 
-    def of_rows(self, wide: np.ndarray) -> Net:
+    def of_rows(self, rows: np.ndarray) -> Net:
         a, b = len(self.ctx), len(self.ctx) + len(self.gain)
-        return Net(*(x.copy() for x in (wide[:a, :HIDDEN], wide[a:b, :HIDDEN], wide[b:, :HIDDEN], wide[b:, HIDDEN])))
+        return Net(rows[:a].copy(), rows[a:b].copy(), rows[b:].copy())
 
 
 def new_net(tree: Tree, seed: int = 7) -> Net:
@@ -118,7 +115,9 @@ def new_net(tree: Tree, seed: int = 7) -> Net:
     rng = np.random.default_rng(seed)
     small = lambda n: (0.1 * rng.standard_normal((n, HIDDEN))).astype(np.float32)
     gain = np.concatenate((1 + small(2 * SIDE), np.zeros((1, HIDDEN), np.float32)))
-    return Net(small(tree.size + 1), gain, small(tree.size - 1), tree.odds.copy())
+    node = small(tree.size - 1)
+    node[:, -1] = tree.odds
+    return Net(small(tree.size + 1), gain, node)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -169,7 +168,7 @@ class Pass:
 
     def __init__(self, net: Net, tree: Tree, ids: np.ndarray, low: int, high: int):
         self.span = ids[low - SIDE:high + SIDE]
-        self.given = net.ctx[self.span]
+        self.given = net.ctx.take(self.span, axis=0)
         own = ids[low:high]
         self.at = np.flatnonzero(own != tree.size)
         self.target = own[self.at]
@@ -177,12 +176,13 @@ class Pass:
         h = net.gain[-1] + net.gain[0] * self.given[:n]
         for p, o in enumerate(OFFSETS[1:], 1):
             h += net.gain[p] * self.given[SIDE + o:SIDE + o + n]
-        self.h = np.tanh(h[self.at])
+        self.h = np.tanh(h.take(self.at, axis=0))
+        self.h[:, -1] = 1
         top = tree.top.shape[1]
-        self.way = tree.top[self.target].astype(np.float32)
-        self.high = yes((self.h @ net.node[:top].T + net.bias[:top]) * self.way)
+        self.way = tree.top.take(self.target, axis=0).astype(np.float32)
+        self.high = yes(self.h @ net.node[:top].T * self.way)
         self.rows, self.node, self.sign = tree.below(self.target)
-        self.low = yes((np.einsum("ij,ij->i", net.node[self.node], self.h[self.rows]) + net.bias[self.node]) * self.sign)
+        self.low = yes(np.einsum("ij,ij->i", net.node.take(self.node, axis=0), self.h.take(self.rows, axis=0)) * self.sign)
 
 
 def token_scores(net: Net, tree: Tree, ids: np.ndarray) -> np.ndarray:
@@ -195,12 +195,21 @@ def token_scores(net: Net, tree: Tree, ids: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def run_sums(rows: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that start at `firsts`, as differences of running totals."""
+    totals = rows.astype(np.float64)
+    np.cumsum(totals, axis=0, out=totals)
+    ends = totals.take(np.append(firsts[1:], len(rows)) - 1, axis=0)
+    ends[1:] -= ends[:-1].copy()
+    return ends.astype(np.float32)
+
+
 def summed(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different keys and the sums of their rows."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key.astype(np.uint16) if key.max() < 65536 else key, kind="stable")  # short numbers are sorted by digits
     ordered = key[order]
     firsts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    return ordered[firsts], np.add.reduceat(rows[order], firsts, axis=0)
+    return ordered[firsts], run_sums(rows.take(order, axis=0), firsts)
 
 
 class Trainer:
@@ -213,9 +222,13 @@ class Trainer:
 
     def move(self, k: int, place, grad: np.ndarray) -> None:
         past, value = self.past[k], self.net.arrays()[k]
-        got = past[place] + grad * grad
-        past[place] = got
-        value[place] -= self.rate * grad / np.sqrt(got)
+        if isinstance(place, slice):
+            past[place] += grad * grad
+            value[place] -= self.rate * grad / np.sqrt(past[place])
+        else:
+            got = past.take(place, axis=0) + grad * grad
+            past[place] = got
+            value[place] = value.take(place, axis=0) - self.rate * grad / np.sqrt(got)
 
     def step(self, ids: np.ndarray, low: int, high: int) -> None:
         net, tree = self.net, self.tree
@@ -224,18 +237,14 @@ class Trainer:
         if not n:
             return
         g = p.way * (p.high - 1) / n
-        moves = [(2, slice(0, top), g.T @ p.h), (3, slice(0, top), g.sum(0))]
+        moves = [(2, slice(0, top), g.T @ p.h)]
         dh = g @ net.node[:top]
         if len(p.rows):
             e = p.sign * (p.low - 1) / n
             some = tree.n[p.target] > 0
             count = tree.n[p.target][some]
-            dh[some] += np.add.reduceat(e[:, None] * net.node[p.node], np.cumsum(count) - count, axis=0)
-            wide = np.empty((len(e), HIDDEN + 1), np.float32)
-            np.multiply(e[:, None], p.h[p.rows], out=wide[:, :HIDDEN])
-            wide[:, HIDDEN] = e
-            place, pull = summed(p.node, wide)
-            moves += [(2, place, pull[:, :HIDDEN]), (3, place, pull[:, HIDDEN])]
+            dh[some] += run_sums(e[:, None] * net.node.take(p.node, axis=0), np.cumsum(count) - count)
+            moves.append((2, *summed(p.node, e[:, None] * p.h.take(p.rows, axis=0))))
         dh *= 1 - p.h * p.h
         full = np.zeros((high - low, HIDDEN), np.float32)
         full[p.at] = dh
@@ -279,12 +288,12 @@ def plain_texts(docs: DataFrame, text_col: str, *more) -> DataFrame:
     return docs.select(*more, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def corpus_vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text", entries: float = 32) -> Vocabulary:
-    """Tokens and their counts, from every word of every text. The `entries` times cube root of N most frequent of N words have tokens of their own
-    (1.4e4 at 8e7 words, 8e5 at 1.6e13); all others are cut into the tokenizer's pieces. Those words and at most one count per piece come to the driver."""
+def corpus_vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text", entries: float = 300) -> Vocabulary:
+    """Tokens and their counts, from every word of every text. The `entries` times fourth root of N most frequent of N words have tokens of their own
+    (2.8e4 at 8e7 words, 6e5 at 1.6e13); all others are cut into the tokenizer's pieces. Those words and at most one count per piece come to the driver."""
     counts = staged(plain_texts(docs, text_col).mapInPandas(count_words(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "pll-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(int(np.ceil(entries * total ** (1 / 3)))).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(int(np.ceil(entries * total ** 0.25))).collect()
     words = {bytes(r["word"]): i for i, r in enumerate(top)}
     held = docs.sparkSession.sparkContext.broadcast((words, tokenizer))
 
@@ -338,7 +347,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary, fan_in: int = 32, rounds: int
     """Every task trains on all tokens of its rows (of `tokens`) from the common state; then each row of the state is the mean over the tasks, weighted
     by how often a task saw its token or passed its node, so that what few tasks saw keeps its weight however many tasks there are.
 
-    States are averaged in blocks of rows, `fan_in` tasks at a time; only the vocabulary and one state pass through the driver (136 bytes a token).
+    States are averaged in blocks of rows, `fan_in` tasks at a time; only the vocabulary and one state pass through the driver (128 bytes a token).
     """
     sc, tree = rows.sparkSession.sparkContext, Tree(vocabulary.counts)
     net = new_net(tree)
@@ -375,7 +384,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary, fan_in: int = 32, rounds: int
         for r in states.select("block", "weight", "state").toLocalIterator():
             at = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
             known = np.frombuffer(bytes(r["weight"]), "<f4") > 0
-            wide[at][known] = np.frombuffer(bytes(r["state"]), "<f4").reshape(-1, HIDDEN + 1)[known]
+            wide[at][known] = np.frombuffer(bytes(r["state"]), "<f4").reshape(-1, HIDDEN)[known]
         net = net.of_rows(wide)
     return net
 
