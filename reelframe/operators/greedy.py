@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.session import cut
+from reelframe.session import cut, shuffled
 
 
 def greedy_keep(items: DataFrame, conflicts: DataFrame, key: str) -> DataFrame:
@@ -20,14 +20,14 @@ def greedy_keep(items: DataFrame, conflicts: DataFrame, key: str) -> DataFrame:
     while not edges.isEmpty():
         # taken this round: rivals of someone, and nobody's weaker side
         heads = edges.select(F.col("strong").alias("k")).distinct().join(
-            edges.select(F.col("weak").alias("k")).distinct(), "k", "left_anti")
-        gone = edges.join(heads, edges.strong == heads.k, "left_semi").select(F.col("weak").alias("k")).distinct()
+            shuffled(edges.select(F.col("weak").alias("k")).distinct()), "k", "left_anti")
+        gone = edges.join(shuffled(heads), edges.strong == heads.k, "left_semi").select(F.col("weak").alias("k")).distinct()
         gone = cut(gone)
         dropped = gone if dropped is None else dropped.union(gone)
-        left = edges.join(gone, edges.strong == gone.k, "left_anti")
-        left = left.join(gone, left.weak == gone.k, "left_anti")
-        left = left.join(heads, left.strong == heads.k, "left_anti")
+        left = edges.join(shuffled(gone), edges.strong == gone.k, "left_anti")
+        left = left.join(shuffled(gone), left.weak == gone.k, "left_anti")
+        left = left.join(shuffled(heads), left.strong == heads.k, "left_anti")
         edges = cut(left)
     if dropped is None:
         return items
-    return items.join(dropped.withColumnRenamed("k", key), key, "left_anti")
+    return items.join(shuffled(dropped.withColumnRenamed("k", key)), key, "left_anti")
