@@ -205,60 +205,127 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, qs: dict[st
     return d.select(*keys, *[F.col(f"__p_{n}").alias(n) for n in qs])
 
 
+def _alike(a, b) -> bool:
+    """Whether two states are the same, as user code or as Spark hands them over."""
+    import numpy as np
+
+    if hasattr(a, "asDict"):
+        a = a.asDict()
+    if hasattr(b, "asDict"):
+        b = b.asDict()
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_alike(a[k], b[k]) for k in a)
+    if any(isinstance(x, (list, tuple, np.ndarray)) for x in (a, b)):
+        return a is not None and b is not None and len(a) == len(b) and np.array_equal(np.asarray(a), np.asarray(b))
+    return a is b or bool(a == b)
+
+
+def _walk(fold, keys: list[str], pos: str, cols: list[str], outs: list[str] | None):
+    """Walk sorted blocks as they stream in, holding one. A block begins with a row of its own; where that says `__go`, its entry is `__entry`, else what the block before
+    ended with, and a block whose entry is that of its last run keeps the end it has. States come as arrays of one or none, since nulls would turn whole numbers
+    into floats on the way to pandas. Yields the blocks' ends, or with `outs` the rows."""
+    import numpy as np
+    import pandas as pd
+
+    def held(states):
+        if states is None or not len(states):
+            return None
+        return states[0].item() if isinstance(states[0], np.generic) else states[0]
+
+    def run(pdfs):
+        mark, parts, carried = None, [], None
+
+        def close():
+            nonlocal carried
+            if mark is None:
+                return None
+            go, known = mark["__go"].iloc[0], held(mark["__entry"].iloc[0])
+            entry = known if go else carried
+            if not go and _alike(entry, known):
+                carried = held(mark["__end"].iloc[0])
+                return None
+            pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+            if pdf[pos].is_monotonic_increasing is False:
+                pdf = pdf.sort_values(pos, ignore_index=True)
+            out, carried = fold(pdf[[*keys, _B, pos, *cols]], entry)
+            if outs is not None:
+                return pd.concat([pdf[[*keys, pos]], out[outs].reset_index(drop=True)], axis=1)
+            return mark[[*keys, _B]].reset_index(drop=True).assign(__entry=[[] if entry is None else [entry]], __end=[[] if carried is None else [carried]])
+
+        for pdf in pdfs:
+            at = np.flatnonzero(~pdf["__row"].to_numpy(bool)).tolist()
+            if not at or at[0] > 0:
+                parts.append(pdf.iloc[:at[0] if at else len(pdf)])
+            for i, j in zip(at, [*at[1:], len(pdf)]):
+                done = close()
+                if done is not None:
+                    yield done
+                mark, parts = pdf.iloc[i:i + 1], [pdf.iloc[i + 1:j]] if j > i + 1 else []
+        done = close()
+        if done is not None:
+            yield done
+
+    return run
+
+
 def fold_blocks(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], fold, state: str, outs: str,
-                width: int = BLOCK, start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                width: int = BLOCK, start: DataFrame | None = None, reach: int = 8) -> tuple[DataFrame, DataFrame]:
     """Order-dependent fold over a dense position, block by block in parallel: its rows (keys, pos, outs) and its end (keys, state) per group.
 
     `fold(pdf, state)` returns (frame with the columns of `outs`, end state) for one block in order; the state is any value of the type `state`, None at
     the beginning of a group that `start` (keys, state) does not name. Every block but the first first runs from None, then only the blocks whose
-    entry turned out different run again, until no entry changes. Folds that forget their start settle after a few rounds; one that never forgets takes a
-    round per block. A block is one task's work, whatever the size of its group.
+    entry turned out different run again, until no entry changes. A round walks `reach` times as many blocks in a row as the one before, so folds that forget
+    their start settle after a few short rounds, and one that never forgets takes as many rounds as the logarithm of its blocks. A task
+    streams through its blocks and holds one, whatever the size of its group; a state goes with its block once, not with every row.
     """
-    import pandas as pd
-
-    from reelframe.session import cut
+    from reelframe.session import cut, shuffled
 
-    keys = list(keys)
-    base = df.select(*keys, pos, *[c for c in cols if c != pos]).withColumn(_B, F.floor(F.col(pos) / width).cast("long"))
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in [*keys, _B])
+    keys, cols = list(keys), [c for c in cols if c != pos]
+    base = df.select(*keys, pos, *cols).withColumn(_B, F.floor(F.col(pos) / width).cast("long")).dropna(subset=[*keys, _B])
+    ddl = lambda names: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in names)
     names = [p.strip().split()[0].strip("`") for p in outs.split(",")] if outs else []
-
-    def entry_of(pdf):
-        entry = pdf["__entry"].iloc[0]
-        return None if entry is None or (isinstance(entry, float) and pd.isna(entry)) else entry
-
-    def ends(pdf):
-        pdf = pdf.sort_values(pos)
-        entry = entry_of(pdf)
-        _, end = fold(pdf, entry)
-        return pd.DataFrame([[*pdf[[*keys, _B]].iloc[0], entry, end]], columns=[*keys, _B, "__entry", "__end"])
-
-    def rows(pdf):
-        pdf = pdf.sort_values(pos)
-        out, _ = fold(pdf, entry_of(pdf))
-        return pd.concat([pdf[[*keys, pos]].reset_index(drop=True), out[names].reset_index(drop=True)], axis=1)
-
-    todo = base.select(*keys, _B).distinct().withColumn("__entry", F.lit(None).cast(state))
+    # a block's row of state takes the place of a frame before its first one, so that no column of frames gets nulls by it
+    heads = cut(base.groupBy(*keys, _B).agg(F.min_by(F.struct(pos, *cols), pos).alias("__head")))
+    none, empty = F.lit(None).cast(state), F.expr("array()").cast(f"array<{state}>")
+    one = lambda c: F.when(F.col(c).isNull(), empty).otherwise(F.array(c))
+
+    def walked(marks: DataFrame, blocks: int, names: list[str] | None, kinds: str) -> DataFrame:
+        rows = base.join(shuffled(marks.select(*keys, _B)), [*keys, _B], "left_semi")
+        rows = rows.select(*keys, _B, F.lit(True).alias("__row"), pos, *cols, F.lit(False).alias("__go"), empty.alias("__entry"), empty.alias("__end"))
+        first = heads.join(shuffled(marks), [*keys, _B]).select(*keys, _B, F.lit(False).alias("__row"), "__head.*", F.col("go").alias("__go"), one("entry").alias("__entry"), one("end").alias("__end"))
+        both = rows.unionByName(first).withColumn("__run", F.floor(F.col(_B) / blocks))
+        return both.repartition(*keys, "__run").sortWithinPartitions(*keys, "__run", _B, "__row", pos).drop("__run").mapInPandas(_walk(fold, keys, pos, cols, names), kinds)
+
+    end_kinds = f"{ddl([*keys, _B])}, __entry array<{state}>, __end array<{state}>"
+    todo = heads.select(*keys, _B).withColumn("entry", none)
     if start is not None:
-        given = base.groupBy(*keys).agg(F.min(_B).alias(_B)).join(start.select(*keys, F.col("state").alias("__given")), keys)
-        todo = todo.join(given, [*keys, _B], "left").select(*keys, _B, F.coalesce("__given", "__entry").alias("__entry"))
-    known = None
+        given = heads.groupBy(*keys).agg(F.min(_B).alias(_B)).join(shuffled(start.select(*keys, F.col("state").alias("__given"))), keys)
+        todo = todo.join(shuffled(given), [*keys, _B], "left").select(*keys, _B, F.coalesce("__given", "entry").alias("entry"))
+    marks, blocks, known = todo.select(*keys, _B, F.lit(True).alias("go"), "entry", none.alias("end")), 1, None
     while True:
-        ran = base.join(todo, [*keys, _B]).groupBy(*keys, _B).applyInPandas(ends, f"{key_ddl}, __entry {state}, __end {state}")
-        known = cut(ran if known is None else known.join(todo, [*keys, _B], "left_anti").unionByName(ran))
+        ran = walked(marks, blocks, None, end_kinds).select(*keys, _B, F.get("__entry", F.lit(0)).alias("entry"), F.get("__end", F.lit(0)).alias("end"))
+        if known is not None:
+            ran = cut(ran)
+            ran = known.join(shuffled(ran.select(*keys, _B)), [*keys, _B], "left_anti").unionByName(ran)
+        known = cut(ran)
         w = Window.partitionBy(*keys).orderBy(_B)
-        seen = known.withColumn("__new", F.lag("__end").over(w))
+        seen = known.withColumn("__new", F.lag("end").over(w))
         if start is not None:
             first = start.select(*keys, F.col("state").alias("__start"))
-            seen = seen.withColumn("__first", F.row_number().over(w) == 1).join(first, keys, "left").withColumn("__new", F.when(F.col("__first"), F.col("__start")).otherwise(F.col("__new")))
-        todo = cut(seen.filter(~F.col("__new").eqNullSafe(F.col("__entry"))).select(*keys, _B, F.col("__new").alias("__entry")))
-        if todo.isEmpty():
+            seen = seen.withColumn("__first", F.row_number().over(w) == 1).join(shuffled(first), keys, "left").withColumn("__new", F.when(F.col("__first"), F.col("__start")).otherwise(F.col("__new")))
+        seen = cut(seen.select(*keys, _B, "entry", "end", "__new"))
+        changed = seen.filter(~F.col("__new").eqNullSafe(F.col("entry")))
+        if changed.isEmpty():
             break
-    entry = known.select(*keys, _B, "__entry")
-    pos_type = base.schema[pos].dataType.simpleString()
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in keys)
-    done = base.join(entry, [*keys, _B]).groupBy(*keys, _B).applyInPandas(rows, f"{ddl}, `{pos}` {pos_type}, {outs}")
-    return done, known.groupBy(*keys).agg(F.max_by("__end", _B).alias("state"))
+        blocks *= reach
+        of_run = F.floor(F.col(_B) / blocks).alias("__run")
+        begin = changed.groupBy(*keys, of_run).agg(F.min(_B).alias("__from"))
+        go = F.col(_B) == F.col("__from")
+        marks = seen.select("*", of_run).join(shuffled(begin), [*keys, "__run"]).filter(F.col(_B) >= F.col("__from")) \
+            .select(*keys, _B, go.alias("go"), F.when(go, F.col("__new")).otherwise(F.col("entry")).alias("entry"), "end")
+    marks = known.select(*keys, _B, F.lit(True).alias("go"), "entry", none.alias("end"))
+    done = walked(marks, 1, names, f"{ddl(keys)}, {ddl([pos])}, {outs}")
+    return done, known.groupBy(*keys).agg(F.max_by("end", _B).alias("state"))
 
 
 def entries(maps: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], compose, apply, start: Column, identity: Column,

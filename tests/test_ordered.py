@@ -142,6 +142,32 @@ def test_iterator_fold_of_a_million_frames(spark):
     assert np.array_equal(got, np.cumsum(np.arange(n) * 7919 % 1000))
 
 
+def test_rounds_of_a_fold_that_never_forgets(spark, monkeypatch):
+    """As many rounds as the logarithm of its blocks, with integers beyond the doubles and frames with nulls."""
+    from reelframe import session
+
+    n, cuts = 500, []
+    monkeypatch.setattr(session, "cut", lambda df, cut=session.cut: cuts.append(1) or cut(df))
+    d = spark.range(n).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("clip"), F.col("id").alias("t"), F.when(F.col("id") % 7 != 0, F.col("id")).alias("x"))
+    d = O.rank0(d, ["clip"], "t", "p")
+
+    def fold(pdf, state):
+        total = [2**60 + 1 if state is None else state["s"]]
+        for x in pdf["x"].fillna(0):
+            total.append(total[-1] + int(x))
+        return pd.DataFrame({"total": total[1:]}), {"s": total[-1]}
+
+    done, ends = O.fold_blocks(d, ["clip"], "p", ["x"], fold, "struct<s:bigint>", "total bigint", 4)
+    want, sums = {}, {"a": 2**60 + 1, "b": 2**60 + 1}
+    for k in ("a", "b"):
+        for p, i in enumerate(i for i in range(n) if (i % 3 == 0) == (k == "a")):
+            sums[k] += i if i % 7 else 0
+            want[k, p] = sums[k]
+    assert {(r.clip, r.p): r.total for r in done.collect()} == want
+    assert {r.clip: r.state.s for r in ends.collect()} == sums
+    assert len(cuts) < 20
+
+
 def test_ema_over_many_blocks(spark):
     from reelframe.operators.telemetry import ema
 
