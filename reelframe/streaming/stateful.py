@@ -60,6 +60,24 @@ def carried(stream: DataFrame, key: str, order: str, state: str, rows: Callable[
 
 # --- keyframes -----------------------------------------------------------------------------------
 
+_TRACK = ["__views", "__view", "__kp", "__u", "__v"]
+
+
+def _flat_tracks(df: DataFrame, tracks: str | None) -> tuple[DataFrame, list[str]]:
+    """The array of structs as plain arrays, a view as its place among the frame's views: numbers in Python, not an object per track."""
+    if tracks is None:
+        return df, []
+    o = F.coalesce(F.col(tracks), F.expr(f"cast(array() as {df.schema[tracks].dataType.simpleString()})"))
+    kind = df.schema[tracks].dataType.elementType["kp"].dataType.simpleString()
+    kp, none = ("bigint", F.lit(-2**63)) if kind in ("tinyint", "smallint", "int", "bigint") else ("string", F.lit("None"))
+    view = lambda s: F.coalesce(s["view_id"].cast("string"), F.lit("None"))
+    number = lambda c: F.transform(o, lambda s: F.coalesce(s[c].cast("double"), F.lit(float("nan"))))
+    d = df.withColumn("__views", F.array_sort(F.array_distinct(F.transform(o, view))))
+    flat = [F.transform(o, lambda s: F.array_position("__views", view(s)).cast("int")).alias("__view"),
+            F.transform(o, lambda s: F.coalesce(s["kp"].cast(kp), none)).alias("__kp"), number("u").alias("__u"), number("v").alias("__v")]
+    return d.select(*[c for c in df.columns if c != tracks], "__views", *flat), _TRACK
+
+
 def _keyframe_fold(value: str, thresh: float, tracks: str | None):
     """Fold over frames whose state is the last kept frame: its value, its tracks, and how many tracks the frame before had in common with it.
 
@@ -69,11 +87,35 @@ def _keyframe_fold(value: str, thresh: float, tracks: str | None):
     import numpy as np
     import pandas as pd
 
-    def positions(seen):
-        return {f"{o['view_id']}:{o['kp']}": (o["u"], o["v"]) for o in ([] if seen is None else seen)}
+    def positions(views, view, kp, u, v):
+        """view -> (kp sorted, once each, u, v); of a track named twice the last place counts."""
+        view, kp, u, v = np.asarray(view), np.asarray(kp), np.asarray(u, float), np.asarray(v, float)
+        out = {}
+        for k, name in enumerate(views, 1):
+            at = np.flatnonzero(view == k)[::-1]
+            names, first = np.unique(kp[at], return_index=True)
+            out[name] = (names, u[at[first]], v[at[first]])
+        return out
+
+    def met(a, b):
+        """Tracks in common and the views' mean motion, added."""
+        n, moved = 0, 0.0
+        for name in sorted(a.keys() & b.keys()):
+            _, i, j = np.intersect1d(a[name][0], b[name][0], assume_unique=True, return_indices=True)
+            n += len(i)
+            d = ((a[name][1][i] - b[name][1][j]) ** 2 + (a[name][2][i] - b[name][2][j]) ** 2) ** 0.5
+            d = d[~np.isnan(d)]
+            moved += float(d.mean()) if len(d) else 0.0
+        return n, moved
+
+    def read(state):
+        last = json.loads(state) if state is not None else None
+        if last is not None and tracks is not None:
+            last["t"] = {k: tuple(np.array(x) for x in t) for k, t in last["t"].items()}
+        return last
 
     def fold(pdf, state):
-        last = json.loads(state) if state is not None else None
+        last = read(state)
         x = pdf[value].to_numpy(float)
         keep = np.zeros(len(x), bool)
         if tracks is None:
@@ -87,31 +129,26 @@ def _keyframe_fold(value: str, thresh: float, tracks: str | None):
                     at += int(far[0])
                 keep[at], x0, at = True, float(x[at]), at + 1
             return pd.DataFrame({"keep": keep}), None if x0 is None else json.dumps({"x": x0})
-        for i, seen in enumerate(pdf[tracks]):
-            now = positions(seen)
+        for i, seen in enumerate(zip(*[pdf[c] for c in _TRACK])):
+            now = positions(*seen)
             if last is not None:
-                views: dict = {}
-                common = last["t"].keys() & now.keys()
-                for k in sorted(common):
-                    a, b = last["t"][k], now[k]
-                    views.setdefault(k.split(":")[0], []).append(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5)
-                sparse = sum(sum(d) / len(d) for d in views.values())
-                lost = last["n"] > 0 and (last["n"] - len(common)) / last["n"] > 0.2
+                common, sparse = met(last["t"], now)
+                lost = last["n"] > 0 and (last["n"] - common) / last["n"] > 0.2
                 keep[i] = abs(x[i] - last["x"]) > thresh or sparse > 2 * thresh or lost
-                last["n"] = len(common)
+                last["n"] = common
             else:
                 keep[i] = True
             if keep[i]:
                 last = {"x": float(x[i]), "t": now, "n": 0}
-        return pd.DataFrame({"keep": keep}), json.dumps(last, sort_keys=True)
+        return pd.DataFrame({"keep": keep}), json.dumps({**last, "t": {k: [y.tolist() for y in t] for k, t in last["t"].items()}}, sort_keys=True)
 
     return fold
 
 
 def keyframes_batch(df: DataFrame, key: str, pos: str, value: str, thresh: float = 2.4, width: int = 4096, tracks: str | None = None) -> DataFrame:
     """(key, pos, keep) of every frame, by the rule of `keyframes`, over a dense position."""
-    cols = [value] if tracks is None else [value, tracks]
-    d, _ = fold_blocks(df, [key], pos, cols, _keyframe_fold(value, thresh, tracks), "string", "keep boolean", width)
+    flat, more = _flat_tracks(df, tracks)
+    d, _ = fold_blocks(flat, [key], pos, [value, *more], _keyframe_fold(value, thresh, tracks), "string", "keep boolean", width)
     last = df.groupBy(key).agg(F.max(pos).alias("__last"))
     return d.join(last, key).withColumn("keep", F.col("keep") | (F.col(pos) == F.col("__last"))).drop("__last")
 
@@ -124,8 +161,9 @@ def keyframes(stream: DataFrame, key: str, order: str, value: str, thresh: float
     new = {}
 
     def rows(batch, known):
-        d = rank0(batch.select(key, order, *cols), [key], order, "__pos")
-        done, new["ends"] = fold_blocks(d, [key], "__pos", cols, fold, "string", "keep boolean", width, start=known)
+        flat, more = _flat_tracks(batch.select(key, order, *cols), tracks)
+        d = rank0(flat, [key], order, "__pos")
+        done, new["ends"] = fold_blocks(d, [key], "__pos", [value, *more], fold, "string", "keep boolean", width, start=known)
         return d.select(key, order, "__pos").join(done, [key, "__pos"]).select(key, order, "keep")
 
     def flush(done, records):

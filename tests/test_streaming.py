@@ -236,6 +236,21 @@ def test_keyframes_by_tracks_over_batches_and_blocks(spark, tmp_path):
     assert 20 < len(want) < 150
 
 
+def test_tracks_reach_python_as_numbers(spark):
+    """Arrays of numbers, not an object per track; a track without a place is in common but moves nothing."""
+    rows_ = [("a", k, 0.0, [("left", None, 1.0, 1.0), ("left", 2, None, 1.0), ("right", 2, 5.0 + 9 * (k == 2), 1.0)]) for k in range(4)]
+    d = spark.createDataFrame(rows_, "clip string, frame int, x double, tracks array<struct<view_id:string,kp:bigint,u:double,v:double>>")
+    flat, names = ST._flat_tracks(d, "tracks")
+
+    def kinds(pdfs):
+        for pdf in pdfs:
+            yield pd.DataFrame({"kind": [str(np.asarray(x).dtype.kind) for c in names[1:] for x in pdf[c]]})
+
+    assert {r.kind for r in flat.mapInPandas(kinds, "kind string").collect()} <= {"i", "f"}
+    got = rows(ST.keyframes_batch(d, "clip", "frame", "x", 2.0, width=2, tracks="tracks").filter("keep"), "frame")
+    assert got == {(0,), (2,), (3,)}
+
+
 def test_a_hot_key_is_several_tasks(spark):
     from reelframe.operators.ordered import fold_blocks
 
