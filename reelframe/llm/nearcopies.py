@@ -1,4 +1,4 @@
-"""Near copies by shingle similarity: MinHash bands find candidates, every link is verified on the texts' whole shingle sets."""
+"""Near copies by shingle similarity: SimHash fingerprints and MinHash bands find candidates, every link is verified on the texts' whole shingle sets."""
 
 from __future__ import annotations
 
@@ -12,11 +12,13 @@ from pyspark.sql.functions import pandas_udf
 
 from reelframe.llm.components import components
 from reelframe.llm.exact import sha256
-from reelframe.llm.simhash import shingle_hashes
+from reelframe.llm.simhash import fingerprint_of, node_links, shingle_hashes
 from reelframe.session import staged
 
 #: a pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: at 0.8 all but 5 in a million
 BANDS, ROWS = 40, 6
+#: fingerprints that differ in so many bits or fewer are candidates, as they are linked in op3
+RADIUS = 4
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -41,10 +43,18 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def bands(k: int):
-    @pandas_udf("array<long>")
-    def of(text: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(shingle_set(t, k)) for t in text])
+def text_keys(text: str | None, k: int) -> np.ndarray:
+    """The SimHash fingerprint of all k-word shingles, repeats included, and the band keys of their set; the shingles are hashed once."""
+    pieces = list(shingle_hashes(text or "", k))
+    distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *pieces]))
+    return np.append(np.array(fingerprint_of(pieces), np.uint64).view(np.int64), band_keys(distinct))
+
+
+def keys(k: int):
+    @pandas_udf("struct<fp: long, bands: array<long>>")
+    def of(text: pd.Series) -> pd.DataFrame:
+        made = [text_keys(t, k) for t in text]
+        return pd.DataFrame({"fp": pd.Series([m[0] for m in made], dtype="int64"), "bands": [m[1:] for m in made]})
 
     return of
 
@@ -107,22 +117,34 @@ def verified_links(held: DataFrame, share: float, most: int = 256, most_bytes: i
     return met.groupBy("root", "i", "j").applyInPandas(verified, "a string, b string").distinct()
 
 
+def candidates(held: DataFrame) -> DataFrame:
+    """(node, root): the texts that have a candidate, by their numbers, under a root per group that candidates connect. held: sha, fp, bands.
+
+    Texts are candidates when fingerprints within RADIUS bits of each other connect them (`simhash.node_links`, op3's join) or when they share a band.
+    """
+    # a number for a text only groups candidates, so two texts under one number are no harm
+    node = F.xxhash64("sha").alias("node")
+    prints = held.select("fp").distinct().select(F.array("fp").alias("fps"))
+    close = staged(components(node_links(prints, 1, RADIUS, 7)).select(F.col("node").alias("fp"), "root"), "near-prints")
+    group = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key")
+    keyed = held.select(node, F.explode("bands").alias("key")).unionByName(held.join(close, "fp", "left").select(node, group)).distinct()
+    keyed = staged(keyed, "near-keys")
+    first = staged(keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"), "near-first")
+    return staged(components(keyed.join(first, "key").filter("node != first").select("node", "first"), "node", "first"), "near-candidates")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: float = 0.8) -> DataFrame:
     """One row per different (doc_id, text_sha256): keep_id, keep_sha256, the first of all linked ones in the order of ids, nulls last, then digests.
 
     Two texts are linked when their sets of k-word shingles have a Jaccard similarity of `share` or more, also by way of others. Words are as in
     op3: A-Z lower-cased, ended by ASCII white space; a text of fewer than k words is one shingle; null and empty texts and those without words are
-    alike. Texts that share one of BANDS keys are candidates (at a similarity of 0.8 all but 5 in a million pairs); groups that candidates connect
-    are verified on the 64-bit hashes of all shingles. Only texts with a candidate have their shingles moved.
+    alike. Texts whose SimHash fingerprints link, or that share one of BANDS keys, which at a similarity of 0.8 all but 5 in a million pairs do, are
+    candidates; groups that candidates connect are verified on the 64-bit hashes of all shingles. Only texts with a candidate have their shingles moved.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), sha256(text).alias("sha"), text.alias("body"))
-    held = staged(rows.select("doc_id", "sha", bands(k)("body").alias("keys")), "near-rows")
-    # a number for a text only groups candidates, so two texts under one number are no harm
-    keyed = held.select(F.xxhash64("sha").alias("node"), F.explode("keys").alias("key")).distinct()
-    keyed = staged(keyed, "near-keys")
-    first = staged(keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1"), "near-first")
-    roots = staged(components(keyed.join(first, "key").filter("node != first").select("node", "first"), "node", "first"), "near-candidates")
+    held = staged(rows.select("doc_id", "sha", keys(k)("body").alias("keys")).select("doc_id", "sha", "keys.*"), "near-rows")
+    roots = candidates(held)
     met = rows.withColumn("node", F.xxhash64("sha")).join(roots, "node").select("root", "sha", sets(k)("body").alias("set"))
     met = staged(met.groupBy("root", "sha").agg(F.first("set").alias("set")), "near-sets")
     linked = staged(components(verified_links(met, share)).select(F.col("node").alias("sha"), F.col("root").alias("group")), "near-groups")

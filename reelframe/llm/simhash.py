@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,16 +47,21 @@ def lane(h: np.ndarray, i: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprint(text: str | None, k: int, lanes: int = 1) -> list[int]:
-    """For each lane the bits set in over half of the shingle hashes; zero for a text without words."""
+def fingerprint_of(pieces: Iterable[np.ndarray], lanes: int = 1) -> list[int]:
+    """For each lane the bits set in over half of the hashes; zero where there is none."""
     votes, n = np.zeros((lanes, BITS), np.int64), 0
-    for h in shingle_hashes(text or "", k):
+    for h in pieces:
         for i in range(lanes):
             votes[i] += np.unpackbits(lane(h, i).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
         n += len(h)
     return np.packbits(2 * votes > n, axis=1).view(">u8").ravel().tolist() if n else [0] * lanes
 
 
+def fingerprint(text: str | None, k: int, lanes: int = 1) -> list[int]:
+    """`fingerprint_of` the text's shingle hashes; zero for a text without words."""
+    return fingerprint_of(shingle_hashes(text or "", k), lanes)
+
+
 def fingerprints(k: int, lanes: int):
     @pandas_udf("array<long>")
     def of(text: pd.Series) -> pd.Series:

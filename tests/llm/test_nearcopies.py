@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelframe.llm import nearcopies
 from reelframe.llm.nearcopies import near_copies
@@ -70,6 +71,27 @@ def test_pairs_near_the_limit_meet_in_a_band(prose):
     assert all(met)
 
 
+def test_fingerprints_bring_pairs_that_share_no_band(table, prose):
+    a, b = edited(prose, 34782, 60, 5)
+    x, y = nearcopies.text_keys(a, 5), nearcopies.text_keys(b, 5)
+    assert not (x[1:] == y[1:]).any() and int(np.bitwise_count(x[:1].view(np.uint64) ^ y[:1].view(np.uint64))[0]) == nearcopies.RADIUS
+    assert shingles(a) & shingles(b) and 2 * len(shingles(a) & shingles(b)) >= len(shingles(a) | shingles(b))
+    rows = table([(1, a), (2, b), (3, prose(4, 60))])
+    assert {r.doc_id: r.keep_id for r in near_copies(rows, share=0.5).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.keep_id for r in near_copies(rows).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_candidates_are_close_prints_or_shared_bands(spark):
+    prints = {"a": 0, "b": 0b1111, "c": 0b11111111, "far": 0b11111 << 40, "same": 0b11111 << 40, "banded": -1, "alone": 0x5555 << 32}
+    held = [(n, fp, [7] if n in ("c", "banded") else [100 + i]) for i, (n, fp) in enumerate(prints.items())]
+    got = nearcopies.candidates(spark.createDataFrame(held, "sha string, fp long, bands array<long>"))
+    name = spark.createDataFrame([(n,) for n in prints], "sha string").select("sha", F.xxhash64("sha").alias("node"))
+    met = {}
+    for r in got.join(name, "node").collect():
+        met.setdefault(r.root, set()).add(r.sha)
+    assert sorted(map(sorted, met.values())) == [["a", "b", "banded", "c"], ["far", "same"]]
+
+
 @pytest.mark.parametrize("most", [3, 256])
 def test_crowded_roots_are_dealt_without_losing_links(spark, prose, most):
     texts = sorted({t for t in case(prose)[240:] if t})
