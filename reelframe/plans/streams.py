@@ -84,7 +84,7 @@ def stream_pair_frames(v):
     d.write.parquet(path + "/raw")
     d.filter("frame_idx <= name % 7").withColumn("value", F.col("value") + (F.col("name") % 5) * 1e-4).write.parquet(path + "/gen")
     raw, gen = [C.folder_stream(d, f"{path}/{s}") for s in ("raw", "gen")]
-    return MO.run(MO.pair_frames(raw, gen, ["name", "frame_idx", "metric"]))
+    return MO.run_pair_frames(raw, gen, ["name", "frame_idx", "metric"])
 
 
 _KEYFRAMES = """

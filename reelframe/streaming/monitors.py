@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelframe.operators.ordered import range_rank
 from reelframe.operators.scoring import finalize, merge_accum, to_accum
+from reelframe.session import shuffled
 from reelframe.sources.files import scratch
 from reelframe.streaming.core import bounded, event_time, run_append, run_batches
 from reelframe.streaming.upsert import Upsert
@@ -68,17 +69,52 @@ def merged_scores(results: DataFrame, delay: str | None = None) -> DataFrame:
     return finalize(merge_accum(part, ["metric"]))
 
 
-def pair_frames(raw: DataFrame, gen: DataFrame, on: list[str], delay: str | None = None, within: str = "1 hour") -> DataFrame:
-    """Raw and generated records that arrive apart, joined on their keys within a time bound."""
-    r = bounded(raw, "arrived", delay).select(*on, F.col("arrived").alias("ra"), F.col("value").alias("raw_value"))
-    g = bounded(gen, "arrived", delay).select(*[F.col(c).alias("g_" + c) for c in on], F.col("arrived").alias("ga"),
-                                                   F.col("value").alias("gen_value"))
+def near_pairs(raw: DataFrame, gen: DataFrame, on: list[str], within: str) -> DataFrame:
+    """Rows of raw and gen (keys, arrived, value) of equal keys that arrived within a time of each other."""
+    r = raw.select(*on, F.col("arrived").alias("ra"), F.col("value").alias("raw_value"))
+    g = gen.select(*[F.col(c).alias("g_" + c) for c in on], F.col("arrived").alias("ga"), F.col("value").alias("gen_value"))
     cond = (F.col("ga") >= F.col("ra") - F.expr(f"INTERVAL {within}")) & (F.col("ga") <= F.col("ra") + F.expr(f"INTERVAL {within}"))
     for c in on:
         cond = cond & (F.col(c) == F.col("g_" + c))
     return r.join(g, cond).select(*on, "raw_value", "gen_value")
 
 
+def pair_frames(raw: DataFrame, gen: DataFrame, on: list[str], delay: str | None = None, within: str = "1 hour") -> DataFrame:
+    """Raw and generated records that arrive apart, joined on their keys within a time bound. The state store keeps both sides, or what `delay` leaves of them."""
+    return near_pairs(bounded(raw, "arrived", delay), bounded(gen, "arrived", delay), on, within)
+
+
+def run_pair_frames(raw: DataFrame, gen: DataFrame, on: list[str], within: str = "1 hour") -> DataFrame:
+    """The same pairs of streams without a watermark, whose rows of every age must be kept: they lie in files, not in the executors' state stores.
+
+    A batch stores its rows and gives the pairs with at least one new side: its raw rows with all generated ones so far, and earlier raw rows with its
+    generated ones. A batch that runs again reads only what the batches before it stored and gives the same pairs. Earlier rows are read once a batch, those
+    that arrived too far from the batch's rows left out; in files that hold a span of arrivals each, most are not read.
+    """
+    names = [*on, "arrived", "value"]
+    side = lambda d, name: d.select(F.lit(name).alias("side"), *on, "arrived", "value")
+    both = side(raw, "raw").unionByName(side(gen, "gen"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema)
+
+    def step(batch, number, path):
+        spark, store = batch.sparkSession, path + "-rows"
+        batch.write.mode("overwrite").partitionBy("side").parquet(f"{store}/batch={number}")
+        rows = spark.read.schema(kept + ", batch int").option("basePath", store).parquet(store)
+        new, old = rows.filter(F.col("batch") == number), rows.filter(F.col("batch") < number)
+        of = lambda d, name: d.filter(F.col("side") == name).select(*names)
+        if number == 0:
+            return near_pairs(of(new, "raw"), shuffled(of(new, "gen")), on, within)
+        micros = lambda c: F.unix_micros(c.cast("timestamp"))
+        low, high = new.agg(micros(F.min("arrived") - F.expr(f"INTERVAL {within}")), micros(F.max("arrived") + F.expr(f"INTERVAL {within}"))).first()
+        old = old.filter(event_time("arrived").between(F.timestamp_micros(F.lit(low).cast("long")), F.timestamp_micros(F.lit(high).cast("long"))))
+        now = near_pairs(of(new, "raw"), shuffled(of(new, "gen").unionByName(of(old, "gen"))), on, within)
+        return now.unionByName(near_pairs(of(old, "raw"), shuffled(of(new, "gen")), on, within))
+
+    value = both.schema["value"].dataType.simpleString()
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name in on)
+    return run_batches(both, step, schema=f"{out}, raw_value {value}, gen_value {value}, batch int").drop("batch")
+
+
 def enrich(frames: DataFrame, attrs: DataFrame, on: list[str]) -> DataFrame:
     """Static attributes attached to a stream."""
     return frames.join(attrs, on, "left")

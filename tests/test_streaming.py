@@ -286,3 +286,31 @@ def test_keyed_state_refuses_files_out_of_order(spark, tmp_path):
     stream = C.folder_stream(frames, str(tmp_path / "in"), files_per_batch=1)
     with pytest.raises(Exception, match="out of order"):
         ST.keyframes(stream, "clip", "frame", "x").count()
+
+
+def test_pair_frames_over_batches(spark, tmp_path, monkeypatch):
+    """Sides that arrive in other batches, repeated rows, null keys and times, a pair beyond the hour; every batch runs twice."""
+    rng = np.random.default_rng(4)
+    t0 = pd.Timestamp("2024-01-01")
+    made = {}
+    for s in ("raw", "gen"):
+        rows_ = [(int(n) if n else None, int(f), None if k == 7 else (t0 + pd.Timedelta(minutes=int(m))).to_pydatetime(), float(k))
+                 for k, (n, f, m) in enumerate(zip(rng.integers(0, 12, 300), rng.integers(0, 4, 300), rng.integers(0, 240, 300)))]
+        made[s] = spark.createDataFrame(rows_ + rows_[:5], "name long, frame int, arrived timestamp, value double")
+        made[s].repartition(6 if s == "raw" else 3).write.parquet(str(tmp_path / s))
+    plain, numbers = C.run_batches, []
+
+    def twice(df, step, **kw):
+        def again(batch, number, path):
+            numbers.append(number)
+            step(batch, number, path).count()
+            return step(batch, number, path)
+
+        return plain(df, again, **kw)
+
+    monkeypatch.setattr(MO, "run_batches", twice)
+    got = MO.run_pair_frames(*(C.folder_stream(made[s], str(tmp_path / s), files_per_batch=2) for s in ("raw", "gen")), ["name", "frame"])
+    want = MO.pair_frames(made["raw"], made["gen"], ["name", "frame"])
+    table = lambda d: sorted(map(tuple, d.select("name", "frame", "raw_value", "gen_value").collect()))
+    assert numbers == [0, 1, 2] and 500 < want.count() and table(got) == table(want)
+    assert got.columns == want.columns
