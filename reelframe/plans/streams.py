@@ -44,7 +44,7 @@ def stream_load_peak(v):
     FROM s LEFT JOIN t ON tick >= s.ts AND tick <= e GROUP BY sample_id, wall_s""")
 def stream_utilisation(v):
     ticks = C.table_stream(v.spark, v.path, "events").select("ts", F.col("value").alias("util"))
-    m = MO.run(MO.utilisation_matches(_events(v), ticks))
+    m = MO.run_utilisation_matches(_events(v), ticks)
     d = MO.utilisation(v.sample_timing, m)
     return d.select("sample_id", "wall_s", R("util_mean"), F.coalesce("ticks", F.lit(0)).alias("ticks"), R("busy_s", d=9))
 
@@ -57,7 +57,7 @@ def stream_utilisation(v):
 def stream_device_utilisation(v):
     """Every worker's samples with the ticks of its own device."""
     ticks = C.table_stream(v.spark, v.path, "events").select("ts", (F.col("user_id") % 8).alias("rank"), F.col("value").alias("util"))
-    m = MO.run(MO.utilisation_matches(_events(v), ticks, on="rank"))
+    m = MO.run_utilisation_matches(_events(v), ticks, on="rank")
     d = MO.utilisation(v.sample_timing, m)
     return d.select("sample_id", "wall_s", R("util_mean"), F.coalesce("ticks", F.lit(0)).alias("ticks"), R("busy_s", d=9))
 

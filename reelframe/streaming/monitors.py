@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.operators.ordered import range_rank
@@ -35,12 +35,17 @@ def run_load_peak(trace: DataFrame, quota: float, width: str) -> DataFrame:
     return merge_load(run_batches(trace, lambda b, i, p: load_parts(b, width)), quota)
 
 
+def with_interval(samples: DataFrame) -> DataFrame:
+    """Samples with the start and end of the time they took."""
+    return samples.withColumn("start", event_time()).withColumn(
+        "end", F.timestamp_micros((F.unix_micros("start") + F.round(F.col("wall_s") * 1e6)).cast("long")))
+
+
 def utilisation_matches(samples: DataFrame, ticks: DataFrame, delay: str | None = None, bucket_s: int = 60, on: str | None = None) -> DataFrame:
     """Ticks inside each sample's interval, of the sample's own device where a column `on` names it on both sides. Samples meet ticks by time bucket, so
     the range condition has an equality to shuffle on; streams keep both sides, or what `delay` leaves of them."""
     device = lambda name: [] if on is None else [F.col(on).alias(name)]
-    s = samples.withColumn("start", event_time()).withColumn(
-        "end", F.timestamp_micros((F.unix_micros("start") + F.round(F.col("wall_s") * 1e6)).cast("long")))
+    s = with_interval(samples)
     t = ticks.withColumn("tick", event_time()).select("tick", "util", *device("tick_device"))
     if samples.isStreaming:
         s, t = bounded(s, "start", delay), bounded(t, "tick", delay)
@@ -53,9 +58,97 @@ def utilisation_matches(samples: DataFrame, ticks: DataFrame, delay: str | None
     return s.join(t, meet, "inner").select("sample_id", "tick", "util")
 
 
+#: widths of time buckets, in bits of a time in microseconds; one of the widest (1.05 s) holds at most 2 ** 20 different times
+WIDTHS = [20, 17, 14, 11, 8, 5, 2, 0]
+
+
+def utilisation_totals(samples: DataFrame, ticks: DataFrame, on: str | None = None) -> DataFrame:
+    """The matches of `utilisation_matches` added up per sample_id without being formed, as their number is that of the samples times that of the ticks in an
+    interval: sum and count of util, count of ticks. Samples without ticks are left out.
+
+    A sample takes the widest buckets of WIDTHS that are no longer than its interval, which so is the end of one bucket, whole buckets and the beginning of another.
+    Whole ones are taken in aligned runs of 1, 2, 4, ..., at most two of each length; the ends are running sums over the ticks of a bucket in both directions.
+    Nothing is subtracted, so values outside an interval leave no rounding error in it.
+    """
+    device = [] if on is None else ["device"]
+    of = [] if on is None else [F.col(on).alias("device")]
+    add = [F.sum("util_sum").alias("util_sum"), F.sum("util_n").alias("util_n"), F.sum("ticks").alias("ticks")]
+    names = ["util_sum", "util_n", "ticks"]
+    # from low up to, but not including, high
+    s = with_interval(samples).select("sample_id", F.unix_micros("start").alias("low"), (F.unix_micros("end") + 1).alias("high"), *of)
+    s = s.dropna(subset=["low", "high", *device]).filter("low < high").withColumn("bits", F.coalesce(*[F.when(F.expr(f"high - low >= {1 << b}L"), b) for b in WIDTHS]))
+    s = s.withColumn("first", F.expr("shiftright(low, bits)")).withColumn("last", F.expr("shiftright(high, bits)"))
+    util = F.col("util").cast("double")
+    t = ticks.select(F.unix_micros(event_time()).alias("at"), util.alias("util"), *of).dropna(subset=["at", *device])
+    t = t.groupBy("at", *device).agg(F.sum("util").alias("util_sum"), F.count("util").alias("util_n"), F.count("*").alias("ticks"))
+
+    longest = {r["bits"]: r["n"] for r in s.groupBy("bits").agg(F.max(F.expr("last - first")).alias("n")).collect()}
+    runs = sorted({b + h for b, n in longest.items() for h in range(n.bit_length())})
+    dealt = lambda widths: t.withColumn("bits", F.explode(F.array(*map(F.lit, widths)).cast("array<int>"))).withColumn("node", F.expr("shiftright(at, bits)"))
+    node = [*device, "bits", "node"]
+
+    inner = s.withColumn("low", F.col("first") + 1).withColumn("high", F.col("last")).filter("low < high")
+    inner = inner.withColumn("h", F.explode(F.expr("sequence(0, length(bin(high - low)) - 1)")))
+    inner = inner.withColumn("low", F.expr("-shiftright(-low, h)")).withColumn("high", F.expr("shiftright(high, h)")).filter("low < high")
+    inner = inner.withColumn("node", F.explode(F.expr("filter(array(if(low % 2 != 0, low, null), if(high % 2 != 0, high - 1, null)), x -> x is not null)")))
+    inner = inner.withColumn("bits", F.col("bits") + F.col("h")).select("sample_id", *node)
+    whole = inner.join(shuffled(dealt(runs).groupBy(*node).agg(*add)), node).select("sample_id", *names)
+
+    none = [F.lit(None).cast("double").alias("util_sum"), F.lit(None).cast("long").alias("util_n"), F.lit(None).cast("long").alias("ticks")]
+    ends = s.withColumn("mark", F.explode(F.expr("array(struct(first as node, low as at, true as rest), struct(last as node, high as at, false as rest))")))
+    ends = ends.select(*device, "bits", "mark.*", F.lit(0).alias("kind"), "sample_id", *none)
+    rows = dealt(sorted(longest)).select(*node, "at", F.lit(None).cast("boolean").alias("rest"), F.lit(1).alias("kind"), F.lit(None).cast(s.schema["sample_id"].dataType).alias("sample_id"), *names)
+    # a mark comes before the ticks of its own time: those before it are not in the rest
+    w = Window.partitionBy(*node).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before, rest = w.orderBy("at", "kind"), w.orderBy(F.desc("at"), F.desc("kind"))
+    edges = ends.unionByName(rows)
+    for c in names:
+        edges = edges.withColumn(c + "_before", F.sum(c).over(before))
+    for c in names:
+        edges = edges.withColumn(c + "_rest", F.sum(c).over(rest))
+    edges = edges.filter("kind = 0").select("sample_id", *[F.when(F.col("rest"), F.col(c + "_rest")).otherwise(F.col(c + "_before")).alias(c) for c in names])
+    return whole.unionByName(edges.filter("ticks > 0")).groupBy("sample_id").agg(*add)
+
+
+def run_utilisation_matches(samples: DataFrame, ticks: DataFrame, on: str | None = None) -> DataFrame:
+    """`utilisation_totals` of streams without a watermark, to be added up over the batches; rows of every age lie in files, not in state stores.
+
+    A batch stores its rows and adds up its samples with all ticks so far and the earlier samples with its ticks. A batch that runs again reads only what the
+    batches before it stored and gives the same totals. Of earlier rows those that cannot meet the batch's are left out.
+    """
+    device = [] if on is None else [on]
+    s = samples.select(F.lit("sample").alias("side"), "sample_id", event_time().alias("ts"), "wall_s", *device)
+    t = ticks.select(F.lit("tick").alias("side"), event_time().alias("ts"), F.col("util").cast("double").alias("util"), *device)
+    both = s.unionByName(t, allowMissingColumns=True)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema)
+
+    def step(batch, number, path):
+        spark, store = batch.sparkSession, path + "-rows"
+        batch.write.mode("overwrite").partitionBy("side").parquet(f"{store}/batch={number}")
+        rows = spark.read.schema(kept + ", batch int").option("basePath", store).parquet(store)
+        of = lambda side, which: rows.filter((F.col("side") == side) & which)
+        new, old = F.col("batch") == number, F.col("batch") < number
+        if number == 0:
+            return utilisation_totals(of("sample", new), of("tick", new), on)
+        micros = lambda d, *c: d.agg(*map(F.unix_micros, c)).first()
+        low, high = micros(with_interval(of("sample", new)), F.min("start"), F.max("end"))
+        first, last = micros(of("tick", new), F.min("ts"), F.max("ts"))
+        time = lambda at: F.timestamp_micros(F.lit(at).cast("long"))
+        now = utilisation_totals(of("sample", new), of("tick", new).unionByName(of("tick", old).filter(F.col("ts").between(time(low), time(high)))), on)
+        early = with_interval(of("sample", old)).filter((F.col("start") <= time(last)) & (F.col("end") >= time(first))).drop("start", "end")
+        return now.unionByName(utilisation_totals(early, of("tick", new), on))
+
+    out = f"sample_id {both.schema['sample_id'].dataType.simpleString()}, util_sum double, util_n bigint, ticks bigint, batch int"
+    return run_batches(both, step, schema=out).drop("batch")
+
+
 def utilisation(samples: DataFrame, matches: DataFrame) -> DataFrame:
-    """Mean utilisation per sample and busy = wall * mean / 100; null without ticks."""
-    m = matches.groupBy("sample_id").agg(F.avg("util").alias("util_mean"), F.count("*").alias("ticks"))
+    """Mean utilisation per sample and busy = wall * mean / 100; null without ticks. `matches` are single ticks, or totals of them that are added up."""
+    m = matches.groupBy("sample_id")
+    if "util" in matches.columns:
+        m = m.agg(F.avg("util").alias("util_mean"), F.count("*").alias("ticks"))
+    else:
+        m = m.agg(F.try_divide(F.sum("util_sum"), F.sum("util_n")).alias("util_mean"), F.sum("ticks").alias("ticks"))
     return samples.select("sample_id", "wall_s").join(m, "sample_id", "left").withColumn(
         "busy_s", F.col("wall_s") * F.col("util_mean") / 100.0)
 

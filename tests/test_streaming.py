@@ -314,3 +314,58 @@ def test_pair_frames_over_batches(spark, tmp_path, monkeypatch):
     table = lambda d: sorted(map(tuple, d.select("name", "frame", "raw_value", "gen_value").collect()))
     assert numbers == [0, 1, 2] and 500 < want.count() and table(got) == table(want)
     assert got.columns == want.columns
+
+
+@pytest.mark.parametrize("on", [None, "rank"])
+def test_utilisation_totals_are_those_of_the_matches(spark, tmp_path, monkeypatch, on):
+    """Intervals from none to days, before 1970 too, at bucket borders; repeated rows and ids, nulls, NaN; several batches that run twice."""
+    rng = np.random.default_rng(6)
+    base = [-5_000_000, 0, 1 << 40, (1 << 40) + 3]
+    walls = [0.0, 1e-6, 3e-6, 8e-6, 2.0 ** 20 / 1e6, 0.5, 7.25, 61.0, 4000.0, 2e5, -3.0, None]
+    spans = [3, 40, 3_000_000, 90_000_000, 9_000_000_000]
+    at = lambda: int(base[rng.integers(4)]) + int(rng.integers(0, spans[rng.integers(5)]))
+    made = {"s": [(None if k == 9 else int(k % 250), None if k == 8 else at(), walls[k % 12], None if k % 50 == 7 else int(k % 2)) for k in range(360)],
+            "t": [(None if k == 5 else at(), None if k % 9 == 0 else float("nan") if k == 22 else float(rng.uniform(0, 100)), None if k % 40 == 3 else int(k % 2)) for k in range(900)]}
+    schema = {"s": "sample_id long, us long, wall_s double, rank int", "t": "us long, util double, rank int"}
+    df = {}
+    for c, rows_ in made.items():
+        df[c] = spark.createDataFrame(rows_ + rows_[:20], schema[c]).withColumn("ts", F.timestamp_micros("us"))
+        df[c].repartition(5 if c == "s" else 3).write.parquet(str(tmp_path / c))
+    plain, numbers = C.run_batches, []
+
+    def twice(d, step, **kw):
+        def again(batch, number, path):
+            numbers.append(number)
+            step(batch, number, path).count()
+            return step(batch, number, path)
+
+        return plain(d, again, **kw)
+
+    monkeypatch.setattr(MO, "run_batches", twice)
+    got = MO.run_utilisation_matches(*(C.folder_stream(df[c], str(tmp_path / c), files_per_batch=2) for c in ("s", "t")), on=on)
+    m = MO.utilisation_matches(df["s"], df["t"], on=on)
+    assert numbers == [0, 1, 2] and m.count() > 10_000
+    # rows of totals: no more than the samples' ids in each of two parts of a batch, whatever the number of matches
+    assert got.count() <= 2 * 3 * 251
+    table = lambda d: sorted((str(r.sample_id), str(r.wall_s), r.ticks or 0, "" if r.util_mean is None else f"{r.util_mean:.9f}", str(r.busy_s)[:9]) for r in d.collect())
+    for totals in (got, MO.utilisation_totals(df["s"], df["t"], on)):
+        assert table(MO.utilisation(df["s"], totals)) == table(MO.utilisation(df["s"], m))
+
+
+def test_utilisation_totals_do_not_grow_with_the_matches(spark):
+    """Every sample meets every tick: no step of the plan that ran gives a row per pair."""
+    n = 2000
+    d = spark.range(n).select(F.col("id").alias("sample_id"), F.timestamp_micros(F.col("id") * 997).alias("ts"), F.lit(10.0).alias("wall_s"), F.col("id").alias("util"))
+    got = MO.utilisation_totals(d.withColumn("ts", F.timestamp_micros(F.lit(0))), d)
+    assert [tuple(r)[1:] for r in got.collect()] == [(n * (n - 1) / 2, n, n)] * n
+    metrics, todo = [], [got._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.metrics().contains("numOutputRows"):
+            metrics.append(p.metrics().apply("numOutputRows").value())
+        if "AdaptiveSparkPlan" in p.nodeName():
+            todo.append(p.executedPlan())
+        elif "QueryStage" in p.nodeName():
+            todo.append(p.plan())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert metrics and max(metrics) < 40 * n
