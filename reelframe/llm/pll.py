@@ -19,7 +19,7 @@ OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 HIDDEN = 16
 #: places of a step; its arrays stay within the processor's caches
 CHUNK = 2048
-#: decisions near the root, which most tokens pass, are taken as one matrix product
+#: values of decisions near the root, which most tokens pass, are taken as one matrix product
 TOP = 63
 #: rows of a state that are averaged together
 BLOCK = 1024
@@ -70,18 +70,13 @@ class Tree:
             self.top[leaf[high], node[high]] = sign[at[high]]
             steps.append(np.stack((leaf[~high], node[~high], sign[at[~high]])))
             at = parent[at]
+        self.slot, self.side = top_ways(self.top)
         deep = np.concatenate(steps, axis=1) if steps else np.zeros((3, 0), np.int64)
         deep = deep[:, np.argsort(deep[0], kind="stable")]
         self.node, self.sign = deep[1].astype(np.int32), deep[2].astype(np.float32)
         self.n = np.bincount(deep[0], minlength=size)
         self.start = np.cumsum(self.n) - self.n
-
-    def below(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each decision below the top: its row of target, node and sign."""
-        n = self.n[target]
-        rows = np.repeat(np.arange(len(target)), n)
-        at = np.arange(len(rows)) + np.repeat(self.start[target] - np.cumsum(n) + n, n)
-        return rows, self.node.take(at), self.sign.take(at)
+        self.deepest = int(self.n.max(initial=0))
 
     def passed(self, seen: np.ndarray) -> np.ndarray:
         """How often each node was passed on the way to tokens seen so often."""
@@ -90,6 +85,16 @@ class Tree:
         return out
 
 
+def top_ways(top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes above on the way to each token, and the decisions there; shorter ways are filled up with a node after the last, where the decision is sure."""
+    wide = max(int(np.abs(top).sum(1, dtype=np.int64).max(initial=0)), 1)
+    slot, side = np.full((len(top), wide), top.shape[1], np.uint8), np.ones((len(top), wide), np.int8)
+    token, node = np.nonzero(top)
+    place = np.arange(len(token)) - np.searchsorted(token, token)
+    slot[token, place], side[token, place] = node, top[token, node]
+    return slot, side
+
+
 @dataclass
 class Net:
     """A vector per token (one more for outside the text), a gain per place and number, and a vector per node of the tree, whose last number is its bias."""
@@ -181,25 +186,51 @@ def crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Pass:
-    """The network at the tokens of places low to high of a padded stream: hidden values and the chance of each decision on the way to each token."""
+    """The network at the tokens of places low to high of a padded stream: hidden values and the chance of each decision on the way to each token. Tokens come
+    by falling number of decisions below the top, so that those with a further one are always the first."""
 
     def __init__(self, net: Net, tree: Tree, ids: np.ndarray, low: int, high: int):
         self.span = ids[low - SIDE:high + SIDE]
         self.given = net.ctx.take(self.span, axis=0)
         own = ids[low:high]
-        self.at = np.flatnonzero(own != tree.size)
-        self.target = own[self.at]
+        at = np.flatnonzero(own != tree.size)
+        deep = tree.n.take(own.take(at))
+        self.at = at = at[np.argsort((tree.deepest - deep).astype(np.uint8), kind="stable")]
+        self.target = own.take(at)
         n = high - low
-        h = net.gain[-1] + net.gain[0] * self.given[:n]
+        h = net.gain[0] * self.given[:n]
+        h += net.gain[-1]
         for p, o in enumerate(OFFSETS[1:], 1):
             h += net.gain[p] * self.given[SIDE + o:SIDE + o + n]
-        self.h = np.tanh(h.take(self.at, axis=0))
+        self.h = h.take(at, axis=0)
+        np.tanh(self.h, out=self.h)
         self.h[:, -1] = 1
         top = tree.top.shape[1]
-        self.way = tree.top.take(self.target, axis=0).astype(np.float32)
-        self.high = yes(product(self.h, net.node[:top].T) * self.way)
-        self.rows, self.node, self.sign = tree.below(self.target)
-        self.low = yes(np.einsum("ij,ij->i", net.node.take(self.node, axis=0), self.h.take(self.rows, axis=0)) * self.sign)
+        sure = np.zeros((1, HIDDEN), np.float32)
+        sure[0, -1] = 100
+        values = product(self.h, np.concatenate((net.node[:top], sure)).T)
+        self.slot = tree.slot.take(self.target, axis=0).astype(np.int64)
+        self.slot += np.arange(0, values.size, top + 1)[:, None]
+        self.side = tree.side.take(self.target, axis=0)
+        self.high = yes(values.take(self.slot) * self.side)
+        # how many tokens have a first, second, ... decision below the top
+        count = np.bincount(deep, minlength=1)
+        self.runs = (len(at) - np.cumsum(count)[:-1]).tolist()
+        first = tree.start.take(self.target)
+        places = np.concatenate([first[:m] + k for k, m in enumerate(self.runs)] or [first[:0]])
+        self.node, self.sign = tree.node.take(places), tree.sign.take(places)
+        self.vectors = net.node.take(self.node, axis=0)
+        self.hidden = np.concatenate([self.h[:m] for m in self.runs] or [self.h[:0]])
+        self.low = np.einsum("ij,ij->i", self.vectors, self.hidden)
+        self.low *= self.sign
+        yes(self.low)
+
+    def parts(self) -> Iterator[tuple[slice, int]]:
+        """Of the first, second, ... decisions below the top: where they lie, and of how many tokens they are."""
+        at = 0
+        for m in self.runs:
+            yield slice(at, at + m), m
+            at += m
 
 
 def token_scores(net: Net, tree: Tree, ids: np.ndarray) -> np.ndarray:
@@ -207,26 +238,43 @@ def token_scores(net: Net, tree: Tree, ids: np.ndarray) -> np.ndarray:
     out = [np.zeros(0)]
     for low in range(SIDE, len(ids) - SIDE, CHUNK):
         p = Pass(net, tree, ids, low, min(low + CHUNK, len(ids) - SIDE))
-        got = np.einsum("ij,ij->i", np.log(p.high), np.abs(p.way)).astype(np.float64)
-        out.append(got + np.bincount(p.rows, np.log(p.low), minlength=len(got)))
+        got = np.log(p.high).sum(1, dtype=np.float64)
+        deep = np.log(p.low)
+        for part, m in p.parts():
+            got[:m] += deep[part]
+        out.append(got[np.argsort(p.at)])
     return np.concatenate(out)
 
 
-def run_sums(rows: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that start at `firsts`, as differences of running totals."""
-    totals = rows.astype(np.float64)
-    np.cumsum(totals, axis=0, out=totals)
-    ends = totals.take(np.append(firsts[1:], len(rows)) - 1, axis=0)
-    ends[1:] -= ends[:-1].copy()
-    return ends.astype(np.float32)
+#: rows of so few keys or less are not summed side by side
+FEW = 128
 
 
 def summed(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys and the sums of their rows."""
+    """The different keys and the sums of their rows: keys by falling number of rows, so that those with a further row are always the first."""
     order = np.argsort(key.astype(np.uint16) if key.max() < 65536 else key, kind="stable")  # short numbers are sorted by digits
-    ordered = key[order]
+    ordered = key.take(order)
     firsts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    return ordered[firsts], run_sums(rows.take(order, axis=0), firsts)
+    n = np.diff(firsts, append=len(key))
+    most = np.argsort((n.max() - n).astype(np.uint16), kind="stable") if n.max() < 65536 else np.argsort(-n, kind="stable")
+    firsts, n = firsts.take(most), n.take(most)
+    out = rows.take(order.take(firsts), axis=0)
+    more = np.searchsorted(-n, -np.arange(1, n[0]), side="left")  # keys with more than 1, 2, ... rows
+    done = int(np.count_nonzero(more >= FEW))
+    for k, m in enumerate(more[:done].tolist(), 1):
+        out[:m] += rows.take(order.take(firsts[:m] + k), axis=0)
+    if done < len(more):
+        n = n[:more[done]] - done - 1
+        starts = np.cumsum(n) - n
+        places = np.repeat(firsts[:len(n)] + done + 1 - starts, n) + np.arange(n.sum())
+        out[:len(n)] += np.add.reduceat(rows.take(order.take(places), axis=0), starts, axis=0)
+    return ordered.take(firsts), out
+
+
+def put_rows(table: np.ndarray, place: np.ndarray, rows: np.ndarray) -> None:
+    """table[place] = rows, each row as one item."""
+    whole = f"V{rows.shape[1] * rows.itemsize}"
+    np.put(table.view(whole), place, rows.view(whole))
 
 
 class Trainer:
@@ -243,9 +291,13 @@ class Trainer:
             past[place] += grad * grad
             value[place] -= self.rate * grad / np.sqrt(past[place])
         else:
-            got = past.take(place, axis=0) + grad * grad
-            past[place] = got
-            value[place] = value.take(place, axis=0) - self.rate * grad / np.sqrt(got)
+            got = past.take(place, axis=0)
+            got += grad * grad
+            put_rows(past, place, got)
+            np.sqrt(got, out=got)
+            grad *= self.rate
+            grad /= got
+            put_rows(value, place, value.take(place, axis=0) - grad)
 
     def step(self, ids: np.ndarray, low: int, high: int) -> None:
         net, tree = self.net, self.tree
@@ -253,15 +305,21 @@ class Trainer:
         n, top = len(p.at), tree.top.shape[1]
         if not n:
             return
-        g = p.way * (p.high - 1) / n
+        g = np.zeros((n, top + 1), np.float32)
+        p.high -= 1
+        p.high *= p.side
+        p.high /= n
+        g.put(p.slot, p.high)
+        g = g[:, :top]
         moves = [(2, slice(0, top), crossed(g, p.h))]
         dh = product(g, net.node[:top])
-        if len(p.rows):
-            e = p.sign * (p.low - 1) / n
-            some = tree.n[p.target] > 0
-            count = tree.n[p.target][some]
-            dh[some] += run_sums(e[:, None] * net.node.take(p.node, axis=0), np.cumsum(count) - count)
-            moves.append((2, *summed(p.node, e[:, None] * p.h.take(p.rows, axis=0))))
+        if len(p.node):
+            e = (p.sign * (p.low - 1) / n)[:, None]
+            p.hidden *= e
+            moves.append((2, *summed(p.node, p.hidden)))
+            p.vectors *= e
+            for part, m in p.parts():
+                dh[:m] += p.vectors[part]
         dh *= 1 - p.h * p.h
         full = np.zeros((high - low, HIDDEN), np.float32)
         full[p.at] = dh

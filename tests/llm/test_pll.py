@@ -75,6 +75,26 @@ def test_gradient_lowers_the_loss_like_finite_differences():
         assert abs((up - down) / (2 * step) - full[spot]) < 0.05 * abs(full[spot]) + 1e-4, k
 
 
+def test_chances_only_of_decisions_on_the_way():
+    """A token's chances are as many as its own decisions, or those on the longest way above; not one for each node above."""
+    _, tree, net = small()
+    ids = pll.padded([np.random.default_rng(6).integers(0, 300, 500).astype("<i4").tobytes()], 300)[0]
+    p = pll.Pass(net, tree, ids, pll.SIDE, len(ids) - pll.SIDE)
+    assert p.high.shape == (500, np.abs(tree.top).sum(1).max()) and tree.top.shape[1] == pll.TOP
+    assert len(p.low) == tree.n[ids[2:502]].sum() and np.array_equal(np.sort(p.target), np.sort(ids[2:502]))
+
+
+@pytest.mark.parametrize("size, n", [(1, 900), (5, 2000), (400, 3000), (100_000, 500)])
+def test_sums_by_key(size, n):
+    """One key for all rows, some keys with many rows and many with few, keys beyond 16 bits."""
+    rng = np.random.default_rng(8)
+    key, rows = (size * rng.random(n) ** 4).astype(np.int32), rng.standard_normal((n, 16)).astype(np.float32)
+    want = np.zeros((size, 16))
+    np.add.at(want, key, rows)
+    keys, got = pll.summed(key, rows)
+    assert sorted(keys) == sorted(set(key.tolist())) and np.abs(got - want[keys]).max() < 1e-3
+
+
 def by_hand(vocabulary, net, tokenizer, text):
     """pll of a text from the definition: walks from the root with a list of decisions per token, one token at a time."""
     heap = [(c, i) for i, c in enumerate(vocabulary.counts)]
