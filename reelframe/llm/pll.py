@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 HIDDEN = 16
 #: places of a step; its arrays stay within the processor's caches
 CHUNK = 2048
+#: places scored at once, where the state stays as it is
+SCORED = 4 * CHUNK
 #: values of decisions near the root, which most tokens pass, are taken as one matrix product
 TOP = 63
 #: rows of a state that are averaged together
@@ -73,7 +77,7 @@ class Tree:
         self.slot, self.side = top_ways(self.top)
         deep = np.concatenate(steps, axis=1) if steps else np.zeros((3, 0), np.int64)
         deep = deep[:, np.argsort(deep[0], kind="stable")]
-        self.node, self.sign = deep[1].astype(np.int32), deep[2].astype(np.float32)
+        self.node, self.sign = deep[1].astype(np.int32), deep[2].astype(np.int8)
         self.n = np.bincount(deep[0], minlength=size)
         self.start = np.cumsum(self.n) - self.n
         self.deepest = int(self.n.max(initial=0))
@@ -86,13 +90,13 @@ class Tree:
 
 
 def top_ways(top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes above on the way to each token, and the decisions there; shorter ways are filled up with a node after the last, where the decision is sure."""
+    """Nodes above on the way to each token, and the decisions there, a column per token; shorter ways are filled up with a node after the last, where the decision is sure."""
     wide = max(int(np.abs(top).sum(1, dtype=np.int64).max(initial=0)), 1)
     slot, side = np.full((len(top), wide), top.shape[1], np.uint8), np.ones((len(top), wide), np.int8)
     token, node = np.nonzero(top)
     place = np.arange(len(token)) - np.searchsorted(token, token)
     slot[token, place], side[token, place] = node, top[token, node]
-    return slot, side
+    return np.ascontiguousarray(slot.T), np.ascontiguousarray(side.T)
 
 
 @dataclass
@@ -130,26 +134,74 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
 
 
-class Numbers(dict):
-    """word -> its tokens as little-endian 32-bit numbers; remembers up to `room` words besides the frequent ones."""
+def runs(sizes: list[int], most: int) -> Iterator[slice]:
+    """Runs of items of about `most` together; a larger item is a run of its own."""
+    at, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > at and total + size > most:
+            yield slice(at, i)
+            at, total = i, 0
+        total += size
+    if sizes:
+        yield slice(at, len(sizes))
+
+
+def split_texts(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[list[bytes]]]:
+    """The words of each text, of some texts at a time."""
+    for run in runs([len(t or "") for t in texts], most):
+        yield [words_of(t or "") for t in texts[run]]
+
+
+def numbered(split: list[list[bytes]], numbers: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+
+
+def new_numbers(words: Iterable[bytes] = ()) -> dict[bytes, int]:
+    """The words' places; every other word that is looked up gets the next number."""
+    out = defaultdict(count().__next__)
+    for word in words:
+        out[word]
+    return out
+
+
+class Numbers:
+    """The tokens of words; remembers about `room` words besides the frequent ones."""
 
     def __init__(self, vocabulary: Vocabulary, tokenizer: str, room: int = 500_000):
-        self.frequent = {w: np.int32(i).tobytes() for w, i in vocabulary.words.items()}
-        super().__init__(self.frequent)
-        self.pieces, self.unseen, self.room = vocabulary.pieces, len(vocabulary.counts) - 1, room
-        self.ids = word_ids(tokenizer).ids
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.room:
-            self.clear()
-            self.update(self.frequent)
-        got = self.ids(" " + word.decode("utf-8"))
-        self[word] = out = np.array([self.pieces.get(i, self.unseen) for i in got], "<i4").tobytes()
+        self.frequent, self.room, self.cut = list(vocabulary.words), room, word_ids(tokenizer).of_words
+        self.pieces = np.full(max(vocabulary.pieces, default=0) + 2, len(vocabulary.counts) - 1, "<i4")  # the last stands for all ids further on
+        self.pieces[list(vocabulary.pieces)] = list(vocabulary.pieces.values())
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all but the frequent words."""
+        self.words = new_numbers(self.frequent)
+        self.tokens, self.start = np.arange(len(self.frequent), dtype="<i4"), np.arange(len(self.frequent) + 1)
+
+    def learn(self) -> None:
+        """Cuts the words that have a number but no tokens yet."""
+        new = list(islice(reversed(self.words), len(self.words) + 1 - len(self.start)))[::-1]
+        if new:
+            ids, starts = self.cut(new)
+            self.start = np.concatenate((self.start, self.start[-1] + np.append(starts[1:], len(ids))))
+            self.tokens = np.concatenate((self.tokens, self.pieces.take(ids, mode="clip")))
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The tokens of each text as little-endian 32-bit numbers."""
+        out = []
+        for split in split_texts(texts):
+            number = numbered(split, self.words)
+            self.learn()
+            first = self.start.take(number)
+            many = self.start.take(number + 1) - first
+            ends = np.concatenate(([0], many.cumsum()))
+            got = self.tokens.take(np.repeat(first - ends[:-1], many) + np.arange(ends[-1])).tobytes()
+            cuts = (4 * ends[np.cumsum([0, *map(len, split)])]).tolist()
+            out += [got[a:b] for a, b in zip(cuts, cuts[1:])]
+            if len(self.words) > self.room + len(self.frequent):
+                self.clear()
         return out
 
-    def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, words_of(text or "")))
-
 
 def padded(texts: list[bytes], mark: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts' tokens with SIDE marks around each, and how many each has."""
@@ -185,6 +237,15 @@ def crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum((a[i:i + SLICE].T @ b[i:i + SLICE] for i in range(0, len(a), SLICE)), np.zeros((a.shape[1], b.shape[1]), np.float32))
 
 
+def above(net: Net, tree: Tree) -> np.ndarray:
+    """Vectors of the nodes above, a column each, and last the one whose decision is sure."""
+    top = tree.top.shape[1]
+    out = np.zeros((HIDDEN, top + 1), np.float32)
+    out[:, :top] = net.node[:top].T
+    out[-1, top] = 100
+    return out
+
+
 class Pass:
     """The network at the tokens of places low to high of a padded stream: hidden values and the chance of each decision on the way to each token. Tokens come
     by falling number of decisions below the top, so that those with a further one are always the first."""
@@ -206,16 +267,14 @@ class Pass:
         np.tanh(self.h, out=self.h)
         self.h[:, -1] = 1
         top = tree.top.shape[1]
-        sure = np.zeros((1, HIDDEN), np.float32)
-        sure[0, -1] = 100
-        values = product(self.h, np.concatenate((net.node[:top], sure)).T)
-        self.slot = tree.slot.take(self.target, axis=0).astype(np.int64)
-        self.slot += np.arange(0, values.size, top + 1)[:, None]
-        self.side = tree.side.take(self.target, axis=0)
-        self.high = yes(values.take(self.slot) * self.side)
+        values = product(self.h, above(net, tree))
+        self.slot = tree.slot.take(self.target, axis=1).astype(np.int64)
+        self.slot += np.arange(0, values.size, top + 1)
+        self.side = tree.side.take(self.target, axis=1).T
+        self.high = yes(values.take(self.slot) * self.side.T).T
         # how many tokens have a first, second, ... decision below the top
-        count = np.bincount(deep, minlength=1)
-        self.runs = (len(at) - np.cumsum(count)[:-1]).tolist()
+        ended = np.bincount(deep, minlength=1).cumsum()
+        self.runs = (len(at) - ended[:-1]).tolist()
         first = tree.start.take(self.target)
         places = np.concatenate([first[:m] + k for k, m in enumerate(self.runs)] or [first[:0]])
         self.node, self.sign = tree.node.take(places), tree.sign.take(places)
@@ -233,17 +292,48 @@ class Pass:
             at += m
 
 
+class Scorer:
+    """log P(token | both sides) under a network that stays as it is: vectors times gains are taken from a table per place."""
+
+    def __init__(self, net: Net, tree: Tree):
+        self.net, self.tree, self.top = net, tree, above(net, tree)
+        self.given = [net.ctx * g for g in net.gain[:-1]]
+        self.given[0] += net.gain[-1]
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """Of every token of a padded stream, in its order, marks left out."""
+        at = np.flatnonzero(ids != self.tree.size)
+        return np.concatenate([np.zeros(0), *(self.part(ids, at[i:i + SCORED]) for i in range(0, len(at), SCORED))])
+
+    def part(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        tree, target = self.tree, ids.take(at)
+        h = self.given[0].take(ids.take(at + OFFSETS[0]), axis=0)
+        for table, o in zip(self.given[1:], OFFSETS[1:]):
+            h += table.take(ids.take(at + o), axis=0)
+        np.tanh(h, out=h)
+        h[:, -1] = 1
+        values = product(h, self.top)
+        slot = tree.slot.take(target, axis=1).astype(np.int64)
+        slot += np.arange(0, values.size, values.shape[1])
+        high = values.take(slot)
+        high *= tree.side.take(target, axis=1)
+        got = np.log(yes(high)).sum(0, dtype=np.float64)
+        # below the top: one token's decisions after the other's
+        n = tree.n.take(target)
+        ends = n.cumsum()
+        if ends[-1]:
+            places = np.repeat(tree.start.take(target) - ends + n, n)
+            places += np.arange(len(places))
+            low = np.einsum("ij,ij->i", self.net.node.take(tree.node.take(places), axis=0), np.repeat(h, n, axis=0))
+            low *= tree.sign.take(places)
+            some = np.flatnonzero(n)
+            got[some] += np.add.reduceat(np.log(yes(low)).astype(np.float64), (ends - n).take(some))
+        return got
+
+
 def token_scores(net: Net, tree: Tree, ids: np.ndarray) -> np.ndarray:
     """log P(token | both sides) of every token of a padded stream, in its order, marks left out."""
-    out = [np.zeros(0)]
-    for low in range(SIDE, len(ids) - SIDE, CHUNK):
-        p = Pass(net, tree, ids, low, min(low + CHUNK, len(ids) - SIDE))
-        got = np.log(p.high).sum(1, dtype=np.float64)
-        deep = np.log(p.low)
-        for part, m in p.parts():
-            got[:m] += deep[part]
-        out.append(got[np.argsort(p.at)])
-    return np.concatenate(out)
+    return Scorer(net, tree).of(ids)
 
 
 #: rows of so few keys or less are not summed side by side
@@ -255,7 +345,9 @@ def summed(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key.astype(np.uint16) if key.max() < 65536 else key, kind="stable")  # short numbers are sorted by digits
     ordered = key.take(order)
     firsts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    n = np.diff(firsts, append=len(key))
+    n = np.empty_like(firsts)
+    np.subtract(firsts[1:], firsts[:-1], out=n[:-1])
+    n[-1] = len(key) - firsts[-1]
     most = np.argsort((n.max() - n).astype(np.uint16), kind="stable") if n.max() < 65536 else np.argsort(-n, kind="stable")
     firsts, n = firsts.take(most), n.take(most)
     out = rows.take(order.take(firsts), axis=0)
@@ -274,7 +366,7 @@ def summed(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def put_rows(table: np.ndarray, place: np.ndarray, rows: np.ndarray) -> None:
     """table[place] = rows, each row as one item."""
     whole = f"V{rows.shape[1] * rows.itemsize}"
-    np.put(table.view(whole), place, rows.view(whole))
+    table.view(whole).ravel()[place] = rows.view(whole).ravel()
 
 
 class Trainer:
@@ -291,13 +383,14 @@ class Trainer:
             past[place] += grad * grad
             value[place] -= self.rate * grad / np.sqrt(past[place])
         else:
-            got = past.take(place, axis=0)
-            got += grad * grad
+            got = grad * grad
+            got += past.take(place, axis=0)
             put_rows(past, place, got)
             np.sqrt(got, out=got)
-            grad *= self.rate
+            grad *= -self.rate
             grad /= got
-            put_rows(value, place, value.take(place, axis=0) - grad)
+            grad += value.take(place, axis=0)
+            put_rows(value, place, grad)
 
     def step(self, ids: np.ndarray, low: int, high: int) -> None:
         net, tree = self.net, self.tree
@@ -309,12 +402,12 @@ class Trainer:
         p.high -= 1
         p.high *= p.side
         p.high /= n
-        g.put(p.slot, p.high)
+        g.reshape(-1)[p.slot.ravel()] = p.high.T.ravel()
         g = g[:, :top]
         moves = [(2, slice(0, top), crossed(g, p.h))]
         dh = product(g, net.node[:top])
         if len(p.node):
-            e = (p.sign * (p.low - 1) / n)[:, None]
+            e = (p.sign * (p.low - 1) / np.float32(n))[:, None]
             p.hidden *= e
             moves.append((2, *summed(p.node, p.hidden)))
             p.vectors *= e
@@ -324,7 +417,7 @@ class Trainer:
         full = np.zeros((high - low, HIDDEN), np.float32)
         full[p.at] = dh
         gain, given = np.zeros_like(net.gain), np.zeros_like(p.given)
-        gain[-1] = dh.sum(0)
+        gain[-1] = np.ones(n, np.float32) @ dh
         for k, o in enumerate(OFFSETS):
             side = slice(SIDE + o, SIDE + o + high - low)
             gain[k] = np.einsum("ij,ij->j", full, p.given[side])
@@ -345,16 +438,19 @@ class Trainer:
 
 def count_words(room: int = 400_000):
     """Counts of the words of a task's rows, given out whenever `room` different ones are held."""
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter[bytes] = Counter()
+    def of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = new_numbers(), np.zeros(0, np.int64)
         for frame in frames:
-            for text in frame["text"]:
-                held.update(words_of(text))
-                if len(held) >= room:
-                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-                    held.clear()
-        if held:
-            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+            for split in split_texts(frame["text"].to_pylist()):
+                number = numbered(split, words)
+                seen = np.bincount(number, minlength=len(words))
+                seen[:len(total)] += total
+                total = seen
+                if len(words) >= room:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(total)], ["word", "n"])
+                    words, total = new_numbers(), np.zeros(0, np.int64)
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(total)], ["word", "n"])
 
     return of
 
@@ -366,20 +462,24 @@ def plain_texts(docs: DataFrame, text_col: str, *more) -> DataFrame:
 def corpus_vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text", entries: float = 300) -> Vocabulary:
     """Tokens and their counts, from every word of every text. The `entries` times fourth root of N most frequent of N words have tokens of their own
     (2.8e4 at 8e7 words, 6e5 at 1.6e13); all others are cut into the tokenizer's pieces. Those words and at most one count per piece come to the driver."""
-    counts = staged(plain_texts(docs, text_col).mapInPandas(count_words(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "pll-words")
+    counts = staged(plain_texts(docs, text_col).mapInArrow(count_words(), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "pll-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "word").limit(int(np.ceil(entries * total ** 0.25))).collect()
     words = {bytes(r["word"]): i for i, r in enumerate(top)}
     held = docs.sparkSession.sparkContext.broadcast((words, tokenizer))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, ids, got = held.value[0], word_ids(held.value[1]).ids, Counter()
+        known, of_words = held.value[0], word_ids(held.value[1]).of_words
+        got = np.zeros(0, np.int64)
         for frame in frames:
-            for word, n in zip(frame["word"], frame["n"]):
-                if word not in known:
-                    for i in ids(" " + word.decode("utf-8")):
-                        got[i] += n
-        yield pd.DataFrame({"piece": list(got), "n": list(got.values())}, dtype="int64")
+            rare = np.array([word not in known for word in frame["word"]], bool)
+            ids, starts = of_words(frame["word"][rare].tolist())
+            times = np.repeat(frame["n"][rare].to_numpy(), np.diff(starts, append=len(ids)))
+            more = np.zeros(max(len(got), int(ids.max(initial=0)) + 1), np.int64)
+            more[:len(got)] = got
+            np.add.at(more, ids, times)
+            got = more
+        yield pd.DataFrame({"piece": np.flatnonzero(got), "n": got[got > 0]})
 
     pieces = counts.mapInPandas(cut, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy("piece").collect()
     numbers = {r["piece"]: len(words) + i for i, r in enumerate(pieces)}
@@ -399,7 +499,7 @@ def tokens(docs: DataFrame, vocabulary: Vocabulary, tokenizer: str, id_col: str
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = Numbers(*held.value)
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").array, "tokens": [numbers.of(t) for t in frame["text"]]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").array, "tokens": numbers.of(frame["text"].tolist())})
 
     rows = plain_texts(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
     return staged(rows.mapInPandas(cut, "doc_id long, tokens binary"), "pll-tokens")
@@ -407,15 +507,7 @@ def tokens(docs: DataFrame, vocabulary: Vocabulary, tokenizer: str, id_col: str
 
 def parts(texts: list[bytes], most: int = 64 * CHUNK) -> Iterator[list[bytes]]:
     """Runs of texts of about `most` tokens together; a longer text is a run of its own."""
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) // 4 > most:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t) // 4
-    if run:
-        yield run
+    return (texts[run] for run in runs([len(t) // 4 for t in texts], most))
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary, fan_in: int = 32, rounds: int = 1) -> Net:
@@ -475,11 +567,12 @@ def score(rows: DataFrame, vocabulary: Vocabulary, net: Net) -> DataFrame:
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, state, even = held.value
+        scorer = Scorer(state, tree)
         for frame in frames:
             at = 0
             for run in parts(frame["tokens"].tolist()):
                 ids, n = padded(run, tree.size)
-                got = token_scores(state, tree, ids) - even * (ids[ids != tree.size] == tree.size - 1)
+                got = scorer.of(ids) - even * (ids[ids != tree.size] == tree.size - 1)
                 owner = np.repeat(np.arange(len(run)), n)
                 yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[at:at + len(run)].astype("Int64").array, "n_tokens": n, "pll": np.bincount(owner, got, minlength=len(run))})
                 at += len(run)

@@ -6,6 +6,8 @@ import json
 import re
 import struct
 
+import numpy as np
+
 # letters, digits and the rest as the vocabulary's own pattern has them, for texts of Latin characters only
 LATIN = re.compile("[\t\n\r -~ -±´-¸º»¿-ɏ]*")
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
@@ -33,6 +35,7 @@ class WordIds(dict):
         added = {x["content"]: x["id"] for x in spec.get("added_tokens") or ()}
         # ids of this vocabulary follow the order of its merges, so they are the ranks
         ranks = {bytes(names[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in added}
+        self.ranks, self.many = ranks, None
         # words are cut here, so the encoder's own pattern takes all of one
         self.ids = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.full, self.room = regex.compile(PATTERN), room
@@ -46,6 +49,17 @@ class WordIds(dict):
         self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
+    def of_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words (UTF-8, without spaces), a space before each, in one call; and at which of these ids each word starts."""
+        if self.many is None:
+            import tiktoken
+
+            self.many = tiktoken.Encoding("many", pat_str=" [^ ]+", mergeable_ranks=self.ranks, special_tokens={}).encode_to_numpy
+            self.spaced = np.zeros(max(self.ranks.values()) + 1, bool)
+            self.spaced[[i for piece, i in self.ranks.items() if piece.startswith(b" ")]] = True
+        ids = self.many(b"".join(b" " + w for w in words).decode("utf-8"))
+        return ids, np.flatnonzero(self.spaced.take(ids))  # a word's one space is at its start
+
     def plain(self, text: str) -> bytes:
         words = QUICK.findall(text) if LATIN.fullmatch(text) else self.full.findall(text)
         return b"".join(map(self.__getitem__, words))

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reelframe.llm import pll
@@ -186,3 +187,23 @@ def test_two_splits_agree(table, prose, tokenizer):
         got.append({r.doc_id: r.score for r in pll.pseudo_likelihood(docs, tokenizer).collect()})
     a, b = (np.array([g[i] for i in range(60)]) for g in got)
     assert np.abs(a - b).max() < 0.05 * np.abs(a).mean()
+
+
+def test_words_forgotten_on_the_way_change_nothing(tokenizer, prose):
+    """A task's table of words starts anew many times; tokens and counts are as with room for all, and words are cut together, not one by one."""
+    texts = [f"{prose(i, 60, 3000)} Zyx\u00e9 \u6f22\u5b57 only{i}" * (i % 3) for i in range(40)] + [None, "", " \t", "a\x1cb\u0085c", "x" * (1 << 20), "one more"]
+    words = Counter(w for t in texts for w in pll.words_of(t or ""))
+    frequent = [w for w, _ in words.most_common(20)]
+    ids = word_ids(tokenizer).ids
+    seen = sorted({i for w in list(words)[:200] for i in ids(" " + w.decode())})
+    known = pll.Vocabulary({w: i for i, w in enumerate(frequent)}, {p: 20 + i for i, p in enumerate(seen)}, np.ones(21 + len(seen)), 50_000)
+    want = [b"".join(np.array([known.words[w]] if w in known.words else [known.pieces.get(i, 20 + len(seen)) for i in ids(" " + w.decode())], "<i4").tobytes() for w in pll.words_of(t or "")) for t in texts]
+    for room in (0, 50, 10_000):
+        numbers, cuts, of_words = pll.Numbers(known, tokenizer, room), [], word_ids(tokenizer).of_words
+        numbers.cut = lambda new: (cuts.append(new), of_words(new))[1]
+        assert [t for i in range(0, len(texts), 8) for t in numbers.of(texts[i:i + 8])] == want
+        assert len(cuts) <= 9
+        got = Counter()
+        for part in pll.count_words(room)(pa.RecordBatch.from_pydict({"text": [t or "" for t in texts[i:i + 8]]}) for i in range(0, len(texts), 8)):
+            got.update(dict(zip(part["word"].to_pylist(), part["n"].to_pylist())))
+        assert got == words
